@@ -63,3 +63,18 @@ def fold(modulus: int, column: str = "doc_id") -> Column:
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
+
+
+def ln_gamma(x: Column) -> Column:
+    """ln Γ(x) for x >= 1 by Stirling's series, moved up by eight; good to 1e-12."""
+    y = x + F.lit(8.0)
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    below = F.ln(x)
+    for k in range(1, 8):
+        below = below + F.ln(x + F.lit(float(k)))
+    return (y - F.lit(0.5)) * F.ln(y) - y + F.lit(0.9189385332046727) + series - below
+
+
+def ln_choose(n: Column, k: Column) -> Column:
+    one = F.lit(1.0)
+    return ln_gamma(n + one) - ln_gamma(k + one) - ln_gamma(n - k + one)
