@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, quality_rules
+from . import common, language_id, mixture, quality_rules
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,9 +18,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
+def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.plan(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
+    "op10_mixture": op10_mixture,
 }
 
 ORACLES: dict[str, str] = {
