@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 #: Executors get this package's functions by value: they need no copy of it on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
 
-#: Rows in one Arrow batch: whole texts may be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: whole texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 #: ASCII white space that separates words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 #: Java pattern of a run of such white space.
@@ -32,6 +32,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

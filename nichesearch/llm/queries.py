@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, mixture, quality_rules
+from . import common, language_id, mixture, quality_rules, token_counts, token_files
+
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +26,23 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.plan(common.documents(spark, sf_dir))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = common.shared_path(spark, "token-cache")
+    return token_counts.count(common.documents(spark, sf_dir), cache, TOKENIZER)
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.shared_path(spark, "token-files")
+    token_files.write(common.documents(spark, sf_dir), folder, TOKENIZER)
+    return token_files.read(spark, folder, digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op10_mixture": op10_mixture,
+    "op4_token_counts": op4_token_counts,
+    "op5_token_files": op5_token_files,
 }
 
 ORACLES: dict[str, str] = {
