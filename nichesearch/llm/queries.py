@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, mixture, quality_rules, token_counts, token_files
+from . import common, language_id, mixture, quality_mil, quality_rules, token_counts, token_files, toxicity
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,12 +37,22 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, digests=True)
 
 
+def op7_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
     "op10_mixture": op10_mixture,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op7_quality_mil": op7_quality_mil,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
