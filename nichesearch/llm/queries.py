@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, mixture, quality_mil, quality_rules, token_counts, token_files, toxicity
+from . import common, language_id, mixture, quality_mil, quality_rules, simhash, token_counts, token_files, toxicity
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -45,6 +45,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(common.documents(spark, sf_dir), common.labels(spark, sf_dir))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op7_quality_mil": op7_quality_mil,
     "op9_toxicity": op9_toxicity,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {
