@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, language_id, mixture, quality_mil, quality_rules, simhash, token_counts, token_files, toxicity
+from . import common, decontamination, language_id, mixture, quality_mil, quality_rules, simhash, token_counts, token_files, toxicity
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,6 +49,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(common.documents(spark, sf_dir))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op3_quality_rules": op3_quality_rules,
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_mil": op7_quality_mil,
     "op9_toxicity": op9_toxicity,
     "op8_simhash": op8_simhash,
+    "op6_decontamination": op6_decontamination,
 }
 
 ORACLES: dict[str, str] = {
