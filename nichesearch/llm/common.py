@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
 
 #: Rows and bytes of one Arrow batch: whole texts may be long, so batches stay small.
-BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: ASCII white space that separates words: [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
 #: Java pattern of a run of such white space.

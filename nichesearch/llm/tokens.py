@@ -16,6 +16,7 @@ import json
 import re
 import sys
 import types
+from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
@@ -24,8 +25,11 @@ import numpy as np
 #: White space beyond ASCII's usual four: texts with any go to the library whole.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Chunks, and their ids, kept by one Python worker; it starts anew beyond either.
-MAX_CHUNKS, MAX_IDS = 1_000_000, 8_000_000
+MAX_CHUNKS, MAX_IDS = 500_000, 4_000_000
 _JOINED = 256
+#: Characters that are looked up at once, and after which a long text is cut (at a chunk's begin).
+_AT_ONCE = 1 << 19
+_CUT = re.compile(r"(?<=[^\s])[ \n](?=[^\s])")
 
 
 def digest(path: str) -> str:
@@ -222,26 +226,53 @@ class Encoder:
         plain = [self._plain(x) for x in texts]
         return np.array(plain, bool), [x for x, p in zip(texts, plain, strict=True) if p], [x for x, p in zip(texts, plain, strict=True) if not p]
 
+    def _portions(self, texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+        """Texts, or parts of long ones, portion by portion, and which text each belongs to."""
+        held: list[str] = []
+        owners: list[int] = []
+        size = 0
+        for i, text in enumerate(texts):
+            at = 0
+            while True:
+                cut = _CUT.search(text, at + _AT_ONCE) if len(text) - at > _AT_ONCE else None
+                part = text[at : cut.start()] if cut else text[at:]
+                held.append(part)
+                owners.append(i)
+                size += len(part)
+                if size >= _AT_ONCE:
+                    yield owners, held
+                    held, owners, size = [], [], 0
+                if not cut:
+                    break
+                at = cut.start()
+        if held:
+            yield owners, held
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of each text's ids."""
         plain, some, others = self._split(texts)
-        places, chunks = self._places(some)
-        lengths = self.lengths[places]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])]
-        counts = np.diff(ends[np.concatenate([[0], np.cumsum(chunks)])])
+        counts, found = np.zeros(len(some), np.int64), [np.zeros(0, np.uint32)]
+        for owners, parts in self._portions(some):
+            places, chunks = self._places(parts)
+            lengths = self.lengths[places]
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            found.append(self.flat[np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])])
+            np.add.at(counts, owners, np.diff(ends[np.concatenate([[0], np.cumsum(chunks)])]))
+        ids = np.concatenate(found)
         if not others:
             return ids, counts
         odd, odd_counts = self._library(others)
         a, b = iter(np.split(ids, np.cumsum(counts)[:-1]) if len(counts) else []), iter(np.split(odd, np.cumsum(odd_counts)[:-1]))
-        parts = [next(a) if p else next(b) for p in plain]
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        merged = [next(a) if p else next(b) for p in plain]
+        return np.concatenate(merged), np.fromiter(map(len, merged), np.int64, len(merged))
 
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of each text's ids."""
         plain, some, others = self._split(texts)
-        places, chunks = self._places(some)
+        counts = np.zeros(len(some), np.int64)
+        for owners, parts in self._portions(some):
+            places, chunks = self._places(parts)
+            np.add.at(counts, owners, np.diff(np.concatenate([[0], np.cumsum(self.lengths[places])])[np.concatenate([[0], np.cumsum(chunks)])]))
         found = np.zeros(len(texts), np.int64)
-        found[plain] = np.diff(np.concatenate([[0], np.cumsum(self.lengths[places])])[np.concatenate([[0], np.cumsum(chunks)])])
-        found[~plain] = self._library(others)[1]
+        found[plain], found[~plain] = counts, self._library(others)[1]
         return found
