@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, language_id, mixture, quality_mil, quality_rules, simhash, token_counts, token_files, toxicity
+from . import common, decontamination, language_id, mixture, quality_mil, quality_rules, secret_scan, simhash, token_counts, token_files, toxicity
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -53,8 +53,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.search(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(common.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_secret_scan": op2_secret_scan,
     "op3_quality_rules": op3_quality_rules,
     "op10_mixture": op10_mixture,
     "op4_token_counts": op4_token_counts,
