@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``per_class`` labelled documents of each class 0 and 1.
+    """(doc_id, label, text) of about ``per_class`` labelled documents of each class 0 and 1, or of all.
 
-    Those whose hashed ids come first are taken: chosen from ids and labels alone, so that
-    texts are not shuffled; the choice is small enough to be broadcast. A document with
-    several labels counts by its highest.
+    Those whose hashed ids fall below a rate of the class are taken, so that no class is
+    gathered or sorted. The choice is made from ids and labels alone and is small enough to
+    be broadcast: the number taken exceeds ``per_class`` by a few of its square roots at
+    most. A document with several labels counts by its highest.
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("label"))
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_class).select("doc_id", "label").collect()
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    rate = F.when(F.col("label") == 1, min(1.0, per_class / max(1, sizes.get(1, 0)))).otherwise(min(1.0, per_class / max(1, sizes.get(0, 0))))
+    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = known.filter(place < rate).select("doc_id", "label").collect()
     bounded = docs.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in chosen], "doc_id long, label int")
     return docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").select("doc_id", "label", "text")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 LIMIT = 1024
+#: Digests of 16 bytes that may be broadcast.
+BROADCAST_DIGESTS = 500_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -30,20 +32,35 @@ def content_digest(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
-    """(digest, n_tokens), one row a digest, of one tokenizer; empty if the cache isn't there yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache)
-    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
-    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache) if there else spark.createDataFrame([], CACHE_SCHEMA)
+    """(digest, n_tokens), one row a digest, of one tokenizer."""
+    rows = spark.read.schema(CACHE_SCHEMA).parquet(cache)
     return rows.filter(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def fill(docs: DataFrame, cache: str, path: str) -> str:
-    """Encode the distinct contents of ``docs`` (text) that the cache lacks, and append their counts. The tokenizer's digest."""
+    """Encode the distinct contents of ``docs`` (text) that the cache lacks, and append their counts. The tokenizer's digest.
+
+    Copies are combined within each task before the shuffle, so that none gathers a content's
+    copies. With a cache, the digests that it lacks are found first, without texts; if they
+    are few enough to be broadcast, no text moves but theirs.
+    """
     spark, tokenizer = docs.sparkSession, tokens.digest(path)
     common.small_batches(spark)
     contents = docs.select(content_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    misses = contents.join(cached(spark, cache, tokenizer).select("digest"), "digest", "left_anti").dropDuplicates(["digest"])
+    if exists(spark, cache):
+        lacking = common.written(contents.select("digest").distinct().join(cached(spark, cache, tokenizer), "digest", "left_anti"), "token-misses")
+        if lacking.count() <= BROADCAST_DIGESTS:
+            misses = contents.join(F.broadcast(lacking), "digest", "left_semi").dropDuplicates(["digest"])
+        else:
+            misses = contents.dropDuplicates(["digest"]).join(lacking, "digest", "left_semi")
+    else:
+        misses = contents.dropDuplicates(["digest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
@@ -62,5 +79,6 @@ def count(docs: DataFrame, cache: str, path: str, limit: int = LIMIT) -> DataFra
     tokenizer = fill(docs, cache, path)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("digest"))
-    rows = rows.join(cached(docs.sparkSession, cache, tokenizer), "digest")
+    counts = common.written(cached(docs.sparkSession, cache, tokenizer), "token-counts")  # so that the join's skewed keys can be split
+    rows = rows.join(counts, "digest")
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
