@@ -13,8 +13,8 @@ All draws are functions of hashes of keys, so reruns agree. Only DataFrame funct
 used.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source, the last;
-repeated rows are documents of their own that share a hash, ties falling to either, and each
-takes its part; a source without words has target 0; an empty table gives an empty result;
+repeated rows are documents of their own that share a hash, and share what is taken at a cut
+evenly, rounded down; a source without words has target 0; an empty table gives an empty result;
 other columns are ignored, or kept by ``mix``.
 """
 
@@ -32,14 +32,12 @@ WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2.0
 #: Children of a node in one pass over the tree, and documents of a leaf (both approximate sizes).
 FANOUT, LEAF_DOCS = 64, 256
 SEED = 42
+#: Leaves of some 60 bytes that may be broadcast.
+BROADCAST_LEAVES = 200_000
 #: Standard deviation from which a draw takes the normal quantile instead of the exact sum.
 WIDE = 2000.0
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("size", F.size(common.words_of(F.col("text"))).cast("long"))
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) from rows (source, size): one row a source.
 
@@ -130,17 +128,28 @@ def split(nodes: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key, (F.col("child") - FANOUT).alias("child"), "quota")
 
 
-def draw(docs: DataFrame, docs_count: int) -> DataFrame:
-    """Rows (doc_id, source, size, draw_key) with source_size, target, shard and taken.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds size, the key that places a document in the tree, and its order in a leaf."""
+    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")}).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "source", "_size")).withColumn("_o", F.xxhash64("_key", F.lit(SEED)))
+
+
+def _children(passes: int) -> dict[str, Column]:
+    """Six bits of the key choose the child of each pass."""
+    return {f"_c{p}": F.shiftrightunsigned("_key", 6 * p).bitwiseAND(F.lit(FANOUT - 1)).cast("int") for p in range(passes)}
+
 
-    ``docs_count`` sets the depth of the tree only.
+def leaves(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The leaves of the tree over ``docs`` (doc_id, source, text), one row each, and its passes.
+
+    A leaf's row has its source's size, target and whole passes, and the cut: the order of
+    the block at which its quota is filled, the words of blocks of that order (more than one
+    if rows are repeated) and how many of those words are taken.
     """
-    passes = max(1, math.ceil(math.log(max(2, docs_count / LEAF_DOCS), FANOUT)))
-    goals = targets(docs.select("source", "size")).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0))
-    goals = goals.withColumn("quota", F.round("target").cast("long") - F.col("whole").cast("long") * F.col("source_size"))
-    rows = docs
-    for p in range(passes):  # six bits of the hash choose the child of each pass
-        rows = rows.withColumn(f"_c{p}", F.shiftrightunsigned("draw_key", 6 * p).bitwiseAND(F.lit(FANOUT - 1)).cast("int"))
+    sizes = common.written(_keyed(docs.select("doc_id", "source", "text")).select(F.col("source"), F.col("_size").alias("size"), "_key", "_o"), "mixture-sizes")
+    passes = max(1, math.ceil(math.log(max(2, sizes.count() / LEAF_DOCS), FANOUT)))
+    goals = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
+    goals = goals.withColumn("quota", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    rows = sizes.withColumns(_children(passes)).drop("_key")
     counts = rows.groupBy("source", *[f"_c{p}" for p in range(passes)]).agg(F.sum("size").alias("words"))
     quotas = goals.select("source", "quota")
     for p in range(passes):
@@ -151,25 +160,51 @@ def draw(docs: DataFrame, docs_count: int) -> DataFrame:
         nodes = _join(nodes.drop("m"), quotas, key)
         quotas = split(nodes, key).withColumnRenamed("child", f"_c{p}")
     key = ["source", *[f"_c{p}" for p in range(passes)]]
-    leaf = Window.partitionBy(*key).orderBy("_o", "doc_id", "size")
-    rows = rows.withColumn("_o", F.xxhash64("draw_key", F.lit(SEED)))
-    rows = rows.withColumn("_end", F.sum("size").over(leaf.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = _join(rows, quotas, key)
-    rows = _join(rows, goals.select("source", "source_size", "target", "whole"), ["source"])
-    drawn = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - F.col("_end") + F.col("size")))
-    return rows.withColumn("taken", (F.col("whole") * F.col("size") + drawn).cast("long")).withColumn("shard", F.xxhash64(*key)).drop(*key[1:], "_o", "_end", "quota", "whole")
+    rows = rows.withColumn("_end", F.sum("size").over(Window.partitionBy(*key).orderBy("_o")))  # with its peers
+    rows = _join(rows, quotas, key).filter(F.col("_end") >= F.col("quota"))
+    each = rows.groupBy(*key, "_o").agg(F.sum("size").alias("tied"), F.first("_end").alias("_end"), F.first("quota").alias("quota"))
+    found = each.groupBy(*key).agg(F.min_by(F.struct("_o", "_end", "quota", "tied"), "_o").alias("c"))
+    found = found.select(*key, F.col("c._o").alias("cut"), F.col("c.tied").alias("tied"), (F.col("c.quota") - F.col("c._end") + F.col("c.tied")).alias("part"))
+    return common.written(_join(found, goals.select("source", "source_size", "target", "whole"), ["source"]), "mixture-leaves"), passes
+
+
+def taken(docs: DataFrame, tree: tuple[DataFrame, int]) -> DataFrame:
+    """Adds _size, _source_size, _target and _taken to every row of ``docs``; no text moves while the leaves can be broadcast."""
+    found, passes = tree
+    found = found.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
+    rows = _keyed(docs).withColumns(_children(passes))
+    if found.count() <= BROADCAST_LEAVES:
+        found = F.broadcast(found)
+    rows = _join(rows, found, ["source", *[f"_c{p}" for p in range(passes)]])
+    drawn = F.when(F.col("_o") < F.col("cut"), F.col("_size")).when(F.col("_o") == F.col("cut"), F.floor(F.coalesce(F.try_divide(F.col("part") * F.col("_size"), F.col("tied")), F.lit(0.0)))).otherwise(0)
+    rows = rows.withColumn("_taken", (F.col("whole") * F.col("_size") + drawn).cast("long"))
+    return rows.select(*docs.columns, "_size", "_source_size", "_target", "_taken")
 
 
 def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     """Inner join in which null keys meet."""
-    right = right.select(*[F.col(k).alias(f"_r{k}") for k in key], *[c for c in right.columns if c not in key])
-    on = [left[k].eqNullSafe(right[f"_r{k}"]) for k in key]
-    return left.join(right, on).drop(*[f"_r{k}" for k in key])
+    right = right.withColumnsRenamed({k: f"_r{k}" for k in key})
+    return left.join(right, [left[k].eqNullSafe(right[f"_r{k}"]) for k in key]).drop(*[f"_r{k}" for k in key])
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of (doc_id, source, text)."""
-    keyed = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
-    sizes = sized(keyed).select("doc_id", "source", "size", F.xxhash64(F.lit(SEED), "doc_id", "source", "size").alias("draw_key"))
-    sizes = common.written(sizes, "mixture-sizes")
-    return draw(sizes, sizes.count()).select("doc_id", "size", "source_size", "target", "taken")
+    """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, source, text)."""
+    docs = docs.select("doc_id", "source", "text")
+    return taken(docs, leaves(docs)).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The mixture itself, with the columns of ``docs``: each row as often as it is taken whole, then its first words.
+
+    The words of a cut text are joined by single spaces; n_chars, if there, follows. Rows of
+    a shard come in the order of the draw only within what one task writes.
+    """
+    rows = taken(docs, leaves(docs)).filter("_taken > 0 and _size > 0")
+    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    passes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_words", F.explode(passes))
+    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(common.words_of(F.col("text")), 1, F.greatest("_words", F.lit(0))), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return rows.select(*docs.columns)
