@@ -169,16 +169,14 @@ def leaves(docs: DataFrame) -> tuple[DataFrame, int]:
 
 
 def taken(docs: DataFrame, tree: tuple[DataFrame, int]) -> DataFrame:
-    """Adds _size, _source_size, _target and _taken to every row of ``docs``; no text moves while the leaves can be broadcast."""
+    """(doc: the row of ``docs``, size, source_size, target, taken) of every row; no text moves while the leaves can be broadcast."""
     found, passes = tree
-    found = found.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
-    rows = _keyed(docs).withColumns(_children(passes))
     if found.count() <= BROADCAST_LEAVES:
         found = F.broadcast(found)
+    rows = _keyed(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text")).withColumns(_children(passes))
     rows = _join(rows, found, ["source", *[f"_c{p}" for p in range(passes)]])
     drawn = F.when(F.col("_o") < F.col("cut"), F.col("_size")).when(F.col("_o") == F.col("cut"), F.floor(F.coalesce(F.try_divide(F.col("part") * F.col("_size"), F.col("tied")), F.lit(0.0)))).otherwise(0)
-    rows = rows.withColumn("_taken", (F.col("whole") * F.col("_size") + drawn).cast("long"))
-    return rows.select(*docs.columns, "_size", "_source_size", "_target", "_taken")
+    return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + drawn).cast("long").alias("taken"))
 
 
 def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -190,7 +188,7 @@ def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def plan(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, source, text)."""
     docs = docs.select("doc_id", "source", "text")
-    return taken(docs, leaves(docs)).select("doc_id", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
+    return taken(docs, leaves(docs)).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame) -> DataFrame:
@@ -199,12 +197,13 @@ def mix(docs: DataFrame) -> DataFrame:
     The words of a cut text are joined by single spaces; n_chars, if there, follows. Rows of
     a shard come in the order of the draw only within what one task writes.
     """
-    rows = taken(docs, leaves(docs)).filter("_taken > 0 and _size > 0")
-    whole, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    rows = taken(docs, leaves(docs)).filter("taken > 0 and size > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     passes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("_words", F.explode(passes))
-    text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(common.words_of(F.col("text")), 1, F.greatest("_words", F.lit(0))), " "))
-    rows = rows.withColumn("text", text)
+    rows = rows.select("doc", F.explode(passes).alias("words"))
+    cut = F.array_join(F.slice(common.words_of(F.col("doc.text")), 1, F.greatest("words", F.lit(0))), " ")
+    rows = rows.withColumn("text", F.when(F.col("words") < 0, F.col("doc.text")).otherwise(cut))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("words") < 0, F.col("doc.n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -142,7 +142,7 @@ def score(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) ->
             if isinstance(model, float) or not batch.num_rows:
                 p = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
             else:
-                p = forward(model, *encode(batch.column("text").to_pylist()))["score"].astype(np.float64)
+                p = np.round(forward(model, *encode(batch.column("text").to_pylist()))["score"].astype(np.float64), 5)  # sums differ by batch beyond that
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )

@@ -204,10 +204,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without an id can't be told apart and stay.
     """
     found = components(docs.filter("doc_id is not null"))
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped.withColumnRenamed("doc_id", "_dropped"), F.col("doc_id") == F.col("_dropped"), "left_anti")
-    repeated = common.written(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select(F.col("doc_id").alias("_again")), "simhash-repeated")
+    dropped = common.written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
+    repeated = common.written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "simhash-repeated")
+    kept = _among(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    return _among(kept, repeated, "left_anti").unionByName(_among(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    return docs.alias("d").join(ids.alias("i"), F.col("d.doc_id") == F.col("i.doc_id"), how)
