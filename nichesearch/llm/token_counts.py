@@ -3,8 +3,8 @@
 The cache is a Parquet table of (digest, tokenizer, n_tokens): the SHA-256 of the content,
 cut to 128 bits, the digest of the tokenizer (file and library version), and the count.
 Contents are normalised only in that null is the empty text, since any other change could
-change a count. Counting joins the documents' digests to the cache; distinct misses, found
-by a grouping that combines copies before the shuffle, are encoded once and appended.
+change a count. Counting joins the documents' digests to the cache; distinct misses are encoded once and
+appended; copies are dropped before they are shuffled.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and copies get
 the same count from one encoding; an empty table adds nothing to the cache; other columns
@@ -43,12 +43,23 @@ def cached(spark: SparkSession, cache: str, tokenizer: str) -> DataFrame:
     return rows.filter(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose digest no row before them has."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        digests = batch.column("digest").to_pylist()
+        fresh = [d not in seen and not seen.add(d) for d in digests]
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def fill(docs: DataFrame, cache: str, path: str) -> str:
     """Encode the distinct contents of ``docs`` (text) that the cache lacks, and append their counts. The tokenizer's digest.
 
-    Copies are combined within each task before the shuffle, so that none gathers a content's
-    copies. With a cache, the digests that it lacks are found first, without texts; if they
-    are few enough to be broadcast, no text moves but theirs.
+    A task passes on only the first of its copies, so that none gathers a content's copies;
+    after the shuffle by digest, which sorts nothing, the first of a partition's is encoded.
+    What a task remembers is the digests of its rows. With a cache, the digests that it
+    lacks are found first, without texts; if they are few enough to be broadcast, no text
+    moves but theirs.
     """
     spark, tokenizer = docs.sparkSession, tokens.digest(path)
     common.small_batches(spark)
@@ -56,21 +67,20 @@ def fill(docs: DataFrame, cache: str, path: str) -> str:
     if exists(spark, cache):
         lacking = common.written(contents.select("digest").distinct().join(cached(spark, cache, tokenizer), "digest", "left_anti"), "token-misses")
         if lacking.count() <= BROADCAST_DIGESTS:
-            misses = contents.join(F.broadcast(lacking), "digest", "left_semi").dropDuplicates(["digest"])
+            contents = contents.join(F.broadcast(lacking), "digest", "left_semi")
         else:
-            misses = contents.dropDuplicates(["digest"]).join(lacking, "digest", "left_semi")
-    else:
-        misses = contents.dropDuplicates(["digest"])
+            contents = contents.mapInArrow(_firsts, "digest binary, text string").join(lacking.hint("shuffle_hash"), "digest", "left_semi")
+    dealt = contents.mapInArrow(_firsts, "digest binary, text string").repartition("digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
-        for batch in batches:
+        for batch in _firsts(batches):
             counts = encoder.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), pa.array([tokenizer] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], names=["digest", "tokenizer", "n_tokens"]
             )
 
-    misses.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
+    dealt.mapInArrow(run, CACHE_SCHEMA).write.mode("append").parquet(cache)
     return tokenizer
 
 
