@@ -1,5 +1,9 @@
 """Spark-native search over species-distribution-modelling methodologies."""
 
+import sys
+
+from pyspark import cloudpickle
+
 from .plans.builtin import BUILTIN_BACKENDS, default_registry, profile_context
 from .plans.catalogue import Backend, BackendRegistry, Resolution
 from .plans.executor import execute_candidate, execute_run
@@ -29,6 +33,9 @@ from .schema import (
 )
 from .sources.loader import SdmContext, load_data_source
 
+#: Executors get this package's functions by value: they need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = [
     "BUILTIN_BACKENDS",
     "DEFAULT_PRIORS",
