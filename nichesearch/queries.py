@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import draws, geometry, parsing
-from .operators import algorithms, profile_stats, stages
+from .operators import algorithms, profile_stats, selection, stages
 from .plans import executor, priors, proposer
 from .plans.builtin import default_registry
 from .schema import MethodSpec
@@ -490,6 +490,55 @@ def gbm_cv(spark, sf):
     return _cross_validated(spark, sf, "gbm", {"n_estimators": 5})
 
 
+# --- selection
+
+_SIM = """CASE WHEN list_aggregate(list_transform({r}, lambda x: CASE WHEN x < {p} THEN 1 ELSE 0 END), 'sum') = 0 THEN 100 * ({p} - {r}[1]) / ({r}[len({r})] - {r}[1])
+WHEN {p} > {r}[len({r})] THEN 100 * ({r}[len({r})] - {p}) / ({r}[len({r})] - {r}[1])
+ELSE least(200.0::DOUBLE * len(list_filter({r}, lambda x: x < {p})) / len({r}), 2 * (100 - 100.0::DOUBLE * len(list_filter({r}, lambda x: x < {p})) / len({r}))) END"""
+_CORNER = 'valid WHERE "row" < 30 ORDER BY md5(\'42:reference:\' || "row" || \':\' || col), "row", col LIMIT 200'
+
+
+@query(
+    f""", ref AS (SELECT list_sort(list(p1)) AS r1, list_sort(list(p2)) AS r2 FROM (SELECT * FROM {_CORNER}))
+SELECT "row", col, round(least({_SIM.format(p="p1", r="r1")}, {_SIM.format(p="p2", r="r2")}), 6) AS mess FROM valid, ref"""
+)
+def novelty_mess(spark, sf):
+    g = profile_stats.valid_cells(grid(spark, sf))
+    reference = profile_stats.sample_cells(g.filter("row < 30"), 200, SEED, "reference")
+    return selection.mess(g, reference, K).select("row", "col", six("mess", "mess"))
+
+
+_SUIT = ", sq AS (SELECT label, least(1, greatest(0, score)) AS score FROM sc)"
+
+
+@query(_SCORED + _SUIT + ", b AS (SELECT CAST(least(floor(score * 10), 9) AS INT) AS bin, count(*) FILTER (WHERE label = 1) AS presences, count(*) AS available FROM sq GROUP BY 1) SELECT bin, presences, available, round((presences / sum(presences) OVER ()) / (available / sum(available) OVER ()), 6) AS ratio FROM b")
+def boyce_bins(spark, sf):
+    rows = _scored(spark, sf).select("label", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
+    return selection.boyce_bins(rows).select("bin", "presences", "available", six("ratio", "ratio"))
+
+
+@query(_SCORED + ", w AS (SELECT label, score, CASE WHEN fold < 2 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM sc), v AS (SELECT score, coalesce(sum(weight) FILTER (WHERE label = 1), 0) AS p, coalesce(sum(weight) FILTER (WHERE label = 0), 0) AS q FROM w GROUP BY 1), r AS (SELECT p, q, p * (sum(q) OVER (ORDER BY score) - q / 2) AS ok FROM v) SELECT round(sum(ok) / (sum(p) * sum(q)), 6) AS weighted_auc FROM r")
+def importance_weighted_auc(spark, sf):
+    rows = _scored(spark, sf).withColumn("weight", F.when(F.col("fold") < 2, 2.0).otherwise(1.0))
+    return selection.weighted_auc(rows).select(six("weighted_auc", "weighted_auc"))
+
+
+_METRICS = [("a", "auc_mean", 0.8), ("a", "auc_sd", 0.1), ("a", "n_folds", 5.0), ("b", "auc_mean", 0.82), ("b", "auc_sd", 0.2), ("c", "auc_mean", 0.7)]
+_TRUTH = [("s1", "a", 0.75, 0.9), ("s1", "b", 0.72, 0.95), ("s2", "a", 0.6, 0.8), ("s2", "b", 0.5, 0.7)]
+
+
+@query(f"SELECT candidate_id, round(sum(CASE metric WHEN 'auc_mean' THEN value ELSE -0.5 * value END), 6) AS total FROM {_values(_METRICS)} AS m(candidate_id, metric, value) WHERE metric IN ('auc_mean', 'auc_sd') GROUP BY 1")
+def composite_scores(spark, sf):
+    rows = spark.createDataFrame(_METRICS, "candidate_id string, metric string, value double")
+    return selection.composite(rows, selection.WEIGHTS["spatial_transfer"]).select("candidate_id", six("total", "total"))
+
+
+@query(f"SELECT species, round(arg_max(score_true, total) - max(score_true), 6) AS regret FROM {_values(_TRUTH)} AS t(species, candidate_id, total, score_true) GROUP BY 1")
+def selector_regret(spark, sf):
+    rows = spark.createDataFrame(_TRUTH, "species string, candidate_id string, total double, score_true double")
+    return selection.regret(rows).select("species", six("regret", "regret"))
+
+
 # --- registry and records
 
 _GAPS = [("unsupported_algorithm", "m", "algorithm", "maxent"), ("unsupported_algorithm", "m", "algorithm", "maxent"), ("unsupported_sampling_bias", "m", "sampling_bias", "roads"), ("unreadable_raster", "m", "predictor_format", ".tif")]

@@ -168,6 +168,21 @@ def test_occurrences_as_a_stream(spark, tmp_path):
     m.stop()
 
 
+def test_selection_and_the_boyce_index(spark, species):
+    from nichesearch import CandidateResult, RunManifest, RunResult
+    from nichesearch.operators import selection
+
+    done = [CandidateResult(CandidatePlan(i, species, method()), metrics={"auc_mean": m, "auc_sd": s}) for i, m, s in (("a", 0.8, 0.1), ("b", 0.82, 0.3), ("c", 0.8, 0.1))]
+    run = RunResult(RunManifest("r", "spatial_transfer", "d", "now"), (*done, CandidateResult(done[0].plan, failed=True)))
+    chosen = selection.select(run)
+    assert chosen.selected == "a" and chosen.candidates[0].score.total == pytest.approx(0.75) and chosen.candidates[3].score is None
+    assert selection.select(RunResult(run.manifest)).selected is None
+    good = spark.createDataFrame([(int(j < i), (i + 0.5) / 10) for i in range(10) for j in range(10)], "label int, score double")
+    assert selection.boyce(good).first()[0] == pytest.approx(1.0)
+    bad = good.withColumn("score", 1 - F.col("score"))
+    assert selection.boyce(bad).first()[0] == pytest.approx(-1.0)
+
+
 def test_infinity_survives_json():
     from nichesearch.profile import EnvironmentalProfile
 
