@@ -131,8 +131,10 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     known = measured.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
     tests = [(rule, i, c) for rule, cutoffs in GRID.items() for i, c in enumerate(cutoffs)]
     counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(exceeds(r, c)).alias(f"{r}_{i}") for r, i, c in tests])
-    lowest = {r: F.least(*[F.when(admitted(F.col(f"{r}_{i}"), F.col("n")), F.lit(c)) for i, c in enumerate(cs)]) for r, cs in GRID.items()}
-    return counts.select("stratum", *[v.alias(f"cut_{r}") for r, v in lowest.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, i, c in tests]))
+    rows = counts.select("stratum", F.col("n").cast("double").alias("n"), each.alias("t")).select("stratum", "n", "t.rule", "t.cutoff", F.col("t.k").cast("double").alias("k"))
+    right = rows.filter(admitted(F.col("k"), F.col("n")))
+    return right.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
