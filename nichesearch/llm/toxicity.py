@@ -24,6 +24,7 @@ from . import common, labelled
 
 #: Bound of the training sample, documents of a class; buckets; features kept.
 SAMPLE_DOCS, BITS, FEATURES = 10_000, 20, 4096
+SAMPLE_PARTS = 8
 SMOOTHING, L2, STEPS, RATE = 1.0, 2e-4, 200, 0.1
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
@@ -102,7 +103,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from rows (doc_id, text) and (doc_id, toxic) that may be learned from."""
     common.small_batches(docs.sparkSession)
-    sample = labelled.sample(docs, labels, "toxic", SAMPLE_DOCS)
+    sample = common.written(labelled.sample(docs, labels, "toxic", SAMPLE_DOCS).repartition(SAMPLE_PARTS), "toxicity-sample")  # bounded; read twice
     buckets, counts, classes = _counts(sample)
     if not classes.all():
         return {"buckets": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": 500.0 if classes[1] else -500.0}
