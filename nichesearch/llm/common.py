@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Executors get this package's functions by value: they need no copy of it on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__package__.partition(".")[0]])
-
 #: Rows and bytes of one Arrow batch: whole texts may be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: ASCII white space that separates words: [\x20\x09-\x0D].

@@ -7,7 +7,7 @@ divided among its two children by a hypergeometric draw given their sizes, so th
 leaves together have a multivariate-hypergeometric share of the quota and their sum is the
 quota exactly. Inside a leaf, blocks are drawn in the order of their hashes until the leaf's
 quota is filled; the last block is cut. Leaves of one source share no document, a leaf has
-about ``LEAF_DOCS`` documents however large its source, and no step gathers a source.
+no more than about ``LEAF_DOCS`` documents however large its source, and no step gathers a source.
 
 All draws are functions of hashes of keys, so reruns agree. Only DataFrame functions are
 used.
@@ -29,11 +29,11 @@ from . import common
 
 #: Weights of the sources in code point order, repeating; budget and cap as shares of sizes.
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2.0
-#: Children of a node in one pass over the tree, and documents of a leaf (both approximate sizes).
-FANOUT, LEAF_DOCS = 64, 256
+#: Levels of the tree that one pass splits at most, and about how many documents a leaf of an only source has at most.
+LEVELS, LEAF_DOCS = 6, 1024
 SEED = 42
 #: Leaves of some 60 bytes that may be broadcast.
-BROADCAST_LEAVES = 200_000
+BROADCAST_LEAVES = 500_000
 #: Standard deviation from which a draw takes the normal quantile instead of the exact sum.
 WIDE = 2000.0
 
@@ -109,23 +109,23 @@ def _pairs(name: str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(name, 2 * i) + F.get(name, 2 * i + 1))
 
 
-def split(nodes: DataFrame, key: list[str]) -> DataFrame:
-    """Rows (key, quota, sizes: array of FANOUT longs) to (key, child, quota), one a child.
+def split(nodes: DataFrame, key: list[str], levels: int) -> DataFrame:
+    """Rows (key, quota, sizes: array of 2^levels longs) to (key, child, quota), one a child.
 
     The sizes are the leaves of a binary heap; each level of it splits every row in two.
     """
     names = ["sizes"]
-    for depth in range(int(math.log2(FANOUT))):
-        nodes = nodes.withColumn(f"_l{depth}", _pairs(names[-1], FANOUT >> (depth + 1)))
+    for depth in range(levels):
+        nodes = nodes.withColumn(f"_l{depth}", _pairs(names[-1], 1 << (levels - depth - 1)))
         names.append(f"_l{depth}")
     heap = F.concat(F.array(F.lit(0).cast("long")), *[F.col(x) for x in reversed(names)])
     rows = nodes.select(*key, "quota", heap.alias("_heap"), F.lit(1).alias("child"))
-    for _ in range(int(math.log2(FANOUT))):
+    for _ in range(levels):
         rows = rows.withColumns({"left": F.get("_heap", 2 * F.col("child")), "right": F.get("_heap", 2 * F.col("child") + 1)})
         rows = hypergeometric(rows, [*map(F.col, key), F.col("child")])
         both = F.array(F.struct((2 * F.col("child")).alias("child"), F.col("k").alias("quota")), F.struct((2 * F.col("child") + 1).alias("child"), (F.col("quota") - F.col("k")).alias("quota")))
         rows = rows.select(*key, "_heap", F.explode(both).alias("s")).select(*key, "_heap", "s.*")
-    return rows.select(*key, (F.col("child") - FANOUT).alias("child"), "quota")
+    return rows.select(*key, (F.col("child") - (1 << levels)).alias("child"), "quota")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -133,12 +133,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")}).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "source", "_size")).withColumn("_o", F.xxhash64("_key", F.lit(SEED)))
 
 
-def _children(passes: int) -> dict[str, Column]:
-    """Six bits of the key choose the child of each pass."""
-    return {f"_c{p}": F.shiftrightunsigned("_key", 6 * p).bitwiseAND(F.lit(FANOUT - 1)).cast("int") for p in range(passes)}
+def _passes(n_docs: int) -> list[int]:
+    """Levels of the tree that each pass splits: at least one, at most ``LEVELS``."""
+    depth = max(1, (max(1, n_docs) // LEAF_DOCS).bit_length())
+    return [min(LEVELS, depth - i) for i in range(0, depth, LEVELS)]
 
 
-def leaves(docs: DataFrame) -> tuple[DataFrame, int]:
+def _children(passes: list[int]) -> dict[str, Column]:
+    """A pass takes as many bits of the key as it splits levels."""
+    return {f"_c{p}": F.shiftrightunsigned("_key", sum(passes[:p])).bitwiseAND(F.lit((1 << levels) - 1)).cast("int") for p, levels in enumerate(passes)}
+
+
+def leaves(docs: DataFrame) -> tuple[DataFrame, list[int]]:
     """The leaves of the tree over ``docs`` (doc_id, source, text), one row each, and its passes.
 
     A leaf's row has its source's size, target and whole passes, and the cut: the order of
@@ -146,20 +152,20 @@ def leaves(docs: DataFrame) -> tuple[DataFrame, int]:
     if rows are repeated) and how many of those words are taken.
     """
     sizes = common.written(_keyed(docs.select("doc_id", "source", "text")).select(F.col("source"), F.col("_size").alias("size"), "_key", "_o"), "mixture-sizes")
-    passes = max(1, math.ceil(math.log(max(2, sizes.count() / LEAF_DOCS), FANOUT)))
+    passes = _passes(sizes.count())
     goals = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
     goals = goals.withColumn("quota", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
     rows = sizes.withColumns(_children(passes)).drop("_key")
-    counts = rows.groupBy("source", *[f"_c{p}" for p in range(passes)]).agg(F.sum("size").alias("words"))
+    counts = rows.groupBy("source", *[f"_c{p}" for p in range(len(passes))]).agg(F.sum("size").alias("words"))
     quotas = goals.select("source", "quota")
-    for p in range(passes):
+    for p, levels in enumerate(passes):
         key = ["source", *[f"_c{i}" for i in range(p)]]
         children = counts.groupBy(*key, f"_c{p}").agg(F.sum("words").alias("words"))
         nodes = children.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(f"_c{p}", "words"))).alias("m"))
-        nodes = nodes.withColumn("sizes", F.transform(F.sequence(F.lit(0), F.lit(FANOUT - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
+        nodes = nodes.withColumn("sizes", F.transform(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
         nodes = _join(nodes.drop("m"), quotas, key)
-        quotas = split(nodes, key).withColumnRenamed("child", f"_c{p}")
-    key = ["source", *[f"_c{p}" for p in range(passes)]]
+        quotas = split(nodes, key, levels).withColumnRenamed("child", f"_c{p}")
+    key = ["source", *[f"_c{p}" for p in range(len(passes))]]
     rows = rows.withColumn("_end", F.sum("size").over(Window.partitionBy(*key).orderBy("_o")))  # with its peers
     rows = _join(rows, quotas, key).filter(F.col("_end") >= F.col("quota"))
     each = rows.groupBy(*key, "_o").agg(F.sum("size").alias("tied"), F.first("_end").alias("_end"), F.first("quota").alias("quota"))
@@ -168,13 +174,13 @@ def leaves(docs: DataFrame) -> tuple[DataFrame, int]:
     return common.written(_join(found, goals.select("source", "source_size", "target", "whole"), ["source"]), "mixture-leaves"), passes
 
 
-def taken(docs: DataFrame, tree: tuple[DataFrame, int]) -> DataFrame:
-    """(doc: the row of ``docs``, size, source_size, target, taken) of every row; no text moves while the leaves can be broadcast."""
+def taken(docs: DataFrame, tree: tuple[DataFrame, list[int]], keep: list[str]) -> DataFrame:
+    """(doc: the columns ``keep``, size, source_size, target, taken) of every row of ``docs``; no row moves while the leaves can be broadcast."""
     found, passes = tree
     if found.count() <= BROADCAST_LEAVES:
         found = F.broadcast(found)
-    rows = _keyed(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", "text")).withColumns(_children(passes))
-    rows = _join(rows, found, ["source", *[f"_c{p}" for p in range(passes)]])
+    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), "doc_id", "source", "text")).withColumns(_children(passes))
+    rows = _join(rows, found, ["source", *[f"_c{p}" for p in range(len(passes))]])
     drawn = F.when(F.col("_o") < F.col("cut"), F.col("_size")).when(F.col("_o") == F.col("cut"), F.floor(F.coalesce(F.try_divide(F.col("part") * F.col("_size"), F.col("tied")), F.lit(0.0)))).otherwise(0)
     return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + drawn).cast("long").alias("taken"))
 
@@ -188,19 +194,20 @@ def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def plan(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, source, text)."""
     docs = docs.select("doc_id", "source", "text")
-    return taken(docs, leaves(docs)).select("doc.doc_id", "size", "source_size", "target", "taken")
+    return taken(docs, leaves(docs), ["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: each row as often as it is taken whole, then its first words.
 
-    The words of a cut text are joined by single spaces; n_chars, if there, follows. Rows of
-    a shard come in the order of the draw only within what one task writes.
+    The words of a cut text are joined by single spaces; n_chars, if there, follows. What a
+    task writes is shuffled by hash.
     """
-    rows = taken(docs, leaves(docs)).filter("taken > 0 and size > 0")
+    rows = taken(docs, leaves(docs), docs.columns).filter("taken > 0 and size > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
     passes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select("doc", F.explode(passes).alias("words"))
+    rows = rows.select("doc", F.posexplode(passes).alias("pass", "words"))
+    rows = rows.sortWithinPartitions(F.xxhash64(F.lit(SEED), "doc.doc_id", "pass", F.lit("order")))
     cut = F.array_join(F.slice(common.words_of(F.col("doc.text")), 1, F.greatest("words", F.lit(0))), " ")
     rows = rows.withColumn("text", F.when(F.col("words") < 0, F.col("doc.text")).otherwise(cut))
     changed = {"text": F.col("text")}
