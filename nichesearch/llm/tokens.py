@@ -26,7 +26,7 @@ import numpy as np
 #: White space beyond ASCII's usual four: texts with any go to the library whole.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Chunks, and their ids, kept by one Python worker; it starts anew beyond either.
-MAX_CHUNKS, MAX_IDS = 500_000, 4_000_000
+MAX_CHUNKS, MAX_IDS = 1_400_000, 12_000_000
 _JOINED = 256
 #: Characters that are looked up at once, and after which a long text is cut (at a chunk's begin).
 _AT_ONCE = 1 << 19
@@ -68,7 +68,7 @@ class Table:
     """64-bit hashes to places 0, 1, 2 ... in the order of insertion: open addressing, whole arrays at a time."""
 
     def __init__(self, capacity: int):
-        self.bits = max(10, (2 * capacity - 1).bit_length())
+        self.bits = max(10, (3 * capacity // 2).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
         self.n = 0
