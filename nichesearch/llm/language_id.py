@@ -52,15 +52,16 @@ def learn(labelled: DataFrame) -> dict[str, bytes]:
     known = labelled.filter("lang is not null and text is not null and doc_id is not null")
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = [
-        r[0]
+        (int(r[0]),)
         for r in known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"))
         .withColumn("rank", F.row_number().over(first))
         .filter(F.col("rank") <= SAMPLE_DOCS)
         .select("doc_id")
         .collect()
     ]
+    chosen = known.sparkSession.createDataFrame(ids, "doc_id long")  # at most SAMPLE_DOCS a language
     rows = (
-        known.filter(F.col("doc_id").isin(ids))
+        known.join(F.broadcast(chosen), "doc_id", "left_semi")
         .select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id").alias("h"))
         .orderBy("lang", "h", "text")
         .collect()
