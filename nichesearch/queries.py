@@ -487,7 +487,7 @@ def logistic_cv(spark, sf):
 
 @query()
 def gbm_cv(spark, sf):
-    return _cross_validated(spark, sf, "gbm", {"n_estimators": 5})
+    return _cross_validated(spark, sf, "gbm", {})
 
 
 # --- selection

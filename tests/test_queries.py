@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__
 from nichesearch import queries
+from nichesearch.operators import algorithms
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -36,3 +37,11 @@ def test_learners_score_all_kept_records(spark, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 5
     assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name, learner", [("logistic_cv", "logistic"), ("gbm_cv", "gbm")])
+def test_registered_learners_run_with_the_defaults(spark, monkeypatch, name, learner):
+    given = []
+    monkeypatch.setattr(queries.algorithms, "cross_validate", lambda rows, *args: given.append(args) or (rows.withColumn("cv_prediction", rows.label * 1.0),))
+    queries.QUERIES[name](spark, SMALL)
+    assert [a[:2] for a in given] == [(learner, {})] and algorithms.boosted(100, {}, 42).getMaxIter() == 100
