@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from nichesearch.llm import common, decontamination, language_id, mixture, simhash, token_files
+from nichesearch.llm import common, decontamination, language_id, mixture, near_copies, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,8 +17,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (five-word similarity of 0.8 or more) stays: the one with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,7 +203,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Documents without an id can't be told apart and stay.
     """
-    found = components(docs.filter("doc_id is not null"))
+    return one_of_each(docs, components(docs.filter("doc_id is not null")))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` (doc_id, component_id) keeps: those without an id, and each smallest id once."""
     dropped = common.written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
     repeated = common.written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "simhash-repeated")
     kept = _among(docs, dropped, "left_anti")
