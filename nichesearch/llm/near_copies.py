@@ -212,11 +212,7 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group that near copies connect, all columns: the one with the smallest id, once if its row is repeated.
-
-    Documents without an id can't be told apart and stay.
-    """
-    prints, found = roots(docs.filter("doc_id is not null"))
-    rows = prints.join(found, "key", "left").select("doc_id", F.coalesce("root", "key").alias("root"))
-    rows = common.written(rows, "near-found")
-    return one_of_each(docs, rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root"))
+    """One document of each group that near copies connect, all columns; see ``one_of_each``."""
+    prints, found = roots(docs)
+    rows = prints.join(found, "key", "left").select("doc_id", "h", F.coalesce("root", "key").alias("root"))
+    return one_of_each(docs, common.written(rows, "near-found"))

@@ -199,22 +199,23 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, all columns: the one with the smallest id, once if its row is repeated.
-
-    Documents without an id can't be told apart and stay.
-    """
-    return one_of_each(docs, components(docs.filter("doc_id is not null")))
+    """One document of each component, all columns; see ``one_of_each``."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    found = components(rows.select(F.xxhash64("doc_id", "h").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), F.col("component_id").alias("root")).distinct()
+    return one_of_each(docs, rows.select("doc_id", "h", F.xxhash64("doc_id", "h").alias("row")).join(found, "row"))
 
 
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``found`` (doc_id, component_id) keeps: those without an id, and each smallest id once."""
-    dropped = common.written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "simhash-dropped")
-    repeated = common.written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "simhash-repeated")
+    """One row of ``docs`` for each root of ``found`` (doc_id, h: hash of the text, root): by the smallest id, nulls last, then the smallest hash; once if it is repeated."""
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")).alias("l")).select("root", "l.id", F.col("l.h").alias("least"))
+    others = found.join(least, "root").filter("NOT (doc_id <=> id AND h = least)")
+    dropped = common.written(others.select("doc_id", "h").distinct(), "near-dropped")
+    repeated = common.written(found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "near-repeated")
     kept = _among(docs, dropped, "left_anti")
     if repeated.isEmpty():
         return kept
-    return _among(kept, repeated, "left_anti").unionByName(_among(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    return _among(kept, repeated, "left_anti").unionByName(_among(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
-def _among(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    return docs.alias("d").join(ids.alias("i"), F.col("d.doc_id") == F.col("i.doc_id"), how)
+def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    return docs.alias("d").join(rows.alias("i"), F.expr("d.doc_id <=> i.doc_id AND xxhash64(d.text) = i.h"), how)

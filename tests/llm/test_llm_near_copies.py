@@ -1,7 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
-from nichesearch.llm import near_copies
+from nichesearch.llm import near_copies, simhash
 
 from .conftest import row, text
 
@@ -38,3 +40,12 @@ def test_odd_rows(docs, nothing):
     assert kept.columns == docs.columns and len(ids) == len(set(ids)) and None in ids
     assert {*range(200)} & {*ids} == {*range(150)} and {200, 220, 242, 243} & {*ids} == set() and {240, 241} <= {*ids}
     assert near_copies.keep_one(nothing).collect() == []
+
+
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, simhash.keep_one])
+def test_ids_that_are_null_or_repeated_over_texts(make, keep_one):
+    rng = random.Random(6)
+    a, b, c, d = (text(rng, "en", 60) for _ in range(4))
+    rows = [row(1, a), row(2, a), row(2, b), row(2, b), row(3, c), row(3, d), row(None, d), row(None, "only here, " + c[::-1]), row(None, "only here, " + c[::-1]), row(None, None), row(None, "")]
+    kept = sorted((str(r.doc_id), r.text or "") for r in keep_one(make(rows)).collect())
+    assert kept == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", "only here, " + c[::-1]), ("None", "")])
