@@ -5,7 +5,8 @@ Test items, cut into entries of at most ``ENTRY`` words, are indexed; every wind
 entry a text contains lies wholly in some window. Scores are divided by the entry's score
 for itself; all entries of at least ``RETRIEVE`` are retrieved and verified: half of the
 five-word shingles of the item's question and half of those of its answer, or 0.8 of all,
-must occur in the window.
+must occur in the window. Items of fewer than ``LEAST`` words are looked up as they are: the
+whole item must occur as a sequence of words, and its score and overlaps are 1.
 
 The search is exact. In each entry the commonest terms that together stay below
 ``COMMON`` are set apart, as they cannot lift a score over the threshold alone. The other
@@ -17,9 +18,8 @@ The items are read in shards of at most ``SHARD_CHARS`` characters, each an inde
 own that is sent to the executors: its size is bounded, and more items mean more passes.
 
 Words are lower-cased, with ASCII punctuation taken for space. The answer is what follows
-an item's last line feed, else its last sentence, else its last third. Defined cases: null,
-empty and short items (under ``LEAST`` words) are not searched for; texts without words
-match nothing; repeated documents each get their rows; repeated items each match; an empty
+an item's last line feed, else its last sentence, else its last third. Defined cases: null
+items and items without words are not searched for; texts without words match nothing; repeated documents each get their rows; repeated items each match; an empty
 table on either side gives no rows; other columns are ignored.
 """
 
@@ -68,9 +68,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.entries: list[tuple[int, list[bytes], list[bytes]]] = []  # item, question, answer
+        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}  # by number of words: items of a sequence
         for item, text in items:
             own, cut = words(text), question_words(text or "")
             if len(own) < LEAST:
+                if own:
+                    self.short.setdefault(len(own), {}).setdefault(tuple(own), []).append(item)
                 continue
             n = -(-len(own) // ENTRY)
             for k in range(n):
@@ -165,10 +168,22 @@ class Index:
     def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
         """(text, item, score, question overlap, answer overlap): the best entry of each item in each text."""
         split = list(map(words, texts))
+        best = {(i, item): (1.0, 1.0, 1.0) for i, own in enumerate(split) for item in self.quoted(own)}
+        best |= self.ranked(split)
+        return [(*k, *v) for k, v in sorted(best.items())]
+
+    def quoted(self, own: list[bytes]) -> Iterator[int]:
+        """The short items that a text holds."""
+        for n, items in self.short.items():
+            for found in items.keys() & set(zip(*(own[i:] for i in range(n)), strict=False)):
+                yield from items[found]
+
+    def ranked(self, split: list[list[bytes]]) -> dict[tuple[int, int], tuple[float, float, float]]:
+        """The best entry of each longer item in each text, as in ``search``."""
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         terms = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int64, int(sizes.sum()))
         if not len(self.entries) or not len(terms):
-            return []
+            return {}
         steps = -(-sizes // ENTRY)
         last = np.cumsum(steps)
         begin = np.cumsum(sizes) - sizes
@@ -188,7 +203,7 @@ class Index:
                 if shares := self.verify(entry, grams, text):
                     key = (i, self.entries[entry][0])
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
-        return [(*k, *v) for k, v in sorted(best.items())]
+        return best
 
 
 def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -60,3 +60,13 @@ def test_empty_tables(spark, docs, nothing, items):
     assert decontamination.search(docs, none).collect() == []
     assert decontamination.search(nothing, spark.createDataFrame(items, ITEMS)).collect() == []
     assert decontamination.keep_clean(docs, none).count() == docs.count()
+
+
+def test_short_items_are_found_as_exact_sequences(spark, make, items):
+    bench = spark.createDataFrame([*items, (60, "Who wrote it? Ann Lee.", 0.0), (61, "who wrote it ann lee", 0.0), (62, "so", 0.0), (63, " ?! ", 0.0)], ITEMS)
+    texts = {1: "they ask: who wrote it -- Ann Lee, of course", 2: "who wrote it? Ann B. Lee", 3: "wrote it ann lee who", 4: "so it goes", 5: "Who wrote it? Ann Leeds", 6: "", 7: f"{items[3][1]} Who wrote it? Ann Lee."}
+    docs = make([row(i, t) for i, t in texts.items()])
+    found = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in decontamination.search(docs, bench).collect()}
+    assert set(found) == {(1, 60), (1, 61), (4, 62), (7, 3), (7, 60), (7, 61)}
+    assert found[1, 60] == (1.0, 1.0, 1.0)
+    assert sorted(r.doc_id for r in decontamination.keep_clean(docs, bench).collect()) == [2, 3, 5, 6]
