@@ -2,7 +2,7 @@
 
 A document's words are one block; its size is its number of words. Every source has an
 exact quota of words. Whole passes over the source are taken first; what is left of the
-quota is spread over the source's output shards by a splitting tree: a node's quota is
+quota is spread over hash buckets of the source's documents by a splitting tree: a node's quota is
 divided among its two children by a hypergeometric draw given their sizes, so that the
 leaves together have a multivariate-hypergeometric share of the quota and their sum is the
 quota exactly. Inside a leaf, blocks are drawn in the order of their hashes until the leaf's
@@ -201,7 +201,7 @@ def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: each row as often as it is taken whole, then its first words.
 
     The words of a cut text are joined by single spaces; n_chars, if there, follows. What a
-    task writes is shuffled by hash.
+    task writes is shuffled by hash; rows are not dealt to shards over tasks.
     """
     rows = taken(docs, leaves(docs), docs.columns).filter("taken > 0 and size > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
