@@ -3,6 +3,9 @@
 A block's symbols are dealt to its lanes in turn. Lanes are 64-bit states in [2^31, 2^63)
 that emit and take 32-bit words; a step encodes or decodes one symbol of every lane. The
 words of a step stand in the order of the lanes, the steps in the order of decoding.
+
+Every ``STEPS`` steps there is a checkpoint: how many words come before it, and the states of
+the lanes. Decoding can begin at each, so that pieces of a long block decode independently.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import zlib
 import numpy as np
 
 LANES = 1024
+STEPS = 256
 LOW = 1 << 31
 _WORD, _MASK = np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -41,42 +45,52 @@ class Coder:
         self.low = np.cumsum(self.freq, dtype=np.uint64) - self.freq
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
-    def encode(self, symbols: np.ndarray) -> tuple[bytes, bytes]:
-        """Final states and words."""
+    def encode(self, symbols: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        """First states, words, checkpoints: rows of (words before, state of each lane)."""
         n = len(symbols)
         lanes = max(1, min(LANES, n // 64))
         freq, low = self.freq[symbols], self.low[symbols]
         most = freq << (np.uint64(63) - self.bits)
-        x, words = np.full(lanes, LOW, np.uint64), []
+        x, words, marks, emitted = np.full(lanes, LOW, np.uint64), [], [], 0
         for at in range((n - 1) // lanes * lanes, -1, -lanes) if n else ():
             f, k = freq[at : at + lanes], min(lanes, n - at)
             y = x[:k]
             over = y >= most[at : at + k]
             words.append((y[over] & _MASK).astype("<u4"))
+            emitted += len(words[-1])
             y[over] >>= _WORD
             q = y // f
             x[:k] = (q << self.bits) + (y - q * f) + low[at : at + k]
+            if at and at // lanes % STEPS == 0:
+                marks.append((emitted, x.copy()))
+        marks = b"".join(np.append(np.uint64(emitted - after), own).astype("<u8").tobytes() for after, own in reversed(marks))
         words.reverse()
-        return x.astype("<u8").tobytes(), b"".join(w.tobytes() for w in words)
+        return x.astype("<u8").tobytes(), b"".join(w.tobytes() for w in words), marks
 
-    def decode(self, states: bytes, payload: bytes, n: int) -> np.ndarray:
-        """n symbols; raises ValueError unless all states and words come out even."""
+    def decode(self, states: bytes, payload: bytes, n: int, marks: bytes = b"", begin: int = 0, end: int | None = None) -> np.ndarray:
+        """The symbols from ``begin`` to ``end`` of a block of n, from the last checkpoint before them; raises ValueError unless states and words come out even where the block ends."""
         x, words = np.frombuffer(states, "<u8").copy(), np.frombuffer(payload, "<u4").astype(np.uint64)
-        lanes, out, at, mask = len(x), np.empty(n, np.uint32), 0, np.uint64((1 << int(self.bits)) - 1)
-        for begin in range(0, n, lanes):
-            k = min(lanes, n - begin)
+        end = n if end is None else end
+        lanes, at, first, mask = len(x), 0, 0, np.uint64((1 << int(self.bits)) - 1)
+        rows = np.frombuffer(marks, "<u8").reshape(-1, lanes + 1)
+        if mark := min(begin // (STEPS * lanes), len(rows)):
+            at, x, first = int(rows[mark - 1, 0]), rows[mark - 1, 1:].copy(), mark * STEPS * lanes
+        last = min(n, -(-end // lanes) * lanes)
+        out = np.empty(max(0, last - first), np.uint32)
+        for here in range(first, last, lanes):
+            k = min(lanes, n - here)
             slot = x[:k] & mask
             s = self.symbol[slot]
-            out[begin : begin + k] = s
+            out[here - first : here - first + k] = s
             y = self.freq[s] * (x[:k] >> self.bits) + slot - self.low[s]
             under = y < LOW
             more = int(np.count_nonzero(under))
             y[under] = (y[under] << _WORD) | words[at : at + more]
             x[:k] = y
             at += more
-        if at != len(words) or (x != LOW).any():
+        if last == n and (at != len(words) or (x != LOW).any()):
             raise ValueError("a block's states do not come out even")
-        return out
+        return out[begin - first : end - first]
 
 
 def checksum(*parts: bytes) -> int:

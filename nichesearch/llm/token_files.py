@@ -2,17 +2,20 @@
 
 A file set is a folder with two Parquet tables. ``frequencies`` is the one table of
 (token, frequency) that all blocks share, counted over all tokens. ``blocks`` has a row a
-block: whole consecutive documents of at least ``BLOCK_TOKENS`` tokens together, in
-ascending order of doc_id, nulls first, equal ids by the hash of their text. A block holds
-its place (part, first: the checkpoint from which decoding can begin), its documents' ids
-and token counts, the final states of its interleaved lanes, the coded words, and a CRC32
-of all these. Blocks decode independently of each other.
+block: whole consecutive documents of at least ``BLOCK_TOKENS`` tokens together. Files by
+name, and blocks in a file, follow each other in ascending order of doc_id, nulls first,
+equal ids by the hash of their text. A block holds its place (part, first), its documents'
+ids and token counts, the states of its interleaved lanes, the coded words, checkpoints
+inside it, and a CRC32 of all these. Blocks decode independently of each other; inside a
+long block decoding can begin at each checkpoint (``between``).
 
 Texts move once, to be ranged and sorted by doc_id; ids are written once between, so that
-encoding needs no second tokenisation and survives lost executors.
+encoding needs no second tokenisation and survives lost executors. Coded blocks then move to
+the file of their part.
 
 Defined cases: null and empty texts are a document of the end id alone; repeated rows are
-documents of their own; an empty table gives empty files; a text of any length is one
+documents of their own, and equal (doc_id, text) are dealt over files by a third key, as any
+order of them is the same; an empty table gives empty files; a text of any length is one
 document of one block; other columns are ignored; a damaged block raises ValueError.
 """
 
@@ -31,14 +34,15 @@ from . import common, rans, tokens
 
 BLOCK_TOKENS, END_ID = 1 << 17, 2
 _IDS = "doc_id long, part int, seq long, n_tokens long, ids binary"
-_BLOCKS = "part int, first long, n_tokens long, doc_ids array<long>, counts array<long>, states binary, words binary, crc long"
+_BLOCKS = "part int, first long, n_tokens long, doc_ids array<long>, counts array<long>, states binary, words binary, marks binary, crc long"
 
 
 def _encode_texts(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Rows of ``_IDS`` in the order of the files."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    equal = F.monotonically_increasing_id()  # parts equal rows, of which any order is the same
+    ranged = keyed.withColumn("equal", equal).repartitionByRange(*order, "equal").sortWithinPartitions(*order).drop("equal")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq = tokens.encoder(path), TaskContext.get().partitionId(), 0
@@ -87,7 +91,7 @@ def _count_ids(rows: DataFrame) -> np.ndarray:
 
 
 def _crc(r: dict) -> int:
-    return rans.checksum(repr((r["part"], r["first"], r["doc_ids"], r["counts"])).encode(), r["states"], r["words"])
+    return rans.checksum(repr((r["part"], r["first"], r["doc_ids"], r["counts"])).encode(), r["states"], r["words"], r["marks"])
 
 
 def _blocks(rows: DataFrame, freq: np.ndarray, bits: int) -> DataFrame:
@@ -98,9 +102,9 @@ def _blocks(rows: DataFrame, freq: np.ndarray, bits: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             r = {"part": held[0][1], "first": held[0][2], "doc_ids": [x[0] for x in held], "counts": [x[3] for x in held]}
-            r["states"], r["words"] = coder.encode(np.concatenate([_ids(x[4], x[3]) for x in held]))
+            r["states"], r["words"], r["marks"] = coder.encode(np.concatenate([_ids(x[4], x[3]) for x in held]))
             r |= {"n_tokens": tokens_held, "crc": _crc(r)}
-            types = {"part": pa.int32(), "first": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "states": pa.binary(), "words": pa.binary(), "crc": pa.int64()}
+            types = {"part": pa.int32(), "first": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64()), "states": pa.binary(), "words": pa.binary(), "marks": pa.binary(), "crc": pa.int64()}
             return pa.RecordBatch.from_arrays([pa.array([r[k]], t) for k, t in types.items()], names=list(types))
 
         for batch in batches:
@@ -124,7 +128,9 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
     freq, bits = rans.quantised(_count_ids(rows))
     table = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
     spark.createDataFrame(table, "token int, frequency long").coalesce(1).write.parquet(f"{folder}/frequencies")
-    _blocks(rows, freq, bits).write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    parts = rows.agg(F.max("part")).first()[0]
+    coded = _blocks(rows, freq, bits).repartitionById((parts or 0) + 1, F.col("part"))  # a file a part: their order by name is that of the documents
+    coded.sortWithinPartitions("first").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def _coder_table(spark: SparkSession, folder: str) -> tuple[np.ndarray, int]:
@@ -164,10 +170,34 @@ def read(spark: SparkSession, folder: str, digests: bool = False) -> DataFrame:
                 )
 
     rows = blocks.mapInArrow(run, f"part int, first long, doc_id long, begin long, n_tokens long, {last[0]} {last[1]}")
+    rows = rows.join(_places(blocks), ["part", "first"])
+    return rows.select("doc_id", (F.col("place") + F.col("begin")).alias("start"), "n_tokens", last[0])
+
+
+def _places(blocks: DataFrame) -> DataFrame:
+    """(part, first, place): the number of ids before each block."""
     sizes = blocks.select("part", "first", "n_tokens")
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
     places = sizes.withColumnRenamed("n_tokens", "n").select("part", "first", before(Window.partitionBy("part").orderBy("first")).alias("place"))
-    places = places.join(parts, "part").select("part", "first", (F.col("base") + F.col("place")).alias("place"))
-    rows = rows.join(places, ["part", "first"])
-    return rows.select("doc_id", (F.col("place") + F.col("begin")).alias("start"), "n_tokens", last[0])
+    return places.join(parts, "part").select("part", "first", (F.col("base") + F.col("place")).alias("place"))
+
+
+def between(spark: SparkSession, folder: str, start: int, end: int) -> DataFrame:
+    """(place, ids): the ids at the places from ``start`` to ``end``, a row a block that holds any, decoded from the checkpoints before them."""
+    common.small_batches(spark)
+    freq, bits = _coder_table(spark, folder)
+    blocks = spark.read.schema(_BLOCKS).parquet(f"{folder}/blocks")
+    rows = blocks.join(_places(blocks), ["part", "first"]).filter((F.col("place") < end) & (F.col("place") + F.col("n_tokens") > start))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = rans.Coder(freq, bits)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if _crc(r) != r["crc"]:
+                    raise ValueError(f"block {r['part']}:{r['first']} is damaged")
+                a, z = max(0, start - r["place"]), min(r["n_tokens"], end - r["place"])
+                ids = coder.decode(r["states"], r["words"], r["n_tokens"], r["marks"], a, z).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([r["place"] + a], pa.int64()), pa.array([ids], pa.list_(pa.int64()))], names=["place", "ids"])
+
+    return rows.mapInArrow(run, "place long, ids array<long>")

@@ -3,10 +3,14 @@
 A byte-level BPE model splits a text by a fixed pattern and encodes each piece on its own.
 No piece reaches over a single space or line feed that stands between two other characters:
 the space opens the next piece, the line feed is one of its own. Nor does any begin with a
-letter or digit and go on to a punctuation mark. So a text may be cut before each of these, and every distinct chunk is encoded once and looked up afterwards by a 64-bit
-hash. That is done under such a model for texts without unusual white space or the strings of
+letter or digit and go on to a punctuation mark. So a text may be cut before each of these, and every distinct chunk is encoded once and looked up afterwards. A 64-bit
+hash finds the place, and the chunk's bytes are compared with those kept there: a chunk whose
+hash another one has goes to the library, as do chunks of more than ``LONG`` bytes. That is done under such a model for texts without unusual white space or the strings of
 special tokens; all others go to the library whole. Tokenizers are read from the path given,
 never trained and never copied.
+
+What a worker keeps is bounded by the bytes of its arrays. Beyond that it keeps the chunks
+met more than once since it last made room.
 """
 
 from __future__ import annotations
@@ -25,11 +29,13 @@ import numpy as np
 
 #: White space beyond ASCII's usual four: texts with any go to the library whole.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-#: Chunks, and their ids, kept by one Python worker; it starts anew beyond either.
-MAX_CHUNKS, MAX_IDS = 1_400_000, 12_000_000
+#: Chunks, and bytes of chunks with their ids, that one Python worker keeps: some 60 MB with its tables.
+MAX_CHUNKS, MAX_BYTES = 700_000, 24 << 20
+#: Bytes of the longest chunk that is kept.
+LONG = 256
 _JOINED = 256
 #: Characters that are looked up at once, and after which a long text is cut (at a chunk's begin).
-_AT_ONCE = 1 << 19
+_AT_ONCE = 1 << 18
 _CUT = re.compile(r"(?<=[^\s])[ \n](?=[^\s])")
 
 
@@ -68,7 +74,7 @@ class Table:
     """64-bit hashes to places 0, 1, 2 ... in the order of insertion: open addressing, whole arrays at a time."""
 
     def __init__(self, capacity: int):
-        self.bits = max(10, (3 * capacity // 2).bit_length())
+        self.bits = max(10, (4 * capacity // 3).bit_length())
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
         self.n = 0
@@ -78,7 +84,7 @@ class Table:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places, or -1."""
-        found, slots, left = np.full(len(hashes), -1, np.int64), self._slots(hashes), np.arange(len(hashes))
+        found, slots, left = np.full(len(hashes), -1, np.int32), self._slots(hashes), np.arange(len(hashes))
         while len(left):
             keys = self.keys[slots]
             same = keys == hashes[left]
@@ -100,6 +106,41 @@ class Table:
             hashes, places, slots = hashes[on], places[on], (slots[on] + 1) & (len(self.keys) - 1)
 
 
+class Rows:
+    """Rows of different lengths behind each other in one growing array."""
+
+    def __init__(self, dtype: type):
+        self.flat, self.starts, self.sizes = np.zeros(1 << 12, dtype), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
+        self.n = self.used = 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        starts = self.used + np.cumsum(sizes) - sizes
+        for name, at, values in (("flat", self.used, flat), ("starts", self.n, starts), ("sizes", self.n, sizes)):
+            own = getattr(self, name)
+            if at + len(values) > len(own):
+                grown = np.zeros(max(len(own) * 5 // 4, at + len(values)), own.dtype)
+                grown[:at] = own[:at]
+                own = grown
+                setattr(self, name, own)
+            own[at : at + len(values)] = values
+        self.n, self.used = self.n + len(sizes), self.used + len(flat)
+
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The rows at the places, behind each other."""
+        return self.flat[spread(self.starts[places], self.sizes[places])]
+
+    def keep(self, places: np.ndarray) -> None:
+        flat, sizes = self.take(places), self.sizes[places]
+        self.__init__(self.flat.dtype.type)
+        self.add(flat, sizes)
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1 ... of each row, as many as its size."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """The tokenizers library, without added special tokens, truncation or padding."""
 
@@ -133,44 +174,52 @@ class Encoder:
 
     def clear(self) -> None:
         self.table = Table(MAX_CHUNKS)
-        self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
+        self.hashes, self.uses = np.zeros(MAX_CHUNKS, np.uint64), np.zeros(MAX_CHUNKS, np.int32)
+        self.chunks, self.ids = Rows(np.uint8), Rows(np.uint32)
+
+    def _full(self, more: int) -> bool:
+        return self.table.n + more > MAX_CHUNKS or self.chunks.used + 4 * self.ids.used > MAX_BYTES
+
+    def _make_room(self) -> None:
+        """Keep what was met again, if that is less than half."""
+        n = self.table.n
+        places = np.flatnonzero(self.uses[:n] > 1)
+        hashes, chunks, ids = self.hashes[places], self.chunks, self.ids
+        half = 2 * (int(chunks.sizes[places].sum()) + 4 * int(ids.sizes[places].sum())) <= MAX_BYTES and 2 * len(places) <= MAX_CHUNKS
+        self.clear()
+        if half and len(places):
+            chunks.keep(places)
+            ids.keep(places)
+            self.chunks, self.ids = chunks, ids
+            self.hashes[: len(places)] = hashes
+            self.table.add(hashes)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        """Chunks that open with their only white space are encoded many at a time: the first token of each begins with a space, and no other does."""
-        lengths, ids = np.zeros(len(chunks), np.int64), []
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct chunks, and the number of each one's.
+
+        Chunks that open with their only white space are encoded many at a time: the first token of each begins with a space, and no other does.
+        """
+        lengths = np.zeros(len(chunks), np.int64)
         texts = [x.decode() for x in chunks]
         joined = [i for i, x in enumerate(chunks) if x[:1] == b" " and len(x.split()) == 1 and x[-1:] not in (b" ", b"\n", b"\t", b"\r")]
         found, _ = self._library(["".join(texts[i] for i in joined[k : k + _JOINED]) for k in range(0, len(joined), _JOINED)])
         first = np.flatnonzero(self.opens[found])
-        single = set()
         if len(first) == len(joined):
             lengths[joined] = np.diff(first, append=len(found))
-            single = set(joined)
         else:
-            found = np.zeros(0, np.uint32)
-        rest = [i for i in range(len(chunks)) if i not in single]
-        more, counts = self._library([texts[i] for i in rest])
-        lengths[rest] = counts
-        order = np.array([*(joined if single else []), *rest], np.int64)
+            found, joined = np.zeros(0, np.uint32), []
+        alone = np.ones(len(chunks), bool)
+        alone[joined] = False
+        rest = np.flatnonzero(alone)
+        more, lengths[rest] = self._library([texts[i] for i in rest.tolist()])
+        order = np.concatenate([np.array(joined, np.int64), rest])
         starts = np.zeros(len(chunks), np.int64)
-        starts[order] = self.used + np.cumsum(lengths[order]) - lengths[order]
-        self._put("flat", self.used, np.concatenate([found, more]))
-        n = self.table.n - len(chunks)
-        self._put("starts", n, starts)
-        self._put("lengths", n, lengths)
-        self.used += len(found) + len(more)
-
-    def _put(self, name: str, at: int, values: np.ndarray) -> None:
-        own = getattr(self, name)
-        if at + len(values) > len(own):
-            own = np.concatenate([own, np.zeros(max(len(own), at + len(values) - len(own)), own.dtype)])
-            setattr(self, name, own)
-        own[at : at + len(values)] = values
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return np.concatenate([found, more])[spread(starts, lengths)], lengths
 
     def _powers(self, n: int) -> None:
         if n > len(self.powers):
@@ -179,13 +228,13 @@ class Encoder:
             steps[:, 0] = 1
             self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
 
-    def _places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of all chunks, and the number of each text's chunks."""
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All bytes, the begin and size of each chunk, and the number of each text's chunks."""
         coded = [x.encode("utf-8", "replace") for x in texts]
         data = np.frombuffer(b"".join(coded), np.uint8)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+            return data, *np.zeros((2, 0), np.int64), np.zeros(len(texts), np.int64)
         space = self.space[data]
         opens = self.cut[data]
         opens[1:] &= ~space[:-1]
@@ -197,29 +246,65 @@ class Encoder:
         opens[begins[sizes > 0]] = True
         starts = np.flatnonzero(opens)
         counts = np.diff(np.searchsorted(starts, np.append(begins, len(data))))
+        return data, starts, np.diff(starts, append=len(data)), counts
+
+    def _hashed(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Never 0."""
         self._powers(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(self.of_byte[data] * self.powers[: len(data)], out=sums[1:])
-        ends = np.append(starts[1:], len(data))
-        hashes = (sums[ends] - sums[starts]) * self.inverses[starts] + (ends - starts).astype(np.uint64)
+        hashes = (sums[starts + sizes] - sums[starts]) * self.inverses[starts] + sizes.astype(np.uint64)
         hashes ^= hashes >> np.uint64(32)
         hashes *= np.uint64(0xD6E8FEB86659FD93)
         hashes ^= hashes >> np.uint64(29)
-        hashes |= np.uint64(1)
+        return hashes | np.uint64(1)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether the bytes of each chunk are those kept at its place."""
+        same = (places >= 0) & (self.chunks.sizes[places] == sizes)
+        at = np.flatnonzero(same)
+        if len(at):
+            own, ends = sizes[at], np.cumsum(sizes[at])
+            equal = data[spread(starts[at], own)] == self.chunks.take(places[at])
+            same[at] = np.logical_and.reduceat(equal, ends - own)
+        return same
+
+    def _lengths(self, texts: list[str], wanted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number of ids of each chunk, the number of each text's chunks and, if wanted, all ids."""
+        data, starts, sizes, counts = self._chunks(texts)
+        if not len(starts):
+            return np.zeros(0, np.int64), counts, np.zeros(0, np.uint32)
+        hashes = self._hashed(data, starts, sizes)
         places = self.table.find(hashes)
-        if len(missing := np.flatnonzero(places < 0)):
-            new, first = np.unique(hashes[missing], return_index=True)
-            if self.table.n and (self.table.n + len(new) > MAX_CHUNKS or self.used > MAX_IDS):
-                self.clear()
-                return self._places(texts)
-            if self.table.n + len(new) > MAX_CHUNKS:
-                self.table = Table(len(new))
-            at = missing[first]
-            self.table.add(new)
-            whole = data.tobytes()
-            self._learn([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            places[missing] = self.table.find(hashes[missing])
-        return places, counts
+        new = np.flatnonzero((places < 0) & (sizes <= LONG))
+        if len(new):
+            if self._full(len(new)):
+                self._make_room()
+                places = self.table.find(hashes)
+                new = np.flatnonzero((places < 0) & (sizes <= LONG))
+            _, first = np.unique(hashes[new], return_index=True)
+            at = new[first][: MAX_CHUNKS - self.table.n]
+            ids, lengths = self._encoded([data[a : a + n].tobytes() for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
+            self.hashes[self.table.n : self.table.n + len(at)] = hashes[at]
+            self.table.add(hashes[at])
+            self.chunks.add(data[spread(starts[at], sizes[at])], sizes[at])
+            self.ids.add(ids, lengths)
+            places[new] = self.table.find(hashes[new])
+        same = self._same(data, starts, sizes, places)
+        lengths = np.where(same, self.ids.sizes[np.where(same, places, 0)], 0).astype(np.int64)
+        self.uses[: self.table.n] += np.bincount(places[same], minlength=self.table.n)
+        others = np.flatnonzero(~same)
+        if len(others):
+            odd, lengths[others] = self._library([data[a : a + n].tobytes().decode() for a, n in zip(starts[others].tolist(), sizes[others].tolist(), strict=True)])
+        if not wanted:
+            return lengths, counts, np.zeros(0, np.uint32)
+        if not len(others):
+            return lengths, counts, self.ids.take(places)
+        ids = np.zeros(int(lengths.sum()), np.uint32)
+        begins = np.cumsum(lengths) - lengths
+        ids[spread(begins[same], lengths[same])] = self.ids.take(places[same])
+        ids[spread(begins[others], lengths[others])] = odd
+        return lengths, counts, ids
 
     def _plain(self, text: str) -> bool:
         return self.by_chunk and not _ODD.search(text) and not any(x in text for x in self.special)
@@ -250,17 +335,18 @@ class Encoder:
         if held:
             yield owners, held
 
+    def _all(self, texts: list[str], wanted: bool) -> tuple[np.ndarray, np.ndarray]:
+        counts, found = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint32)]
+        for owners, parts in self._portions(texts):
+            lengths, chunks, ids = self._lengths(parts, wanted)
+            found.append(ids)
+            np.add.at(counts, owners, np.diff(np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(chunks)])]))
+        return np.concatenate(found), counts
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of each text's ids."""
         plain, some, others = self._split(texts)
-        counts, found = np.zeros(len(some), np.int64), [np.zeros(0, np.uint32)]
-        for owners, parts in self._portions(some):
-            places, chunks = self._places(parts)
-            lengths = self.lengths[places]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            found.append(self.flat[np.repeat(self.starts[places] - ends[:-1], lengths) + np.arange(ends[-1])])
-            np.add.at(counts, owners, np.diff(ends[np.concatenate([[0], np.cumsum(chunks)])]))
-        ids = np.concatenate(found)
+        ids, counts = self._all(some, True)
         if not others:
             return ids, counts
         odd, odd_counts = self._library(others)
@@ -271,10 +357,6 @@ class Encoder:
     def count(self, texts: list[str]) -> np.ndarray:
         """The number of each text's ids."""
         plain, some, others = self._split(texts)
-        counts = np.zeros(len(some), np.int64)
-        for owners, parts in self._portions(some):
-            places, chunks = self._places(parts)
-            np.add.at(counts, owners, np.diff(np.concatenate([[0], np.cumsum(self.lengths[places])])[np.concatenate([[0], np.cumsum(chunks)])]))
         found = np.zeros(len(texts), np.int64)
-        found[plain], found[~plain] = counts, self._library(others)[1]
+        found[plain], found[~plain] = self._all(some, False)[1], self._library(others)[1]
         return found

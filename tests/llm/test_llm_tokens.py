@@ -1,7 +1,9 @@
+import os
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -34,6 +36,38 @@ def test_long_texts_special_strings_and_a_full_cache(corpus, monkeypatch):
     assert list(counts) == list(map(len, want := ids(texts))) and list(found) == [i for x in want for i in x]
 
 
+def morse(a, b, n):
+    """Of any two letters, a string and its complement: they collide under every polynomial hash modulo 2^64."""
+    x, y = a, b
+    while len(x) < n:
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("long", [64, 5000])
+def test_strings_that_share_a_hash(monkeypatch, long):
+    monkeypatch.setattr(tokens, "LONG", long)
+    pairs = [morse(a, b, n) for a, b in ("ab", "01", "zq", "x7") for n in (64, 256, 1024, 2048, 4096)]
+    for order in (0, 1):
+        texts = [f"{p[order]} {p[1 - order]} {p[order]}" for p in pairs] + [q for p in pairs for q in p]
+        encoder = tokens.Encoder(PATH)
+        for _ in range(2):
+            found, counts = encoder.encode(texts)
+            want = ids(texts)
+            assert list(counts) == list(map(len, want)) == list(encoder.count(texts)) and list(found) == [i for x in want for i in x]
+
+
+def test_a_workers_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_CHUNKS", 4000)
+    monkeypatch.setattr(tokens, "MAX_BYTES", 60_000)
+    encoder = tokens.Encoder(PATH)
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        texts = [" ".join(map(str, rng.zipf(1.3, 400) % 10**9)) for _ in range(4)]
+        assert list(encoder.encode(texts)[0]) == [i for x in ids(texts) for i in x]
+        assert encoder.table.n <= 4000 and encoder.chunks.used + 4 * encoder.ids.used < 2 * 60_000
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
 def test_other_tokenizers_go_to_their_library(name):
     encoder = tokens.encoder(public_tokenizers.path(name))
@@ -70,14 +104,29 @@ def test_rans_round_trip(symbols, others):
         return
     assert freq.sum() == 1 << bits and ((freq > 0) == (counts > 0)).all()
     coder = rans.Coder(freq, bits)
-    states, words = coder.encode(np.array(symbols, np.uint32))
-    assert list(coder.decode(states, words, len(symbols))) == symbols
+    states, words, marks = coder.encode(np.array(symbols, np.uint32))
+    assert list(coder.decode(states, words, len(symbols), marks)) == symbols
+
+
+def test_decoding_begins_at_any_checkpoint(monkeypatch):
+    monkeypatch.setattr(rans, "STEPS", 4)
+    symbols = np.random.default_rng(2).zipf(1.5, 5000).clip(max=300).astype(np.uint32)
+    coder = rans.Coder(*rans.quantised(np.bincount(symbols)))
+    states, words, marks = coder.encode(symbols)
+    assert len(marks) == 8 * (len(states) // 8 + 1) * ((-(-5000 // (len(states) // 8)) - 1) // 4)
+    for a, z in ((0, 5000), (0, 1), (311, 312), (312, 624), (1000, 4999), (4999, 5000), (2500, 2500)):
+        assert (coder.decode(states, words, 5000, marks, a, z) == symbols[a:z]).all()
+        assert (coder.decode(states, words, 5000, b"", a, z) == symbols[a:z]).all()
 
 
 def test_files_round_trip_in_order(spark, docs, corpus, nothing, monkeypatch):
     monkeypatch.setattr(token_files, "BLOCK_TOKENS", 500)
     folder = common.shared_path(spark, "test-files")
-    token_files.write(docs, folder, PATH)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write(docs, folder, PATH)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.parquet(f"{folder}/blocks").count() > 5
     got = sorted(token_files.read(spark, folder).collect(), key=lambda r: r.start)
     texts = {}
@@ -90,6 +139,13 @@ def test_files_round_trip_in_order(spark, docs, corpus, nothing, monkeypatch):
     assert [r.start for r in got] == list(np.cumsum([0, *map(len, want)])[:-1])
     digests = sorted(token_files.read(spark, folder, digests=True).collect(), key=lambda r: r.start)
     assert [r.ids_crc32 for r in digests] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    every = [i for x in want for i in x]
+    for a, z in ((0, 10), (777, 1500), (len(every) - 3, len(every))):
+        part = sorted(token_files.between(spark, folder, a, z).collect())
+        assert part[0].place == a and [i for r in part for i in r.ids] == every[a:z]
+    files = sorted(f for f in os.listdir(folder + "/blocks") if f.startswith("part-"))
+    held = [d for f in files for b in pq.read_table(f"{folder}/blocks/{f}").column("doc_ids").to_pylist() for d in b]
+    assert len(files) > 1 and held == [r[0] for r in order]
     empty = common.shared_path(spark, "test-files")
     token_files.write(nothing, empty, PATH)
     assert token_files.read(spark, empty).collect() == []
@@ -98,8 +154,8 @@ def test_files_round_trip_in_order(spark, docs, corpus, nothing, monkeypatch):
 def test_a_damaged_block_is_noticed():
     counts = np.bincount([1, 2, 3] * 500)
     coder = rans.Coder(*rans.quantised(counts))
-    states, words = coder.encode(np.array([1, 2, 3] * 500, np.uint32))
-    r = {"part": 0, "first": 0, "doc_ids": [1], "counts": [1500], "states": states, "words": words}
+    states, words, marks = coder.encode(np.array([1, 2, 3] * 500, np.uint32))
+    r = {"part": 0, "first": 0, "doc_ids": [1], "counts": [1500], "states": states, "words": words, "marks": marks}
     assert token_files._crc(r) != token_files._crc(r | {"words": bytes([words[0] ^ 1]) + words[1:]})
     with pytest.raises((ValueError, IndexError)):
         coder.decode(states, words + b"\0\0\0\0", 1500)
