@@ -1,27 +1,28 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A document's words are one block; its size is its number of words. Every source has an
-exact quota of words. Whole passes over the source are taken first; what is left of the
-quota is spread over hash buckets of the source's documents by a splitting tree: a node's quota is
-divided among its two children by a hypergeometric draw given their sizes, so that the
-leaves together have a multivariate-hypergeometric share of the quota and their sum is the
-quota exactly. Inside a leaf, blocks are drawn in the order of their hashes until the leaf's
-quota is filled; the last block is cut. Leaves of one source share no document, a leaf has
-no more than about ``LEAF_DOCS`` documents however large its source, and no step gathers a source.
+The population is the words of the sources; a document is a block of them, and its size is
+its number of words. Every source has an exact quota of words. Whole passes over the source
+are taken first; what is left of the quota is divided among output shards by a splitting
+tree over hash buckets that all sources share: a node's quota of a source is divided among its two
+children by a hypergeometric draw given their sizes, so that the shards together have a
+multivariate-hypergeometric share of it and their sum is the quota exactly. Inside a shard,
+the blocks of each source are permuted by hash and drawn in that order until its quota is
+filled; the last block is cut. No two shards share a block, a shard has no more than about
+``LEAF_DOCS`` documents of a source however large it is, and no step gathers a source.
+``mix`` brings the rows of each shard together, whatever their source, and shuffles them there.
 
 All draws are functions of hashes of keys, so reruns agree. Only DataFrame functions are
 used.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source, the last;
-repeated rows are documents of their own that share a hash, and share what is taken at a cut
-evenly, rounded down; a source without words has target 0; an empty table gives an empty result;
-other columns are ignored, or kept by ``mix``.
+a null id is an id; rows of equal id, source and text are blocks of their own: they are
+numbered, so each has an order of its own and together they take what is due to the word;
+a text of any length is one block; ties in size mean nothing; a source without words has target 0;
+an empty table gives an empty result; other columns are ignored, or kept by ``mix``.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +30,15 @@ from . import common
 
 #: Weights of the sources in code point order, repeating; budget and cap as shares of sizes.
 WEIGHTS, BUDGET, CAP = (3, 1, 2), 1.5, 2.0
-#: Levels of the tree that one pass splits at most, and about how many documents a leaf of an only source has at most.
+#: Levels of the tree that one pass splits at most, and about how many documents a shard of an only source has at most.
 LEVELS, LEAF_DOCS = 6, 1024
 SEED = 42
-#: Leaves of some 60 bytes that may be broadcast.
+#: Shards of some 60 bytes, by source, that may be broadcast.
 BROADCAST_LEAVES = 500_000
-#: Standard deviation from which a draw takes the normal quantile instead of the exact sum.
-WIDE = 2000.0
+#: Standard deviation from which a draw is made by rejection instead of by inversion; both are exact.
+WIDE = 500.0
+#: Tries of one draw by rejection: two of three succeed, so that all fail once in 10^30 draws; then the mode is drawn.
+TRIES = 64
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -73,16 +76,19 @@ def _uniform(*keys: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *keys), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def _normal(u: Column, v: Column) -> Column:
-    return F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+def _ln_factorials(x: Column, y: Column) -> Column:
+    """ln y! - ln x!, by the difference of Stirling's series, whose large terms cancel beforehand."""
+    a, b = x + 1, y + 1
+    return (a - 0.5) * F.log1p((y - x) / a) + (y - x) * F.ln(b) - (y - x) + (1 / b - 1 / a) / 12
 
 
-def hypergeometric(rows: DataFrame, key: list[str]) -> DataFrame:
+def hypergeometric(rows: DataFrame, key: list[Column]) -> DataFrame:
     """Adds k: how many of ``quota`` items drawn from ``left + right`` fall to the left.
 
-    By inversion of the exact distribution over twelve deviations around its mean; where
-    the deviation passes ``WIDE``, by the normal quantile. Always within the support.
-    Every step is a column of its own, so that no expression repeats another.
+    By inversion of the distribution over twelve deviations around its mean, from the ratios
+    of neighbouring chances; where the deviation passes ``WIDE``, by the ratio-of-uniforms
+    rejection of Stadlober (1989), whose cost does not grow. Every step is a column of its
+    own, so that no expression repeats another.
     """
     a, b, q, n = (F.col(c) for c in ("_a", "_b", "_q", "_n"))
     rows = rows.withColumns({"_a": F.col("left").cast("double"), "_b": F.col("right").cast("double"), "_q": F.col("quota").cast("double")})
@@ -91,18 +97,37 @@ def hypergeometric(rows: DataFrame, key: list[str]) -> DataFrame:
     rows = rows.withColumn("_sd", F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("_mean") * (b / n) * ((n - q) / (n - 1))))).otherwise(F.lit(0.0)))
     reach = 12 * F.least("_sd", F.lit(WIDE)) + 6
     rows = rows.withColumns({"_k": F.greatest("_low", F.floor(F.col("_mean") - reach).cast("double")), "_end": F.least("_high", F.ceil(F.col("_mean") + reach).cast("double"))})
-    rows = rows.withColumns({"_u": _uniform(*key, F.lit("u")), "_v": _uniform(*key, F.lit("v"))})
-    rows = rows.withColumn("_p", F.exp(common.ln_choose(a, F.col("_k")) + common.ln_choose(b, q - F.col("_k")) - common.ln_choose(n, q)))
+    steps = F.when((F.col("_end") > F.col("_k")) & (F.col("_sd") <= WIDE), F.sequence(F.lit(1), (F.col("_end") - F.col("_k")).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("_steps", steps)
+    first = F.struct(F.col("_k").alias("k"), F.lit(1.0).alias("p"), F.lit(1.0).alias("sum"))
 
-    def step(s: Column, _: Column) -> Column:
+    def step(s: Column) -> Column:
         p = s["p"] * (a - s["k"]) * (q - s["k"]) / ((s["k"] + 1) * (b - q + s["k"] + 1))
-        return F.when(s["sum"] < F.col("_u"), F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["sum"] + p).alias("sum"))).otherwise(s)
+        return F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["sum"] + p).alias("sum"))
 
-    steps = F.when((F.col("_end") > F.col("_k")) & (F.col("_sd") <= WIDE), F.sequence(F.lit(1), (F.col("_end") - F.col("_k")).cast("int"))).otherwise(F.array().cast("array<int>"))
-    drawn = F.aggregate(steps, F.struct(F.col("_k").alias("k"), F.col("_p").alias("p"), F.col("_p").alias("sum")), step, lambda s: s["k"])
-    wide = F.greatest("_low", F.least("_high", F.round(F.col("_mean") + F.col("_sd") * _normal(F.col("_u"), F.col("_v")))))
-    rows = rows.withColumn("k", F.when(F.col("_sd") > WIDE, wide).otherwise(drawn).cast("long"))
-    return rows.drop("_a", "_b", "_q", "_n", "_low", "_high", "_mean", "_sd", "_k", "_end", "_u", "_v", "_p")
+    rows = rows.withColumn("_u", _uniform(*key, F.lit("u")) * F.aggregate("_steps", first, lambda s, _: step(s), lambda s: s["sum"]))
+    drawn = F.aggregate("_steps", first, lambda s, _: F.when(s["sum"] < F.col("_u"), step(s)).otherwise(s), lambda s: s["k"])
+    # rejection draws from the smaller group and the smaller share, which are mirrored back
+    g, m = F.col("_g"), F.col("_m")
+    rows = rows.withColumns({"_g": F.least(a, b), "_m": F.least(q, n - q)})
+    rows = rows.withColumns({"_mode": F.floor((m + 1) * (g + 1) / (n + 2)).cast("double"), "_centre": F.when(n > 0, m * g / n).otherwise(F.lit(0.0)) + 0.5, "_hat": 1.7155277699214135 * F.sqrt(F.col("_sd") * F.col("_sd") + 0.5) + 0.8989161620588988})
+
+    def attempt(i: Column) -> Column:
+        x, y = _uniform(*key, F.lit("x"), i), _uniform(*key, F.lit("y"), i)
+        return F.struct(x.alias("x"), F.floor(F.col("_centre") + F.col("_hat") * (y - 0.5) / x).cast("double").alias("z"))
+
+    def accepted(t: Column) -> Column:
+        z, mode = t["z"], F.col("_mode")
+        chance = -(_ln_factorials(mode, z) + _ln_factorials(g - mode, g - z) + _ln_factorials(m - mode, m - z) + _ln_factorials(n - g - m + mode, n - g - m + z))
+        inside = (z >= F.greatest(F.lit(0.0), m + g - n)) & (z <= F.least(g, m))
+        return F.when(inside, 2 * F.ln(t["x"]) <= chance).otherwise(False)
+
+    tries = F.filter(F.transform(F.sequence(F.lit(1), F.lit(TRIES)), attempt), accepted)
+    rows = rows.withColumn("_z", F.when(F.col("_sd") > WIDE, F.coalesce(F.get(tries, F.lit(0))["z"], F.col("_mode"))))
+    rows = rows.withColumn("_z", F.when(a > b, m - F.col("_z")).otherwise(F.col("_z")))
+    rows = rows.withColumn("_z", F.when(m < q, a - F.col("_z")).otherwise(F.col("_z")))
+    rows = rows.withColumn("k", F.when(F.col("_sd") > WIDE, F.col("_z")).otherwise(drawn).cast("long"))
+    return rows.drop("_a", "_b", "_q", "_n", "_low", "_high", "_mean", "_sd", "_k", "_end", "_u", "_steps", "_g", "_m", "_mode", "_centre", "_hat", "_z")
 
 
 def _pairs(name: str, n: int) -> Column:
@@ -128,9 +153,45 @@ def split(nodes: DataFrame, key: list[str], levels: int) -> DataFrame:
     return rows.select(*key, (F.col("child") - (1 << levels)).alias("child"), "quota")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds size, the key that places a document in the tree, and its order in a leaf."""
-    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")}).withColumn("_key", F.xxhash64(F.lit(SEED), "doc_id", "source", "_size")).withColumn("_o", F.xxhash64("_key", F.lit(SEED)))
+def _sized(docs: DataFrame) -> DataFrame:
+    """Adds _size, and _id: a hash of the id, source and text."""
+    null = F.concat(*[F.col(c).isNull().cast("string") for c in ("doc_id", "source", "text")])
+    return docs.withColumns({"_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"), "_id": F.xxhash64(F.lit(SEED), null, "doc_id", "source", "text")})
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """(_row, _nth): the number of each of ``rows`` (_id, _row) among those of its _id.
+
+    _row is a monotonically increasing id, so that its upper bits are a task's: rows are
+    counted by task, then numbered inside a task's, and no task gathers all of an _id.
+    """
+    task = F.shiftright("_row", 33).alias("_task")
+    rows = rows.select("_id", "_row", task)
+    before = Window.partitionBy("_id").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_id", "_task").agg(F.count("*").alias("_n"))
+    base = counts.select("_id", "_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("_id", "_task").orderBy("_row")) - 1
+    return rows.withColumn("_inside", inside).join(base, ["_id", "_task"]).select("_row", (F.col("_base") + F.col("_inside")).alias("_nth"))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Adds the key that places a block in the tree, and its order in a shard."""
+    return rows.withColumn("_key", F.xxhash64(F.lit(SEED), "_id", "_nth")).withColumn("_o", F.xxhash64("_key", F.lit(SEED)))
+
+
+def _repeated(rows: DataFrame) -> DataFrame | None:
+    """The _id of rows that are there more than once, if any."""
+    found = common.written(rows.groupBy("_id").agg(F.count("*").alias("n")).filter("n > 1").select("_id"), "mixture-repeated")
+    return None if found.isEmpty() else found
+
+
+def _with_numbers(rows: DataFrame, repeated: DataFrame | None) -> DataFrame:
+    """``rows`` (_id, _row) with _nth; only those that are repeated move."""
+    if repeated is None:
+        return rows.withColumn("_nth", F.lit(0).cast("long"))
+    some = rows.join(repeated, "_id", "left_semi")
+    some = some.join(_numbered(some), "_row")
+    return rows.join(repeated, "_id", "left_anti").withColumn("_nth", F.lit(0).cast("long")).unionByName(some)
 
 
 def _passes(n_docs: int) -> list[int]:
@@ -144,45 +205,50 @@ def _children(passes: list[int]) -> dict[str, Column]:
     return {f"_c{p}": F.shiftrightunsigned("_key", sum(passes[:p])).bitwiseAND(F.lit((1 << levels) - 1)).cast("int") for p, levels in enumerate(passes)}
 
 
-def leaves(docs: DataFrame) -> tuple[DataFrame, list[int]]:
-    """The leaves of the tree over ``docs`` (doc_id, source, text), one row each, and its passes.
+def leaves(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[int], DataFrame | None]:
+    """The blocks of ``docs`` (doc_id, source, text), the shards of the tree over them by source, its passes, and the repeated ids.
 
-    A leaf's row has its source's size, target and whole passes, and the cut: the order of
-    the block at which its quota is filled, the words of blocks of that order (more than one
-    if rows are repeated) and how many of those words are taken.
+    A shard's row has its source's size, target and whole passes, and the cut: the order of
+    the block at which its quota is filled, and how many of that block's words are taken.
     """
-    sizes = common.written(_keyed(docs.select("doc_id", "source", "text")).select(F.col("source"), F.col("_size").alias("size"), "_key", "_o"), "mixture-sizes")
+    sizes = _sized(docs.select("doc_id", "source", "text")).select("doc_id", "source", F.col("_size").alias("size"), "_id", F.monotonically_increasing_id().alias("_row"))
+    sizes = common.written(sizes, "mixture-sizes")
+    repeated = _repeated(sizes)
     passes = _passes(sizes.count())
-    goals = targets(sizes).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
-    goals = goals.withColumn("quota", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
-    rows = sizes.withColumns(_children(passes)).drop("_key")
-    counts = rows.groupBy("source", *[f"_c{p}" for p in range(len(passes))]).agg(F.sum("size").alias("words"))
+    blocks = _placed(_with_numbers(sizes, repeated)).withColumns(_children(passes)).drop("_id", "_row", "_nth", "_key")
+    if repeated is not None:
+        blocks = common.written(blocks, "mixture-blocks")
+    goals = targets(sizes.select("source", "size")).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long"))
+    goals = common.written(goals.withColumn("quota", F.round("target").cast("long") - F.col("whole") * F.col("source_size")), "mixture-goals")
+    counts = common.written(blocks.groupBy("source", *[f"_c{p}" for p in range(len(passes))]).agg(F.sum("size").alias("words")), "mixture-counts")
     quotas = goals.select("source", "quota")
     for p, levels in enumerate(passes):
         key = ["source", *[f"_c{i}" for i in range(p)]]
         children = counts.groupBy(*key, f"_c{p}").agg(F.sum("words").alias("words"))
-        nodes = children.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(f"_c{p}", "words"))).alias("m"))
+        nodes = children.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(f"_c{p}", "words"))).alias("m"))  # 2^LEVELS at most
         nodes = nodes.withColumn("sizes", F.transform(F.sequence(F.lit(0), F.lit((1 << levels) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))))
         nodes = _join(nodes.drop("m"), quotas, key)
         quotas = split(nodes, key, levels).withColumnRenamed("child", f"_c{p}")
     key = ["source", *[f"_c{p}" for p in range(len(passes))]]
-    rows = rows.withColumn("_end", F.sum("size").over(Window.partitionBy(*key).orderBy("_o")))  # with its peers
+    quotas = common.written(quotas, "mixture-quotas")
+    rows = blocks.withColumn("_end", F.sum("size").over(Window.partitionBy(*key).orderBy("_o")))
     rows = _join(rows, quotas, key).filter(F.col("_end") >= F.col("quota"))
-    each = rows.groupBy(*key, "_o").agg(F.sum("size").alias("tied"), F.first("_end").alias("_end"), F.first("quota").alias("quota"))
-    found = each.groupBy(*key).agg(F.min_by(F.struct("_o", "_end", "quota", "tied"), "_o").alias("c"))
-    found = found.select(*key, F.col("c._o").alias("cut"), F.col("c.tied").alias("tied"), (F.col("c.quota") - F.col("c._end") + F.col("c.tied")).alias("part"))
-    return common.written(_join(found, goals.select("source", "source_size", "target", "whole"), ["source"]), "mixture-leaves"), passes
+    found = rows.groupBy(*key).agg(F.min_by(F.struct("_o", "_end", "quota", "size"), "_o").alias("c"))
+    found = found.select(*key, F.col("c._o").alias("cut"), (F.col("c.quota") - F.col("c._end") + F.col("c.size")).alias("part"))
+    found = _join(found, goals.select("source", "source_size", "target", "whole"), ["source"])
+    return blocks, common.written(found, "mixture-leaves"), passes, repeated
 
 
-def taken(docs: DataFrame, tree: tuple[DataFrame, list[int]], keep: list[str]) -> DataFrame:
-    """(doc: the columns ``keep``, size, source_size, target, taken) of every row of ``docs``; no row moves while the leaves can be broadcast."""
-    found, passes = tree
+def _taken(rows: DataFrame, found: DataFrame, passes: list[int]) -> DataFrame:
+    """Adds source_size, target, taken and shard to rows (source, _c0, ..., _o, size); no row moves while the shards can be broadcast."""
     if found.count() <= BROADCAST_LEAVES:
         found = F.broadcast(found)
-    rows = _keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), "doc_id", "source", "text")).withColumns(_children(passes))
     rows = _join(rows, found, ["source", *[f"_c{p}" for p in range(len(passes))]])
-    drawn = F.when(F.col("_o") < F.col("cut"), F.col("_size")).when(F.col("_o") == F.col("cut"), F.floor(F.coalesce(F.try_divide(F.col("part") * F.col("_size"), F.col("tied")), F.lit(0.0)))).otherwise(0)
-    return rows.select("doc", F.col("_size").alias("size"), "source_size", "target", (F.col("whole") * F.col("_size") + drawn).cast("long").alias("taken"))
+    drawn = F.when(F.col("_o") < F.col("cut"), F.col("size")).when(F.col("_o") == F.col("cut"), F.col("part")).otherwise(0)
+    shard = F.lit(0).cast("long")
+    for p, levels in enumerate(passes):
+        shard = shard * (1 << levels) + F.col(f"_c{p}")
+    return rows.withColumns({"taken": (F.col("whole") * F.col("size") + drawn).cast("long"), "shard": shard})
 
 
 def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
@@ -192,22 +258,33 @@ def _join(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) of each row of ``docs`` (doc_id, source, text)."""
-    docs = docs.select("doc_id", "source", "text")
-    return taken(docs, leaves(docs), ["doc_id"]).select("doc.doc_id", "size", "source_size", "target", "taken")
+    """(doc_id, size, source_size, target, taken, shard) of each row of ``docs`` (doc_id, source, text)."""
+    blocks, found, passes, _ = leaves(docs)
+    return _taken(blocks, found, passes).select("doc_id", "size", "source_size", "target", "taken", "shard")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: each row as often as it is taken whole, then its first words.
 
-    The words of a cut text are joined by single spaces; n_chars, if there, follows. What a
-    task writes is shuffled by hash; rows are not dealt to shards over tasks.
+    The rows of a shard, of all sources, are brought together and shuffled by hash. The
+    words of a cut text are joined by single spaces; n_chars, if there, follows.
     """
-    rows = taken(docs, leaves(docs), docs.columns).filter("taken > 0 and size > 0")
+    _, found, passes, repeated = leaves(docs)
+    rows = _sized(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "doc_id", "source", "text"))
+    rows = rows.select("doc", "source", F.col("_size").alias("size"), "_id")
+    if repeated is None:
+        rows = rows.withColumn("_nth", F.lit(0).cast("long"))
+    else:
+        some = rows.join(repeated, "_id", "left_semi").withColumn("_row", F.monotonically_increasing_id())
+        some = common.written(some, "mixture-copies")  # so that a row keeps its number
+        some = some.join(_numbered(some), "_row").drop("_row")
+        rows = rows.join(repeated, "_id", "left_anti").withColumn("_nth", F.lit(0).cast("long")).unionByName(some)
+    rows = _taken(_placed(rows).withColumns(_children(passes)), found, passes).filter("taken > 0 and size > 0")
     whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    passes = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = rows.select("doc", F.posexplode(passes).alias("pass", "words"))
-    rows = rows.sortWithinPartitions(F.xxhash64(F.lit(SEED), "doc.doc_id", "pass", F.lit("order")))
+    each = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.select("doc", "shard", "_key", F.posexplode(each).alias("pass", "words"))
+    rows = rows.withColumn("_place", F.xxhash64("_key", "pass", F.lit("order"))).drop("_key", "pass")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "_place")
     cut = F.array_join(F.slice(common.words_of(F.col("doc.text")), 1, F.greatest("words", F.lit(0))), " ")
     rows = rows.withColumn("text", F.when(F.col("words") < 0, F.col("doc.text")).otherwise(cut))
     changed = {"text": F.col("text")}
