@@ -30,7 +30,7 @@ import numpy as np
 #: White space beyond ASCII's usual four: texts with any go to the library whole.
 _ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Chunks, and bytes of chunks with their ids, that one Python worker keeps: some 60 MB with its tables.
-MAX_CHUNKS, MAX_BYTES = 700_000, 24 << 20
+MAX_CHUNKS, MAX_BYTES = 1_000_000, 32 << 20
 #: Bytes of the longest chunk that is kept.
 LONG = 256
 _JOINED = 256
@@ -93,6 +93,13 @@ class Table:
             left, slots = left[on], (slots[on] + 1) & (len(self.keys) - 1)
         return found
 
+    def hashes(self) -> np.ndarray:
+        """By place."""
+        used = np.flatnonzero(self.keys)
+        found = np.zeros(self.n, np.uint64)
+        found[self.values[used]] = self.keys[used]
+        return found
+
     def add(self, hashes: np.ndarray) -> None:
         """Distinct hashes that it lacks."""
         places, slots = np.arange(self.n, self.n + len(hashes)), self._slots(hashes)
@@ -110,11 +117,11 @@ class Rows:
     """Rows of different lengths behind each other in one growing array."""
 
     def __init__(self, dtype: type):
-        self.flat, self.starts, self.sizes = np.zeros(1 << 12, dtype), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
+        self.flat, self.starts, self.sizes = np.zeros(1 << 12, dtype), np.zeros(1 << 10, np.int32), np.zeros(1 << 10, np.uint16)
         self.n = self.used = 0
 
     def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        starts = self.used + np.cumsum(sizes) - sizes
+        starts = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         for name, at, values in (("flat", self.used, flat), ("starts", self.n, starts), ("sizes", self.n, sizes)):
             own = getattr(self, name)
             if at + len(values) > len(own):
@@ -166,32 +173,28 @@ class Encoder:
         self.word[[x for x in range(128) if chr(x).isalnum()]] = True
         self.mark[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
         self.latin[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True  # second bytes of À to ÿ without × and ÷
-        rng = np.random.default_rng(20260101)
-        self.of_byte = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = 0x9E3779B97F4A7C15
-        self.powers = self.inverses = np.ones(1, np.uint64)
         self.clear()
 
     def clear(self) -> None:
         self.table = Table(MAX_CHUNKS)
-        self.hashes, self.uses = np.zeros(MAX_CHUNKS, np.uint64), np.zeros(MAX_CHUNKS, np.int32)
-        self.chunks, self.ids = Rows(np.uint8), Rows(np.uint32)
+        self.uses, self.bytes = np.zeros(MAX_CHUNKS, np.uint8), np.zeros(MAX_CHUNKS, np.uint16)
+        self.chunks, self.ids = Rows(np.uint64), Rows(np.uint32)  # a chunk's words of eight bytes
 
     def _full(self, more: int) -> bool:
-        return self.table.n + more > MAX_CHUNKS or self.chunks.used + 4 * self.ids.used > MAX_BYTES
+        return self.table.n + more > MAX_CHUNKS or 8 * self.chunks.used + 4 * self.ids.used > MAX_BYTES
 
     def _make_room(self) -> None:
         """Keep what was met again, if that is less than half."""
         n = self.table.n
         places = np.flatnonzero(self.uses[:n] > 1)
-        hashes, chunks, ids = self.hashes[places], self.chunks, self.ids
-        half = 2 * (int(chunks.sizes[places].sum()) + 4 * int(ids.sizes[places].sum())) <= MAX_BYTES and 2 * len(places) <= MAX_CHUNKS
+        hashes, own, chunks, ids = self.table.hashes()[places], self.bytes[places], self.chunks, self.ids
+        half = 2 * (8 * int(chunks.sizes[places].sum()) + 4 * int(ids.sizes[places].sum())) <= MAX_BYTES and 2 * len(places) <= MAX_CHUNKS
         self.clear()
         if half and len(places):
             chunks.keep(places)
             ids.keep(places)
             self.chunks, self.ids = chunks, ids
-            self.hashes[: len(places)] = hashes
+            self.bytes[: len(places)] = own
             self.table.add(hashes)
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -221,13 +224,6 @@ class Encoder:
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
         return np.concatenate([found, more])[spread(starts, lengths)], lengths
 
-    def _powers(self, n: int) -> None:
-        if n > len(self.powers):
-            steps = np.full((2, max(n, 2 * len(self.powers))), self.base, np.uint64)
-            steps[1] = pow(self.base, -1, 1 << 64)
-            steps[:, 0] = 1
-            self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
-
     def _chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All bytes, the begin and size of each chunk, and the number of each text's chunks."""
         coded = [x.encode("utf-8", "replace") for x in texts]
@@ -248,51 +244,70 @@ class Encoder:
         counts = np.diff(np.searchsorted(starts, np.append(begins, len(data))))
         return data, starts, np.diff(starts, append=len(data)), counts
 
+    @staticmethod
+    def _words(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For the first eight bytes, the next ... of chunks: which chunks reach there, and these bytes as a word without what follows the chunk's end."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        words = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+        own, k = np.arange(len(starts)), 0
+        while len(own):
+            left = np.minimum(sizes[own] - 8 * k, 8).astype(np.uint64)
+            yield own, words[starts[own] + 8 * k] << (np.uint64(64) - np.uint64(8) * left)
+            k += 1
+            own = own[sizes[own] > 8 * k]
+
     def _hashed(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Never 0."""
-        self._powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.of_byte[data] * self.powers[: len(data)], out=sums[1:])
-        hashes = (sums[starts + sizes] - sums[starts]) * self.inverses[starts] + sizes.astype(np.uint64)
-        hashes ^= hashes >> np.uint64(32)
-        hashes *= np.uint64(0xD6E8FEB86659FD93)
+        hashes = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for own, word in self._words(data, starts, sizes):
+            x = (hashes[own] ^ word) * np.uint64(0xD6E8FEB86659FD93)
+            hashes[own] = (x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
         hashes ^= hashes >> np.uint64(29)
         return hashes | np.uint64(1)
 
     def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Whether the bytes of each chunk are those kept at its place."""
-        same = (places >= 0) & (self.chunks.sizes[places] == sizes)
+        """Whether each chunk is the one kept at its place, byte by byte."""
+        kept, first = self.chunks.flat, self.chunks.starts[places]
+        same = (places >= 0) & (self.bytes[places] == sizes)
         at = np.flatnonzero(same)
-        if len(at):
-            own, ends = sizes[at], np.cumsum(sizes[at])
-            equal = data[spread(starts[at], own)] == self.chunks.take(places[at])
-            same[at] = np.logical_and.reduceat(equal, ends - own)
+        for k, (own, word) in enumerate(self._words(data, starts[at], sizes[at])):
+            same[at[own]] &= kept[first[at[own]] + k] == word
         return same
 
+    def _keep(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        many = -(-sizes // 8)
+        rows, begins = np.zeros(int(many.sum()), np.uint64), np.cumsum(many) - many
+        for k, (own, word) in enumerate(self._words(data, starts, sizes)):
+            rows[begins[own] + k] = word
+        self.chunks.add(rows, many)
+
     def _lengths(self, texts: list[str], wanted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The number of ids of each chunk, the number of each text's chunks and, if wanted, all ids."""
         data, starts, sizes, counts = self._chunks(texts)
         if not len(starts):
             return np.zeros(0, np.int64), counts, np.zeros(0, np.uint32)
-        hashes = self._hashed(data, starts, sizes)
-        places = self.table.find(hashes)
-        new = np.flatnonzero((places < 0) & (sizes <= LONG))
+        short = np.flatnonzero(sizes <= LONG)
+        hashes, places = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int32)
+        hashes[short] = self._hashed(data, starts[short], sizes[short])
+        places[short] = self.table.find(hashes[short])
+        new = short[places[short] < 0]
         if len(new):
             if self._full(len(new)):
                 self._make_room()
-                places = self.table.find(hashes)
-                new = np.flatnonzero((places < 0) & (sizes <= LONG))
+                places[short] = self.table.find(hashes[short])
+                new = short[places[short] < 0]
             _, first = np.unique(hashes[new], return_index=True)
             at = new[first][: MAX_CHUNKS - self.table.n]
             ids, lengths = self._encoded([data[a : a + n].tobytes() for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
-            self.hashes[self.table.n : self.table.n + len(at)] = hashes[at]
+            self.bytes[self.table.n : self.table.n + len(at)] = sizes[at]
             self.table.add(hashes[at])
-            self.chunks.add(data[spread(starts[at], sizes[at])], sizes[at])
+            self._keep(data, starts[at], sizes[at])
             self.ids.add(ids, lengths)
             places[new] = self.table.find(hashes[new])
         same = self._same(data, starts, sizes, places)
-        lengths = np.where(same, self.ids.sizes[np.where(same, places, 0)], 0).astype(np.int64)
-        self.uses[: self.table.n] += np.bincount(places[same], minlength=self.table.n)
+        lengths = np.where(same, self.ids.sizes[places], 0).astype(np.int64)
+        own = places[same]
+        self.uses[own] = np.minimum(self.uses[own], 2) + 1  # portions that had it
         others = np.flatnonzero(~same)
         if len(others):
             odd, lengths[others] = self._library([data[a : a + n].tobytes().decode() for a, n in zip(starts[others].tolist(), sizes[others].tolist(), strict=True)])
