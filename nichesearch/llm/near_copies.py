@@ -1,39 +1,49 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The search is exact, but for collisions of 64-bit hashes. All shingles have one global
-order. Of two sets of n and m shingles that are similar enough, each shares at least 0.8 of
-its own, so that the first 0.2 n + 1 and 0.2 m + 1 of them, their heads, share one; as what
-follows a head is 0.8 of a set, they share a number of them that follows from the sizes.
-Pairs that do are candidates, and their whole sets are compared.
-
-Any order gives the same result. That of hashes is taken, but with shingles found in
-``HOT`` heads or more at the end, the commonest last: common lines and passages put few
-documents together. Copies of a set are searched once. Large groups of near copies are not
-compared pair by pair: the least document of each shared shingle is compared with the
-others first, and then only pairs that are not yet connected.
+SimHash (``simhash``) opens the search: the fingerprints of the sets that its pigeonring
+search links, and sets of one fingerprint, are compared as whole sets. At a similarity of
+0.8 two fingerprints differ in some ten bits of 64, so that most near copies lie beyond its
+reach; an exact search by prefixes completes it. All shingles have one global order. Of two
+sets of n and m shingles that are similar enough, the first 0.2 n + 1 and 0.2 m + 1, their
+heads, share one; where the first that they share stands at the places i and j, n - i and m - j
+must reach the overlap that sizes of n and m need. Pairs that pass are compared as whole sets.
+
+Any order gives the same result. That of hashes is taken, but with shingles that a sample of
+the texts holds more than once at the end, the commonest last: common lines and passages put
+few documents together. Copies of a set are searched once. Large groups are not compared pair
+by pair: first one set of each shingle, that with the least share of rare shingles and then one
+by hash, is compared with the others, and only then the pairs that are not yet connected.
+No step gathers the sets of a shingle.
 
 Words are as in ``simhash``; fewer than five are one shingle; texts without words are copies
-of each other.
+of each other. Hashes of 64 bits stand for shingles, sets and texts.
+
+Defined cases: rows are told apart by id and text, null ids included; repeated rows and copies
+are one group; of equal similarity nothing depends; texts of any length are compared whole;
+an empty table gives an empty one; other columns are kept by ``keep_one`` and not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .simhash import links as fingerprint_links
 from .simhash import one_of_each, stars
 
 WORDS, SEED = 5, 42
 #: The least similarity, as a fraction.
 PART, WHOLE = 4, 5
-#: Heads from which a shingle counts as common, and how many of the commonest are kept; neither changes the result.
-HOT, HOTTEST = 4, 1 << 18
+#: One text of so many, by hash, tells which shingles are common, and how many of the commonest are kept; neither changes the result.
+SAMPLE, HOTTEST = 16, 1 << 18
+#: Sets that a task remembers while it compares pairs.
+REMEMBERED = 64
 #: Odd factors of the words of a shingle.
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 #: Hashes of words that a task remembers.
@@ -67,147 +77,208 @@ def _key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED)
 
 
-def _head(own: np.ndarray, hot: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, those that are ``hot`` (ordered) at the end by their places."""
-    n = len(own) - -(-PART * len(own) // WHOLE) + 1 if len(own) else 0
-    if len(hot):
+def _head(own: np.ndarray, hot: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, those that are ``hot`` (ordered) at the end by their places, and how many of the set are not hot."""
+    n, rare = len(own) - -(-PART * len(own) // WHOLE) + 1 if len(own) else 0, len(own)
+    if len(hot) and n:
         at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
-        own = own[np.argsort(np.where(hot[at] == own, places[at], 0), kind="stable")]
-    return own[:n]
+        place = np.where(hot[at] == own, places[at], 0)
+        rare = int((place == 0).sum())
+        if rare < n:
+            own = own[np.argsort(place, kind="stable")]
+        else:
+            own = own[place == 0]
+    return own[:n], rare
+
+
+def _fingerprint(own: np.ndarray) -> int:
+    """Of a set: a bit is 1 if set in over half of its shingles."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(own), 1 << 16):
+        ones += np.unpackbits(own[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0])
 
 
 def _longs(x: np.ndarray | list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
 
-def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash of the text, key of the set, head in the order of hashes) of each row."""
+def _hottest(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles in the order of their values, and their places from 1, the commonest last. At most ``HOTTEST``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, none = _Hashes(), np.zeros(0, np.uint64)
+        hashes = _Hashes()
         for batch in batches:
-            sets = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
-            heads = [_head(s, none, none) for s in sets]
-            ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
-            values = np.concatenate([none, *heads])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), _longs([_key(s) for s in sets]), pa.ListArray.from_arrays(pa.array(ends), _longs(values))], names=["doc_id", "h", "key", "head"])
+            found = [shingles(t, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([_longs(np.concatenate([np.zeros(0, np.uint64), *found]))], names=["shingle"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, key long, head array<long>")
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").distinct()
+    counted = some.mapInArrow(run, "shingle long").groupBy("shingle").count().filter("count > 1")
+    hot = counted.orderBy(F.desc("count"), "shingle").limit(HOTTEST).toArrow()
+    order = np.argsort(values := hot.column("shingle").to_numpy().view(np.uint64))
+    return values[order], len(order) - order
 
 
-def _heads(docs: DataFrame, hot: np.ndarray, places: np.ndarray) -> DataFrame:
-    """(shingle, key, n) of the heads, once a task for each set."""
+def _prints(docs: DataFrame, hot: np.ndarray, places: np.ndarray) -> DataFrame:
+    """(doc_id, h: hash of the text, key of the set, its fingerprint, n, rare, head) of each row; a head once a task for each set, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, none = _Hashes(), set(), np.zeros(0, np.uint64)
+        hashes, seen = _Hashes(), set()
         for batch in batches:
-            keys, sizes, heads = [], [], []
+            rows = []
             for own in (shingles(t, hashes) for t in batch.column("text").to_pylist()):
-                if len(own) and (key := _key(own)) not in seen:
+                key, head, rare = _key(own), None, 0
+                if len(own) and key not in seen:
                     seen.add(key)
-                    keys.append(key)
-                    sizes.append(len(own))
-                    heads.append(_head(own, hot, places))
-            many = np.array([*map(len, heads)], np.int64)
-            yield pa.RecordBatch.from_arrays([_longs(np.concatenate([none, *heads])), _longs(np.repeat(np.array(keys, np.uint64), many)), pa.array(np.repeat(np.array(sizes, np.int64), many))], names=["shingle", "key", "n"])
+                    head, rare = _head(own, hot, places)
+                rows.append((key, _fingerprint(own) if head is not None else 0, len(own), rare, head))
+            keys, fps, sizes, rares, heads = zip(*rows, strict=True) if rows else ((),) * 5
+            ends = pa.array([0, *np.cumsum([0 if h is None else len(h) for h in heads]).tolist()], pa.int32())
+            values = np.concatenate([np.zeros(0, np.uint64), *(h for h in heads if h is not None)])
+            lists = pa.ListArray.from_arrays(ends, _longs(values), mask=pa.array([h is None for h in heads], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), _longs(keys), _longs(fps), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), lists], names=["doc_id", "h", "key", "fp", "n", "rare", "head"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, key long, n long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return rows.mapInArrow(run, "doc_id long, h long, key long, fp long, n long, rare long, head array<long>")
 
 
-def _shared(heads: DataFrame) -> DataFrame:
-    """The distinct rows whose shingle is in the heads of two sets or more."""
+_ROW = ("shingle", "key", "n", "rare", "place")
 
-    def pick(rows: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(rows), bool)
-        new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-        rows = rows[new]
-        run = np.cumsum(np.concatenate([[0], rows[1:, 0] != rows[:-1, 0]]))
-        rows = rows[np.bincount(run)[run] > 1]
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(3)], names=["shingle", "key", "n"])
+
+def _shared(heads: DataFrame) -> DataFrame:
+    """The distinct rows of ``_ROW`` whose shingle is in the heads of two sets or more; holds one row at a time between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 3), np.int64)
+        held, before = np.zeros((0, len(_ROW)), np.int64), False  # the last row, and whether its shingle has an earlier one
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("shingle", "key", "n")], axis=1)])
-            last = int((held[:, 0] == held[-1, 0]).argmax()) if len(held) else 0
-            if last:
-                yield pick(held[:last])
-                held = held[last:]
-        if len(held):
-            yield pick(held)
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _ROW], axis=1)])
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+            rows = rows[new]
+            if not len(rows):
+                continue
+            same = rows[1:, 0] == rows[:-1, 0]
+            keep = np.zeros(len(rows), bool)
+            keep[1:] |= same
+            keep[:-1] |= same
+            keep[0] |= before
+            held, before = rows[-1:], bool(keep[-1])
+            out = rows[:-1][keep[:-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, i]) for i in range(len(_ROW))], names=list(_ROW))
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(held[:, i]) for i in range(len(_ROW))], names=list(_ROW))
 
     return heads.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(run, heads.schema)
 
 
-def _enough(joined: DataFrame) -> DataFrame:
-    """Pairs (u, v) of rows (u, v, n, m), one for each shingle their heads share, that share enough of them.
+def _possible(a: str, b: str) -> str:
+    """Whether what is left of both sets from a shingle on reaches the overlap that they need, if it is the first that they share."""
+    return f"{PART + WHOLE} * least({a}.n - {a}.place, {b}.n - {b}.place) >= {PART} * ({a}.n + {b}.n)"
+
+
+def _with_pivots(rows: DataFrame, choice: Column) -> DataFrame:
+    """Pairs (u, v) of the first set of each shingle, by ``choice``, and each other set of the shingle in another group."""
+    first = rows.groupBy("shingle").agg(F.min_by(F.struct("key", "n", "place", "root"), F.struct(choice, "key")).alias("p"))
+    first = common.written(first.select("shingle", "p.*"), "near-pivots")
+    joined = rows.alias("a").join(first.alias("b"), F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND {_possible('a', 'b')}"))
+    return joined.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+
+
+def _unconnected(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the groups ``known`` (key, root) as root, of shingles that more than one group shares."""
+    rows = rows.drop("root").join(known, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rows = common.written(rows, "near-rows")
+    several = rows.groupBy("shingle").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("shingle")
+    return rows.join(common.written(several, "near-several"), "shingle", "left_semi")
+
 
-    The rest of either set after its head is less than its PART / WHOLE; together with
-    what is shared it must reach the overlap of the least similarity.
+def _every(rows: DataFrame) -> DataFrame:
+    """All pairs (u, v) of sets that share a shingle, are possible and not in one group.
+
+    The largest group of a shingle is not compared with itself: the others are joined to all.
     """
-    rest = lambda c: F.floor((PART * F.col(c) + WHOLE - 1) / WHOLE) - 1
-    counted = joined.groupBy("u", "v", "n", "m").agg(F.count("*").alias("heads"))
-    return counted.filter((F.col("heads") + F.greatest(rest("n"), rest("m"))) * (PART + WHOLE) >= PART * (F.col("n") + F.col("m"))).select("u", "v")
+    groups = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
+    largest = common.written(groups.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("largest")), "near-largest")
+    marked = rows.join(largest, "shingle").withColumn("large", F.col("root") == F.col("largest")).drop("largest")
+    marked = common.written(marked, "near-marked")
+    a, b = marked.alias("a"), marked.filter("NOT large").alias("b")
+    joined = a.join(b, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (a.large OR a.key < b.key) AND {_possible('a', 'b')}"))
+    return joined.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
+
+
+def _by_fingerprints(prints: DataFrame) -> DataFrame:
+    """Pairs (u, v) of sets whose fingerprints are one or linked; of each fingerprint the least set stands for it in its links."""
+    sets = common.written(prints.filter("head is not null").select("fp", "key").distinct(), "near-fingerprints")
+    least = common.written(sets.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("c")), "near-least")
+    found = fingerprint_links(least.select("fp"))
+    linked = found.join(least.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
+    equal = sets.join(least.filter("c > 1"), "fp").filter("key <> least").select(F.col("least").alias("x"), F.col("key").alias("y"))
+    return linked.select("x", "y").unionByName(equal).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+
 
+def _texts(docs: DataFrame, prints: DataFrame, shared: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text) of the sets that may be compared; a task passes on one of its copies of a text."""
 
-def _pairs(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    a, b = left.alias("a"), right.alias("b")
-    sized = f"{WHOLE} * least(a.n, b.n) >= {PART} * greatest(a.n, b.n)"
-    joined = a.join(b, F.expr(f"a.shingle = b.shingle AND a.key < b.key AND {on} AND {sized}"))
-    return _enough(joined.selectExpr("a.key AS u", "b.key AS v", "a.n AS n", "b.n AS m"))
+    def once(column: str) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                keys = batch.column(column).to_pylist()
+                yield batch.filter(pa.array([not (k in seen or seen.add(k)) for k in keys], pa.bool_()))
 
+        return run
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    keys = shared.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
+    needed = prints.groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
+    needed = common.written(needed.select("h", "key"), "near-needed")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(once("h"), "h long, text string").join(needed, "h").select("key", "text")
+    return common.written(texts.repartition("key").mapInArrow(once("key"), "key long, text string"), "near-texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of keys whose whole sets are similar enough."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = _Hashes(), set()
-        for batch in batches:
-            found = {}
-            for own in (shingles(t, hashes) for t in batch.column("text").to_pylist()):
-                if (key := _key(own)) not in seen:
-                    found[key] = own.tobytes()
-            seen.update(found)
-            yield pa.RecordBatch.from_arrays([_longs(list(found)), pa.array(list(found.values()), pa.binary())], names=["key", "own"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, sets = _Hashes(), {}
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            new = [not (k in seen or seen.add(k)) for k in keys]
-            yield batch.filter(pa.array(new, pa.bool_()))
+        def own(key: int, text: str) -> np.ndarray:
+            if (found := sets.pop(key, None)) is None:
+                found = shingles(text, hashes)
+                if len(sets) >= REMEMBERED:
+                    sets.pop(next(iter(sets)))
+            sets[key] = found
+            return found
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for a, b in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                both = len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
-                ok.append((PART + WHOLE) * both >= PART * (len(a) + len(b)) // 8)
+            for u, v, a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "x", "y")), strict=True):
+                x, y = own(u, a), own(v, b)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append((PART + WHOLE) * both >= PART * (len(x) + len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
-    pairs = common.written(pairs, "near-pairs")
-    needed = common.written(pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct(), "near-needed")
-    found = docs.select("text").mapInArrow(sets, "key long, own binary").join(needed, "key", "left_semi")
-    found = common.written(found.repartition("key").mapInArrow(once, "key long, own binary"), "near-sets")
-    rows = pairs.join(found.select(F.col("key").alias("u"), F.col("own").alias("x")), "u").join(found.select(F.col("key").alias("v"), F.col("own").alias("y")), "v")
-    return common.written(rows.select("u", "v", "x", "y").mapInArrow(compare, "u long, v long"), "near-links")
+    rows = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("y")), "v")
+    return rows.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, h: hash of the text, key) of ``docs`` (doc_id, text), and (key, root) of the keys with near copies."""
     common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    prints = common.written(_prints(docs), "near-prints")
-    counted = prints.select("key", "head").dropDuplicates(["key"]).select(F.explode("head").alias("shingle")).groupBy("shingle").count()
-    hot = counted.filter(F.col("count") >= HOT).orderBy(F.desc("count"), "shingle").limit(HOTTEST).toArrow()
-    order = np.argsort(values := hot.column("shingle").to_numpy().view(np.uint64))
-    shared = common.written(_shared(_heads(docs, values[order], len(order) - order)), "near-shared")
-    least = shared.groupBy("shingle").agg(F.min_by(F.struct("key", "n"), "key").alias("l")).select("shingle", "l.key", "l.n")
-    links = verified(docs, _pairs(least, shared, "true"))
-    known = stars(links).withColumnRenamed("node", "key")
-    rows = shared.join(known, "key", "left").select("shingle", "key", "n", F.coalesce("root", "key").alias("root"))
-    links = links.unionByName(verified(docs, _pairs(rows, rows, "a.root <> b.root")))
+    prints = common.written(_prints(docs, *_hottest(docs)), "near-prints")
+    heads = prints.filter("head is not null").select("key", "n", "rare", F.posexplode("head").alias("place", "shingle"))
+    shared = common.written(_shared(heads.select("shingle", "key", "n", "rare", F.col("place").cast("long").alias("place"))), "near-shared")
+    rows = shared.withColumn("root", F.col("key"))
+    pairs = _by_fingerprints(prints).unionByName(_with_pivots(rows, F.col("rare") / F.col("n"))).distinct()
+    pairs = common.written(pairs, "near-pairs")
+    texts = _texts(docs, prints, shared, pairs)
+    links = common.written(verified(pairs, texts), "near-links")
+    for search in (lambda r: _with_pivots(r, F.xxhash64("key")), _every):
+        known = stars(links).withColumnRenamed("node", "key")
+        rows = common.written(_unconnected(rows, known), "near-rows")
+        if rows.isEmpty():
+            return prints.select("doc_id", "h", "key"), known
+        links = common.written(links.unionByName(verified(common.written(search(rows), "near-pairs"), texts)), "near-links")
     return prints.select("doc_id", "h", "key"), stars(links).withColumnRenamed("node", "key")
 
 

@@ -28,8 +28,8 @@ def test_all_documents_of_which_four_fifths_agree_are_found(spark, make, monkeyp
         for j in range(i):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
-    for hot in (4, 1000):
-        monkeypatch.setattr(near_copies, "HOT", hot)
+    for sample in (1, 2, 10**6):
+        monkeypatch.setattr(near_copies, "SAMPLE", sample)
         kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, make(rows), "").collect())
         assert kept == sorted(set(root)) and len(kept) < len(rows) - 60
 
