@@ -3,10 +3,11 @@
 Test items, cut into entries of at most ``ENTRY`` words, are indexed; every window of
 ``2 * ENTRY`` words of every training text, at steps of ``ENTRY``, is a query, so that each
 entry a text contains lies wholly in some window. Scores are divided by the entry's score
-for itself; all entries of at least ``RETRIEVE`` are retrieved and verified: half of the
-five-word shingles of the item's question and half of those of its answer, or 0.8 of all,
-must occur in the window. Items of fewer than ``LEAST`` words are looked up as they are: the
-whole item must occur as a sequence of words, and its score and overlaps are 1.
+for itself; all entries of at least ``RETRIEVE`` are retrieved. An item is verified in the
+union of the windows for which any of its entries was retrieved: half of the five-word
+shingles of its question and half of those of its answer must occur there. Items of fewer
+than ``LEAST`` words are looked up as they are: the whole item must occur as a sequence of
+words, and its score and overlaps are 1.
 
 The search is exact. In each entry the commonest terms that together stay below
 ``COMMON`` are set apart, as they cannot lift a score over the threshold alone. The other
@@ -14,31 +15,39 @@ postings, by blocks of entries with their greatest impact, give a window an uppe
 each block; blocks whose bound is below the threshold are skipped whole, the rest are scored
 in full. Postings are looked up for all windows of a batch at once.
 
-The items are read in shards of at most ``SHARD_CHARS`` characters, each an index of its
-own that is sent to the executors: its size is bounded, and more items mean more passes.
+Frequencies of terms and the mean length are counted over the entries of all items before
+anything is indexed. The items are then read in shards of at most ``SHARD_CHARS`` characters,
+each an index that is broadcast: the size of what the driver and a worker hold is bounded,
+more items mean more passes, and how they fall into shards changes no score.
 
 Words are lower-cased, with ASCII punctuation taken for space. The answer is what follows
 an item's last line feed, else its last sentence, else its last third. Defined cases: null
-items and items without words are not searched for; texts without words match nothing; repeated documents each get their rows; repeated items each match; an empty
+items and items without words are not searched for; texts without words match nothing, and
+null texts are such; repeated documents each get their rows; an item that is repeated with its
+id counts once, equal texts under two ids each match; of windows of equal score any gives the
+same row; texts of any length are searched whole; an empty
 table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 ENTRY, LEAST, SHINGLE, BLOCK = 128, 8, 5, 4
-RETRIEVE, COMMON, PART, WHOLE = 0.5, 0.35, 0.5, 0.8
+RETRIEVE, COMMON, PART = 0.5, 0.35, 0.5
 K1, B = 1.2, 0.75
 SHARD_CHARS = 8 << 20
 SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -58,40 +67,55 @@ def question_words(text: str) -> int:
     return n if 0 < n < total else total - max(1, total // 3)
 
 
-def shingles(own: list[bytes]) -> set[tuple[bytes, ...]]:
-    n = min(SHINGLE, len(own))
-    return {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+def shingles(own: list[bytes], n: int = SHINGLE) -> set[int]:
+    """Hashes of the sequences of n words."""
+    return set(map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(own[i:] for i in range(n)), strict=False))))
+
+
+def entries(own: list[bytes]) -> Iterator[list[bytes]]:
+    """An item's words, cut evenly; none of an item that is looked up as it is."""
+    n = -(-len(own) // ENTRY) if len(own) >= LEAST else 0
+    for k in range(n):
+        yield own[len(own) * k // n : len(own) * (k + 1) // n]
+
+
+class Statistics:
+    """Entries with a term, by term; the number of entries and their mean length."""
+
+    def __init__(self, df: dict[bytes, int], n: int, mean: float):
+        self.df, self.n, self.mean = df, n, mean
 
 
 class Index:
-    """Postings of a shard's entries, whole and by block."""
+    """Postings of a shard's entries, whole and by block. Every (item_id, text) stands for an item of its own."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.entries: list[tuple[int, list[bytes], list[bytes]]] = []  # item, question, answer
+    def __init__(self, items: list[tuple[int, str]], over: Statistics):
+        self.items: list[tuple[int, int, np.ndarray, int, np.ndarray]] = []  # id; words of a shingle, and shingles, of the question and the answer
         self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}  # by number of words: items of a sequence
+        self.terms: dict[bytes, int] = {}
+        owner: list[int] = []  # the item of each entry
+        found: list[tuple[int, int, int]] = []  # term, entry, occurrences
         for item, text in items:
             own, cut = words(text), question_words(text or "")
             if len(own) < LEAST:
                 if own:
                     self.short.setdefault(len(own), {}).setdefault(tuple(own), []).append(item)
                 continue
-            n = -(-len(own) // ENTRY)
-            for k in range(n):
-                a, z = len(own) * k // n, len(own) * (k + 1) // n
-                self.entries.append((item, own[a : max(a, min(z, cut))], own[min(z, max(a, cut)) : z]))
-        self.terms: dict[bytes, int] = {}
-        found: list[tuple[int, int, int]] = []  # term, entry, occurrences
-        for e, (_, question, answer) in enumerate(self.entries):
-            own: dict[int, int] = {}
-            for w in question + answer:
-                t = self.terms.setdefault(w, len(self.terms))
-                own[t] = own.get(t, 0) + 1
-            found += [(t, e, n) for t, n in own.items()]
+            for words_of_entry in entries(own):
+                counts: dict[int, int] = {}
+                for w in words_of_entry:
+                    t = self.terms.setdefault(w, len(self.terms))
+                    counts[t] = counts.get(t, 0) + 1
+                found += [(t, len(owner), n) for t, n in counts.items()]
+                owner.append(len(self.items))
+            sides = [(n := min(SHINGLE, len(part)), np.fromiter(shingles(part, n), np.uint64)) for part in (own[:cut], own[cut:])]
+            self.items.append((item, *sides[0], *sides[1]))
+        self.owner = np.array(owner, np.int64)
         term, entry, count = (np.array(x, np.int64) for x in zip(*sorted(found), strict=True)) if found else np.zeros((3, 0), np.int64)
-        n = len(self.entries)
-        df = np.bincount(term, minlength=len(self.terms))
+        n = len(owner)
+        df = np.array([over.df[t] for t in self.terms], np.int64)
         length = np.bincount(entry, count, n)
-        impact = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length[entry] / max(1, length.mean() if n else 1)))
+        impact = np.log(1 + (over.n - df[term] + 0.5) / (df[term] + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * length[entry] / max(1, over.mean)))
         impact = impact / np.bincount(entry, impact, n)[entry]  # an entry's score for itself is 1
         by = np.lexsort((term, -df[term], entry))  # commonest first
         sums = np.cumsum(impact[by])
@@ -149,27 +173,21 @@ class Index:
         scores = np.bincount(self.place[own][hit], self.impact[own][hit], BLOCK)
         return [(block * BLOCK + int(k), float(scores[k])) for k in np.flatnonzero(scores >= RETRIEVE)]
 
-    def verify(self, entry: int, found: set[tuple[bytes, ...]], text: list[bytes]) -> tuple[float, float] | None:
-        """Shares of the question's and the answer's shingles in a window, if they suffice."""
-        item, question, answer = self.entries[entry]
-
-        def share(own: list[bytes]) -> float | None:
-            if not own:
-                return None
-            n = min(SHINGLE, len(own))
-            there = found if n == SHINGLE else {tuple(text[i : i + n]) for i in range(len(text) - n + 1)}
-            return len((s := shingles(own)) & there) / len(s)
-
-        q, a, every = share(question), share(answer), share(question + answer)
-        if every >= WHOLE or (q is None or q >= PART) and (a is None or a >= PART):
-            return every if q is None else q, every if a is None else a
-        return None
+    def verify(self, item: int, windows: list[list[bytes]]) -> tuple[float, float] | None:
+        """Shares of the item's question and answer in the windows together, if they suffice."""
+        _, *sides = self.items[item]
+        shares = []
+        for n, own in (sides[:2], sides[2:]):
+            there = set().union(*(shingles(w, n) for w in windows))
+            shares.append(sum(x in there for x in own.tolist()) / len(own))
+        return tuple(shares) if min(shares) >= PART else None
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
-        """(text, item, score, question overlap, answer overlap): the best entry of each item in each text."""
+        """(text, item id, score, question overlap, answer overlap): by the best entry of each item in each text."""
         split = list(map(words, texts))
         best = {(i, item): (1.0, 1.0, 1.0) for i, own in enumerate(split) for item in self.quoted(own)}
-        best |= self.ranked(split)
+        for key, found in self.ranked(split).items():
+            best[key] = max(best.get(key, found), found)
         return [(*k, *v) for k, v in sorted(best.items())]
 
     def quoted(self, own: list[bytes]) -> Iterator[int]:
@@ -179,61 +197,89 @@ class Index:
                 yield from items[found]
 
     def ranked(self, split: list[list[bytes]]) -> dict[tuple[int, int], tuple[float, float, float]]:
-        """The best entry of each longer item in each text, as in ``search``."""
+        """The longer items in each text, as in ``search``."""
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         terms = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int64, int(sizes.sum()))
-        if not len(self.entries) or not len(terms):
+        if not len(self.owner) or not len(terms):
             return {}
         steps = -(-sizes // ENTRY)
         last = np.cumsum(steps)
         begin = np.cumsum(sizes) - sizes
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        seen: dict[int, tuple] = {}
+        hits: dict[tuple[int, int], list] = {}  # text, item: best score, then the begins of windows
+        seen, window = -1, np.zeros(0, np.int64)
         for step, block in zip(*(x.tolist() for x in self.windows(terms, sizes)), strict=True):
             i = int(np.searchsorted(last, step, side="right"))
             a = (step - int(last[i] - steps[i])) * ENTRY
-            if step not in seen:
+            if step != seen:
                 own = terms[begin[i] + a : begin[i] + min(a + 2 * ENTRY, int(sizes[i]))]
-                seen = {step: (np.unique(own[own >= 0]), split[i][a : a + 2 * ENTRY], None)}
-            window, text, grams = seen[step]
+                seen, window = step, np.unique(own[own >= 0])
             for entry, score in self.retrieve(window, block):
-                if grams is None:
-                    grams = shingles(text) if len(text) >= SHINGLE else set()
-                    seen[step] = (window, text, grams)
-                if shares := self.verify(entry, grams, text):
-                    key = (i, self.entries[entry][0])
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
+                hit = hits.setdefault((i, int(self.owner[entry])), [0.0])
+                hit[0] = max(hit[0], score)
+                hit.append(a)
+        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        for (i, item), (score, *begins) in hits.items():
+            if shares := self.verify(item, [split[i][a : a + 2 * ENTRY] for a in sorted(set(begins))]):
+                key = (i, self.items[item][0])
+                best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, *shares))
         return best
 
 
-def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items (item_id, text) in shards of bounded size, in the order of their ids; read one at a time."""
+def statistics(items: DataFrame) -> DataFrame:
+    """(term, n, length): entries with each term; under a null term the number of entries and their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            df: Counter[bytes] = Counter()
+            n = length = 0
+            for text in batch.column("text").to_pylist():
+                for own in entries(words(text)):
+                    df.update(set(own))
+                    n, length = n + 1, length + len(own)
+            rows = [*((t.decode(), c, 0) for t, c in df.items()), (None, n, length)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["term", "n", "length"])
+
+    return items.select("text").mapInArrow(run, "term string, n long, length long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+
+
+def indexes(items: DataFrame) -> Iterator[Broadcast]:
+    """An index for each shard of ``items`` (item_id, text), in the order of their ids; the driver holds one at a time."""
+    spark = items.sparkSession
+    common.small_batches(spark)
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    counted = common.written(statistics(own), "benchmark-terms")
+    total = counted.filter("term is null").first()
+    n, mean = (total["n"], total["length"] / max(1, total["n"])) if total else (0, 0.0)
+
+    def index(shard: list[tuple[int, str]]) -> Broadcast:
+        terms = spark.createDataFrame([(t.decode(),) for t in {w for _, text in shard for w in words(text)}], "term string")
+        df = {r["term"].encode(): r["n"] for r in counted.join(F.broadcast(terms), "term").select("term", "n").toLocalIterator()}  # at most the words of a shard
+        return spark.sparkContext.broadcast(Index(shard, Statistics(df, n, mean)))
+
     held: list[tuple[int, str]] = []
     size = 0
-    for r in items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").orderBy("item_id", "text").toLocalIterator():
+    for r in own.orderBy("item_id", "text").toLocalIterator():
         if held and size + len(r["text"]) > SHARD_CHARS:
-            yield held
+            yield index(held)
             held, size = [], 0
         held.append((r["item_id"], r["text"]))
         size += len(r["text"])
-    if held:
-        yield held
+    if held and any(words(text) for _, text in held):
+        yield index(held)
 
 
 def search(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row of ``SCHEMA`` for each contaminated document and item; map-only over ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [_pass(rows, Index(shard)) for shard in shards(items)]
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], SCHEMA)
+    found = [_pass(rows, index) for index in indexes(items)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], SCHEMA)
 
 
-def _pass(rows: DataFrame, index: Index) -> DataFrame:
+def _pass(rows: DataFrame, index: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            hits = [(ids[i], *rest) for i, *rest in index.search(batch.column("text").to_pylist())]
+            hits = [(ids[i], *rest) for i, *rest in index.value.search(batch.column("text").to_pylist())]
             columns = list(zip(*hits, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -242,19 +288,18 @@ def _pass(rows: DataFrame, index: Index) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that contain no test item."""
-    common.small_batches(docs.sparkSession)
+    """The rows of ``docs``, all columns, that contain no test item; null texts, empty ones and repeated rows stay."""
     at = docs.columns.index("text")
-    for shard in shards(items):
-        docs = _drop(docs, Index(shard), at)
+    for index in indexes(items):
+        docs = _drop(docs, index, at)
     return docs
 
 
-def _drop(docs: DataFrame, index: Index, at: int) -> DataFrame:
+def _drop(docs: DataFrame, index: Broadcast, at: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
-            keep[[hit[0] for hit in index.search(batch.column(at).to_pylist())]] = False
+            keep[[hit[0] for hit in index.value.search(batch.column(at).to_pylist())]] = False
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

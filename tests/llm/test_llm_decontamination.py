@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 
 from nichesearch.llm import decontamination
@@ -9,8 +14,6 @@ ITEMS = "item_id long, text string, score double"
 
 @pytest.fixture(scope="module")
 def items():
-    import random
-
     rng = random.Random(5)
     return [(i, text(rng, "en", rng.randint(20, 60)) + f" unique{i} mark{i}. The answer{i} is {i} of course{i} and so{i}.", 0.0) for i in range(40)] + [(50, text(rng, "fr", 400), 0.0), (51, None, 0.0), (52, "too short", 0.0), (None, "an item without id that is long enough to count", 0.0)]
 
@@ -26,25 +29,73 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark, make, corpus
     assert all(r.score >= 0.5 and r.question_overlap >= 0.5 for r in found)
 
 
-def test_search_equals_scoring_every_entry(corpus, items):
-    index = decontamination.Index([(i, t) for i, t, _ in items if i is not None and t])
-    texts = [r[1] for r in corpus] + [t for _, t, _ in items]
-    sizes = [len(decontamination.words(t)) for t in texts]
-    import numpy as np
-
-    split = [decontamination.words(t) for t in texts]
-    terms = np.array([index.terms.get(w, -1) for own in split for w in own])
-    steps, blocks = index.windows(terms, np.array(sizes))
-    kept = set(zip(steps.tolist(), blocks.tolist(), strict=True))
-    at, step = 0, 0
-    for n in sizes:
-        for begin in range(0, n, decontamination.ENTRY):
-            own = terms[at + begin : at + min(begin + 2 * decontamination.ENTRY, n)]
-            for b in range(index.blocks):
-                if index.retrieve(np.unique(own[own >= 0]), b):
-                    assert (step, b) in kept
-            step += 1
-        at += n
+def brute_force(texts, items):
+    """Every entry scored in every window with BM25 as it is defined, then the overlaps of the items retrieved."""
+    split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
+    items = sorted({(i, t) for i, t, _ in items if i is not None and t})
+    entries = []
+    for item, text in items:
+        own = split(text)
+        n = -(-len(own) // 128) if len(own) >= 8 else 0
+        entries += [(item, text, Counter(own[len(own) * k // n : len(own) * (k + 1) // n])) for k in range(n)]
+    df = Counter(t for *_, e in entries for t in e)
+    mean = sum(sum(e.values()) for *_, e in entries) / max(1, len(entries))
+
+    def part(e, t):
+        return math.log(1 + (len(entries) - df[t] + 0.5) / (df[t] + 0.5)) * e[t] * 2.2 / (e[t] + 1.2 * (0.25 + 0.75 * sum(e.values()) / mean))
+
+    grams = lambda own, n: {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+    out = {}
+    for i, text in enumerate(texts):
+        own = split(text)
+        windows = [own[a : a + 256] for a in range(0, len(own), 128)]
+        for item, stated in items:
+            short = split(stated)
+            if len(short) < 8:
+                if short and any(own[a : a + len(short)] == short for a in range(len(own))):
+                    out[i, item] = (1.0, 1.0, 1.0)
+                continue
+            scores = [(sum(part(e, t) for t in set(w) & set(e)) / sum(part(e, t) for t in e), k) for x, y, e in entries if (x, y) == (item, stated) for k, w in enumerate(windows)]
+            hit = [(x, k) for x, k in scores if x >= 0.5]
+            if not hit:
+                continue
+            cut = decontamination.question_words(stated)
+            shares = []
+            for side in (short[:cut], short[cut:]):
+                n = min(5, len(side))
+                there = set().union(*(grams(windows[k], n) for _, k in hit))
+                shares.append(len(grams(side, n) & there) / len(grams(side, n)))
+            if min(shares) >= 0.5:
+                out[i, item] = max(out.get((i, item), (0, 0, 0)), (max(hit)[0], *shares))
+    return out
+
+
+def test_search_equals_brute_force(spark, make, corpus, monkeypatch):
+    rng = random.Random(8)
+    items = [(n, text(rng, "fr", n), 0.0) for n in (1, 2, 3, 5, 7, 8, 9, 12, 20, 50, 100, 127, 128, 129, 200, 257, 300, 400) for _ in range(1)]
+    items += [(1000 + n, text(rng, "en", n) + "\n" + text(rng, "de", 9), 0.0) for n in (10, 60, 150, 200, 390)]
+    items += [(2000, items[9][1], 0.0), items[9], (2001, "the the the the the the the the the", 0.0), (None, items[3][1], 0.0), (2002, None, 0.0), (2003, "?!", 0.0)]
+    known = [t for _, t, _ in items if t]
+    texts = [f"{text(rng, 'de', rng.randint(0, 300))} {t} {text(rng, 'en', rng.randint(0, 200))}" for t in known]
+    texts += [" ".join(w if rng.random() > 0.12 else "zz" for w in t.split()) for t in known]
+    texts += [" ".join(t.split()[: len(t.split()) * 2 // 3]) for t in known] + [" ".join(t.split()[len(t.split()) // 3 :]) for t in known]
+    texts += [r[1] for r in corpus if len(r[1] or "") < 5000] + [f"{known[-8]} {' '.join(['the'] * 300)} {known[-9]}", None, ""]
+    want = brute_force(texts, items)
+    assert {(i, item) for i, (item, t, _) in enumerate(items) if item is not None and t and t != "?!"} <= {*want}  # recall of planted items is 1
+    for chars in (decontamination.SHARD_CHARS, 1500):
+        monkeypatch.setattr(decontamination, "SHARD_CHARS", chars)
+        found = decontamination.search(make([row(i, t) for i, t in enumerate(texts)]), spark.createDataFrame(items, ITEMS)).collect()
+        got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap) for r in found}
+        assert len(got) == len(found) and set(got) == set(want)
+        assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_a_question_without_its_answer_is_clean(spark, make):
+    rng = random.Random(9)
+    question, answer = text(rng, "en", 200), text(rng, "en", 6)
+    bench = spark.createDataFrame([(1, f"{question}\n{answer}", 0.0)], ITEMS)
+    docs = make([row(1, question), row(2, answer), row(3, f"{question} {answer}"), row(4, f"{answer} and much later {text(rng, 'en', 400)}")])
+    assert [(r.doc_id, r.answer_overlap) for r in decontamination.search(docs, bench).collect()] == [(3, 1.0)]
 
 
 def test_several_shards_give_the_same(spark, make, items, monkeypatch):
