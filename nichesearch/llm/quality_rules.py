@@ -1,21 +1,27 @@
 """Quality rules whose cutoffs are chosen by risk control, in DataFrame functions only.
 
-Every rule flags a document whose measure exceeds a cutoff of a fixed grid. For each
-stratum (a band of lengths), rule and cutoff, the labelled good documents say how many good
-ones the cutoff would reject: k of n. A cutoff is admitted only if the exact binomial
-(Clopper-Pearson) upper bound of its false-rejection rate is at most ``ALPHA / rules`` at
-level ``DELTA / tests`` (Bonferroni over all strata, rules and cutoffs); the bound is at
-most alpha exactly where P(Binomial(n, alpha) <= k) <= delta, which is what is computed.
-The lowest admitted cutoff of a rule and stratum is used; with too few labels none is, and
-the rule stays off there.
+Every rule flags a document whose measure exceeds a cutoff. Cutoffs stand in levels from the
+strictest to the laxest, one of each rule a level; at a level a document is rejected if any
+rule flags it. For each stratum (a band of lengths) the labelled good documents say how many
+good ones a level would reject: k of n. Levels are tested in a fixed sequence from the laxest
+on: a level is admitted if it and all laxer ones have an exact binomial (Clopper-Pearson)
+upper bound of the rate of good documents rejected, by all rules together, of at most
+``ALPHA`` at confidence 1 - ``DELTA`` / strata. The bound is at most alpha exactly where
+P(Binomial(n, alpha) <= k) <= delta, which is what is computed. The sequence needs no
+correction for the number of levels or rules, and Bonferroni's covers the strata. The
+strictest admitted level of a stratum is used; strata with fewer good labels than any test
+needs are pooled; where no level is admitted the rules stay off.
 
 Defined cases: a null text has no word, so it fails the base rules; repeated rows are each
-judged; other columns are ignored; repeated labels of a document count once, by the lowest
-quality; with no labels only the base rules decide.
+judged; a measure equal to its cutoff passes; texts of any length are measured whole, in
+arrays of their words; other columns are ignored; repeated labels of a document count once, by the lowest
+quality; with no labels only the base rules decide; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +30,8 @@ from . import common
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
 #: Words below which a document belongs to a stratum; the last stratum has no bound.
 STRATA = (64, 256, 1024)
-ALPHA, DELTA = 0.05, 0.05
-#: Cutoffs by rule, as shares (characters in a word for long_words).
+ALPHA, DELTA = 0.02, 0.05
+#: Cutoffs by rule and level, as shares (characters in a word for long_words).
 GRID = {
     "symbols": (0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3),
     "dup_lines": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5),
@@ -40,7 +46,10 @@ MEASURES = {
     "capitals": ("n_capitals", "word_chars"),
     "long_words": ("word_chars", "n_words"),
 }
-TESTS = (len(STRATA) + 1) * sum(map(len, GRID.values()))
+LEVELS = len(GRID["symbols"])
+#: Chance of a mistake in one stratum; good labels below which no test can succeed.
+EACH = DELTA / (len(STRATA) + 1)
+LEAST = math.ceil(math.log(EACH) / math.log(1 - ALPHA))
 
 
 def _repeat_words(df: DataFrame) -> DataFrame:
@@ -108,11 +117,10 @@ def exceeds(rule: str, cutoff: float | Column) -> Column:
 
 
 def admitted(k: Column, n: Column) -> Column:
-    """P(Binomial(n, alpha) <= k) <= delta: summed down from k until terms vanish."""
-    alpha, delta = ALPHA / len(GRID), DELTA / TESTS
-    odds, n, k = (1 - alpha) / alpha, n.cast("double"), k.cast("double")
-    top = common.ln_choose(n, k) + k * F.log(F.lit(alpha)) + (n - k) * F.log(F.lit(1 - alpha))
-    terms = F.least(k, F.ceil(12 * F.sqrt(n * alpha)) + 64).cast("int")
+    """P(Binomial(n, ALPHA) <= k) <= EACH: summed down from k until terms vanish."""
+    odds, n, k = (1 - ALPHA) / ALPHA, n.cast("double"), k.cast("double")
+    top = common.ln_choose(n, k) + k * F.log(F.lit(ALPHA)) + (n - k) * F.log(F.lit(1 - ALPHA))
+    terms = F.least(k, F.ceil(12 * F.sqrt(n * ALPHA)) + 64).cast("int")
     total = F.aggregate(
         F.when(terms > 0, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")),
         F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term")),
@@ -122,25 +130,36 @@ def admitted(k: Column, n: Column) -> Column:
         ),
         lambda a: a["sum"],
     )
-    return (k < n * alpha) & (F.exp(top) * total <= delta)
+    return (k < n * ALPHA) & (F.exp(top) * total <= EACH)
+
+
+def rejected_at(level: int) -> Column:
+    out = F.lit(False)
+    for rule, cutoffs in GRID.items():
+        out = out | exceeds(rule, cutoffs[level])
+    return out
 
 
 def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row a stratum: stratum and, by rule, the lowest admitted cutoff or null."""
+    """(stratum, level): the strictest admitted level of each stratum that has any."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
     known = measured.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
-    tests = [(rule, i, c) for rule, cutoffs in GRID.items() for i, c in enumerate(cutoffs)]
-    counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(exceeds(r, c)).alias(f"{r}_{i}") for r, i, c in tests])
-    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, i, c in tests]))
-    rows = counts.select("stratum", F.col("n").cast("double").alias("n"), each.alias("t")).select("stratum", "n", "t.rule", "t.cutoff", F.col("t.k").cast("double").alias("k"))
-    right = rows.filter(admitted(F.col("k"), F.col("n")))
-    return right.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in GRID])
-
-
-def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds rejected_by (names of the rules, comma-joined) and kept. cutoffs has at most one row a stratum."""
-    df = measured.join(F.broadcast(cutoffs), "stratum", "left")
-    by = F.concat_ws(",", *[F.when(exceeds(r, F.col(f"cut_{r}")), F.lit(r)) for r in GRID])
+    counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected_at(i)).alias(f"k{i}") for i in range(LEVELS)])
+    counts = counts.withColumn("pool", F.when(F.col("n") < LEAST, -1).otherwise(F.col("stratum")))  # a row a stratum from here on
+    pools = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in ("n", *[f"k{i}" for i in range(LEVELS)])])
+    level, open_ = F.lit(None).cast("int"), F.lit(True)
+    for i in reversed(range(LEVELS)):
+        open_ = open_ & admitted(F.col(f"k{i}"), F.col("n"))
+        level = F.when(open_, F.lit(i)).otherwise(level)
+    pools = pools.select("pool", level.alias("level")).filter("level is not null")
+    return counts.select("stratum", "pool").join(pools, "pool").select("stratum", "level")
+
+
+def judge(measured: DataFrame, levels: DataFrame) -> DataFrame:
+    """Adds rejected_by (names of the rules, comma-joined) and kept. levels has at most one row a stratum."""
+    df = measured.join(F.broadcast(levels), "stratum", "left")
+    cut = lambda r: F.get(F.array(*map(F.lit, GRID[r])), F.col("level"))
+    by = F.concat_ws(",", *[F.when(exceeds(r, cut(r)), F.lit(r)) for r in GRID])
     return df.withColumn("rejected_by", by).withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
@@ -155,16 +174,13 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 #: DuckDB: the same rows; windows are compared as strings, bounds by DuckDB's own lgamma.
 def oracle() -> str:
-    tests = [(r, i, c) for r, cs in GRID.items() for i, c in enumerate(cs)]
     over = {r: f"{a} > {b} * CAST({{}} AS DOUBLE)" for r, (a, b) in MEASURES.items()}
-    counts = ", ".join(f"count(*) FILTER (WHERE {over[r].format(c)}) AS {r}_{i}" for r, i, c in tests)
-    alpha, delta = ALPHA / len(GRID), DELTA / TESTS
-    cdf = "list_sum(list_transform(range(0, CAST({k} AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a}) + (n - j) * ln(1 - {a}))))"
-    cuts = ", ".join(
-        f"least({', '.join(f'CASE WHEN {r}_{i} < n * {alpha!r} AND ' + cdf.format(k=f'{r}_{i}', a=repr(alpha)) + f' <= {delta!r} THEN CAST({c} AS DOUBLE) END' for i, c in enumerate(cs))}) AS cut_{r}" for r, cs in GRID.items()
-    )
+    flagged = [" OR ".join(over[r].format(cutoffs[i]) for r, cutoffs in GRID.items()) for i in range(LEVELS)]
+    counts = ", ".join(f"count(*) FILTER (WHERE {x}) AS k{i}" for i, x in enumerate(flagged))
+    cdf = f"list_sum(list_transform(range(0, CAST(k AS BIGINT) + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({ALPHA!r}) + (n - j) * ln(1 - {ALPHA!r}))))"
     bands = " + ".join(f"CAST(n_words >= {b} AS INT)" for b in STRATA)
-    rejected = ", ".join(f"CASE WHEN {over[r].format(f'cut_{r}')} THEN '{r}' END" for r in GRID)
+    cut = lambda r: f"list_extract([{', '.join(map(repr, GRID[r]))}], level + 1)"
+    rejected = ", ".join(f"CASE WHEN {over[r].format(cut(r))} THEN '{r}' END" for r in GRID)
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS MATERIALIZED (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -182,6 +198,10 @@ m0 AS (SELECT d.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {bands} AS stratum FROM m0),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 counts AS (SELECT stratum, count(*) AS n, {counts} FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum),
-cuts AS (SELECT stratum, {cuts} FROM counts),
+pools AS (SELECT CASE WHEN n < {LEAST} THEN -1 ELSE stratum END AS pool, CAST(sum(n) AS BIGINT) AS n, {", ".join(f"CAST(sum(k{i}) AS BIGINT) AS k{i}" for i in range(LEVELS))} FROM counts GROUP BY 1),
+tests AS (SELECT pool, n, unnest(range({LEVELS})) AS level, unnest([{", ".join(f"k{i}" for i in range(LEVELS))}]) AS k FROM pools),
+passed AS (SELECT pool, level, CASE WHEN k < n * {ALPHA!r} THEN {cdf} <= {EACH!r} ELSE false END AS ok FROM tests),
+chain AS (SELECT pool, level, min(CAST(ok AS INT)) OVER (PARTITION BY pool ORDER BY level DESC) AS ok FROM passed),
+cuts AS (SELECT stratum, min(level) AS level FROM counts JOIN chain ON pool = CASE WHEN n < {LEAST} THEN -1 ELSE stratum END WHERE ok = 1 GROUP BY stratum),
 j AS (SELECT m.*, concat_ws(',', {rejected}) AS rejected_by FROM m LEFT JOIN cuts USING (stratum))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM j"""

@@ -1,11 +1,12 @@
 import math
+import random
 import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from nichesearch.llm import quality_rules
+from nichesearch.llm import common, quality_rules
 
 from .conftest import row
 
@@ -32,12 +33,17 @@ def test_counts_equal_brute_force(make, corpus, labels):
     assert all(r.kept for r in got if r.doc_id is not None and r.doc_id < 150 and not r.base_failed)
 
 
-@pytest.mark.parametrize(("k", "n"), [(0, 400), (0, 3000), (1, 3000), (7, 3000), (20, 3000), (150, 20_000), (190, 20_000), (300, 20_000)])
+def below(k, n):
+    """P(Binomial(n, ALPHA) <= k)."""
+    alpha = quality_rules.ALPHA
+    return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha)) for i in range(k + 1))
+
+
+@pytest.mark.parametrize(("k", "n"), [(0, 200), (0, 216), (0, 217), (1, 300), (1, 340), (7, 900), (40, 3000), (41, 3000), (42, 3000), (43, 3000), (300, 20_000), (355, 20_000), (356, 20_000), (357, 20_000), (400, 20_000)])
 def test_the_binomial_bound_is_exact(spark, k, n):
-    alpha, delta = quality_rules.ALPHA / len(quality_rules.GRID), quality_rules.DELTA / quality_rules.TESTS
-    cdf = math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(alpha) + (n - i) * math.log1p(-alpha)) for i in range(k + 1))
     got = spark.range(1).select(quality_rules.admitted(F.lit(k), F.lit(n))).first()[0]
-    assert got == (cdf <= delta)
+    assert got == (below(k, n) <= quality_rules.EACH and k < n * quality_rules.ALPHA)
+    assert below(0, quality_rules.LEAST) <= quality_rules.EACH < below(0, quality_rules.LEAST - 1)
 
 
 def test_cutoffs_reject_junk_and_bound_good_rejections(spark, make):
@@ -50,6 +56,37 @@ def test_cutoffs_reject_junk_and_bound_good_rejections(spark, make):
     assert not any(got[2000 + i].kept for i in range(50))
 
 
+def test_levels_equal_brute_force(spark, make):
+    """Joint rejections, fixed sequences and pooled strata, in plain Python."""
+    rng = random.Random(3)
+
+    def body(n, bad):
+        lines = [" ".join(("Aa" if rng.random() < 0.3 * bad else "w") + f"{rng.randrange(10**6)}" + "#" * (rng.random() < 0.3 * bad) for _ in range(5)) for _ in range(n // 5)]
+        return "\n".join(lines + lines[:1] * (rng.random() < 0.1) * 3)
+
+    rows = [row(i, body(n, rng.random() ** 6)) for i, n in enumerate([40] * 300 + [100] * 700 + [400] * 60 + [1500] * 20)]
+    labels = spark.createDataFrame([(r[0], int(r[0] % 20 != 0)) for r in rows if r[0] % 7], "doc_id long, quality int")
+    measured = common.written(quality_rules.measure(make(rows)), "test-measures")
+    got = {r.stratum: r.level for r in quality_rules.thresholds(measured, labels).collect()}
+    good = [r for r in measured.collect() if r.doc_id % 7 and r.doc_id % 20 and not r.base_failed]
+    sizes = Counter(r.stratum for r in good)
+    pool = {s: s if n >= quality_rules.LEAST else -1 for s, n in sizes.items()}
+    assert -1 in pool.values() and len(set(pool.values())) > 1
+    want = {}
+    for s in sizes:
+        own = [r for r in good if pool[r.stratum] == pool[s]]
+        for level in reversed(range(quality_rules.LEVELS)):
+            k = sum(any(r[a] > r[b] * quality_rules.GRID[rule][level] for rule, (a, b) in quality_rules.MEASURES.items()) for r in own)
+            if k >= len(own) * quality_rules.ALPHA or below(k, len(own)) > quality_rules.EACH:
+                break
+            want[s] = level
+    assert got == want and want
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(measured, quality_rules.thresholds(measured, labels)).collect()}
+    for r in measured.collect():
+        cuts = {rule: c[got[r.stratum]] for rule, c in quality_rules.GRID.items()} if r.stratum in got else {}
+        assert kept[r.doc_id] == (not r.base_failed and not any(r[quality_rules.MEASURES[x][0]] > r[quality_rules.MEASURES[x][1]] * c for x, c in cuts.items()))
+
+
 def test_without_labels_or_rows_only_base_rules_decide(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.assess(nothing, none).collect() == []
