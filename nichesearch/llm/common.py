@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import shutil
 import tempfile
 import uuid
 
@@ -33,22 +36,64 @@ def small_batches(spark: SparkSession) -> None:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset on one machine
+    (tests, a notebook) a temporary folder is made and set. On a cluster there must be one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="nichesearch-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables that were written and not yet discarded, by path.
+_kept: list[str] = []
+
+
 def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _kept.append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete tables that ``written`` made, by the frame it returned or by path; nothing may read them any more.
+
+    What a lazy result still reads can't be deleted here: the pipeline deletes it when the result is written.
+    """
+    for table in tables:
+        path = table if isinstance(table, str) else table._written_to
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        if path in _kept:
+            _kept.remove(path)
+
+
+def kept() -> list[str]:
+    return list(_kept)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now instead of at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of a few numbers that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def few(table: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row as the side of a join: broadcast if it is small, else the built side of a shuffled join."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("shuffle_hash")
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:

@@ -11,8 +11,8 @@ must reach the overlap that sizes of n and m need. Pairs that pass are compared
 Any order gives the same result. That of hashes is taken, but with shingles that a sample of
 the texts holds more than once at the end, the commonest last: common lines and passages put
 few documents together. Copies of a set are searched once. Large groups are not compared pair
-by pair: first one set of each shingle, that with the least share of rare shingles and then one
-by hash, is compared with the others, and only then the pairs that are not yet connected.
+by pair: first two sets of each shingle, that with the least share of rare shingles and one
+by hash, are compared with the others, and only then the pairs that are not yet connected.
 No step gathers the sets of a shingle.
 
 Words are as in ``simhash``; fewer than five are one shingle; texts without words are copies
@@ -208,7 +208,7 @@ def _every(rows: DataFrame) -> DataFrame:
 
 def _by_fingerprints(prints: DataFrame) -> DataFrame:
     """Pairs (u, v) of sets whose fingerprints are one or linked; of each fingerprint the least set stands for it in its links."""
-    sets = common.written(prints.filter("head is not null").select("fp", "key").distinct(), "near-fingerprints")
+    sets = common.written(prints.filter("fp is not null").select("fp", "key").distinct(), "near-fingerprints")
     least = common.written(sets.groupBy("fp").agg(F.min("key").alias("least"), F.count("*").alias("c")), "near-least")
     found = fingerprint_links(least.select("fp"))
     linked = found.join(least.select(F.col("fp").alias("u"), F.col("least").alias("x")), "u").join(least.select(F.col("fp").alias("v"), F.col("least").alias("y")), "v")
@@ -216,8 +216,8 @@ def _by_fingerprints(prints: DataFrame) -> DataFrame:
     return linked.select("x", "y").unionByName(equal).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
 
 
-def _texts(docs: DataFrame, prints: DataFrame, shared: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of the sets that may be compared; a task passes on one of its copies of a text."""
+def _texts(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text) of the sets of ``pairs``. A task passes on one of its copies of a text; no text moves that is not compared while the keys are few."""
 
     def once(column: str) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +228,17 @@ def _texts(docs: DataFrame, prints: DataFrame, shared: DataFrame, pairs: DataFra
 
         return run
 
-    keys = shared.select("key").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("key"))).distinct()
-    needed = prints.groupBy("key").agg(F.min("h").alias("h")).join(keys, "key")
-    needed = common.written(needed.select("h", "key"), "near-needed")
-    texts = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(once("h"), "h long, text string").join(needed, "h").select("key", "text")
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    needed = common.written(prints.groupBy("key").agg(F.min("h").alias("h")).join(keys, "key").select("h", "key"), "near-needed")
+    texts = docs.select(F.xxhash64("text").alias("h"), "text")
+    if needed.count() > common.BROADCAST_ROWS:
+        texts = texts.mapInArrow(once("h"), texts.schema)
+    texts = texts.join(common.few(needed), "h").select("key", "text").mapInArrow(once("key"), "key long, text string")
     return common.written(texts.repartition("key").mapInArrow(once("key"), "key long, text string"), "near-texts")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) of keys whose whole sets are similar enough."""
+def verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The written ``pairs`` (u, v) of keys whose whole sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, sets = _Hashes(), {}
@@ -257,29 +259,36 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok.append((PART + WHOLE) * both >= PART * (len(x) + len(y)))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["u", "v"])
 
+    texts = _texts(docs, prints, pairs)
     rows = pairs.join(texts.select(F.col("key").alias("u"), F.col("text").alias("x")), "u").join(texts.select(F.col("key").alias("v"), F.col("text").alias("y")), "v")
-    return rows.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    links = common.written(rows.select("u", "v", "x", "y").mapInArrow(run, "u long, v long"), "near-links")
+    common.discard(docs.sparkSession, texts, pairs)
+    common.release(docs.sparkSession)
+    return links
 
 
 def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, h: hash of the text, key) of ``docs`` (doc_id, text), and (key, root) of the keys with near copies."""
-    common.small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select("doc_id", "text")
-    prints = common.written(_prints(docs, *_hottest(docs)), "near-prints")
-    heads = prints.filter("head is not null").select("key", "n", "rare", F.posexplode("head").alias("place", "shingle"))
+    whole = common.written(_prints(docs, *_hottest(docs)), "near-heads")
+    heads = whole.filter("head is not null").select("key", "n", "rare", F.posexplode("head").alias("place", "shingle"))
     shared = common.written(_shared(heads.select("shingle", "key", "n", "rare", F.col("place").cast("long").alias("place"))), "near-shared")
+    prints = common.written(whole.select("doc_id", "h", "key", F.when(F.col("head").isNotNull(), F.col("fp")).alias("fp")), "near-prints")
+    common.discard(spark, whole)
+    common.release(spark)
     rows = shared.withColumn("root", F.col("key"))
-    pairs = _by_fingerprints(prints).unionByName(_with_pivots(rows, F.col("rare") / F.col("n"))).distinct()
-    pairs = common.written(pairs, "near-pairs")
-    texts = _texts(docs, prints, shared, pairs)
-    links = common.written(verified(pairs, texts), "near-links")
-    for search in (lambda r: _with_pivots(r, F.xxhash64("key")), _every):
-        known = stars(links).withColumnRenamed("node", "key")
-        rows = common.written(_unconnected(rows, known), "near-rows")
-        if rows.isEmpty():
-            return prints.select("doc_id", "h", "key"), known
-        links = common.written(links.unionByName(verified(common.written(search(rows), "near-pairs"), texts)), "near-links")
-    return prints.select("doc_id", "h", "key"), stars(links).withColumnRenamed("node", "key")
+    pairs = _by_fingerprints(prints)
+    for choice in (F.col("rare") / F.col("n"), F.xxhash64("key")):
+        pairs = pairs.unionByName(_with_pivots(rows, choice))
+    links = verified(docs, prints, common.written(pairs.distinct(), "near-pairs"))
+    found = stars(links).withColumnRenamed("node", "key")
+    rows = common.written(_unconnected(rows, found), "near-rows")
+    if not rows.isEmpty():
+        links = links.unionByName(verified(docs, prints, common.written(_every(rows), "near-pairs")))
+        found = stars(links).withColumnRenamed("node", "key")
+    return prints.select("doc_id", "h", "key"), found
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

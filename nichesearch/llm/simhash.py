@@ -165,17 +165,21 @@ def stars(edges: DataFrame) -> DataFrame:
 
     A large star hangs a node's larger neighbours on its least neighbour, a small star its
     smaller ones; alternating until nothing changes leaves one star a component. Hubs are
-    joined to their least neighbour, not gathered, so that a join's split of skewed keys
-    takes care of them.
+    joined to their least neighbour, not gathered; both sides of a join are written first,
+    so that Spark splits a hub's rows.
     """
+    spark = edges.sparkSession
     edges, mark = common.written(edges, "stars"), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars-least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = common.written(large, "stars-large")
+        low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "stars-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = common.written(small.filter("u <> v").distinct().select(F.col("v").alias("u"), F.col("u").alias("v")), "stars")
+        after = common.written(small.filter("u <> v").distinct().select(F.col("v").alias("u"), F.col("u").alias("v")), "stars")
+        common.discard(spark, edges, least, large, low)
+        edges = after
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("root"))
@@ -189,8 +193,9 @@ def components(docs: DataFrame) -> DataFrame:
     roots = stars(links(distinct.select("fp")))
     linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     linked = common.written(linked, "simhash-linked")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(linked.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    least = common.written(linked.groupBy("root").agg(F.min("first").alias("component_id")), "simhash-least")
+    found = common.written(linked.join(least, "root").select("fp", "component_id"), "simhash-components")
+    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """One row of ``docs`` for each root of ``found`` (doc_id, h: hash of the text, root): by the smallest id, nulls last, then the smallest hash; once if it is repeated."""
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "h")).alias("l")).select("root", "l.id", F.col("l.h").alias("least"))
-    others = found.join(least, "root").filter("NOT (doc_id <=> id AND h = least)")
+    others = found.join(common.written(least, "near-least"), "root").filter("NOT (doc_id <=> id AND h = least)")
     dropped = common.written(others.select("doc_id", "h").distinct(), "near-dropped")
     repeated = common.written(found.groupBy("doc_id", "h").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "h"), "near-repeated")
     kept = _among(docs, dropped, "left_anti")
@@ -218,4 +223,4 @@ def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _among(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    return docs.alias("d").join(rows.alias("i"), F.expr("d.doc_id <=> i.doc_id AND xxhash64(d.text) = i.h"), how)
+    return docs.alias("d").join(common.few(rows).alias("i"), F.expr("d.doc_id <=> i.doc_id AND xxhash64(d.text) = i.h"), how)
