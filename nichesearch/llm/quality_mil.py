@@ -4,12 +4,14 @@ A document is a bag of passages of ``PASSAGE`` bytes. Every passage is encoded b
 measures (a hashed byte-trigram profile, shares of character classes, diversity) and a
 learned layer; gated attention, tanh(hV) * sigmoid(hU) against a vector w, weighs the
 passages of a bag by softmax, and a logistic unit scores the weighted sum. All learned
-parts are fitted to document labels only, by Adam on a bounded sample.
+parts are fitted to document labels only, by Adam on a bounded sample: about ``SAMPLE_DOCS``
+documents of a class, chosen by hashed ids, as many of them in that order as have
+``SAMPLE_PASSAGES`` passages together. Documents that are taken are taken whole.
 
 Defined cases: null and empty texts are one empty passage; repeated rows are each scored;
-with labels of one class only every score is that class, with none 0; other columns are
-ignored. Scoring reads every passage of a text of any length; fitting takes at most
-``BAG`` passages of one, evenly spaced.
+with labels of one class only every score is that class, with none 0; an empty table gives
+none; passages of equal weight share the attention; other columns are
+ignored. Scoring and fitting read every passage of a text of any length.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from . import common, labelled
 
 PASSAGE, BUCKETS = 512, 256
-#: Bounds of the training sample: documents of a class, passages of one.
-SAMPLE_DOCS, BAG = 3000, 48
+#: Bounds of the training sample: documents of a class, passages of a class.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 30_000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, L2 = 32, 16, 16, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 WIDTH = BUCKETS + 8
@@ -94,8 +96,10 @@ def backward(p: dict, x: np.ndarray, counts: np.ndarray, f: dict, y: np.ndarray,
 
 def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 42) -> dict:
     rng = np.random.default_rng(seed)
-    stacked = np.concatenate(bags)
-    p = {"mean": stacked.mean(axis=0), "sd": stacked.std(axis=0) + 1e-3}
+    n = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    sd = np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n)
+    p = {"mean": mean.astype(np.float32), "sd": (sd + 1e-3).astype(np.float32)}
     for name, shape in (("w1", (WIDTH, HIDDEN)), ("b1", HIDDEN), ("v", (HIDDEN, GATE)), ("u", (HIDDEN, GATE)), ("w", GATE), ("c", HIDDEN), ("b", 1)):
         p[name] = (rng.normal(size=shape) / np.sqrt(shape[0] if isinstance(shape, tuple) else HIDDEN)).astype(np.float32)
     learned = [k for k in p if k not in ("mean", "sd")]
@@ -104,7 +108,7 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 42) -> dict:
         order = rng.permutation(len(bags))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            x, counts = np.concatenate([bags[k] for k in own]), np.array([len(bags[k]) for k in own])
+            x, counts = np.concatenate([bags[k] for k in own]).astype(np.float32), np.array([len(bags[k]) for k in own])
             g = backward(p, x, counts, forward(p, x, counts), y[own], np.ones(len(own)))
             t += 1
             for k in learned:
@@ -117,19 +121,25 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 42) -> dict:
 def fit(docs: DataFrame, labels: DataFrame) -> dict | float:
     """The model, or the one score there is to give."""
     common.small_batches(docs.sparkSession)
-    sample = labelled.sample(docs, labels, "quality", SAMPLE_DOCS)
+    sample = common.written(labelled.sample(docs, labels, "quality", SAMPLE_DOCS), "quality-sample")  # bounded; read twice
+    passages = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE))
+    left, taken = {0: SAMPLE_PASSAGES, 1: SAMPLE_PASSAGES}, []
+    for r in sample.select("label", "doc_id", passages.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= left[r["label"]]:
+            left[r["label"]] -= r["n"]
+            taken.append((r["doc_id"],))
+    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, counts = encode(batch.column("text").to_pylist())
-            ends = np.cumsum(counts)
-            bags = [x[np.unique(np.linspace(b - n, b - 1, min(n, BAG)).astype(int))].astype(np.float16).tobytes() for n, b in zip(counts, ends, strict=True)]
+            bags = [b.astype(np.float16).tobytes() for b in np.split(x, np.cumsum(counts)[:-1])] if len(counts) else []
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(bags, pa.binary())], names=["label", "doc_id", "x"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(run, "label int, doc_id long, x binary").collect()), key=lambda r: (r[1], r[2]))
+    rows = sorted(map(tuple, sample.select("label", "doc_id", "text").mapInArrow(run, "label int, doc_id long, x binary").toLocalIterator()), key=lambda r: r[1])
     if len({r[0] for r in rows}) < 2:
         return float(rows[0][0]) if rows else 0.0
-    return train([np.frombuffer(r[2], np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows], np.array([r[0] for r in rows], np.float32))
+    return train([np.frombuffer(r[2], np.float16).reshape(-1, WIDTH) for r in rows], np.array([r[0] for r in rows], np.float32))
 
 
 def score(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,14 +1,15 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Texts are lower-cased and spaced at both ends; every run of 4 and of 6 bytes of their UTF-8
+Texts are lower-cased and spaced at both ends; every run of 4 and of 6 characters (code points)
 is a feature, hashed to 2^20 buckets and counted once a document. In a bounded sample of
-labelled documents, each bucket's smoothed log ratio of toxic to other documents is taken;
-the buckets that tell most (chi-squared) stay. A regularised logistic regression over their
+about ``SAMPLE_DOCS`` labelled documents a class, chosen by hashed ids and read whole, each bucket's smoothed log ratio of toxic to other documents is taken;
+the ``FEATURES`` buckets that tell most (chi-squared) are the model. A regularised logistic regression over their
 ratios is fitted, and scores whole texts.
 
 Defined cases: null and empty texts are scored by the intercept alone; repeated rows are
-each scored; with labels of one class only, every score is that class; with none, 0; other
-columns are ignored.
+each scored; with labels of one class only, every score is that class; with none, 0; of
+buckets that tell as much the lower one stays; texts of any length are read whole; an empty
+table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,32 +23,32 @@ from pyspark.sql import functions as F
 
 from . import common, labelled
 
-#: Bound of the training sample, documents of a class; buckets; features kept.
-SAMPLE_DOCS, BITS, FEATURES = 10_000, 20, 4096
-SAMPLE_PARTS = 8
+#: Bound of the training sample, documents of a class; bits of a bucket; size of the model.
+SAMPLE_DOCS, BITS, FEATURES = 5000, 20, 8192
+LENGTHS = (4, 6)
 SMOOTHING, L2, STEPS, RATE = 1.0, 2e-4, 200, 0.1
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def _grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets at each position, for both lengths; where each text ends in the joined bytes."""
-    coded = [b" " + (x or "").lower().encode("utf-8", "replace") + b" " for x in texts]
-    ends = np.cumsum([len(x) for x in coded]) if coded else np.zeros(0, np.int64)
-    u = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
-    base, mix, shift = np.uint64(0x10001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
+    """Buckets at each position, for both lengths; where each text ends in the joined code points."""
+    spaced = [f" {(x or '').lower()} " for x in texts]
+    ends = np.cumsum([len(x) for x in spaced]) if spaced else np.zeros(0, np.int64)
+    u = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    base, mix, shift = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     square = base * base
     two = u[:-1] * base + u[1:]
     four = two[:-2] * square + two[2:] if len(two) > 2 else two[:0]
     six = four[:-2] * square + two[4:] if len(four) > 2 else two[:0]
-    return [((x * mix + np.uint64(i)) * mix >> shift).astype(np.int64) for i, x in enumerate((four, six))], ends
+    return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i) * mix >> shift).astype(np.int64) for i, x in enumerate((four, six))], ends
 
 
 def _found(texts: list[str | None], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all distinct features that ``place`` (by bucket; -1: none) knows."""
     buckets, ends = _grams(texts)
     n, pairs = int(place.max(initial=-1)) + 1, [np.zeros(0, np.int64)]
-    for length, own in zip((4, 6), buckets, strict=True):
+    for length, own in zip(LENGTHS, buckets, strict=True):
         feature = place[own]
         at = np.flatnonzero(feature >= 0)
         text = np.searchsorted(ends, at, side="right")
@@ -87,13 +88,13 @@ def _sparse(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, feature = _found(batch.column("text").to_pylist(), place)
-            parts = np.split(feature.astype("<u2"), np.searchsorted(text, np.arange(1, batch.num_rows)))[: batch.num_rows]
+            parts = np.split(feature.astype("<u4"), np.searchsorted(text, np.arange(1, batch.num_rows)))[: batch.num_rows]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array([x.tobytes() for x in parts], pa.binary())], names=["label", "doc_id", "x"])
 
     rows = sorted(map(tuple, sample.mapInArrow(run, "label int, doc_id long, x binary").collect()), key=lambda r: (r[1], r[2]))
-    features = [np.frombuffer(r[2], "<u2") for r in rows]
+    features = [np.frombuffer(r[2], "<u4") for r in rows]
     docs = np.repeat(np.arange(len(rows)), [len(x) for x in features])
-    return docs, np.concatenate([np.zeros(0, np.uint16), *features]).astype(np.int64), np.array([r[0] for r in rows], np.float64)
+    return docs, np.concatenate([np.zeros(0, np.uint32), *features]).astype(np.int64), np.array([r[0] for r in rows], np.float64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -103,10 +104,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """Model from rows (doc_id, text) and (doc_id, toxic) that may be learned from."""
     common.small_batches(docs.sparkSession)
-    sample = common.written(labelled.sample(docs, labels, "toxic", SAMPLE_DOCS).repartition(SAMPLE_PARTS), "toxicity-sample")  # bounded; read twice
+    sample = labelled.sample(docs, labels, "toxic", SAMPLE_DOCS).repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    sample = common.written(sample, "toxicity-sample")  # bounded; read twice
     buckets, counts, classes = _counts(sample)
     if not classes.all():
-        return {"buckets": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": 500.0 if classes[1] else -500.0}
+        return {"buckets": np.zeros(0, np.int64), "ratios": np.zeros(0), "weights": np.zeros(0), "bias": 500.0 if classes[1] else -500.0}
     smooth = (counts + SMOOTHING) / (classes + 2 * SMOOTHING)
     ratio = np.log(smooth[:, 1] / smooth[:, 0])
     place = np.full(1 << BITS, -1, np.int32)
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return {"buckets": buckets, "weights": w * ratio, "bias": float(bias)}
+    return {"buckets": buckets, "ratios": ratio, "weights": w * ratio, "bias": float(bias)}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from nichesearch.llm import quality_mil, toxicity
+from nichesearch.llm import labelled, quality_mil, toxicity
 
 from .conftest import row, text
 
@@ -72,3 +73,69 @@ def test_every_passage_is_read():
     a, n = quality_mil.encode(["x" * 5000 + "END", None, ""])
     b, _ = quality_mil.encode(["x" * 5000 + "FIN", None, ""])
     assert list(n) == [10, 1, 1] and not np.array_equal(a[9], b[9]) and not a[10].any()
+
+
+def test_the_forward_pass_equals_loops_over_passages():
+    rng = np.random.default_rng(4)
+    bags = [rng.normal(size=(n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4, 2, 7)]
+    p = quality_mil.train(bags, np.array([1.0, 0.0, 1.0, 0.0]))
+    got = quality_mil.forward(p, np.concatenate(bags), np.array([1, 4, 2, 7]))
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for bag, score in zip(bags, got["score"], strict=True):
+        hidden, gates = [], []
+        for passage in bag:
+            h = np.tanh((passage - p["mean"]) / p["sd"] @ p["w1"] + p["b1"])
+            hidden.append(h)
+            gates.append(np.exp(sum(np.tanh(h @ p["v"][:, k]) * sigmoid(h @ p["u"][:, k]) * p["w"][k] for k in range(quality_mil.GATE))))
+        z = sum(g / sum(gates) * h for g, h in zip(gates, hidden, strict=True))
+        assert sigmoid(z @ p["c"] + p["b"][0]) == pytest.approx(score, abs=1e-5)
+
+
+def test_passages_are_measured_one_by_one():
+    texts = ["Aé1 |x." * 200, "plain words here", "", "日本語 " * 300]
+    x, counts = quality_mil.encode(texts)
+    passages = [b[i : i + quality_mil.PASSAGE] for b in (t.encode() for t in texts) for i in range(0, max(1, len(b)), quality_mil.PASSAGE)]
+    assert counts.sum() == len(passages)
+    for own, passage in zip(x, passages, strict=True):
+        n = max(1, len(passage))
+        for k, of in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n")):
+            assert own[quality_mil.BUCKETS + k] == pytest.approx(sum(c in of for c in passage) / n, abs=1e-6)
+
+
+def bucket(gram):
+    """By Python's integers."""
+    x, mix = 0, 0x9E3779B97F4A7C15
+    for c in gram:
+        x = (x * 0x100000001B3 + ord(c)) % 2**64
+    return ((x ^ x >> 31) * mix + toxicity.LENGTHS.index(len(gram)) * mix) % 2**64 >> 64 - toxicity.BITS
+
+
+def features(text):
+    spaced = f" {(text or '').lower()} "
+    return {bucket(spaced[i : i + n]) for n in toxicity.LENGTHS for i in range(len(spaced) - n + 1)}
+
+
+def test_ratios_and_scores_equal_brute_force(spark, make, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(toxicity, "FEATURES", 1 << 20)
+    rows = [row(i, text(rng, rng.choice(("en", "fr", "de")), rng.randint(3, 20)) + (" Schwächling日本語" if i % 3 == 0 else "")) for i in range(60)] + [row(60, None), row(61, ""), row(62, "é")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(make(rows), labels)
+    own = {r[0]: features(r[1]) for r in rows}
+    sums = [sum((Counter(own[i]) for i in range(60) if (i % 3 == 0) == k), Counter()) for k in (False, True)]
+    want = {b: np.log((sums[1][b] + 1) / 22 / ((sums[0][b] + 1) / 42)) for b in sums[0] | sums[1] if sums[0][b] + sums[1][b] >= 3}
+    assert set(model["buckets"].tolist()) == set(want)
+    assert all(r == pytest.approx(want[b]) for b, r in zip(model["buckets"].tolist(), model["ratios"], strict=True))
+    weight = dict(zip(model["buckets"].tolist(), model["weights"], strict=True))
+    for r in toxicity.score(make(rows), model).collect():
+        z = model["bias"] + sum(weight.get(b, 0.0) for b in own[r.doc_id])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_the_sample_is_bounded_when_an_id_is_repeated(spark, make):
+    rows = [row(1, f"text {i % 7}") for i in range(3000)] + [row(i, f"other {i}") for i in range(2, 400)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(400)] * 2, "doc_id long, quality int")
+    got = labelled.sample(make(rows), labels, "quality", 10).collect()
+    assert len(got) == len({r.doc_id for r in got}) < 50
+    every = labelled.sample(make(rows), labels, "quality", 10**6).collect()
+    assert sorted(r.doc_id for r in every) == list(range(1, 400)) and all(r.label == r.doc_id % 2 for r in every)

@@ -1,7 +1,12 @@
+import re
 import zlib
 
+import zstandard
+
 from nichesearch.llm import language_id
 
+from .conftest import row
+
 
 def test_every_row_is_predicted_and_held_out_rows_are_right(docs, corpus):
     found = language_id.identify(docs, language_id.learn_from(docs)).collect()
@@ -41,3 +46,27 @@ def test_whole_texts_count():
     model = language_id.Classifier({"a": b"alpha beta gamma delta epsilon " * 20, "b": b"uno dos tres cuatro cinco seis " * 20})
     text = "uno dos " + "alpha gamma delta epsilon beta " * 4000
     assert model.predict(text)[0] == "a"
+
+
+def test_predictions_equal_brute_force(docs, corpus):
+    """Every text compressed by the library, block by block, with each dictionary."""
+    dictionaries = language_id.learn_from(docs)
+    got = {r.doc_id: r for r in language_id.identify(docs, dictionaries).collect()}
+    for doc_id, text, *_ in corpus:
+        own = " ".join(re.findall(r"[^\W\d_]+", (text or "").lower())).encode()
+        if doc_id is None or not own:
+            continue
+        sizes = {}
+        for lang, content in dictionaries.items():
+            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False).compress(own[i : i + 4096])) for i in range(0, len(own), 4096))
+        first, second = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+        assert (got[doc_id].lang_pred, got[doc_id].margin_bytes) == (first[0], second[1] - first[1])
+        assert got[doc_id].rejected == (second[1] - first[1] < max(2, 0.01 * first[1]))
+
+
+def test_the_sample_is_bounded_and_all_of_it_counts(make):
+    rows = [row(7, f"wort nummer {chr(97 + i % 26)} ohne ende", "de") for i in range(3000)] + [row(100 + i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 400, "en") for i in range(500)]
+    found = language_id.learn(make(rows))
+    assert max(map(len, found.values())) <= language_id.DICTIONARY_BYTES
+    assert len(set(found["en"].split())) >= language_id.SAMPLE_DOCS // 2 and found["de"].count(b"nummer") == 1
