@@ -108,10 +108,7 @@ BUILTIN_BACKENDS: tuple[Backend, ...] = (StandardProfiler(), DropDuplicateCells(
 
 
 def default_registry() -> BackendRegistry:
-    registry = BackendRegistry()
-    for backend in BUILTIN_BACKENDS:
-        registry.register(backend)
-    return registry
+    return BackendRegistry(*BUILTIN_BACKENDS)
 
 
 def profile_context(context: SdmContext, registry: BackendRegistry, spec: MethodSpec | None = None, seed: int = 42) -> tuple[DataProfile | None, list[Assumption]]:

@@ -30,7 +30,7 @@ class _Trace:
 
     def add(self, stage: str, method: str, backend: str, began: float, **more) -> None:
         record = StepRecord(stage, self.plan.candidate_id, method, backend, self.lineage, self.plan.random_seed, time.perf_counter() - began, **more)
-        self.store.write_step_record(self.run_id, len(self.steps), record)
+        self.store.record(record, self.run_id, len(self.steps))
         self.steps.append(record)
         self.metrics |= record.metrics
         self.lineage = digest_obj([self.lineage, stage, method, record.params, record.random_seed])
@@ -82,9 +82,9 @@ def execute_run(
 ) -> RunResult:
     """Run all candidates and write the run's record; none is selected here."""
     manifest = RunManifest(run_id, objective, digest_obj([p.data_source for p in plans]), datetime.now(UTC).isoformat(), package_versions or _versions(), random_seed)
-    store.write_manifest(manifest)
+    store.record(manifest)
     result = RunResult(manifest, tuple(execute_candidate(spark, p, registry, store, run_id) for p in plans))
-    store.write_result(result)
+    store.record(result)
     return result
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 from typing import Any
 
@@ -80,6 +81,25 @@ _RULES = [
 DEFAULT_PRIORS = tuple(Prior(i, s, m, w, why, (Condition(p, op, v),)) for i, s, m, w, p, op, v, why in _RULES)
 
 
+def facts_table(spark: SparkSession, facts: dict[str, Any]) -> DataFrame:
+    """(path, num, str): every number and string that a dotted path leads to; what is missing has no row."""
+    rows: list[tuple[str, float | None, str | None]] = []
+
+    def walk(path: str, x: Any) -> None:
+        if dataclasses.is_dataclass(x):
+            x = {f.name: getattr(x, f.name) for f in dataclasses.fields(x)}
+        if isinstance(x, dict):
+            for name, value in x.items():
+                walk(f"{path}.{name}" if path else name, value)
+        elif isinstance(x, str):
+            rows.append((path, None, x))
+        elif x is not None:
+            rows.append((path, float(x), None))
+
+    walk("", facts)
+    return spark.createDataFrame(rows, "path string, num double, str string")
+
+
 def conditions_table(spark: SparkSession, priors: tuple[Prior, ...]) -> DataFrame:
     """(prior_id, stage, method, log_weight, place, path, op, number, text): a row a condition, one with NULL path where there is none."""
     rows = []

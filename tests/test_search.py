@@ -37,11 +37,11 @@ def test_registry(spark):
         r.register(Fake("other", "algorithm", "new", "glm"))
     assert not r.resolve("algorithm", MethodSpec("new")).ok
     with pytest.raises(ValueError):
-        Resolution(None, None)
+        Resolution(None)
     assert set(r.runtimes().values()) == {"spark"} and r.table(spark).count() == sum(len(b.methods) for s in ("profile", "cleaning", "accessible_area", "predictors", "background", "split", "algorithm") for b in r.backends_for(s))
 
 
-def test_four_candidates_and_every_one_stays():
+def test_four_candidates_and_every_one_stays(spark):
     plans, said, gaps = propose(SOURCE, default_registry(), profile=profile(cells=30, nn=0.3))
     assert len(plans) == 4 == len({p.candidate_id for p in plans}) and not said and not gaps
     assert plans[0].candidate_id == "logistic+spatial_block" and plans[-1].candidate_id == "gbm+random_kfold"
@@ -50,7 +50,7 @@ def test_four_candidates_and_every_one_stays():
     assert only[0].methodology.background.params == {"n_background": 3600} and [s for s, _ in only[0].methodology.steps()][3] == "background"
 
 
-def test_without_a_profile_or_a_backend():
+def test_without_a_profile_or_a_backend(spark):
     plans, said, _ = propose(SOURCE, default_registry())
     assert [a.code for a in said] == ["proposed_without_a_profile"] and plans[0].methodology.split.params == {} and "spatial_block" in plans[0].candidate_id
     empty = BackendRegistry()
@@ -58,22 +58,22 @@ def test_without_a_profile_or_a_backend():
     assert not plans and {g.code for g in gaps} == {f"no_backend_for_{s}" for s in ("cleaning", "accessible_area", "predictors", "split", "algorithm")}
 
 
-def test_a_budget_draws_by_weight_and_reaches_all():
-    drawn = [propose(SOURCE, default_registry(), profile=profile(), max_candidates=1, random_seed=s) for s in range(60)]
+def test_a_budget_draws_by_weight_and_reaches_all(spark):
+    drawn = [propose(SOURCE, default_registry(), profile=profile(), max_candidates=1, random_seed=s) for s in range(25)]
     firsts = [p[0][0].candidate_id for p in drawn]
     assert len(set(firsts)) > 1 and firsts.count("gbm+spatial_block") > firsts.count("logistic+random_kfold")
     assert {a.code for p in drawn for a in p[1]} == {"search_space_sampled"}
     assert firsts[5] == propose(SOURCE, default_registry(), profile=profile(), max_candidates=1, random_seed=5)[0][0].candidate_id
 
 
-def test_ids_stay_distinct_with_more_backends():
+def test_ids_stay_distinct_with_more_backends(spark):
     r = default_registry()
     r.register(Fake("clean2", "cleaning", "keep_all"))
     plans, _, _ = propose(SOURCE, r)
     assert len({p.candidate_id for p in plans}) == 8
 
 
-def test_rules():
+def test_rules(spark):
     facts = {"profile": profile(cells=30), "objective": "interpolation"}
     assert resolve_path(facts, "profile.volume.n_records") == 30 and resolve_path(facts, "profile.nothing.at") is None
     holds = lambda *c: Condition(*c).holds(facts)
