@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -9,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.caching import hold
 from ..schema import Assumption
 from . import stages
 
@@ -24,6 +26,8 @@ def boosted(n_train: int, params: dict[str, Any], seed: int) -> GBTClassifier:
 
 
 LEARNERS = {"logistic": logistic, "gbm": boosted}
+#: Fits that run at the same time: their jobs share the cluster.
+AT_ONCE = 6
 
 
 def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed: int) -> tuple[DataFrame, dict[str, float], Any, list[Assumption]]:
@@ -32,26 +36,30 @@ def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed:
     Folds with one class on either side are skipped and counted; their predictions are NULL.
     """
     make = LEARNERS[learner]
-    data = rows.withColumn("vector", array_to_vector("features")).cache()
+    data = hold(rows.withColumn("vector", array_to_vector("features")))
     counts = {r["fold"]: (r["n"], r["p"]) for r in data.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
     n, p = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
     both = lambda n, p: 0 < p < n
-    parts, skipped = [], []
-    for fold, (own, ones) in sorted(counts.items()):
-        if not (both(own, ones) and both(n - own, p - ones)):
-            skipped.append(fold)
-            continue
-        model = make(n - own, params, seed).fit(data.filter(F.col("fold") != fold))
+    skipped = [f for f, (own, ones) in sorted(counts.items()) if not (both(own, ones) and both(n - own, p - ones))]
+    scorable = [f for f in sorted(counts) if f not in skipped]
+    if not scorable:
+        raise ValueError("no fold has both classes in and out; nothing can be scored")
+
+    def fit(fold: int | None) -> Any:
+        own = 0 if fold is None else counts[fold][0]
+        return make(n - own, params, seed).fit(data if fold is None else data.filter(F.col("fold") != fold))
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        *models, final = pool.map(fit, [*scorable, None])
+    parts = []
+    for fold, model in zip(scorable, models, strict=True):
         scored = model.transform(data.filter(F.col("fold") == fold))
         parts.append(scored.withColumn("cv_prediction", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "cv_prediction"))
-    if not parts:
-        raise ValueError("no fold has both classes in and out; nothing can be scored")
     scored = parts[0]
     for part in parts[1:]:
         scored = scored.unionByName(part)
     aucs = stages.auc(scored.select("fold", "label", F.col("cv_prediction").alias("score")), ["fold"])
     m = aucs.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.count("auc").alias("n")).first()
-    final = make(n, params, seed).fit(data)
     said = []
     if skipped:
         said.append(Assumption("folds_skipped_single_class", f"{len(skipped)} of {len(counts)} folds have one class only", "split"))

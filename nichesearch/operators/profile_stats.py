@@ -120,20 +120,32 @@ def _layer(i: int) -> Column:
     return F.get("predictors", F.lit(i))
 
 
-def _below(edges: Column, value: Column) -> Column:
+#: Share of a layer's spread within which two values are the same: interpolated quantiles are good to that.
+SAME = 1e-9
+
+
+def _below(edges: Column, value: Column, tolerance: Column) -> Column:
     """How many edges are at most the value."""
-    return F.size(F.filter(edges, lambda e: e <= value))
+    return F.size(F.filter(edges, lambda e: e <= value + tolerance))
+
+
+def _quantiles(value: Column, at: Column) -> Column:
+    """Quantiles in order, those that are the same once."""
+    every = F.percentile(value, at)
+    spread = F.element_at(every, -1) - F.get(every, F.lit(0))
+    return F.filter(every, lambda e, i: (i == 0) | (e - F.get(every, i - 1) > SAME * spread))
 
 
 def coverage(sampled: DataFrame, landscape: DataFrame, k: int, n_bins: int = 10) -> DataFrame:
     """(environmental_coverage): the share of the landscape's quantile bins that the sample touches, averaged over predictors."""
     at = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    edges = landscape.agg(*[F.array_distinct(F.transform(F.percentile(F.get("predictors", F.lit(i)), at), lambda x: F.round(x, 6))).alias(f"e{i}") for i in range(k)])
+    edges = landscape.agg(*[_quantiles(_layer(i), at).alias(f"e{i}") for i in range(k)])
     rows = sampled.join(F.broadcast(edges))  # one row
     shares = []
     for i in range(k):
         inner = F.slice(f"e{i}", 2, F.greatest(F.lit(0), F.size(f"e{i}") - 2))
-        rows = rows.withColumn(f"b{i}", F.when((F.size(f"e{i}") >= 3) & _layer(i).isNotNull(), _below(inner, _layer(i))))
+        tolerance = SAME * (F.element_at(f"e{i}", -1) - F.get(f"e{i}", F.lit(0)))
+        rows = rows.withColumn(f"b{i}", F.when((F.size(f"e{i}") >= 3) & _layer(i).isNotNull(), _below(inner, _layer(i), tolerance)))
     counts = rows.agg(*[F.count_distinct(f"b{i}").alias(f"n{i}") for i in range(k)])
     both = edges.join(F.broadcast(counts))
     for i in range(k):

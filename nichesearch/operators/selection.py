@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ranks
 from ..schema import RunResult, SelectionScore
 
 #: Bins of the Boyce index; weights of a candidate's metrics by intended use.
@@ -61,12 +62,12 @@ def boyce(scored: DataFrame, bins: int = BOYCE_BINS) -> DataFrame:
 def weighted_auc(scored: DataFrame) -> DataFrame:
     """(weighted_auc) from rows (label, score, weight): the share of weighted pairs in the right order, ties half.
 
-    Weights are summed by score first; running sums over distinct scores do the rest.
+    Weights are summed by score first; running sums over ranges of the distinct scores do the rest.
     """
     w = lambda k: F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0.0))
     values = scored.groupBy("score").agg(w(1).alias("p"), w(0).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = values.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("right"))
+    rows = ranks.running(values, [], "score", ["q"])
+    rows = rows.select("p", "q", (F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("right"))
     return rows.agg(F.try_divide(F.sum("right"), F.sum("p") * F.sum("q")).alias("weighted_auc"))
 
 

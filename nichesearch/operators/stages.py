@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import draws
+from ..functions import draws, ranks
 
 
 def drop_duplicate_cells(occ: DataFrame) -> DataFrame:
@@ -76,13 +76,13 @@ def spatial_block_folds(occ: DataFrame, block_size: int, n_folds: int, seed: int
 def auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, n_positive, auc) from rows (label, score): Mann-Whitney with average ranks.
 
-    Equal scores are grouped first; ranks come from running sums over the distinct scores
-    of a group. NULL where one class is missing.
+    Equal scores are grouped first; ranks come from running sums over ranges of the distinct
+    scores of a group. NULL where one class is missing.
     """
     by = list(by)
     values = scored.groupBy(*by, (F.col("score") + F.lit(0.0)).alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("p"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = values.withColumn("rank_sum", F.col("p") * (before + (F.col("n") + 1) / F.lit(2.0)))
-    total = ranks.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_positive"), F.sum("rank_sum").alias("r"))
+    rows = ranks.running(values, by, "score", ["n"])
+    rows = rows.withColumn("rank_sum", F.col("p") * (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)))
+    total = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("p").alias("n_positive"), F.sum("rank_sum").alias("r"))
     p, q = F.col("n_positive").cast("double"), (F.col("n") - F.col("n_positive")).cast("double")
     return total.select(*by, "n", "n_positive", F.try_divide(F.col("r") - p * (p + 1) / 2, p * q).alias("auc"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.caching import hold
 from ..operators import algorithms, stages
 from ..profile import DataProfile, build_profile
 from ..schema import Assumption, MethodSpec
@@ -24,7 +25,7 @@ class DropDuplicateCells(Backend):
     name, stage, methods = "spark-clean-duplicates", "cleaning", ("drop_duplicate_cells",)
 
     def run(self, spec: MethodSpec, context: SdmContext, seed: int) -> StageOutput:
-        kept = stages.drop_duplicate_cells(context.occurrences).cache()
+        kept = hold(stages.drop_duplicate_cells(context.occurrences))
         before, after = context.occurrences.count(), kept.count()
         if not before:
             raise ValueError("there are no occurrences to clean")
@@ -43,7 +44,7 @@ class StandardisePredictors(Backend):
 
     def run(self, spec: MethodSpec, context: SdmContext, seed: int) -> StageOutput:
         mean, sd = stages.layer_stats(context.grid, context.k)
-        rows = stages.standardise(context.occurrences, context.grid, mean, sd).cache()
+        rows = hold(stages.standardise(context.occurrences, context.grid, mean, sd))
         lost = rows.filter("features is null").count()
         said = (Assumption("dropped_records_with_missing_predictors", f"{lost} records lie on cells without a predictor", "predictors"),) if lost else ()
         context = context.with_(occurrences=rows.filter("features is not null"), extra=context.extra | {"mean": mean, "sd": sd})
@@ -59,12 +60,12 @@ class RandomBackground(Backend):
         there = grid.filter("accessible").count()
         said = [Assumption("background_capped_by_extent", f"{wanted} background points are wanted, {there} cells accessible", "background.n_background")] if wanted > there else []
         drawn = stages.random_background(grid, min(wanted, there), seed)
-        z = drawn.withColumn("features", stages.scaled("predictors", context.extra["mean"], context.extra["sd"])).cache()
+        z = hold(drawn.withColumn("features", stages.scaled("predictors", context.extra["mean"], context.extra["sd"])))
         whole = z.filter(stages.complete("features"))
         n, all_n = whole.count(), z.count()
         if n < all_n:
             said.append(Assumption("background_dropped_missing_predictors", f"{all_n - n} background cells lack a predictor", "background"))
-        rows = whole.select((-1 - F.monotonically_increasing_id()).alias("record_id"), "row", "col", F.lit(0).alias("label"), F.lit(None).cast("date").alias("obs_date"), "features")
+        rows = whole.select(F.xxhash64(F.lit("background"), "row", "col").alias("record_id"), "row", "col", F.lit(0).alias("label"), F.lit(None).cast("date").alias("obs_date"), "features")
         occ = context.occurrences.select(rows.columns).unionByName(rows)
         return StageOutput(context.with_(occurrences=occ), {"n_background": float(n)}, tuple(said), ("occurrences",))
 

@@ -10,6 +10,7 @@ from importlib.metadata import PackageNotFoundError, version
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.caching import hold, scope
 from ..schema import Assumption, CandidatePlan, CandidateResult, RunManifest, RunResult, StepRecord, UnsupportedDataSource, UnsupportedStep
 from ..sources.loader import SdmContext, load_data_source
 from .catalogue import BackendRegistry
@@ -48,6 +49,12 @@ def _keep(store: ArtifactStore, stage: str, context: SdmContext, tables: tuple[s
 
 
 def execute_candidate(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str) -> CandidateResult:
+    """Load, then stage after stage; what was cached on the way is released at the end."""
+    with scope():
+        return _execute(spark, plan, registry, store, run_id)
+
+
+def _execute(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str) -> CandidateResult:
     trace = _Trace(plan, store, run_id)
     if not plan.is_executable:
         return trace.failed("the plan has unsupported steps and was not run")
@@ -56,7 +63,7 @@ def execute_candidate(spark: SparkSession, plan: CandidatePlan, registry: Backen
         context, said = load_data_source(spark, plan.data_source, plan.random_seed)
     except UnsupportedDataSource as e:
         return trace.failed(str(e), e.gap)
-    context = context.with_(grid=context.grid.cache(), occurrences=context.occurrences.cache())
+    context = context.with_(grid=hold(context.grid), occurrences=hold(context.occurrences))
     n = float(context.occurrences.count())
     trace.add("data_source", plan.data_source.kind, "spark-source-loader", began, metrics={"n_records": n}, assumptions=tuple(said), artifacts=_keep(store, "data_source", context, ("grid", "occurrences")))
     for stage, spec in plan.methodology.steps():

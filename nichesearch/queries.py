@@ -335,7 +335,7 @@ def suggested_block_size(spark, sf):
 
 
 def _edges(p: str) -> str:
-    return f"(SELECT list_sort(list_distinct(list_transform(quantile_cont({p}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]), lambda x: round(x, 6)))) FROM land)"
+    return f"(SELECT list_sort(list_distinct(quantile_cont({p}, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) FROM land)"
 
 
 @query(

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.caching import hold
 from ..schema import Assumption, CapabilityGap, DataSource, RealDataSource, UnsupportedDataSource, UnsupportedStep, VirtualDataSource
 from . import occurrences, rasters, virtual
 
@@ -59,7 +60,7 @@ def _virtual(spark: SparkSession, source: VirtualDataSource, seed: int) -> tuple
     if source.sampling_bias is not None:
         raise UnsupportedDataSource(UnsupportedStep("unsupported_sampling_bias", f"no generator for sampling bias {source.sampling_bias!r}", "sampling_bias", source.sampling_bias))
     grid = rasters.read_predictors(spark, source.predictor_paths)
-    cells = virtual.suitability(grid.cells, source.true_coefficients, source.true_intercept).cache()
+    cells = hold(virtual.suitability(grid.cells, source.true_coefficients, source.true_intercept))
     missing = cells.filter("suitability is null").count()
     said = []
     if missing:
@@ -70,5 +71,5 @@ def _virtual(spark: SparkSession, source: VirtualDataSource, seed: int) -> tuple
     if source.occurrence_type == "presence_absence":
         occ = occ.unionByName(virtual.draw(cells, 1 - s, source.n_absences, total, seed, "absence").withColumn("label", F.lit(0)))
     # only context columns go on: the niche that generated the species stays here
-    occ = occ.select(F.monotonically_increasing_id().alias("record_id"), "row", "col", "label", F.lit(None).cast("date").alias("obs_date"))
+    occ = occ.select(F.xxhash64("row", "col", "label").alias("record_id"), "row", "col", "label", F.lit(None).cast("date").alias("obs_date"))
     return _context(grid, occ, source.occurrence_type, False), said

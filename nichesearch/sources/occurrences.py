@@ -119,17 +119,27 @@ def losses(parsed: DataFrame) -> DataFrame:
     )
 
 
+def _broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a record goes on over a line feed: a line then has an odd number of quotes. Only such files must be read whole."""
+    quotes = F.regexp_count("value", F.lit('"'))
+    return not spark.read.text(path).filter(quotes % 2 == 1).isEmpty()
+
+
 def read_occurrences(spark: SparkSession, path: str, grid: Grid, crs: str, date_field: str | None = None) -> tuple[DataFrame, bool, list[Assumption]]:
-    """(record_id, row, col, label, obs_date), whether there is a date column, and what was assumed."""
+    """(record_id, row, col, label, obs_date), whether there is a date column, and what was assumed.
+
+    A record's id is a hash of its fields, so that it does not depend on how the file is
+    split; records that agree in every field share one and can stand for each other.
+    """
     try:
-        raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        raw = spark.read.option("header", True).option("multiLine", _broken_lines(spark, path)).option("escape", '"').csv(path)
         none = raw.isEmpty()
     except Exception as e:
         raise UnreadableOccurrences("missing_occurrence_file", f"no occurrence file at {path}") from e
     if none:
         raise UnreadableOccurrences("empty_occurrence_file", f"{path} holds no records")
     columns = find_columns(raw.columns, grid.is_georeferenced, date_field)
-    parsed, moved = parse(raw.withColumn("record_id", F.monotonically_increasing_id()), columns, grid, crs)
+    parsed, moved = parse(raw.withColumn("record_id", F.xxhash64(*[F.coalesce(F.concat(F.lit("|"), f"`{c}`"), F.lit("")) for c in raw.columns])), columns, grid, crs)
     n = losses(parsed).first()
     said: list[Assumption] = []
     if n["bad_coordinates"]:

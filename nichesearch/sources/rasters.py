@@ -1,13 +1,16 @@
 """Predictor rasters as a grid table: (row, col, predictors array), NULL for nodata.
 
 Layers are read as binary files and decoded on the executors, row by row; only their
-headers come to the driver, where they are compared. Supported are 2-D ``.npy`` arrays and
-single-band GeoTIFFs (strips or tiles, uncompressed or deflate).
+headers come to the driver, where they are compared, and to know a header no value is
+decoded. Supported are 2-D ``.npy`` arrays and single-band GeoTIFFs and BigTIFFs (strips or
+tiles; uncompressed, deflate or LZW; horizontal and floating-point prediction). A layer is one file
+of at most 2 GB, the most that a binary value holds, and a task's unit of work.
 """
 
 from __future__ import annotations
 
 import ast
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -42,7 +45,7 @@ class Grid:
         return self.transform is not None
 
 
-def _npy(data: bytes) -> dict:
+def _npy_head(data: bytes) -> dict:
     if data[:6] != b"\x93NUMPY":
         raise ValueError("no .npy header")
     wide = data[6] >= 2
@@ -54,9 +57,15 @@ def _npy(data: bytes) -> dict:
     dtype = np.dtype(stated["descr"])
     if dtype.hasobject:
         raise ValueError("objects in .npy")
-    values = np.frombuffer(data, dtype, int(np.prod(stated["shape"])), begin + size)
-    values = values.reshape(stated["shape"], order="F" if stated["fortran_order"] else "C")
-    return {"dims": 2, "values": values.astype(float), "transform": None, "crs": None}
+    height, width = stated["shape"]
+    if len(data) < begin + size + height * width * dtype.itemsize:
+        raise ValueError("the file ends before its array")
+    return {"dims": 2, "height": height, "width": width, "transform": None, "crs": None, "dtype": dtype, "begin": begin + size, "order": "F" if stated["fortran_order"] else "C"}
+
+
+def _npy(data: bytes, head: dict) -> np.ndarray:
+    values = np.frombuffer(data, head["dtype"], head["height"] * head["width"], head["begin"])
+    return values.reshape((head["height"], head["width"]), order=head["order"]).astype(float)
 
 
 #: Fixed values of the TIFF format: bytes and struct codes by field type.
@@ -66,25 +75,66 @@ _KINDS = {1: "u", 2: "i", 3: "f"}
 
 def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
+    magic = struct.unpack_from(order + "H", data, 2)[0] if order and len(data) >= 8 else 0
+    if magic not in (42, 43):
         raise ValueError("no TIFF header")
-    at = struct.unpack_from(order + "I", data, 4)[0]
+    place, many, room = ("I", "H", 4) if magic == 42 else ("Q", "Q", 8)  # of an offset, of the number of tags, bytes of a value held in its tag
+    at = struct.unpack_from(order + place, data, 4 if magic == 42 else 8)[0]
+    n = struct.unpack_from(order + many, data, at)[0]
+    entry = struct.Struct(order + "HH" + place)
+    first, step = at + struct.calcsize(many), entry.size + room
     tags: dict[int, tuple] = {}
-    for i in range(struct.unpack_from(order + "H", data, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
+    for i in range(n):
+        tag, kind, count = entry.unpack_from(data, first + step * i)
         if kind not in _TYPES:
             continue
         size, code = _TYPES[kind]
-        place = at + 2 + 12 * i + 8
-        if size * count > 4:
-            place = struct.unpack_from(order + "I", data, place)[0]
+        where = first + step * i + entry.size
+        if size * count > room:
+            where = struct.unpack_from(order + place, data, where)[0]
         if code == "s":
-            tags[tag] = (data[place : place + count].split(b"\0")[0].decode("latin1"),)
+            tags[tag] = (data[where : where + count].split(b"\0")[0].decode("latin1"),)
         else:
-            tags[tag] = struct.unpack_from(order + code * count, data, place)
+            tags[tag] = struct.unpack_from(order + code * count, data, where)
     return order, tags
 
 
+def _lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first, each width left one code early; 256 clears, 257 ends."""
+    out, held, bits, width = [], 0, 0, 9
+    table: list[bytes] = []
+    last = b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, last, width = [bytes((i,)) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        if not table or code > len(table) or (code == len(table) and not last):
+            raise ValueError("a damaged LZW stream")
+        found = table[code] if code < len(table) else last + last[:1]
+        out.append(found)
+        if last:
+            table.append(last + found[:1])
+        last = found
+        width = min(12, max(9, (len(table) + 1 if len(table) >= 511 else 0).bit_length()))
+    return b"".join(out)
+
+
+def _undone(raw: bytes, rows: int, width: int, dtype: np.dtype, predictor: int) -> np.ndarray:
+    """A strip's or tile's values without the prediction."""
+    if predictor == 3:  # bytes of all first, all second ... places of a row's values, each as a difference
+        planes = np.cumsum(np.frombuffer(raw, np.uint8, rows * width * dtype.itemsize).reshape(rows, -1), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(planes.reshape(rows, dtype.itemsize, width).transpose(0, 2, 1)).view(dtype.newbyteorder(">"))[:, :, 0]
+    tile = np.frombuffer(raw, dtype, rows * width).reshape(rows, width)
+    return np.cumsum(tile, axis=1, dtype=dtype) if predictor == 2 else tile
+
+
 def _crs(tags: dict[int, tuple]) -> str | None:
     keys = tags.get(34735, ())
     found = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4) if keys[i + 1] == 0}
@@ -92,34 +142,23 @@ def _crs(tags: dict[int, tuple]) -> str | None:
     return f"EPSG:{code}" if code and code != 32767 else None
 
 
-def _geotiff(data: bytes) -> dict:
+_UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
+def _tiff_head(data: bytes) -> dict:
     order, tags = _tags(data)
     one = lambda tag, default: tags.get(tag, (default,))[0]
     bands, width, height = one(277, 1), one(256, 0), one(257, 0)
     if bands != 1:
         return {"bands": bands}
-    compression, predictor = one(259, 1), one(317, 1)
-    if compression not in (1, 8, 32946) or predictor not in (1, 2):
+    compression, predictor, kind = one(259, 1), one(317, 1), _KINDS[one(339, 1)]
+    if compression not in _UNPACK or predictor not in (1, 2, 3) or (predictor == 3) > (kind == "f"):
         raise ValueError(f"compression {compression} with predictor {predictor}")
-    dtype = np.dtype(f"{order}{_KINDS[one(339, 1)]}{one(258, 8) // 8}")
     tiled = 322 in tags
-    tile_w, tile_h = (one(322, width), one(323, height)) if tiled else (width, one(278, height))
+    tile = (one(322, width), one(323, height)) if tiled else (width, min(height, one(278, height)))
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    values = np.zeros((height, width), dtype)
-    across = -(-width // tile_w)
-    for i, (at, size) in enumerate(zip(offsets, sizes, strict=True)):
-        top, left = i // across * tile_h, i % across * tile_w
-        raw = data[at : at + size]
-        raw = zlib.decompress(raw) if compression != 1 else raw
-        rows = tile_h if tiled else min(tile_h, height - top)
-        tile = np.frombuffer(raw, dtype, rows * tile_w).reshape(rows, tile_w)
-        if predictor == 2:
-            tile = np.cumsum(tile, axis=1, dtype=dtype)
-        part = values[top : top + tile_h, left : left + tile_w]
-        part[:] = tile[: part.shape[0], : part.shape[1]]
-    out = values.astype(float)
-    if 42113 in tags and (nodata := tags[42113][0].strip()):
-        out[out == float(nodata)] = np.nan
+    if any(a + n > len(data) for a, n in zip(offsets, sizes, strict=True)) or len(offsets) < -(-width // tile[0]) * -(-height // tile[1]):
+        raise ValueError("the file ends before its values")
     transform = None
     if 34264 in tags:
         m = tags[34264]
@@ -127,11 +166,78 @@ def _geotiff(data: bytes) -> dict:
     elif 33550 in tags and 33922 in tags:
         (sx, sy, *_), (i, j, _, x, y, _) = tags[33550], tags[33922][:6]
         transform = (sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy)
-    return {"bands": 1, "values": out, "transform": transform or (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "crs": _crs(tags)}
+    nodata = tags.get(42113, ("",))[0].strip()
+    return {
+        "bands": 1, "height": height, "width": width, "transform": transform or (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "crs": _crs(tags),
+        "dtype": np.dtype(f"{order}{kind}{one(258, 8) // 8}"), "compression": compression, "predictor": predictor, "tiled": tiled, "tile": tile, "blocks": list(zip(offsets, sizes, strict=True)), "nodata": float(nodata) if nodata else None,
+    }
+
+
+def _tiff(data: bytes, head: dict) -> np.ndarray:
+    height, width, (tile_w, tile_h) = head["height"], head["width"], head["tile"]
+    values = np.zeros((height, width), head["dtype"])
+    across = -(-width // tile_w)
+    for i, (at, size) in enumerate(head["blocks"]):
+        top, left = i // across * tile_h, i % across * tile_w
+        rows = tile_h if head["tiled"] else min(tile_h, height - top)
+        tile = _undone(_UNPACK[head["compression"]](data[at : at + size]), rows, tile_w, head["dtype"], head["predictor"])
+        part = values[top : top + tile_h, left : left + tile_w]
+        part[:] = tile[: part.shape[0], : part.shape[1]]
+    out = values.astype(float)
+    if head["nodata"] is not None:
+        out[out == head["nodata"]] = np.nan
+    return out
+
+
+def _is_npy(name: str) -> bool:
+    return PurePosixPath(name).suffix.lower() in NPY
+
+
+def header(name: str, data: bytes) -> dict:
+    """What a layer is, without its values."""
+    return _npy_head(data) if _is_npy(name) else _tiff_head(data)
 
 
 def decode(name: str, data: bytes) -> dict:
-    return _npy(data) if PurePosixPath(name).suffix.lower() in NPY else _geotiff(data)
+    head = header(name, data)
+    if head.get("dims", 2) == 2 and head.get("bands", 1) == 1:
+        head["values"] = _npy(data, head) if _is_npy(name) else _tiff(data, head)
+    return head
+
+
+def npy_bytes(values: np.ndarray) -> bytes:
+    """A layer as a ``.npy`` file."""
+    out = io.BytesIO()
+    np.save(out, np.asarray(values, float))
+    return out.getvalue()
+
+
+def tiff_bytes(values: np.ndarray, transform: tuple[float, ...], epsg: int = 4326) -> bytes:
+    """A layer of 64-bit floats as a GeoTIFF of deflated strips of one row; NaN is nodata. The transform has no rotation."""
+    values = np.asarray(values, "<f8")
+    height, width = values.shape
+    a, _, x, _, e, y = transform
+    strips = [zlib.compress(row.tobytes()) for row in values]
+    begins = [8 + sum(map(len, strips[:i])) for i in range(height)]
+    geographic = epsg == 4326
+    keys = (1, 1, 0, 2, 1024, 0, 1, 2 if geographic else 1, 2048 if geographic else 3072, 0, 1, epsg)
+    tags = [
+        (256, "I", [width]), (257, "I", [height]), (258, "H", [64]), (259, "H", [8]), (262, "H", [1]), (273, "I", begins), (277, "H", [1]), (278, "I", [1]), (279, "I", list(map(len, strips))),
+        (339, "H", [3]), (33550, "d", [a, -e, 0.0]), (33922, "d", [0.0, 0.0, 0.0, x, y, 0.0]), (34735, "H", list(keys)), (42113, "s", b"nan\0"),
+    ]
+    body, at = b"".join(strips), 8 + sum(map(len, strips))
+    entries, kinds = [], {"H": 3, "I": 4, "d": 12, "s": 2}
+    extra = b""
+    for tag, code, v in tags:
+        data = v if code == "s" else struct.pack(f"<{len(v)}{code}", *v)
+        if len(data) > 4:
+            extra += b"\0" * (len(extra) % 2)
+            place = struct.pack("<I", at + len(extra))
+            extra += data
+        else:
+            place = data.ljust(4, b"\0")
+        entries.append(struct.pack("<HHI", tag, kinds[code], len(v)) + place)
+    return struct.pack("<2sHI", b"II", 42, at + len(extra)) + body + extra + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0\0\0\0"
 
 
 _HEADER = "layer int, error string, dims int, bands int, height int, width int, transform array<double>, crs string"
@@ -144,10 +250,8 @@ def _headers(layers: DataFrame) -> list:
             for layer, name, data in zip(*(batch.column(c).to_pylist() for c in ("layer", "path", "content")), strict=True):
                 row = {"layer": layer, "error": None, "dims": 2, "bands": 1, "height": None, "width": None, "transform": None, "crs": None}
                 try:
-                    found = decode(name, data)
-                    row |= {k: found[k] for k in ("dims", "bands", "transform", "crs") if k in found}
-                    if "values" in found:
-                        row["height"], row["width"] = found["values"].shape
+                    found = header(name, data)
+                    row |= {k: found[k] for k in ("dims", "bands", "height", "width", "transform", "crs") if k in found}
                 except Exception as e:  # whatever is wrong with the bytes is the same gap
                     row["error"] = f"{type(e).__name__}: {e}"
                 rows.append(row)
