@@ -31,29 +31,50 @@ THRESHOLD = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
-def _grams(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets at each position, for both lengths; where each text ends in the joined code points."""
-    spaced = [f" {(x or '').lower()} " for x in texts]
-    ends = np.cumsum([len(x) for x in spaced]) if spaced else np.zeros(0, np.int64)
-    u = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+#: Characters whose n-grams are taken at once, by which a worker's memory is bounded; longer texts are cut, with the overlap that no n-gram is lost.
+_AT_ONCE = 1 << 18
+
+
+def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
+    """Pieces of lower-cased, spaced texts, and the text of each, some at a time."""
+    owners: list[int] = []
+    pieces: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        spaced = f" {(text or '').lower()} "
+        for at in range(0, len(spaced), _AT_ONCE):
+            pieces.append(spaced[at : at + _AT_ONCE + max(LENGTHS) - 1])
+            owners.append(i)
+            size += len(pieces[-1])
+            if size >= _AT_ONCE:
+                yield owners, pieces
+                owners, pieces, size = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+def _grams(pieces: list[str]) -> list[np.ndarray]:
+    """Buckets at each position of the joined pieces, for both lengths."""
+    u = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     base, mix, shift = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     square = base * base
     two = u[:-1] * base + u[1:]
     four = two[:-2] * square + two[2:] if len(two) > 2 else two[:0]
     six = four[:-2] * square + two[4:] if len(four) > 2 else two[:0]
-    return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i) * mix >> shift).astype(np.int64) for i, x in enumerate((four, six))], ends
+    return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i) * mix >> shift).astype(np.int32) for i, x in enumerate((four, six))]
 
 
 def _found(texts: list[str | None], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all distinct features that ``place`` (by bucket; -1: none) knows."""
-    buckets, ends = _grams(texts)
     n, pairs = int(place.max(initial=-1)) + 1, [np.zeros(0, np.int64)]
-    for length, own in zip(LENGTHS, buckets, strict=True):
-        feature = place[own]
-        at = np.flatnonzero(feature >= 0)
-        text = np.searchsorted(ends, at, side="right")
-        inside = at + length <= ends[text]
-        pairs.append(text[inside] * n + feature[at[inside]])
+    for owners, pieces in _portions(texts):
+        ends, owner = np.cumsum([len(x) for x in pieces]), np.array(owners, np.int64)
+        for length, own in zip(LENGTHS, _grams(pieces), strict=True):
+            feature = place[own]
+            at = np.flatnonzero(feature >= 0)
+            piece = np.searchsorted(ends, at, side="right")
+            inside = at + length <= ends[piece]
+            pairs.append(np.unique(owner[piece[inside]] * n + feature[at[inside]]))
     both = np.unique(np.concatenate(pairs))
     return both // max(n, 1), both % max(n, 1)
 

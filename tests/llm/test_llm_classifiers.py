@@ -139,3 +139,13 @@ def test_the_sample_is_bounded_when_an_id_is_repeated(spark, make):
     assert len(got) == len({r.doc_id for r in got}) < 50
     every = labelled.sample(make(rows), labels, "quality", 10**6).collect()
     assert sorted(r.doc_id for r in every) == list(range(1, 400)) and all(r.label == r.doc_id % 2 for r in every)
+
+
+def test_long_texts_are_cut_without_loss(monkeypatch):
+    rng = random.Random(8)
+    texts = [text(rng, "de", 200), None, "x", text(rng, "fr", 40), ""]
+    every = np.arange(1 << toxicity.BITS, dtype=np.int32)
+    monkeypatch.setattr(toxicity, "_AT_ONCE", 64)
+    found, feature = toxicity._found(texts, every)
+    for i, t in enumerate(texts):
+        assert set(feature[found == i].tolist()) == features(t)
