@@ -160,6 +160,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_search, "u long, v long").distinct()
 
 
+def _hung(both: DataFrame, least: DataFrame) -> DataFrame:
+    """Each larger neighbour v of u in ``both`` (u, v), hung on the m of u in ``least``."""
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+
+
 def stars(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of the component of each node of the edges (u, v).
 
@@ -173,8 +178,7 @@ def stars(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars-least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = common.written(large, "stars-large")
+        large = common.written(_hung(both, least).distinct(), "stars-large")
         low = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "stars-low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = common.written(small.filter("u <> v").distinct().select(F.col("v").alias("u"), F.col("u").alias("v")), "stars")

@@ -131,6 +131,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
     parts = rows.agg(F.max("part")).first()[0]
     coded = _blocks(rows, freq, bits).repartitionById((parts or 0) + 1, F.col("part"))  # a file a part: their order by name is that of the documents
     coded.sortWithinPartitions("first").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    common.discard(spark, rows)
 
 
 def _coder_table(spark: SparkSession, folder: str) -> tuple[np.ndarray, int]:

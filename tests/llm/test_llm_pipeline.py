@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 
@@ -5,6 +7,8 @@ import __spark_entry__
 import corpus_pipeline
 from nichesearch.llm import common, queries
 
+from .conftest import row, text
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -47,3 +51,26 @@ def test_oracles_agree(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({queries.ORACLES[name]})").fetchall()
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_stages_take_empty_tables_null_ids_and_shared_ids(spark, make, nothing, docs):
+    rng = random.Random(12)
+    a, b, c = (text(rng, "en", 60) for _ in range(3))
+    rows = [row(1, a), row(1, b), row(None, a), row(None, c), row(None, c), row(2, None), row(2, ""), row(3, a + " end")]
+    own = make(rows)
+    near = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, own, SMALL).collect())
+    assert near == sorted([("1", a), ("1", b), ("None", c), ("2", "")])
+    clean = corpus_pipeline.drop_contaminated(spark, own, SMALL)
+    assert clean.count() == len(rows) and clean.columns == docs.columns
+    mixed = corpus_pipeline.mix_sources(spark, own, SMALL)
+    assert sum(len(r.text.split()) for r in mixed.collect()) == round(1.5 * sum(len((r[1] or "").split()) for r in rows))
+    assert corpus_pipeline.write_tokens(spark, own, SMALL).count() == len(rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SMALL).collect() == []
+
+
+def test_what_a_stage_leaves_is_deleted(spark):
+    before = {*common.kept()}
+    corpus_pipeline.run(spark, SMALL).collect()
+    left = [x.rsplit("/", 1)[-1].rsplit("-", 1)[0] for x in common.kept() if x not in before]
+    assert sorted(x for x in left if not x.startswith("pipeline-")) == []

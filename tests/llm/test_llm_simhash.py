@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
-from nichesearch.llm import simhash
+from nichesearch.llm import common, simhash
 
 from .conftest import row, text
 
@@ -92,3 +93,23 @@ def test_one_document_of_each_group_stays(docs, corpus, nothing):
     assert kept.columns == docs.columns
     assert sorted(map(str, ids)) == sorted({c for d, c in found.items() if d != "None"} | {"None"})
     assert simhash.keep_one(nothing).collect() == [] and simhash.query(nothing).collect() == []
+
+
+def test_a_hubs_rows_are_split(spark):
+    """Both sides of a star's join are written, so that Spark's skew rule applies to it."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        pairs = spark.range(1, 200_000).selectExpr("if(id % 2 = 0, 0, id * 7919) AS u", "id AS v")
+        both = common.written(pairs.unionByName(pairs.selectExpr("v AS u", "u AS v")), "test-both")
+        least = common.written(both.groupBy("u").agg(F.min("v").alias("m")), "test-least")
+        found = simhash._hung(both, least)
+        assert found.write.format("noop").mode("overwrite").save() is None
+        joined = both.join(least, "u")
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
