@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..functions.caching import hold
 
 #: Work bounds of the profile: cells and pairs of the variogram, cells of the landscape sample.
 VARIOGRAM_CELLS, VARIOGRAM_PAIRS, LANDSCAPE_CELLS = 3000, 20_000, 5000
@@ -66,7 +67,7 @@ def nearest_distances(cells: DataFrame, extent: int) -> DataFrame:
             return found if done is None else done.unionByName(found)
         found = found.filter(F.col("distance") <= side)
         done = found if done is None else done.unionByName(found)
-        left = left.join(found.select("row", "col"), ["row", "col"], "left_anti")
+        left = hold(left.join(found.select("row", "col"), ["row", "col"], "left_anti"))  # else each round repeats those before
         if left.isEmpty():
             return done
         side *= 4

@@ -1,9 +1,10 @@
-"""Selection criteria: novelty, continuous Boyce index, importance-weighted AUC, composite scores, regret."""
+"""Selection criteria: novelty (MESS, ExDet), continuous Boyce index, importance weights and weighted AUC, composite scores, regret."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,57 @@ def mess(grid: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("novel", F.col("mess") < 0).drop(*[f"_r{i}" for i in range(k)])
 
 
+def exdet(grid: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """Adds exdet: below 0 where a predictor leaves the reference's range, by the summed share of that range; else the squared
+    Mahalanobis distance to the reference's mean over its greatest there, above 1 for combinations that it lacks.
+
+    NULL where a predictor is missing. The reference comes as one row of ranges, means and products; its k by k covariance is inverted at the driver.
+    """
+    layer = lambda i: F.get("predictors", F.lit(i))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    stats = reference.agg(*[f(layer(i)).alias(f"{n}{i}") for n, f in (("low", F.min), ("high", F.max), ("mean", F.avg)) for i in range(k)], *[F.covar_pop(layer(i), layer(j)).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    if stats["low0"] is None:
+        return grid.withColumn("exdet", F.lit(None).cast("double"))
+    covariance = np.zeros((k, k))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = stats[f"c{i}_{j}"]
+    inverse = np.linalg.pinv(covariance)
+    apart = [layer(i) - F.lit(stats[f"mean{i}"]) for i in range(k)]
+    squared = sum([F.lit(float(inverse[i, j])) * apart[i] * apart[j] for i in range(k) for j in range(k)], F.lit(0.0))
+    most = reference.agg(F.max(squared)).first()[0]
+
+    def outside(i: int) -> Column:
+        low, high = stats[f"low{i}"], stats[f"high{i}"]
+        return F.least(F.lit(0.0), layer(i) - F.lit(low), F.lit(high) - layer(i)) / F.lit((high - low) or 1.0)
+
+    beyond = sum([outside(i) for i in range(k)], F.lit(0.0))
+    whole = F.forall("predictors", lambda x: x.isNotNull())
+    return grid.withColumn("exdet", F.when(whole, F.when(beyond < 0, beyond).otherwise(squared / F.lit(most or 1.0))))
+
+
+def importance_weights(rows: DataFrame, landscape: DataFrame, k: int, bins: int = 3) -> DataFrame:
+    """Adds weight: how much commoner a record's environment is in the landscape than among ``rows`` (predictors).
+
+    An environment is a cell of ``bins`` quantile bins of each predictor of the landscape. Scores under these weights estimate
+    what they would be over the landscape. NULL where a predictor is missing.
+    """
+    at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
+    edges = landscape.agg(*[F.percentile(F.get("predictors", F.lit(i)), at).alias(f"_e{i}") for i in range(k)])
+
+    def passed(i: int) -> Column:
+        return F.size(F.filter(f"_e{i}", lambda e: e <= F.get("predictors", F.lit(i))))
+
+    def placed(df: DataFrame) -> DataFrame:
+        df = df.join(F.broadcast(edges))  # one row
+        own = F.concat_ws(":", *map(passed, range(k)))
+        return df.withColumn("_cell", F.when(F.forall("predictors", lambda x: x.isNotNull()), own)).drop(*[f"_e{i}" for i in range(k)])
+
+    every = Window.partitionBy()  # a row a cell
+    share = lambda df, name: placed(df).filter("_cell IS NOT NULL").groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", (F.col("_n") / F.sum("_n").over(every)).alias(name))
+    ratio = share(rows, "_own").join(share(landscape, "_all"), "_cell", "left").select("_cell", F.coalesce(F.col("_all") / F.col("_own"), F.lit(0.0)).alias("weight"))
+    return placed(rows).join(F.broadcast(ratio), "_cell", "left").drop("_cell")
+
+
 def boyce_bins(scored: DataFrame, bins: int = BOYCE_BINS) -> DataFrame:
     """(bin, presences, available, ratio) from rows (label, score in [0, 1]): shares of presences over shares of all, by equal bins."""
     which = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")

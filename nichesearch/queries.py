@@ -537,6 +537,37 @@ def novelty_mess(spark, sf):
     return selection.mess(g, reference, K).select("row", "col", six("mess", "mess"))
 
 
+@query(
+    f""", ref AS (SELECT min(p1) AS lo1, max(p1) AS hi1, avg(p1) AS m1, min(p2) AS lo2, max(p2) AS hi2, avg(p2) AS m2, var_pop(p1) AS a, covar_pop(p1, p2) AS b, var_pop(p2) AS c FROM (SELECT * FROM {_CORNER})),
+far AS (SELECT max((c * (p1 - m1) ** 2 - 2 * b * (p1 - m1) * (p2 - m2) + a * (p2 - m2) ** 2) / (a * c - b * b)) AS top FROM (SELECT * FROM {_CORNER}), ref),
+nt AS (SELECT "row", col, least(0, p1 - lo1, hi1 - p1) / (hi1 - lo1) + least(0, p2 - lo2, hi2 - p2) / (hi2 - lo2) AS one, (c * (p1 - m1) ** 2 - 2 * b * (p1 - m1) * (p2 - m2) + a * (p2 - m2) ** 2) / (a * c - b * b) / top AS two FROM valid, ref, far)
+SELECT "row", col, round(CASE WHEN one < 0 THEN one ELSE two END, 6) AS exdet FROM nt"""
+)
+def novelty_exdet(spark, sf):
+    g = profile_stats.valid_cells(grid(spark, sf))
+    reference = profile_stats.sample_cells(g.filter("row < 30"), 200, SEED, "reference")
+    return selection.exdet(g, reference, K).select("row", "col", six("exdet", "exdet"))
+
+
+_CELL = "len(list_filter((SELECT quantile_cont({p}, [1/3, 2/3]) FROM valid), lambda x: x <= {p}))"
+
+
+@query(
+    f""", own AS (SELECT record_id, {_CELL.format(p="p1")} AS c1, {_CELL.format(p="p2")} AS c2 FROM sampled), every AS (SELECT {_CELL.format(p="p1")} AS c1, {_CELL.format(p="p2")} AS c2 FROM valid),
+s AS (SELECT c1, c2, count(*) / (SELECT count(*) FROM own) AS share FROM own GROUP BY 1, 2), l AS (SELECT c1, c2, count(*) / (SELECT count(*) FROM every) AS share FROM every GROUP BY 1, 2)
+SELECT record_id, round(l.share / s.share, 6) AS weight FROM own JOIN s USING (c1, c2) JOIN l USING (c1, c2)"""
+)
+def importance_weights(spark, sf):
+    return selection.importance_weights(_sampled(spark, sf), profile_stats.valid_cells(grid(spark, sf)), K).select("record_id", six("weight", "weight"))
+
+
+@query(
+    f"""SELECT "row", col FROM (SELECT "row", col, count(*) AS n FROM occ GROUP BY 1, 2) JOIN grid USING ("row", col) ORDER BY -ln({_u("target_group", "\"row\" || ':' || col")}) / n, "row", col LIMIT 150"""
+)
+def target_group_background(spark, sf):
+    return stages.target_group_background(stages.full_extent(grid(spark, sf)), occ(spark, sf), 150, SEED).select("row", "col")
+
+
 _SUIT = ", sq AS (SELECT label, least(1, greatest(0, score)) AS score FROM sc)"
 
 
