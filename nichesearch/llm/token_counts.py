@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 LIMIT = 1024
-#: Digests of 16 bytes that may be broadcast.
-BROADCAST_DIGESTS = 500_000
+#: Digests of 16 bytes that may be broadcast: some 2 MB as a table of a join.
+BROADCAST_DIGESTS = 20_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -64,13 +64,14 @@ def fill(docs: DataFrame, cache: str, path: str) -> str:
     spark, tokenizer = docs.sparkSession, tokens.digest(path)
     common.small_batches(spark)
     contents = docs.select(content_digest(F.col("text")).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
+    lacking = None
     if exists(spark, cache):
         lacking = common.written(contents.select("digest").distinct().join(cached(spark, cache, tokenizer), "digest", "left_anti"), "token-misses")
         if lacking.count() <= BROADCAST_DIGESTS:
-            contents = contents.join(F.broadcast(lacking), "digest", "left_semi")
-        else:
-            contents = contents.mapInArrow(_firsts, "digest binary, text string").join(lacking.hint("shuffle_hash"), "digest", "left_semi")
+            contents, lacking = contents.join(F.broadcast(lacking), "digest", "left_semi"), None
     dealt = contents.mapInArrow(_firsts, "digest binary, text string").repartition("digest")
+    if lacking is not None:
+        dealt = dealt.join(lacking.hint("shuffle_hash"), "digest", "left_semi")  # where the texts are: only digests move
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(path)
