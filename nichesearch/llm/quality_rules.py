@@ -147,11 +147,10 @@ def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected_at(i)).alias(f"k{i}") for i in range(LEVELS)])
     counts = counts.withColumn("pool", F.when(F.col("n") < LEAST, -1).otherwise(F.col("stratum")))  # a row a stratum from here on
     pools = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in ("n", *[f"k{i}" for i in range(LEVELS)])])
-    level, open_ = F.lit(None).cast("int"), F.lit(True)
-    for i in reversed(range(LEVELS)):
-        open_ = open_ & admitted(F.col(f"k{i}"), F.col("n"))
-        level = F.when(open_, F.lit(i)).otherwise(level)
-    pools = pools.select("pool", level.alias("level")).filter("level is not null")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), F.col(f"k{i}").alias("k")) for i in range(LEVELS)]))
+    tests = pools.select("pool", "n", each.alias("t")).select("pool", "t.level", admitted(F.col("t.k"), F.col("n")).alias("ok"))
+    first = F.coalesce(F.max(F.when(~F.col("ok"), F.col("level"))), F.lit(-1)) + 1  # the sequence ends at the laxest level that fails
+    pools = tests.groupBy("pool").agg(first.alias("level")).filter(F.col("level") < LEVELS)
     return counts.select("stratum", "pool").join(pools, "pool").select("stratum", "level")
 
 
