@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import queries
 from .functions import files
 from .operators import algorithms, stages
-from .plans import digest, executor, priors, proposer
+from .plans import cards, digest, executor, priors, proposer
 from .plans.builtin import default_registry, profile_context
 from .plans.store import ArtifactStore
 from .queries import _NICHE, _RANGE, _SHIFT, _USABLE, BETA, BLOCK, FOLDS, INTERCEPT, SEED, SIDE, TRANSFORM, K, _R, _u, query, six
@@ -369,3 +369,22 @@ def learner_defaults(spark, sf):
     one, two = algorithms.logistic(250, {}, SEED), algorithms.boosted(250, {}, SEED)
     rows = [("C", 1 / (250 * one.getRegParam())), ("logistic regParam", one.getRegParam()), ("logistic maxIter", float(one.getMaxIter())), ("gbm maxIter", float(two.getMaxIter())), ("gbm maxDepth", float(two.getMaxDepth())), ("gbm stepSize", two.getStepSize())]
     return spark.createDataFrame(rows, "parameter string, value double")
+
+
+@query("SELECT candidate_id, stage, true AS named, true AS linked FROM (VALUES " + ", ".join(map(str, _STEPS)) + ") AS s(candidate_id, place, stage, method, backend, n_artifacts, n_gaps)")
+def step_cards(spark, sf):
+    """A page for each step, put into the store and read back."""
+    root, result = _executed(spark, sf)
+    store = ArtifactStore(root, spark)
+    steps = [r for c in result.candidates for r in c.step_records]
+    pages = [store.read_bytes(a).decode() for a in cards.put_cards(store, result)]
+    rows = [(r.candidate_id, r.stage, f"<h1>{r.candidate_id}: {r.stage}</h1>" in page, all(a.digest in page for a in r.artifacts)) for r, page in zip(steps, pages, strict=True)]
+    return spark.createDataFrame(rows, "candidate_id string, stage string, named boolean, linked boolean")
+
+
+@query("SELECT * FROM (VALUES ('nowhere.csv', 0, 0), ('p1.tif', 1, 64), ('p2.tif', 1, 64)) AS f(file, n_files, digest_length)")
+def run_provenance(spark, sf):
+    """Digests of the files that the run read; the folder of occurrences has as many parts as Spark wrote, and is left out."""
+    told = cards.provenance(spark, _executed(spark, sf)[1])
+    rows = [(p.rsplit("/", 1)[-1], len(x), max(map(len, x), default=0)) for p, x in told["files"].items() if not p.endswith("/occurrences")]
+    return spark.createDataFrame(rows, "file string, n_files int, digest_length int")
