@@ -47,7 +47,7 @@ REMEMBERED = 64
 #: Odd factors of the words of a shingle.
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 #: Hashes of words that a task remembers.
-_REMEMBERED = 1 << 18
+_REMEMBERED = 1 << 17
 
 
 class _Hashes(dict):

@@ -15,7 +15,8 @@ alternating large and small stars on tables in the shared folder.
 
 Defined cases: a text without words (null, empty) has fingerprint zero and links like any
 other; fewer than three words are one shingle; repeated rows get equal results; a null
-doc_id gets its component's smallest id, null if there is none; an empty table gives none;
+doc_id gets its component's smallest id, null if there is none; a bit set in exactly half of the
+shingles is 0; a text of any length is read whole; an empty table gives none;
 other columns are ignored.
 """
 

@@ -7,7 +7,7 @@ change a count. Counting joins the documents' digests to the cache; distinct mis
 appended; copies are dropped before they are shuffled.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows and copies get
-the same count from one encoding; an empty table adds nothing to the cache; other columns
+the same count from one encoding; a text of any length is counted whole; ties mean nothing here; an empty table adds nothing to the cache; other columns
 are ignored. A file appended twice by a repeated task gives equal rows, which are grouped
 on reading.
 """
