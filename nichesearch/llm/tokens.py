@@ -256,22 +256,22 @@ class Encoder:
             k += 1
             own = own[sizes[own] > 8 * k]
 
-    def _hashed(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def _hashed(self, sizes: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Never 0."""
         hashes = sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for own, word in self._words(data, starts, sizes):
+        for own, word in words:
             x = (hashes[own] ^ word) * np.uint64(0xD6E8FEB86659FD93)
             hashes[own] = (x ^ x >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F)
         hashes ^= hashes >> np.uint64(29)
         return hashes | np.uint64(1)
 
-    def _same(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def _same(self, sizes: np.ndarray, words: list[tuple[np.ndarray, np.ndarray]], places: np.ndarray) -> np.ndarray:
         """Whether each chunk is the one kept at its place, byte by byte."""
         kept, first = self.chunks.flat, self.chunks.starts[places]
         same = (places >= 0) & (self.bytes[places] == sizes)
-        at = np.flatnonzero(same)
-        for k, (own, word) in enumerate(self._words(data, starts[at], sizes[at])):
-            same[at[own]] &= kept[first[at[own]] + k] == word
+        for k, (own, word) in enumerate(words):
+            # a chunk of another size may be shorter than this one: its words are not looked at
+            same[own] &= kept[np.where(same[own], first[own] + k, 0)] == word
         return same
 
     def _keep(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
@@ -287,24 +287,25 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.int64), counts, np.zeros(0, np.uint32)
         short = np.flatnonzero(sizes <= LONG)
-        hashes, places = np.zeros(len(starts), np.uint64), np.full(len(starts), -1, np.int32)
-        hashes[short] = self._hashed(data, starts[short], sizes[short])
-        places[short] = self.table.find(hashes[short])
-        new = short[places[short] < 0]
-        if len(new):
-            if self._full(len(new)):
+        words = list(self._words(data, starts[short], sizes[short]))
+        hashes = self._hashed(sizes[short], words)
+        found = self.table.find(hashes)
+        if (found < 0).any():
+            if self._full(int((found < 0).sum())):
                 self._make_room()
-                places[short] = self.table.find(hashes[short])
-                new = short[places[short] < 0]
+                found = self.table.find(hashes)
+            new = np.flatnonzero(found < 0)
             _, first = np.unique(hashes[new], return_index=True)
-            at = new[first][: MAX_CHUNKS - self.table.n]
+            first = new[first][: MAX_CHUNKS - self.table.n]
+            at = short[first]
             ids, lengths = self._encoded([data[a : a + n].tobytes() for a, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
             self.bytes[self.table.n : self.table.n + len(at)] = sizes[at]
-            self.table.add(hashes[at])
+            self.table.add(hashes[first])
             self._keep(data, starts[at], sizes[at])
             self.ids.add(ids, lengths)
-            places[new] = self.table.find(hashes[new])
-        same = self._same(data, starts, sizes, places)
+            found[new] = self.table.find(hashes[new])
+        same, places = np.zeros(len(starts), bool), np.full(len(starts), -1, np.int32)
+        same[short], places[short] = self._same(sizes[short], words, found), found
         lengths = np.where(same, self.ids.sizes[places], 0).astype(np.int64)
         own = places[same]
         self.uses[own] = np.minimum(self.uses[own], 2) + 1  # portions that had it
