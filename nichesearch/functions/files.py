@@ -17,6 +17,11 @@ def at(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = at(spark, path)
+    return fs.exists(place)
+
+
 def save(spark: SparkSession, path: str, data: bytes) -> str:
     """Write a file of the driver's; it has its name once it is whole."""
     fs, place = at(spark, path)

@@ -24,9 +24,16 @@ from .schema import CandidatePlan, MethodologySpec, MethodSpec, RealDataSource,
 from .sources import loader, rasters
 
 
-@lru_cache(maxsize=8)
 def _fixture(spark: SparkSession, sf: str) -> str:
     """A folder with p1 and p2 as .npy and .tif, and the occurrences as CSV in world coordinates."""
+    if not files.exists(spark, folder := _written(spark, sf)):  # the shared folder was emptied
+        _written.cache_clear()
+        folder = _written(spark, sf)
+    return folder
+
+
+@lru_cache(maxsize=8)
+def _written(spark: SparkSession, sf: str) -> str:
     folder = files.shared_folder(spark, "fixture")
     values = np.full((K, SIDE, SIDE), np.nan)
     for r in queries.grid(spark, sf).toLocalIterator():  # at most SIDE * SIDE cells
@@ -229,9 +236,15 @@ def _plan(name: str, source, algorithm: str) -> CandidatePlan:
     return CandidatePlan(name, source, MethodologySpec(MethodSpec("drop_duplicate_cells"), MethodSpec("full_extent"), MethodSpec("standardize"), split, MethodSpec(algorithm)), random_seed=SEED)
 
 
-@lru_cache(maxsize=8)
 def _executed(spark: SparkSession, sf: str) -> tuple[str, RunResult]:
     """One candidate that runs, one with a gap, one whose source has a gap; the store's folder."""
+    if not files.exists(spark, _run(spark, sf)[0]):
+        _run.cache_clear()
+    return _run(spark, sf)
+
+
+@lru_cache(maxsize=8)
+def _run(spark: SparkSession, sf: str) -> tuple[str, RunResult]:
     source = _real(spark, sf)
     plans = [_plan("a", source, "logistic"), _plan("b", source, "maxent"), _plan("c", source.replace(occurrences_path="nowhere.csv"), "logistic")]
     root = files.shared_folder(spark, "store")

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from nichesearch import queries
+from nichesearch.operators import selection, stages
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -33,3 +34,12 @@ def test_ranks_do_not_gather_rows(spark):
 @pytest.mark.parametrize("name", ["profile_volume", "profile_temporal", "cv_auc_summary"])
 def test_aggregations_combine_before_the_shuffle(spark, name):
     assert "partial_" in plan(queries.QUERIES[name](spark, SMALL))
+
+
+def test_no_window_orders_all_scores(spark):
+    """Places among scores come from ranges of them, with and without groups."""
+    scored = queries._scored(spark, SMALL)
+    for text in (plan(stages.auc(scored)), plan(stages.auc(scored, ["fold"])), plan(selection.weighted_auc(scored.withColumn("weight", scored.label * 1.0 + 1)))):
+        specs = re.findall(r"windowspecdefinition\(([^)]*)\)", text)
+        assert any("_range" in s and "score" in s for s in specs)
+        assert all("_range" in s for s in specs if "score" in s)
