@@ -12,7 +12,9 @@ _held: ContextVar[list[DataFrame] | None] = ContextVar("held", default=None)
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """``df`` cached; released when the innermost ``scope`` ends, or by the caller where there is none."""
+    """``df`` cached; released when the innermost ``scope`` ends, or by the caller where there is none. One that is cached already stays its owner's."""
+    if df.storageLevel.useMemory or df.storageLevel.useDisk:
+        return df
     df = df.cache()
     if (frames := _held.get()) is not None:
         frames.append(df)

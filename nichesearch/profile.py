@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from .functions.caching import hold, scope
 from .operators import profile_stats as stats
 from .operators import stages
 from .schema import Assumption, Record
@@ -84,7 +85,12 @@ class DataProfile(Record):
 
 
 def build_profile(ctx: SdmContext, seed: int = 42) -> tuple[DataProfile, list[Assumption]]:
-    """A handful of aggregations, each collected as one small row."""
+    """A handful of aggregations, each collected as one small row; the source is read once for all."""
+    with scope():
+        return _measured(ctx.with_(grid=hold(ctx.grid), occurrences=hold(ctx.occurrences)), seed)
+
+
+def _measured(ctx: SdmContext, seed: int) -> tuple[DataProfile, list[Assumption]]:
     said: list[Assumption] = []
     grid, occ, k = ctx.grid, ctx.occurrences, ctx.k
     valid = stats.valid_cells(grid)

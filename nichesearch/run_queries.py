@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from . import queries
 from .functions import files
+from .functions.caching import hold
 from .operators import algorithms, stages
 from .plans import cards, digest, executor, priors, proposer
 from .plans.builtin import default_registry, profile_context
@@ -372,6 +373,7 @@ def stage_chain(spark, sf):
     registry = default_registry()
     context, _ = loader.load_data_source(spark, _real(spark, sf), SEED)
     plan = _plan("chain", _real(spark, sf), "logistic")
+    context = context.with_(grid=hold(context.grid), occurrences=hold(context.occurrences))
     for stage, spec in plan.methodology.steps()[:-1]:
         context = registry.resolve(stage, spec).backend.run(spec, context, SEED).context
     return context.occurrences.groupBy("fold", "label").agg(F.count("*").alias("n"))

@@ -59,7 +59,7 @@ def test_without_a_profile_or_a_backend(spark):
 
 
 def test_a_budget_draws_by_weight_and_reaches_all(spark):
-    drawn = [propose(SOURCE, default_registry(), profile=profile(), max_candidates=1, random_seed=s) for s in range(25)]
+    drawn = [propose(SOURCE, default_registry(), profile=profile(), max_candidates=1, random_seed=s) for s in range(10)]
     firsts = [p[0][0].candidate_id for p in drawn]
     assert len(set(firsts)) > 1 and firsts.count("gbm+spatial_block") > firsts.count("logistic+random_kfold")
     assert {a.code for p in drawn for a in p[1]} == {"search_space_sampled"}
