@@ -56,12 +56,12 @@ def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
 def _grams(pieces: list[str]) -> list[np.ndarray]:
     """Buckets at each position of the joined pieces, for both lengths."""
     u = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    base, mix, shift = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
-    square = base * base
+    base, square = (np.uint64(0x100000001B3**i % 2**64) for i in (1, 2))
+    mix, shift = np.uint64(0x9E3779B97F4A7C15), np.uint64(64 - BITS)
     two = u[:-1] * base + u[1:]
     four = two[:-2] * square + two[2:] if len(two) > 2 else two[:0]
     six = four[:-2] * square + two[4:] if len(four) > 2 else two[:0]
-    return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i) * mix >> shift).astype(np.int32) for i, x in enumerate((four, six))]
+    return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i * int(mix) % 2**64) >> shift).astype(np.int32) for i, x in enumerate((four, six))]
 
 
 def _found(texts: list[str | None], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
