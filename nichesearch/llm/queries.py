@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontamination, language_id, mixture, quality_mil, quality_rules, secret_scan, simhash, token_counts, token_files, toxicity
+from . import common, decontamination, language_id, mixture, quality_mil, quality_rules, secret_scan, simhash, token_counts, token_files, toxicity, warc, whitening
 
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,17 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(common.documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are archived, then every one of their URLs is looked up in the index and its records are read."""
+    pages, folder = spark.read.parquet(f"{sf_dir}/pages.parquet"), common.shared_path(spark, "warc")
+    warc.write(pages, folder)
+    return warc.fetch(spark, folder, pages.select("url")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.query(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_secret_scan": op2_secret_scan,
@@ -70,8 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op8_simhash": op8_simhash,
     "op6_decontamination": op6_decontamination,
+    "op11_warc": op11_warc,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle(),
+    "op11_warc": warc.ORACLE,
 }
