@@ -53,12 +53,12 @@ def random_background(grid: DataFrame, n: int, seed: int) -> DataFrame:
     return grid.filter("accessible").orderBy(draws.order_key(seed, "background", F.col("row"), F.col("col")), "row", "col").limit(n)
 
 
-def target_group_background(grid: DataFrame, effort: DataFrame, n: int, seed: int) -> DataFrame:
+def target_group_background(grid: DataFrame, effort: DataFrame, n: int, seed: int, weight: str | None = None) -> DataFrame:
     """n accessible cells with chances by their records in ``effort`` (row, col), a target group's: background that shares the sampling bias.
 
-    Without replacement, by the least of -ln(u) / records; cells without any are not drawn.
+    A row of ``effort`` is a record, or as many as its ``weight`` column says. Without replacement, by the least of -ln(u) / records; cells without any are not drawn.
     """
-    counts = effort.groupBy("row", "col").agg(F.count("*").alias("_records"))
+    counts = effort.groupBy("row", "col").agg((F.sum(weight) if weight else F.count("*")).alias("_records")).filter("_records > 0")
     race = -F.ln(draws.uniform(seed, "target_group", F.col("row"), F.col("col"))) / F.col("_records")
     return grid.filter("accessible").join(counts, ["row", "col"]).orderBy(race, "row", "col").limit(n).drop("_records")
 
