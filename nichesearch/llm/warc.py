@@ -322,7 +322,8 @@ def read(spark: SparkSession, folder: str, captures: DataFrame, payloads: bool =
             yield _batch(found, schema)
 
     stretch = F.floor(F.col("offset") / STRETCH).cast("long").alias("stretch")
-    return captures.select("file", "offset", "length", stretch).repartition("file", "stretch").sortWithinPartitions("file", "offset").drop("stretch").mapInArrow(run, schema)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # given, or captures would be joined to few tasks for their small rows
+    return captures.select("file", "offset", "length", stretch).repartition(tasks, "file", "stretch").sortWithinPartitions("file", "offset").drop("stretch").mapInArrow(run, schema)
 
 
 def _records(request: Callable, group: list[tuple]) -> Iterator[dict]:
