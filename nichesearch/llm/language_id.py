@@ -17,12 +17,14 @@ hashed place in its text.
 Defined cases: null or letterless texts give ``und``, score 0, rejected; ties go to the
 language that sorts first and are rejected; with no labelled text every prediction is
 ``und``; with one learned language it is predicted with score 1; repeated rows are each
-predicted; columns other than ``doc_id``, ``text`` and ``lang`` are ignored.
+predicted; texts of any length are judged whole; an empty table gives no rows; columns other than
+``doc_id``, ``text`` and ``lang`` are ignored. Numerals that are no letters (``½``, ``²``, ``①``) count as none.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +41,9 @@ LEVEL, BLOCK_BYTES = 9, 4 * 1024
 #: A margin under this share of the best size, or under so many bytes, rejects.
 MARGIN_SHARE, MARGIN_BYTES = 0.01, 2
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What Python counts as a word character and is no letter, beside digits: fractions, superscripts, enclosed numbers and the like.
+_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin_bytes long, rejected boolean"
 
 

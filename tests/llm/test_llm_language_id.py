@@ -70,3 +70,11 @@ def test_the_sample_is_bounded_and_all_of_it_counts(make):
     found = language_id.learn(make(rows))
     assert max(map(len, found.values())) <= language_id.DICTIONARY_BYTES
     assert len(set(found["en"].split())) >= language_id.SAMPLE_DOCS // 2 and found["de"].count(b"nummer") == 1
+
+
+def test_numerals_are_no_letters(make, docs):
+    texts = ["½", "² ³", "12 ①", "Ⅷ", "_", "…", "١٢", "aª", "ж", "日", "½é"]
+    found = {r.doc_id: r for r in language_id.identify(make([row(i, t) for i, t in enumerate(texts)]), language_id.learn_from(docs)).collect()}
+    for i, t in enumerate(texts):
+        assert (found[i].lang_pred == "und") == (not any(c.isalpha() for c in t)), t
+    assert language_id.letters("x²y ½z 3w") == b"x y z w"
