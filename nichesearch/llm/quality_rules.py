@@ -7,7 +7,8 @@ good ones a level would reject: k of n. Levels are tested in a fixed sequence fr
 on: a level is admitted if it and all laxer ones have an exact binomial (Clopper-Pearson)
 upper bound of the rate of good documents rejected, by all rules together, of at most
 ``ALPHA`` at confidence 1 - ``DELTA`` / strata. The bound is at most alpha exactly where
-P(Binomial(n, alpha) <= k) <= delta, which is what is computed. The sequence needs no
+P(Binomial(n, alpha) <= k) <= delta, which is what is computed. Trials are distinct texts: a
+text that is repeated, under one id or several, counts once. The sequence needs no
 correction for the number of levels or rules, and Bonferroni's covers the strata. The
 strictest admitted level of a stratum is used; strata with fewer good labels than any test
 needs are pooled; where no level is admitted the rules stay off.
@@ -15,7 +16,7 @@ needs are pooled; where no level is admitted the rules stay off.
 Defined cases: a null text has no word, so it fails the base rules; repeated rows are each
 judged; a measure equal to its cutoff passes; texts of any length are measured whole, in
 arrays of their words; other columns are ignored; repeated labels of a document count once, by the lowest
-quality; with no labels only the base rules decide; an empty table gives none.
+quality, and of equal texts one is enough that is labelled good; with no labels only the base rules decide; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -89,12 +90,13 @@ def _repeat_words(df: DataFrame) -> DataFrame:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """(doc_id, the counts, base_failed, stratum) of each row of (doc_id, text)."""
+    """(doc_id, text_hash, the counts, base_failed, stratum) of each row of (doc_id, text)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("words", common.words_of(F.col("text")))
     df = df.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(common.SPACE)) != ""))
     df = df.select(
         "doc_id",
+        F.xxhash64("text").alias("text_hash"),
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -143,7 +145,7 @@ def rejected_at(level: int) -> Column:
 def thresholds(measured: DataFrame, labels: DataFrame) -> DataFrame:
     """(stratum, level): the strictest admitted level of each stratum that has any."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1")
-    known = measured.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi")
+    known = measured.filter(~F.col("base_failed")).join(good.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["text_hash"])
     counts = known.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(rejected_at(i)).alias(f"k{i}") for i in range(LEVELS)])
     counts = counts.withColumn("pool", F.when(F.col("n") < LEAST, -1).otherwise(F.col("stratum")))  # a row a stratum from here on
     pools = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in ("n", *[f"k{i}" for i in range(LEVELS)])])
@@ -188,7 +190,7 @@ win AS (SELECT rid, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS x
         FROM (SELECT rid, words, unnest(range(1, len(words) - {WINDOW - 2})) AS i FROM w WHERE len(words) > {WINDOW})),
 rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, x) > 1),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM rep, range({WINDOW}) AS t(k) GROUP BY rid),
-m0 AS (SELECT d.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+m0 AS (SELECT d.rid, doc_id, md5(text) AS text_hash, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
         CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
@@ -196,7 +198,7 @@ m0 AS (SELECT d.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(
         FROM d JOIN w USING (rid) LEFT JOIN cov USING (rid)),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {bands} AS stratum FROM m0),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-counts AS (SELECT stratum, count(*) AS n, {counts} FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good) GROUP BY stratum),
+counts AS (SELECT stratum, count(*) AS n, {counts} FROM (SELECT DISTINCT ON (text_hash) * FROM m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM good)) GROUP BY stratum),
 pools AS (SELECT CASE WHEN n < {LEAST} THEN -1 ELSE stratum END AS pool, CAST(sum(n) AS BIGINT) AS n, {", ".join(f"CAST(sum(k{i}) AS BIGINT) AS k{i}" for i in range(LEVELS))} FROM counts GROUP BY 1),
 tests AS (SELECT pool, n, unnest(range({LEVELS})) AS level, unnest([{", ".join(f"k{i}" for i in range(LEVELS))}]) AS k FROM pools),
 passed AS (SELECT pool, level, CASE WHEN k < n * {ALPHA!r} THEN {cdf} <= {EACH!r} ELSE false END AS ok FROM tests),

@@ -65,10 +65,11 @@ def test_levels_equal_brute_force(spark, make):
         return "\n".join(lines + lines[:1] * (rng.random() < 0.1) * 3)
 
     rows = [row(i, body(n, rng.random() ** 6)) for i, n in enumerate([40] * 300 + [100] * 700 + [400] * 60 + [1500] * 20)]
+    rows += rows[400:700] + [row(5001 + 140 * i, rows[500][1]) for i in range(300)]  # repeated rows, and copies under other ids
     labels = spark.createDataFrame([(r[0], int(r[0] % 20 != 0)) for r in rows if r[0] % 7], "doc_id long, quality int")
     measured = common.written(quality_rules.measure(make(rows)), "test-measures")
     got = {r.stratum: r.level for r in quality_rules.thresholds(measured, labels).collect()}
-    good = [r for r in measured.collect() if r.doc_id % 7 and r.doc_id % 20 and not r.base_failed]
+    good = list({r.text_hash: r for r in measured.collect() if r.doc_id % 7 and r.doc_id % 20 and not r.base_failed}.values())
     sizes = Counter(r.stratum for r in good)
     pool = {s: s if n >= quality_rules.LEAST else -1 for s, n in sizes.items()}
     assert -1 in pool.values() and len(set(pool.values())) > 1
@@ -87,6 +88,15 @@ def test_levels_equal_brute_force(spark, make):
         assert kept[r.doc_id] == (not r.base_failed and not any(r[quality_rules.MEASURES[x][0]] > r[quality_rules.MEASURES[x][1]] * c for x, c in cuts.items()))
 
 
+def test_a_repeated_document_is_one_trial(spark, make):
+    good = " ".join(f"word{i}" for i in range(80))
+    labels = spark.createDataFrame([(i, 1) for i in range(500)], "doc_id long, quality int")
+    for rows in ([row(1, good)] * 400, [row(i, good) for i in range(400)]):
+        assert quality_rules.thresholds(quality_rules.measure(make(rows)), labels).count() == 0
+    apart = [row(i, f"{good} n{i}") for i in range(400)]
+    assert quality_rules.thresholds(quality_rules.measure(make(apart)), labels).count() == 1
+
+
 def test_without_labels_or_rows_only_base_rules_decide(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.assess(nothing, none).collect() == []
