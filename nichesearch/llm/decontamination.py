@@ -13,7 +13,7 @@ The search is exact. In each entry the commonest terms that together stay below
 ``COMMON`` are set apart, as they cannot lift a score over the threshold alone. The other
 postings, by blocks of entries with their greatest impact, give a window an upper bound for
 each block; blocks whose bound is below the threshold are skipped whole, the rest are scored
-in full. Postings are looked up for all windows of a batch at once.
+in full. As the threshold is fixed, there is no list of the best to raise it, and no pivot to move. Postings are looked up for all windows of a batch at once.
 
 Frequencies of terms and the mean length are counted over the entries of all items before
 anything is indexed. The items are then read in shards of at most ``SHARD_CHARS`` characters,
@@ -21,8 +21,8 @@ each an index that is broadcast: the size of what the driver and a worker hold i
 more items mean more passes, and how they fall into shards changes no score.
 
 Words are lower-cased, with ASCII punctuation taken for space. The answer is what follows
-an item's last line feed, else its last sentence, else its last third. Defined cases: null
-items and items without words are not searched for; texts without words match nothing, and
+an item's last line feed, else its last sentence, else its last third. Defined cases: items
+with a null text or without words are not searched for; each item without an id is one of its own, with a null item_id; texts without words match nothing, and
 null texts are such; repeated documents each get their rows; an item that is repeated with its
 id counts once, equal texts under two ids each match; of windows of equal score any gives the
 same row; texts of any length are searched whole; an empty
@@ -89,13 +89,14 @@ class Statistics:
 class Index:
     """Postings of a shard's entries, whole and by block. Every (item_id, text) stands for an item of its own."""
 
-    def __init__(self, items: list[tuple[int, str]], over: Statistics):
-        self.items: list[tuple[int, int, np.ndarray, int, np.ndarray]] = []  # id; words of a shingle, and shingles, of the question and the answer
-        self.short: dict[int, dict[tuple[bytes, ...], list[int]]] = {}  # by number of words: items of a sequence
+    def __init__(self, items: list[tuple[int | None, str]], over: Statistics):
+        self.items: list[tuple[tuple[bool, int], int, np.ndarray, int, np.ndarray]] = []  # key; words of a shingle, and shingles, of the question and the answer
+        self.short: dict[int, dict[tuple[bytes, ...], list[tuple[bool, int]]]] = {}  # by number of words: items of a sequence
         self.terms: dict[bytes, int] = {}
         owner: list[int] = []  # the item of each entry
         found: list[tuple[int, int, int]] = []  # term, entry, occurrences
-        for item, text in items:
+        for place, (item_id, text) in enumerate(items):
+            item = (item_id is None, place if item_id is None else item_id)  # a key for each item, one for rows of one id
             own, cut = words(text), question_words(text or "")
             if len(own) < LEAST:
                 if own:
@@ -182,21 +183,21 @@ class Index:
             shares.append(sum(x in there for x in own.tolist()) / len(own))
         return tuple(shares) if min(shares) >= PART else None
 
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, float, float, float]]:
+    def search(self, texts: list[str | None]) -> list[tuple[int, int | None, float, float, float]]:
         """(text, item id, score, question overlap, answer overlap): by the best entry of each item in each text."""
         split = list(map(words, texts))
         best = {(i, item): (1.0, 1.0, 1.0) for i, own in enumerate(split) for item in self.quoted(own)}
         for key, found in self.ranked(split).items():
             best[key] = max(best.get(key, found), found)
-        return [(*k, *v) for k, v in sorted(best.items())]
+        return [(i, None if nameless else item, *v) for (i, (nameless, item)), v in sorted(best.items())]
 
-    def quoted(self, own: list[bytes]) -> Iterator[int]:
+    def quoted(self, own: list[bytes]) -> Iterator[tuple[bool, int]]:
         """The short items that a text holds."""
         for n, items in self.short.items():
             for found in items.keys() & set(zip(*(own[i:] for i in range(n)), strict=False)):
                 yield from items[found]
 
-    def ranked(self, split: list[list[bytes]]) -> dict[tuple[int, int], tuple[float, float, float]]:
+    def ranked(self, split: list[list[bytes]]) -> dict[tuple[int, tuple[bool, int]], tuple[float, float, float]]:
         """The longer items in each text, as in ``search``."""
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         terms = np.fromiter(map(self.terms.get, chain.from_iterable(split), repeat(-1)), np.int64, int(sizes.sum()))
@@ -217,7 +218,7 @@ class Index:
                 hit = hits.setdefault((i, int(self.owner[entry])), [0.0])
                 hit[0] = max(hit[0], score)
                 hit.append(a)
-        best: dict[tuple[int, int], tuple[float, float, float]] = {}
+        best: dict[tuple[int, tuple[bool, int]], tuple[float, float, float]] = {}
         for (i, item), (score, *begins) in hits.items():
             if shares := self.verify(item, [split[i][a : a + 2 * ENTRY] for a in sorted(set(begins))]):
                 key = (i, self.items[item][0])
@@ -246,17 +247,17 @@ def indexes(items: DataFrame) -> Iterator[Broadcast]:
     """An index for each shard of ``items`` (item_id, text), in the order of their ids; the driver holds one at a time."""
     spark = items.sparkSession
     common.small_batches(spark)
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     counted = common.written(statistics(own), "benchmark-terms")
     total = counted.filter("term is null").first()
     n, mean = (total["n"], total["length"] / max(1, total["n"])) if total else (0, 0.0)
 
-    def index(shard: list[tuple[int, str]]) -> Broadcast:
+    def index(shard: list[tuple[int | None, str]]) -> Broadcast:
         terms = spark.createDataFrame([(t.decode(),) for t in {w for _, text in shard for w in words(text)}], "term string")
         df = {r["term"].encode(): r["n"] for r in counted.join(F.broadcast(terms), "term").select("term", "n").toLocalIterator()}  # at most the words of a shard
         return spark.sparkContext.broadcast(Index(shard, Statistics(df, n, mean)))
 
-    held: list[tuple[int, str]] = []
+    held: list[tuple[int | None, str]] = []
     size = 0
     for r in own.orderBy("item_id", "text").toLocalIterator():
         if held and size + len(r["text"]) > SHARD_CHARS:

@@ -32,7 +32,7 @@ def test_planted_items_are_found_and_clean_documents_are_not(spark, make, corpus
 def brute_force(texts, items):
     """Every entry scored in every window with BM25 as it is defined, then the overlaps of the items retrieved."""
     split = lambda t: re.sub(r"[!-/:-@\[-`{-~]", " ", (t or "").lower()).split()
-    items = sorted({(i, t) for i, t, _ in items if i is not None and t})
+    items = sorted({(i, t) for i, t, _ in items if t}, key=repr)
     entries = []
     for item, text in items:
         own = split(text)
@@ -81,7 +81,7 @@ def test_search_equals_brute_force(spark, make, corpus, monkeypatch):
     texts += [" ".join(t.split()[: len(t.split()) * 2 // 3]) for t in known] + [" ".join(t.split()[len(t.split()) // 3 :]) for t in known]
     texts += [r[1] for r in corpus if len(r[1] or "") < 5000] + [f"{known[-8]} {' '.join(['the'] * 300)} {known[-9]}", None, ""]
     want = brute_force(texts, items)
-    assert {(i, item) for i, (item, t, _) in enumerate(items) if item is not None and t and t != "?!"} <= {*want}  # recall of planted items is 1
+    assert {(i, item) for i, (item, t, _) in enumerate(items) if t and t != "?!"} <= {*want}  # recall of planted items is 1
     for chars in (decontamination.SHARD_CHARS, 1500):
         monkeypatch.setattr(decontamination, "SHARD_CHARS", chars)
         found = decontamination.search(make([row(i, t) for i, t in enumerate(texts)]), spark.createDataFrame(items, ITEMS)).collect()
@@ -90,6 +90,16 @@ def test_search_equals_brute_force(spark, make, corpus, monkeypatch):
         assert all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_items_without_an_id_are_searched_for(spark, make):
+    rng = random.Random(10)
+    one, two = (text(rng, "en", 40) for _ in range(2))
+    bench = spark.createDataFrame([(None, one, 0.0), (None, two, 0.0), (None, one, 0.0), (None, "just four short words", 0.0), (7, one, 0.0)], ITEMS)
+    docs = make([row(1, f"{one} and {two}"), row(2, "so just four short words, here"), row(3, text(rng, "de", 50))])
+    found = sorted(((r.doc_id, r.item_id) for r in decontamination.search(docs, bench).collect()), key=repr)
+    assert found == [(1, 7), (1, None), (1, None), (2, None)]
+    assert [r.doc_id for r in decontamination.keep_clean(docs, bench).collect()] == [3]
+
+
 def test_a_question_without_its_answer_is_clean(spark, make):
     rng = random.Random(9)
     question, answer = text(rng, "en", 200), text(rng, "en", 6)
