@@ -5,13 +5,13 @@ measures (a hashed byte-trigram profile, shares of character classes, diversity)
 learned layer; gated attention, tanh(hV) * sigmoid(hU) against a vector w, weighs the
 passages of a bag by softmax, and a logistic unit scores the weighted sum. All learned
 parts are fitted to document labels only, by Adam on a bounded sample: about ``SAMPLE_DOCS``
-documents of a class, chosen by hashed ids, as many of them in that order as have
-``SAMPLE_PASSAGES`` passages together. Documents that are taken are taken whole.
+documents of a class, chosen by hashed ids, whatever their length. A bag of more than ``SAMPLE_PASSAGES`` passages is
+fitted by so many of them, chosen by hash from the whole text. Scores weigh every passage of
+a text, some at a time, so that a text of any length takes bounded memory beside its own.
 
 Defined cases: null and empty texts are one empty passage; repeated rows are each scored;
 with labels of one class only every score is that class, with none 0; an empty table gives
-none; passages of equal weight share the attention; other columns are
-ignored. Scoring and fitting read every passage of a text of any length.
+none; passages of equal weight share the attention; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, labelled
 
 PASSAGE, BUCKETS = 512, 256
-#: Bounds of the training sample: documents of a class, passages of a class.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 30_000
+#: Bounds of the training sample: documents of a class, passages of a document.
+SAMPLE_DOCS, SAMPLE_PASSAGES = 3000, 32
 HIDDEN, GATE, EPOCHS, BATCH, RATE, L2 = 32, 16, 16, 64, 3e-3, 1e-4
 THRESHOLD = 0.7
 WIDTH = BUCKETS + 8
@@ -40,7 +41,33 @@ _CLASSES[6, :128] = 1 - _CLASSES[:6, :128].sum(axis=0)  # other ASCII characters
 
 def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Measures of all passages (passages x WIDTH), and each text's number of passages."""
-    coded = [(x or "").encode("utf-8", "replace") for x in texts]
+    return measure([(x or "").encode("utf-8", "replace") for x in texts])
+
+
+#: Bytes whose passages are measured at once, a multiple of a passage.
+_AT_ONCE = 512 * PASSAGE
+
+
+def _portions(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Pieces of coded texts, cut between passages, and the text of each; no text comes twice in a portion."""
+    owners: list[int] = []
+    pieces: list[bytes] = []
+    size = 0
+    for i, text in enumerate(texts):
+        coded = (text or "").encode("utf-8", "replace")
+        for at in range(0, max(1, len(coded)), _AT_ONCE):
+            pieces.append(coded[at : at + _AT_ONCE])
+            owners.append(i)
+            size += len(pieces[-1])
+            if size >= _AT_ONCE:
+                yield np.array(owners), pieces
+                owners, pieces, size = [], [], 0
+    if pieces:
+        yield np.array(owners), pieces
+
+
+def measure(coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``encode``, of coded texts."""
     sizes = np.array([len(x) for x in coded], np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE))
     data = np.frombuffer(b"".join(coded), np.uint8)
@@ -66,18 +93,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
+def _attended(p: dict, x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hidden layer, both gates, and attention before the softmax, of passages."""
+    h = np.tanh((x - p["mean"]) / p["sd"] @ p["w1"] + p["b1"])
+    t, s = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
+    return h, t, s, (t * s) @ p["w"]
+
+
 def forward(p: dict, x: np.ndarray, counts: np.ndarray) -> dict:
     """Everything from passages to document scores; bags are consecutive rows."""
     at = np.cumsum(counts) - counts
-    h = np.tanh((x - p["mean"]) / p["sd"] @ p["w1"] + p["b1"])
-    t, s = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-    e = (t * s) @ p["w"]
+    h, t, s, e = _attended(p, x)
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, at), counts))
     a = e / np.repeat(np.add.reduceat(e, at), counts)
     z = np.add.reduceat(h * a[:, None], at)
     return {"at": at, "h": h, "t": t, "s": s, "a": a, "z": z, "score": _sigmoid(z @ p["c"] + p["b"][0])}
 
 
+def scores(p: dict, texts: list[str | None]) -> np.ndarray:
+    """Of whole texts: their softmax and weighted sum are carried from portion to portion."""
+    top, total, z = np.full(len(texts), -np.inf), np.zeros(len(texts)), np.zeros((len(texts), HIDDEN))
+    for owners, pieces in _portions(texts):
+        x, counts = measure(pieces)
+        at = np.cumsum(counts) - counts
+        h, _, _, e = _attended(p, x)
+        before = top[owners]
+        top[owners] = np.maximum(before, np.maximum.reduceat(e, at))
+        kept, e = np.exp(before - top[owners]), np.exp(e - np.repeat(top[owners], counts))
+        total[owners] = total[owners] * kept + np.add.reduceat(e, at)
+        z[owners] = z[owners] * kept[:, None] + np.add.reduceat(h * e[:, None], at)
+    return _sigmoid(z / total[:, None] @ p["c"] + p["b"][0])
+
+
 def backward(p: dict, x: np.ndarray, counts: np.ndarray, f: dict, y: np.ndarray, weight: np.ndarray) -> dict:
     """Slopes of the weighted mean log loss."""
     d = (f["score"] - y) * weight / len(y)
@@ -121,19 +168,18 @@ def train(bags: list[np.ndarray], y: np.ndarray, seed: int = 42) -> dict:
 def fit(docs: DataFrame, labels: DataFrame) -> dict | float:
     """The model, or the one score there is to give."""
     common.small_batches(docs.sparkSession)
-    sample = common.written(labelled.sample(docs, labels, "quality", SAMPLE_DOCS), "quality-sample")  # bounded; read twice
-    passages = F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / PASSAGE))
-    left, taken = {0: SAMPLE_PASSAGES, 1: SAMPLE_PASSAGES}, []
-    for r in sample.select("label", "doc_id", passages.alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        if r["n"] <= left[r["label"]]:
-            left[r["label"]] -= r["n"]
-            taken.append((r["doc_id"],))
-    sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long")), "doc_id")
+    sample = common.written(labelled.sample(docs, labels, "quality", SAMPLE_DOCS), "quality-sample")  # bounded
+
+    def chosen(text: str | None, doc_id: int) -> list[bytes]:
+        """A text's passages, or, of a long one, those with the least hashes."""
+        coded = (text or "").encode("utf-8", "replace")
+        n = max(1, -(-len(coded) // PASSAGE))
+        own = range(n) if n <= SAMPLE_PASSAGES else sorted(sorted(range(n), key=lambda i: xxhash.xxh64_intdigest(f"{doc_id}:{i}"))[:SAMPLE_PASSAGES])
+        return [coded[i * PASSAGE : (i + 1) * PASSAGE] for i in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, counts = encode(batch.column("text").to_pylist())
-            bags = [b.astype(np.float16).tobytes() for b in np.split(x, np.cumsum(counts)[:-1])] if len(counts) else []
+            bags = [measure(chosen(text, doc_id))[0].astype(np.float16).tobytes() for text, doc_id in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(bags, pa.binary())], names=["label", "doc_id", "x"])
 
     rows = sorted(map(tuple, sample.select("label", "doc_id", "text").mapInArrow(run, "label int, doc_id long, x binary").toLocalIterator()), key=lambda r: r[1])
@@ -152,7 +198,7 @@ def score(docs: DataFrame, model: dict | float, threshold: float = THRESHOLD) ->
             if isinstance(model, float) or not batch.num_rows:
                 p = np.full(batch.num_rows, model if isinstance(model, float) else 0.0)
             else:
-                p = np.round(forward(model, *encode(batch.column("text").to_pylist()))["score"].astype(np.float64), 5)  # sums differ by batch beyond that
+                p = np.round(scores(model, batch.column("text").to_pylist()), 5)  # sums differ by batch beyond that
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )

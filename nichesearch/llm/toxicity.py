@@ -2,14 +2,14 @@
 
 Texts are lower-cased and spaced at both ends; every run of 4 and of 6 characters (code points)
 is a feature, hashed to 2^20 buckets and counted once a document. In a bounded sample of
-about ``SAMPLE_DOCS`` labelled documents a class, chosen by hashed ids and read whole, each bucket's smoothed log ratio of toxic to other documents is taken;
-the ``FEATURES`` buckets that tell most (chi-squared) are the model. A regularised logistic regression over their
-ratios is fitted, and scores whole texts.
+about ``SAMPLE_DOCS`` labelled documents a class, chosen by hashed ids and read whole, each
+bucket's smoothed log ratio of toxic to other documents is taken. All buckets are features: a
+regularised logistic regression over their ratios is fitted, with a weight for each, and scores whole texts.
 
 Defined cases: null and empty texts are scored by the intercept alone; repeated rows are
-each scored; with labels of one class only, every score is that class; with none, 0; of
-buckets that tell as much the lower one stays; texts of any length are read whole; an empty
-table gives none; other columns are ignored.
+each scored; with labels of one class only, every score is nearly that class, with none nearly 0 (the
+logistic function 500 from its middle); texts of any length are read whole; an empty table gives
+none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from . import common, labelled
 
-#: Bound of the training sample, documents of a class; bits of a bucket; size of the model.
-SAMPLE_DOCS, BITS, FEATURES = 5000, 20, 8192
+#: Bound of the training sample, documents of a class; bits of a bucket.
+SAMPLE_DOCS, BITS = 1500, 20
 LENGTHS = (4, 6)
-SMOOTHING, L2, STEPS, RATE = 1.0, 2e-4, 200, 0.1
+#: Documents that the smoothing counts as seen in each bucket, dealt to the classes as the sample is; so rare buckets tell little.
+SMOOTHING, L2, STEPS, RATE = 100.0, 1e-3, 60, 0.1
 THRESHOLD = 0.5
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -64,58 +65,67 @@ def _grams(pieces: list[str]) -> list[np.ndarray]:
     return [((x ^ x >> np.uint64(31)) * mix + np.uint64(i * int(mix) % 2**64) >> shift).astype(np.int32) for i, x in enumerate((four, six))]
 
 
-def _found(texts: list[str | None], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of all distinct features that ``place`` (by bucket; -1: none) knows."""
-    n, pairs = int(place.max(initial=-1)) + 1, [np.zeros(0, np.int64)]
-    for owners, pieces in _portions(texts):
-        ends, owner = np.cumsum([len(x) for x in pieces]), np.array(owners, np.int64)
-        for length, own in zip(LENGTHS, _grams(pieces), strict=True):
-            feature = place[own]
-            at = np.flatnonzero(feature >= 0)
-            piece = np.searchsorted(ends, at, side="right")
-            inside = at + length <= ends[piece]
-            pairs.append(np.unique(owner[piece[inside]] * n + feature[at[inside]]))
-    both = np.unique(np.concatenate(pairs))
-    return both // max(n, 1), both % max(n, 1)
+class _Features:
+    """The distinct buckets of texts, found by marking a table of all buckets."""
 
+    def __init__(self) -> None:
+        self.owner, self.last, self.texts = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int32), 0
 
-def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents by bucket and class, and of each class; at most 2^BITS rows are brought together."""
+    def of(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(text, buckets that it has not had yet), one text after the other; a long one comes several times."""
+        for owners, pieces in _portions(texts):
+            grams, begin = _grams(pieces), 0
+            for i, piece in zip(owners, pieces, strict=True):
+                end, mark = begin + len(piece), self.texts + i + 1
+                found = np.concatenate([g[begin : max(begin, end - n + 1)] for n, g in zip(LENGTHS, grams, strict=True)])
+                found = found[self.owner[found] != mark]
+                place = np.arange(len(found), dtype=np.int32)
+                self.last[found] = place
+                found = found[self.last[found] == place]  # the last of equal ones
+                self.owner[found] = mark
+                yield i, found
+                begin = end
+        self.texts += len(texts)
+
+
+def _counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Documents by class and bucket, and of each class; at most 2^BITS rows are brought together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, docs, every = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64), np.arange(1 << BITS, dtype=np.int32)
+        counts, docs, features = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64), _Features()
         for batch in batches:
-            text, feature = _found(batch.column("text").to_pylist(), every)
-            label = np.array(batch.column("label").to_pylist(), np.int64)
-            docs += np.bincount(label, minlength=2)
-            for k in (0, 1):
-                counts[k] += np.bincount(feature[label[text] == k], minlength=1 << BITS).astype(np.int32)
+            label = batch.column("label").to_pylist()
+            docs += np.bincount(np.array(label, np.int64), minlength=2)
+            for i, found in features.of(batch.column("text").to_pylist()):
+                counts[label[i]][found] += 1
         used = np.flatnonzero(counts.any(axis=0))
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(used, -1).astype(np.int32)), *(pa.array(np.append(counts[k][used], docs[k]).astype(np.int64)) for k in (0, 1))], names=["bucket", "n0", "n1"]
         )
 
-    summed = sample.select("label", "text").mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    n0, n1 = next(((r["n0"], r["n1"]) for r in summed.filter("bucket = -1").collect()), (0, 0))
-    expected = (F.col("n0") + F.col("n1")) / F.lit(float(max(1, n0 + n1)))
-    chi = F.pow(F.col("n1") - expected * n1, F.lit(2.0)) / (expected * max(1, n1)) + F.pow(F.col("n0") - expected * n0, F.lit(2.0)) / (expected * max(1, n0))
-    top = summed.filter("bucket >= 0 and n0 + n1 >= 3").orderBy(chi.desc(), "bucket").limit(FEATURES).toPandas()
-    return top["bucket"].to_numpy(np.int64), top[["n0", "n1"]].to_numpy(np.float64), np.array([n0, n1], np.float64)
+    summed = sample.select("label", "text").mapInArrow(run, "bucket int, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    bucket, n0, n1 = (summed.column(c).to_numpy() for c in ("bucket", "n0", "n1"))
+    counts, classes = np.zeros((2, 1 << BITS), np.float32), np.zeros(2)
+    counts[:, bucket[bucket >= 0]] = np.array([n0, n1])[:, bucket >= 0]
+    classes[:] = [n[bucket < 0].sum() for n in (n0, n1)]
+    return counts, classes
 
 
-def _sparse(sample: DataFrame, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (document, feature) of the sample, and labels."""
+def _sparse(sample: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of the sample's documents in turn, the number of each, and labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = _Features()
         for batch in batches:
-            text, feature = _found(batch.column("text").to_pylist(), place)
-            parts = np.split(feature.astype("<u4"), np.searchsorted(text, np.arange(1, batch.num_rows)))[: batch.num_rows]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array([x.tobytes() for x in parts], pa.binary())], names=["label", "doc_id", "x"])
+            own: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+            for i, found in features.of(batch.column("text").to_pylist()):
+                own[i].append(found)
+            coded = [np.concatenate(x).astype("<u4").tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), pa.array(coded, pa.binary())], names=["label", "doc_id", "x"])
 
-    rows = sorted(map(tuple, sample.mapInArrow(run, "label int, doc_id long, x binary").collect()), key=lambda r: (r[1], r[2]))
-    features = [np.frombuffer(r[2], "<u4") for r in rows]
-    docs = np.repeat(np.arange(len(rows)), [len(x) for x in features])
-    return docs, np.concatenate([np.zeros(0, np.uint32), *features]).astype(np.int64), np.array([r[0] for r in rows], np.float64)
+    rows = sample.mapInArrow(run, "label int, doc_id long, x binary").toArrow().sort_by("doc_id")
+    features = [np.frombuffer(x.as_buffer(), "<u4") for x in rows.column("x")]
+    return np.concatenate([np.zeros(0, np.uint32), *features]), np.array([len(x) for x in features], np.int64), rows.column("label").to_numpy().astype(np.float64)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -127,23 +137,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     common.small_batches(docs.sparkSession)
     sample = labelled.sample(docs, labels, "toxic", SAMPLE_DOCS).repartition(docs.sparkSession.sparkContext.defaultParallelism)
     sample = common.written(sample, "toxicity-sample")  # bounded; read twice
-    buckets, counts, classes = _counts(sample)
+    counts, classes = _counts(sample)
     if not classes.all():
-        return {"buckets": np.zeros(0, np.int64), "ratios": np.zeros(0), "weights": np.zeros(0), "bias": 500.0 if classes[1] else -500.0}
-    smooth = (counts + SMOOTHING) / (classes + 2 * SMOOTHING)
-    ratio = np.log(smooth[:, 1] / smooth[:, 0])
-    place = np.full(1 << BITS, -1, np.int32)
-    place[buckets] = np.arange(len(buckets))
-    row, feature, y = _sparse(sample, place)
-    value, w, bias = ratio[feature], np.zeros(len(buckets)), float(np.log(classes[1] / classes[0]))
+        return {"ratios": np.zeros(1 << BITS), "weights": np.zeros(1 << BITS), "bias": 500.0 if classes[1] else -500.0}
+    prior = SMOOTHING * classes[:, None] / classes.sum()
+    smooth = (counts + prior) / (classes[:, None] + prior)
+    ratio = np.where(counts.any(axis=0), np.log(smooth[1] / smooth[0]), 0.0)
+    feature, sizes, y = _sparse(sample)
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(sizes)  # of documents that have features
+    weigh = (classes.sum() / (2 * classes))[y.astype(np.int64)]  # both classes as one
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, len(feature), _AT_ONCE * 4)), len(sizes)))
+    w, bias = np.zeros(1 << BITS), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):  # Adam on the whole sample
-        error = _sigmoid(np.bincount(row, value * w[feature], len(y)) + bias) - y
-        slope = np.append(np.bincount(feature, value * error[row], len(w)) / len(y) + L2 * w, error.mean())
+        z = np.full(len(y), bias)
+        if len(some):
+            z[some] += np.add.reduceat((w * ratio)[feature], (ends - sizes)[some])
+        error, slope = (_sigmoid(z) - y) * weigh, np.zeros(len(w))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = feature[ends[a] - sizes[a] : ends[b - 1]]
+            slope += np.bincount(own, np.repeat(error[a:b], sizes[a:b]), len(w))
+        slope = np.append(ratio * slope / len(y) + L2 * w, error.mean())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, bias = w - step[:-1], bias - step[-1]
-    return {"buckets": buckets, "ratios": ratio, "weights": w * ratio, "bias": float(bias)}
+    return {"ratios": ratio, "weights": w * ratio, "bias": float(bias)}
 
 
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,12 +170,15 @@ def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFra
     common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (common.fold(5) == 0).alias("held_out"), "text")
 
+    weights, bias = docs.sparkSession.sparkContext.broadcast(model["weights"]), model["bias"]  # 8 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.full(1 << BITS, -1, np.int32)
-        place[model["buckets"]] = np.arange(len(model["buckets"]))
+        features, weight = _Features(), weights.value
         for batch in batches:
-            text, feature = _found(batch.column("text").to_pylist(), place)
-            p = _sigmoid(np.bincount(text, model["weights"][feature], batch.num_rows) + model["bias"])
+            z = np.full(batch.num_rows, bias)
+            for i, found in features.of(batch.column("text").to_pylist()):
+                z[i] += weight[found].sum()
+            p = _sigmoid(z)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"]
             )

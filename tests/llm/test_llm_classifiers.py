@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -115,18 +116,19 @@ def features(text):
     return {bucket(spaced[i : i + n]) for n in toxicity.LENGTHS for i in range(len(spaced) - n + 1)}
 
 
-def test_ratios_and_scores_equal_brute_force(spark, make, monkeypatch):
+def test_ratios_and_scores_equal_brute_force(spark, make):
     rng = random.Random(6)
-    monkeypatch.setattr(toxicity, "FEATURES", 1 << 20)
     rows = [row(i, text(rng, rng.choice(("en", "fr", "de")), rng.randint(3, 20)) + (" Schwächling日本語" if i % 3 == 0 else "")) for i in range(60)] + [row(60, None), row(61, ""), row(62, "é")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     model = toxicity.fit(make(rows), labels)
     own = {r[0]: features(r[1]) for r in rows}
     sums = [sum((Counter(own[i]) for i in range(60) if (i % 3 == 0) == k), Counter()) for k in (False, True)]
-    want = {b: np.log((sums[1][b] + 1) / 22 / ((sums[0][b] + 1) / 42)) for b in sums[0] | sums[1] if sums[0][b] + sums[1][b] >= 3}
-    assert set(model["buckets"].tolist()) == set(want)
-    assert all(r == pytest.approx(want[b]) for b, r in zip(model["buckets"].tolist(), model["ratios"], strict=True))
-    weight = dict(zip(model["buckets"].tolist(), model["weights"], strict=True))
+    a, b = (toxicity.SMOOTHING * n / 60 for n in (40, 20))
+    want = {x: np.log((sums[1][x] + b) / (20 + b) / ((sums[0][x] + a) / (40 + a))) for x in sums[0] | sums[1]}
+    assert set(np.flatnonzero(model["ratios"]).tolist()) == {x for x, r in want.items() if r}
+    assert all(model["ratios"][x] == pytest.approx(r) for x, r in want.items())
+    assert not model["weights"][[x not in want for x in range(1 << toxicity.BITS)]].any()
+    weight = dict(enumerate(model["weights"].tolist()))
     for r in toxicity.score(make(rows), model).collect():
         z = model["bias"] + sum(weight.get(b, 0.0) for b in own[r.doc_id])
         assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
@@ -143,9 +145,43 @@ def test_the_sample_is_bounded_when_an_id_is_repeated(spark, make):
 
 def test_long_texts_are_cut_without_loss(monkeypatch):
     rng = random.Random(8)
-    texts = [text(rng, "de", 200), None, "x", text(rng, "fr", 40), ""]
-    every = np.arange(1 << toxicity.BITS, dtype=np.int32)
+    texts = [text(rng, "de", 200), None, "x", text(rng, "fr", 40), "", text(rng, "de", 200)]
     monkeypatch.setattr(toxicity, "_AT_ONCE", 64)
-    found, feature = toxicity._found(texts, every)
-    for i, t in enumerate(texts):
-        assert set(feature[found == i].tolist()) == features(t)
+    table, found = toxicity._Features(), [[] for _ in range(2 * len(texts))]
+    for more in (0, len(texts)):  # two batches of one task
+        for i, own in table.of(texts):
+            found[more + i] += own.tolist()
+    for own, t in zip(found, texts * 2, strict=True):
+        assert len(own) == len(set(own)) and set(own) == features(t)
+
+
+def test_scores_carried_over_portions_equal_whole_bags(monkeypatch):
+    rng = np.random.default_rng(9)
+    bags = [rng.normal(size=(n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4, 2, 7)]
+    p = quality_mil.train(bags, np.array([1.0, 0.0, 1.0, 0.0]))
+    own = random.Random(9)
+    texts = [text(own, "en", 900), None, "short", text(own, "fr", 2000), "", text(own, "de", 300), "x" * 2048]
+    whole = quality_mil.forward(p, *quality_mil.encode(texts))["score"]
+    for at_once in (512, 1024, 4096, 1 << 20):
+        monkeypatch.setattr(quality_mil, "_AT_ONCE", at_once)
+        assert quality_mil.scores(p, texts) == pytest.approx(whole, abs=1e-5)
+
+
+def test_a_long_text_is_scored_in_little_memory():
+    rng = np.random.default_rng(10)
+    p = quality_mil.train([rng.normal(size=(n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4)], np.array([1.0, 0.0]))
+    long = "Some words of a text that goes on, " * (1 << 19)  # 18 MB
+    tracemalloc.start()
+    quality_mil.scores(p, [long, "x"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(long) + (32 << 20)
+
+
+def test_long_labelled_texts_are_learned_from(spark, make):
+    """All bad documents are long, and what makes them bad stands at their end."""
+    rng = random.Random(11)
+    rows = [row(i, text(rng, "en", 60)) for i in range(60)] + [row(100 + i, text(rng, "en", 5000) + " | # | # | # |" * 1500) for i in range(12)]
+    labels = spark.createDataFrame([(r[0], int(r[0] < 100)) for r in rows], "doc_id long, quality int")
+    found = {r.doc_id: r.predicted for r in quality_mil.score(make(rows), quality_mil.fit(make(rows), labels)).collect()}
+    assert all(found[r[0]] == int(r[0] < 100) for r in rows)
