@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
 from typing import Any
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import SparkSession
 
 
@@ -44,3 +48,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def opened(path: str) -> pa.NativeFile:
+    """A file for reading by ranges, on the driver or in a task: a path, or a URI of what ``pyarrow.fs`` knows (HDFS, S3, GCS)."""
+    path = re.sub(r"^file:/+", "/", path)
+    fs, place = pa.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    return fs.open_input_file(place)

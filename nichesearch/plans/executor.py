@@ -1,23 +1,52 @@
-"""Execution of candidates: every stage resolved, run, recorded; failures end a candidate, not a run."""
+"""Execution of candidates: every stage resolved, run, recorded; failures end a candidate, not a run.
+
+A step is known by the digest of what goes into it: the contents of its tables (at first, of the source's
+files), what earlier stages left beside them, its method, backend, parameters and seed. Its tables are artifacts, and the
+next stage reads them back. With ``resume`` a step whose digest the store knows is not run again, whichever candidate or run
+made it: a changed file, parameter or seed runs what depends on it anew, and nothing else.
+"""
 
 from __future__ import annotations
 
+import json
 import time
 from dataclasses import asdict
 from datetime import UTC, datetime
 from importlib.metadata import PackageNotFoundError, version
+from pathlib import PurePosixPath
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files
 from ..functions.caching import hold, scope
-from ..schema import Assumption, CandidatePlan, CandidateResult, RunManifest, RunResult, StepRecord, UnsupportedDataSource, UnsupportedStep
+from ..schema import Artifact, Assumption, CandidatePlan, CandidateResult, DataSource, RealDataSource, RunManifest, RunResult, StepRecord, UnsupportedDataSource, UnsupportedStep
 from ..sources.loader import SdmContext, load_data_source
 from .catalogue import BackendRegistry
-from .digest import digest_obj
+from .digest import digest_obj, tree_digests
 from .store import ArtifactStore
 
 BACKLOG = "code string, message string, feature string, requested_value string"
+LINEAGE = "run_id string, candidate_id string, place int, stage string, inputs_digest string, step_digest string, reused boolean"
+#: Of a context, what a kept step states as JSON.
+_STATED = ("predictor_names", "height", "width", "occurrence_type", "transform", "crs", "has_dates")
+
+
+def source_digest(spark: SparkSession, source: DataSource) -> str:
+    """Of a source's settings, and of the names and contents of its files; a file that is not there counts as none."""
+
+    def contents(path: str) -> list[Any]:
+        try:
+            found = sorted(r["digest"] for r in tree_digests(spark, path).collect())  # a source is a handful of files
+        except Exception:  # whatever keeps Spark from reading it is the loader's to tell
+            found = []
+        return [PurePosixPath(path).name, found]
+
+    stated = source.to_dict() | {"predictor_paths": [contents(p) for p in source.predictor_paths]}
+    if isinstance(source, RealDataSource):
+        stated["occurrences_path"] = contents(source.occurrences_path)[1]
+    return digest_obj(stated)
 
 
 class _Trace:
@@ -27,14 +56,15 @@ class _Trace:
         self.plan, self.store, self.run_id = plan, store, run_id
         self.steps: list[StepRecord] = []
         self.metrics: dict[str, float] = {}
-        self.lineage = digest_obj(plan.data_source)
 
-    def add(self, stage: str, method: str, backend: str, began: float, **more) -> None:
-        record = StepRecord(stage, self.plan.candidate_id, method, backend, self.lineage, self.plan.random_seed, time.perf_counter() - began, **more)
-        self.store.record(record, self.run_id, len(self.steps))
+    def add(self, stage: str, method: str, backend: str, inputs: str, began: float, key: str = "", reused: bool = False, **more) -> None:
+        record = StepRecord(stage, self.plan.candidate_id, method, backend, inputs, self.plan.random_seed, time.perf_counter() - began, **more)
+        place = len(self.steps)
+        self.store.record(record, self.run_id, place)
+        told = {"run_id": self.run_id, "candidate_id": self.plan.candidate_id, "place": place, "stage": stage, "inputs_digest": inputs, "step_digest": key, "reused": reused}
+        files.save(self.store.spark, f"{self.store.root}/lineage/{self.run_id}/{self.plan.candidate_id}-{place:02d}.json", json.dumps(told).encode())
         self.steps.append(record)
         self.metrics |= record.metrics
-        self.lineage = digest_obj([self.lineage, stage, method, record.params, record.random_seed])
 
     def failed(self, reason: str, *gaps: UnsupportedStep) -> CandidateResult:
         plan = self.plan.replace(unsupported_steps=(*self.plan.unsupported_steps, *gaps))
@@ -44,57 +74,107 @@ class _Trace:
         return CandidateResult(self.plan, tuple(self.steps), self.metrics)
 
 
-def _keep(store: ArtifactStore, stage: str, context: SdmContext, tables: tuple[str, ...]):
-    return tuple(store.put_table(f"{stage}.{t}", getattr(context, t)) for t in tables)
+class _State:
+    """A context whose tables are artifacts."""
+
+    def __init__(self, spark: SparkSession, store: ArtifactStore):
+        self.spark, self.store = spark, store
+        self.context: SdmContext | None = None
+        self.tables: dict[str, Artifact] = {}
+
+    def digest(self) -> str:
+        """Of all that the next stage can see."""
+        stated = {c: getattr(self.context, c) for c in _STATED}
+        return digest_obj([{t: a.digest for t, a in self.tables.items()}, stated, self.extra()])
 
+    def extra(self) -> dict[str, Any]:
+        return {k: v for k, v in self.context.extra.items() if k != "model"}
 
-def execute_candidate(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str) -> CandidateResult:
-    """Load, then stage after stage; what was cached on the way is released at the end."""
+    def keep(self, stage: str, context: SdmContext, changed: tuple[str, ...]) -> tuple[Artifact, ...]:
+        """Put the changed tables into the store; the next stage reads them from there."""
+        made = {t: self.store.put_table(f"{stage}.{t}", hold(getattr(context, t))) for t in changed}
+        self.tables |= made
+        self.context = context.with_(**{t: self.store.read_table(self.spark, a) for t, a in made.items()})
+        return tuple(made.values())
+
+    def state(self, metrics: dict[str, float], said: tuple[Assumption, ...], changed: tuple[str, ...]) -> dict[str, Any]:
+        """What ``restore`` needs; a fitted model stays out."""
+        return {
+            "context": {c: getattr(self.context, c) for c in _STATED}, "extra": self.extra(), "tables": {t: asdict(a) for t, a in self.tables.items()},
+            "changed": list(changed), "metrics": metrics, "assumptions": [asdict(a) for a in said],
+        }
+
+    def restore(self, step: dict[str, Any]) -> tuple[dict[str, float], tuple[Assumption, ...], tuple[Artifact, ...]]:
+        """The context after a kept step; its metrics, assumptions and artifacts."""
+        self.tables = {t: Artifact(**a) for t, a in step["tables"].items()}
+        stated = step["context"] | {"predictor_names": tuple(step["context"]["predictor_names"]), "transform": tuple(step["context"]["transform"]) if step["context"]["transform"] else None}
+        self.context = SdmContext(*(self.store.read_table(self.spark, self.tables[t]) for t in ("grid", "occurrences")), **stated, extra=step["extra"])
+        return step["metrics"], tuple(Assumption(**a) for a in step["assumptions"]), tuple(self.tables[t] for t in step["changed"])
+
+
+def execute_candidate(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str, resume: bool = False) -> CandidateResult:
+    """Load, then stage after stage; what was cached on the way is released at the end. A step that was read back has no model in its context."""
     with scope():
-        return _execute(spark, plan, registry, store, run_id)
+        return _execute(spark, plan, registry, store, run_id, resume)
 
 
-def _execute(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str) -> CandidateResult:
-    trace = _Trace(plan, store, run_id)
+def _execute(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str, resume: bool) -> CandidateResult:
+    trace, state = _Trace(plan, store, run_id), _State(spark, store)
     if not plan.is_executable:
-        return trace.failed("the plan has unsupported steps and was not run")
+        return trace.failed("a plan with unsupported steps is not run")
     began = time.perf_counter()
-    try:
-        context, said = load_data_source(spark, plan.data_source, plan.random_seed)
-    except UnsupportedDataSource as e:
-        return trace.failed(str(e), e.gap)
-    context = context.with_(grid=hold(context.grid), occurrences=hold(context.occurrences))
-    n = float(context.occurrences.count())
-    trace.add("data_source", plan.data_source.kind, "spark-source-loader", began, metrics={"n_records": n}, assumptions=tuple(said), artifacts=_keep(store, "data_source", context, ("grid", "occurrences")))
+    inputs = source_digest(spark, plan.data_source)
+    key = digest_obj(["data_source", inputs, plan.random_seed])
+    if kept := store.kept_step(key) if resume else None:
+        metrics, said, artifacts = state.restore(kept)
+    else:
+        try:
+            context, assumed = load_data_source(spark, plan.data_source, plan.random_seed)
+        except UnsupportedDataSource as e:
+            return trace.failed(str(e), e.gap)
+        artifacts = state.keep("data_source", context, ("grid", "occurrences"))
+        metrics, said = {"n_records": float(state.context.occurrences.count())}, tuple(assumed)
+        store.keep_step(key, state.state(metrics, said, ("grid", "occurrences")))
+    trace.add("data_source", plan.data_source.kind, "spark-source-loader", inputs, began, key, bool(kept), metrics=metrics, assumptions=said, artifacts=artifacts)
     for stage, spec in plan.methodology.steps():
-        began = time.perf_counter()
+        began, inputs = time.perf_counter(), state.digest()
         found = registry.resolve(stage, spec)
         if not found.ok:
-            trace.add(stage, spec.method, "<unresolved>", began, params=spec.params, unsupported_steps=(found.gap,))
+            trace.add(stage, spec.method, "<unresolved>", inputs, began, params=spec.params, unsupported_steps=(found.gap,))
             return trace.failed(found.gap.message, found.gap)
-        try:
-            out = found.backend.run(spec, context, plan.random_seed)
-            artifacts = _keep(store, stage, out.context, out.tables)
-        except Exception as e:  # of whatever kind: it is this candidate's failure
-            trace.add(stage, spec.method, found.backend.name, began, params=spec.params)
-            return trace.failed(f"{stage}/{spec.method} raised {type(e).__name__}: {e}")
-        context = out.context
-        metrics = {str(k): float(v) for k, v in out.metrics.items()}
-        trace.add(stage, spec.method, found.backend.name, began, params=spec.params, rationale=spec.source, metrics=metrics, assumptions=out.assumptions, artifacts=artifacts)
+        key = digest_obj([stage, inputs, spec.method, found.backend.name, spec.params, plan.random_seed])
+        if kept := store.kept_step(key) if resume else None:
+            metrics, said, artifacts = state.restore(kept)
+        else:
+            try:
+                out = found.backend.run(spec, state.context, plan.random_seed)
+                artifacts = state.keep(stage, out.context, out.tables)
+            except Exception as e:  # of whatever kind: it is this candidate's failure
+                trace.add(stage, spec.method, found.backend.name, inputs, began, params=spec.params)
+                return trace.failed(f"{stage}/{spec.method} raised {type(e).__name__}: {e}")
+            metrics, said = {str(k): float(v) for k, v in out.metrics.items()}, tuple(out.assumptions)
+            store.keep_step(key, state.state(metrics, said, out.tables))
+        trace.add(stage, spec.method, found.backend.name, inputs, began, key, bool(kept), params=spec.params, rationale=spec.source, metrics=metrics, assumptions=said, artifacts=artifacts)
     return trace.done()
 
 
 def execute_run(
-    spark: SparkSession, plans: list[CandidatePlan], registry: BackendRegistry, store: ArtifactStore, *, run_id: str, objective: str = "spatial_transfer", random_seed: int = 42, package_versions: dict[str, str] | None = None
+    spark: SparkSession, plans: list[CandidatePlan], registry: BackendRegistry, store: ArtifactStore, *, run_id: str, objective: str = "spatial_transfer", random_seed: int = 42, package_versions: dict[str, str] | None = None, resume: bool = False
 ) -> RunResult:
-    """Run all candidates and write the run's record; none is selected here."""
-    manifest = RunManifest(run_id, objective, digest_obj([p.data_source for p in plans]), datetime.now(UTC).isoformat(), package_versions or _versions(), random_seed)
+    """Run all candidates and write the run's record; none is selected here. With ``resume``, candidates share the steps that they have in common, with earlier runs in the store too."""
+    contents = digest_obj([source_digest(spark, s) for s in dict.fromkeys(p.data_source for p in plans)])
+    manifest = RunManifest(run_id, objective, contents, datetime.now(UTC).isoformat(), package_versions or _versions(), random_seed)
     store.record(manifest)
-    result = RunResult(manifest, tuple(execute_candidate(spark, p, registry, store, run_id) for p in plans))
+    result = RunResult(manifest, tuple(execute_candidate(spark, p, registry, store, run_id, resume) for p in plans))
     store.record(result)
     return result
 
 
+def lineage(spark: SparkSession, store: ArtifactStore) -> DataFrame:
+    """A row of ``LINEAGE`` for each step of each run in the store: what went in, what it is known by, whether it was read back."""
+    return spark.read.schema(LINEAGE).json(f"{store.root}/lineage/*/*.json")
+
+
 def _versions() -> dict[str, str]:
     found = {}
     for name in ("pyspark", "numpy", "pyarrow"):

@@ -12,16 +12,6 @@ from pyspark.sql import functions as F
 from ..schema import Record
 
 OPS = ("<", "<=", ">", ">=", "==", "!=", "is_null", "not_null")
-_ORDER = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
-
-
-def resolve_path(facts: Any, path: str) -> Any:
-    """What a dotted path leads to; None as soon as a part is missing."""
-    for part in path.split("."):
-        if facts is None:
-            return None
-        facts = facts.get(part) if isinstance(facts, dict) else getattr(facts, part, None)
-    return facts
 
 
 @dataclass(frozen=True)
@@ -34,23 +24,6 @@ class Condition(Record):
         if self.op not in OPS:
             raise ValueError(f"unknown operator {self.op!r}")
 
-    def holds(self, facts: Any) -> bool:
-        """SQL's three-valued logic with unknown taken for false: a missing fact is only null."""
-        actual = resolve_path(facts, self.path)
-        match self.op:
-            case "is_null":
-                return actual is None
-            case "not_null":
-                return actual is not None
-            case _ if actual is None:
-                return False
-            case "==":
-                return actual == self.value
-            case "!=":
-                return actual != self.value
-        numbers = isinstance(actual, (int, float)) and isinstance(self.value, (int, float))
-        return numbers and bool(_ORDER[self.op](actual, self.value))
-
 
 @dataclass(frozen=True)
 class Prior(Record):
@@ -62,9 +35,6 @@ class Prior(Record):
     conditions: tuple[Condition, ...] = ()
     source: str | None = None
 
-    def applies(self, facts: Any) -> bool:
-        return all(c.holds(facts) for c in self.conditions)
-
 
 _CELLS, _VIF = "profile.volume.n_unique_cells", "profile.environmental.max_vif"
 # The rules (id, stage, method, log weight, path, operator, value) and why.
@@ -111,7 +81,7 @@ def conditions_table(spark: SparkSession, priors: tuple[Prior, ...]) -> DataFram
 
 
 def applicable(conditions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rules of which every condition holds for facts (path, num, str): the same logic as a join."""
+    """Rules of which every condition holds for facts (path, num, str): SQL's three-valued logic with unknown taken for false, so that a missing fact is only null."""
     both = conditions.join(facts, "path", "left")
     known = F.col("num").isNotNull() | F.col("str").isNotNull()
     equal = F.coalesce(F.col("num") == F.col("number"), F.col("str") == F.col("text"), F.lit(False))

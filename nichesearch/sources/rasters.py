@@ -1,10 +1,12 @@
 """Predictor rasters as a grid table: (row, col, predictors array), NULL for nodata.
 
-Layers are read as binary files and decoded on the executors, row by row; only their
-headers come to the driver, where they are compared, and to know a header no value is
-decoded. Supported are 2-D ``.npy`` arrays and single-band GeoTIFFs and BigTIFFs (strips or
-tiles; uncompressed, deflate or LZW; horizontal and floating-point prediction). A layer is one file
-of at most 2 GB, the most that a binary value holds, and a task's unit of work.
+The grid is cut to windows, as high and wide as the largest strip or tile of any layer and of at least
+``WINDOW`` cells. A window is a task's unit of work: it reads the ranges of bytes of
+the blocks that it meets, of all layers, and gives finished rows, so that no task holds a layer, no cell is shuffled, and
+a wish for part of the grid reads that part only. The driver reads the headers and compares them.
+Supported are 2-D ``.npy`` arrays and single-band GeoTIFFs and BigTIFFs (strips or
+tiles; uncompressed, deflate or LZW; horizontal and floating-point prediction), of any size. An array in
+columns (Fortran's order) is read in bands of columns. Paths are opened by ``pyarrow.fs``.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import ast
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -22,9 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import files
 from ..schema import UnreadableRasters
 
 NPY, GEOTIFF = (".npy",), (".tif", ".tiff")
+#: Cells of a window at least, and rows of a batch at most.
+WINDOW, BATCH = 1 << 18, 1 << 15
+#: Bytes ``n`` at a place of a file.
+Read = Callable[[int, int], bytes]
 
 
 @dataclass(frozen=True)
@@ -45,27 +52,53 @@ class Grid:
         return self.transform is not None
 
 
-def _npy_head(data: bytes) -> dict:
-    if data[:6] != b"\x93NUMPY":
+class _Whole:
+    """Ranges of bytes, of which none may be missing."""
+
+    def __init__(self, read: Read, size: int):
+        self._read, self.size = read, size
+
+    def __call__(self, at: int, n: int) -> bytes:
+        if at + n > self.size:
+            raise ValueError(f"the file ends before {at + n}")
+        return bytes(self._read(at, n))
+
+
+def _of_bytes(data: bytes) -> _Whole:
+    return _Whole(lambda at, n: data[at : at + n], len(data))
+
+
+def _of_file(f: pa.NativeFile) -> _Whole:
+    return _Whole(lambda at, n: f.read_at(n, at), f.size())
+
+
+def _npy_head(read: _Whole) -> dict:
+    if read(0, 6) != b"\x93NUMPY":
         raise ValueError("no .npy header")
-    wide = data[6] >= 2
-    size = struct.unpack_from("<I" if wide else "<H", data, 8)[0]
+    wide = read(6, 1)[0] >= 2
     begin = 12 if wide else 10
-    stated = ast.literal_eval(data[begin : begin + size].decode("latin1"))
+    size = struct.unpack("<I" if wide else "<H", read(8, begin - 8))[0]
+    stated = ast.literal_eval(read(begin, size).decode("latin1"))
     if len(stated["shape"]) != 2:
         return {"dims": len(stated["shape"])}
     dtype = np.dtype(stated["descr"])
     if dtype.hasobject:
         raise ValueError("objects in .npy")
-    height, width = stated["shape"]
-    if len(data) < begin + size + height * width * dtype.itemsize:
+    (height, width), columns = stated["shape"], stated["fortran_order"]
+    if read.size < begin + size + height * width * dtype.itemsize:
         raise ValueError("the file ends before its array")
-    return {"dims": 2, "height": height, "width": width, "transform": None, "crs": None, "dtype": dtype, "begin": begin + size, "order": "F" if stated["fortran_order"] else "C"}
+    # as strips of whole rows, or of whole columns
+    tile = (max(1, min(width, WINDOW // max(1, height))), max(1, height)) if columns else (max(1, width), 1)
+    return {"dims": 2, "height": height, "width": width, "transform": None, "crs": None, "dtype": dtype, "begin": begin + size, "columns": columns, "tile": tile}
 
 
-def _npy(data: bytes, head: dict) -> np.ndarray:
-    values = np.frombuffer(data, head["dtype"], head["height"] * head["width"], head["begin"])
-    return values.reshape((head["height"], head["width"]), order=head["order"]).astype(float)
+def _npy(read: Read, head: dict, top: int, left: int, rows: int, cols: int) -> np.ndarray:
+    height, width, dtype = head["height"], head["width"], head["dtype"]
+    if head["columns"]:
+        data = np.frombuffer(read(head["begin"] + left * height * dtype.itemsize, cols * height * dtype.itemsize), dtype)
+        return data.reshape(cols, height).T[top : top + rows].astype(float)
+    data = np.frombuffer(read(head["begin"] + top * width * dtype.itemsize, rows * width * dtype.itemsize), dtype)
+    return data.reshape(rows, width)[:, left : left + cols].astype(float)
 
 
 #: Fixed values of the TIFF format: bytes and struct codes by field type.
@@ -73,29 +106,29 @@ _TYPES = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11:
 _KINDS = {1: "u", 2: "i", 3: "f"}
 
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    magic = struct.unpack_from(order + "H", data, 2)[0] if order and len(data) >= 8 else 0
+def _tags(read: _Whole) -> tuple[str, dict[int, tuple]]:
+    start = read(0, min(16, read.size))
+    order = {b"II": "<", b"MM": ">"}.get(start[:2])
+    magic = struct.unpack_from(order + "H", start, 2)[0] if order and len(start) >= 8 else 0
     if magic not in (42, 43):
         raise ValueError("no TIFF header")
     place, many, room = ("I", "H", 4) if magic == 42 else ("Q", "Q", 8)  # of an offset, of the number of tags, bytes of a value held in its tag
-    at = struct.unpack_from(order + place, data, 4 if magic == 42 else 8)[0]
-    n = struct.unpack_from(order + many, data, at)[0]
+    take = lambda code, at: struct.unpack(order + code, read(at, struct.calcsize(order + code)))
+    at = take(place, 4 if magic == 42 else 8)[0]
+    n = take(many, at)[0]
     entry = struct.Struct(order + "HH" + place)
-    first, step = at + struct.calcsize(many), entry.size + room
+    step = entry.size + room
+    listed = read(at + struct.calcsize(many), n * step)
     tags: dict[int, tuple] = {}
     for i in range(n):
-        tag, kind, count = entry.unpack_from(data, first + step * i)
+        tag, kind, count = entry.unpack_from(listed, step * i)
         if kind not in _TYPES:
             continue
         size, code = _TYPES[kind]
-        where = first + step * i + entry.size
+        held = listed[step * i + entry.size : step * (i + 1)]
         if size * count > room:
-            where = struct.unpack_from(order + place, data, where)[0]
-        if code == "s":
-            tags[tag] = (data[where : where + count].split(b"\0")[0].decode("latin1"),)
-        else:
-            tags[tag] = struct.unpack_from(order + code * count, data, where)
+            held = read(struct.unpack(order + place, held)[0], size * count)
+        tags[tag] = (held[:count].split(b"\0")[0].decode("latin1"),) if code == "s" else struct.unpack_from(order + code * count, held)
     return order, tags
 
 
@@ -145,8 +178,8 @@ def _crs(tags: dict[int, tuple]) -> str | None:
 _UNPACK = {1: bytes, 5: _lzw, 8: zlib.decompress, 32946: zlib.decompress}
 
 
-def _tiff_head(data: bytes) -> dict:
-    order, tags = _tags(data)
+def _tiff_head(read: _Whole) -> dict:
+    order, tags = _tags(read)
     one = lambda tag, default: tags.get(tag, (default,))[0]
     bands, width, height = one(277, 1), one(256, 0), one(257, 0)
     if bands != 1:
@@ -157,7 +190,7 @@ def _tiff_head(data: bytes) -> dict:
     tiled = 322 in tags
     tile = (one(322, width), one(323, height)) if tiled else (width, min(height, one(278, height)))
     offsets, sizes = (tags[324], tags[325]) if tiled else (tags[273], tags[279])
-    if any(a + n > len(data) for a, n in zip(offsets, sizes, strict=True)) or len(offsets) < -(-width // tile[0]) * -(-height // tile[1]):
+    if any(a + n > read.size for a, n in zip(offsets, sizes, strict=True)) or len(offsets) < -(-width // tile[0]) * -(-height // tile[1]):
         raise ValueError("the file ends before its values")
     transform = None
     if 34264 in tags:
@@ -169,20 +202,22 @@ def _tiff_head(data: bytes) -> dict:
     nodata = tags.get(42113, ("",))[0].strip()
     return {
         "bands": 1, "height": height, "width": width, "transform": transform or (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), "crs": _crs(tags),
-        "dtype": np.dtype(f"{order}{kind}{one(258, 8) // 8}"), "compression": compression, "predictor": predictor, "tiled": tiled, "tile": tile, "blocks": list(zip(offsets, sizes, strict=True)), "nodata": float(nodata) if nodata else None,
+        "dtype": np.dtype(f"{order}{kind}{one(258, 8) // 8}"), "compression": compression, "predictor": predictor, "tiled": tiled, "tile": tile, "blocks": np.array([offsets, sizes], np.int64).T, "nodata": float(nodata) if nodata else None,
     }
 
 
-def _tiff(data: bytes, head: dict) -> np.ndarray:
-    height, width, (tile_w, tile_h) = head["height"], head["width"], head["tile"]
-    values = np.zeros((height, width), head["dtype"])
-    across = -(-width // tile_w)
-    for i, (at, size) in enumerate(head["blocks"]):
-        top, left = i // across * tile_h, i % across * tile_w
-        rows = tile_h if head["tiled"] else min(tile_h, height - top)
-        tile = _undone(_UNPACK[head["compression"]](data[at : at + size]), rows, tile_w, head["dtype"], head["predictor"])
-        part = values[top : top + tile_h, left : left + tile_w]
-        part[:] = tile[: part.shape[0], : part.shape[1]]
+def _tiff(read: Read, head: dict, top: int, left: int, rows: int, cols: int) -> np.ndarray:
+    """Of the blocks that the window meets."""
+    tile_w, tile_h = head["tile"]
+    values = np.zeros((rows, cols), head["dtype"])
+    across = -(-head["width"] // tile_w)
+    for down in range(top // tile_h, -(-(top + rows) // tile_h)):
+        for over in range(left // tile_w, -(-(left + cols) // tile_w)):
+            y, x = down * tile_h, over * tile_w
+            high = tile_h if head["tiled"] else min(tile_h, head["height"] - y)
+            tile = _undone(_UNPACK[head["compression"]](read(*head["blocks"][down * across + over])), high, tile_w, head["dtype"], head["predictor"])
+            y0, y1, x0, x1 = max(y, top), min(y + high, top + rows), max(x, left), min(x + tile_w, left + cols)
+            values[y0 - top : y1 - top, x0 - left : x1 - left] = tile[y0 - y : y1 - y, x0 - x : x1 - x]
     out = values.astype(float)
     if head["nodata"] is not None:
         out[out == head["nodata"]] = np.nan
@@ -193,15 +228,24 @@ def _is_npy(name: str) -> bool:
     return PurePosixPath(name).suffix.lower() in NPY
 
 
+def _head(name: str, read: _Whole) -> dict:
+    return _npy_head(read) if _is_npy(name) else _tiff_head(read)
+
+
+def _values(name: str, read: Read, head: dict, *window: int) -> np.ndarray:
+    return (_npy if _is_npy(name) else _tiff)(read, head, *window)
+
+
 def header(name: str, data: bytes) -> dict:
     """What a layer is, without its values."""
-    return _npy_head(data) if _is_npy(name) else _tiff_head(data)
+    return _head(name, _of_bytes(data))
 
 
 def decode(name: str, data: bytes) -> dict:
-    head = header(name, data)
+    """A layer that is held as a whole."""
+    head = _head(name, read := _of_bytes(data))
     if head.get("dims", 2) == 2 and head.get("bands", 1) == 1:
-        head["values"] = _npy(data, head) if _is_npy(name) else _tiff(data, head)
+        head["values"] = _values(name, read, head, 0, 0, head["height"], head["width"])
     return head
 
 
@@ -240,81 +284,78 @@ def tiff_bytes(values: np.ndarray, transform: tuple[float, ...], epsg: int = 432
     return struct.pack("<2sHI", b"II", 42, at + len(extra)) + body + extra + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0\0\0\0"
 
 
-_HEADER = "layer int, error string, dims int, bands int, height int, width int, transform array<double>, crs string"
+def _stated(path: str, suffix: str) -> dict:
+    """A layer's header; whatever is wrong with its bytes is the same gap."""
+    try:
+        with files.opened(path) as f:
+            return _head(path, _of_file(f))
+    except FileNotFoundError as e:
+        raise UnreadableRasters("unreadable_raster", f"no raster at {path}", suffix) from e
+    except Exception as e:
+        raise UnreadableRasters("unreadable_raster", f"{path} can't be read: {type(e).__name__}: {e}", suffix) from e
 
 
-def _headers(layers: DataFrame) -> list:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for layer, name, data in zip(*(batch.column(c).to_pylist() for c in ("layer", "path", "content")), strict=True):
-                row = {"layer": layer, "error": None, "dims": 2, "bands": 1, "height": None, "width": None, "transform": None, "crs": None}
-                try:
-                    found = header(name, data)
-                    row |= {k: found[k] for k in ("dims", "bands", "height", "width", "transform", "crs") if k in found}
-                except Exception as e:  # whatever is wrong with the bytes is the same gap
-                    row["error"] = f"{type(e).__name__}: {e}"
-                rows.append(row)
-            types = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.string()]
-            names = ["layer", "error", "dims", "bands", "height", "width", "transform", "crs"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+def _windows(heads: list[dict], part: tuple[int, int, int, int]) -> tuple[int, int, list[tuple[int, int]]]:
+    """Height and width of windows, and the corners (top, left) of those that meet the ``part`` (first and last row, first and last column)."""
+    width, height = heads[0]["width"], heads[0]["height"]
+    high, wide = (max(h["tile"][i] for h in heads) for i in (1, 0))
+    wide = min(width, wide * max(1, min(-(-WINDOW // (high * wide)), -(-width // wide))))
+    high = min(height, high * max(1, WINDOW // (high * wide)))
+    r0, r1, c0, c1 = part
+    return high, wide, [(t, x) for t in range(r0 // high * high, r1 + 1, high) for x in range(c0 // wide * wide, c1 + 1, wide)]
 
-    return sorted(layers.mapInArrow(run, _HEADER).collect(), key=lambda r: r["layer"])
 
+_CELLS = "row int, col int, predictors array<double>"
 
-def _cells(layers: DataFrame) -> DataFrame:
-    """(layer, row, col, value) of all layers; NaN is NULL."""
+
+def _cells(spark: SparkSession, paths: tuple[str, ...], heads: list[dict], part: tuple[int, int, int, int]) -> DataFrame:
+    """``_CELLS`` of a part of the grid, a window after the other."""
+    width, height, k = heads[0]["width"], heads[0]["height"], len(heads)
+    r0, r1, c0, c1 = part
+    if r0 > r1 or c0 > c1:
+        return spark.createDataFrame([], _CELLS)
+    high, wide, corners = _windows(heads, part)
+    shared = spark.sparkContext.broadcast(heads)  # of a layer the places of its blocks: 16 bytes a block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = [files.opened(p) for p in paths]
         for batch in batches:
-            for layer, name, data in zip(*(batch.column(c).to_pylist() for c in ("layer", "path", "content")), strict=True):
-                values = decode(name, data)["values"]
-                for row, line in enumerate(values):
-                    n = len(line)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, layer, np.int32)), pa.array(np.full(n, row, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(line, from_pandas=True)],
-                        names=["layer", "row", "col", "value"],
-                    )
-
-    return layers.mapInArrow(run, "layer int, row int, col int, value double")
-
-
-def read_predictors(spark: SparkSession, paths: list[str] | tuple[str, ...]) -> Grid:
-    """Read and align a stack of layers; raises UnreadableRasters rather than guess."""
-    stems, frames = [], []
+            for i in batch.column("id").to_pylist():
+                top, left = corners[i]
+                y0, y1, x0, x1 = max(top, r0), min(top + high, height, r1 + 1), max(left, c0), min(left + wide, width, c1 + 1)
+                each = [_values(p, _of_file(f), h, y0, x0, y1 - y0, x1 - x0).ravel() for p, f, h in zip(paths, opened, shared.value, strict=True)]
+                rows, cols = np.divmod(np.arange((y1 - y0) * (x1 - x0)), x1 - x0)
+                for a in range(0, len(rows), BATCH):
+                    own = np.stack([v[a : a + BATCH] for v in each], axis=1)
+                    values = pa.ListArray.from_arrays(np.arange(0, own.size + 1, k, dtype=np.int32), pa.array(own.ravel(), from_pandas=True))
+                    yield pa.RecordBatch.from_arrays([pa.array((rows[a : a + BATCH] + y0).astype(np.int32)), pa.array((cols[a : a + BATCH] + x0).astype(np.int32)), values], names=["row", "col", "predictors"])
+        for f in opened:
+            f.close()
+
+    return spark.range(0, len(corners), 1, len(corners)).mapInArrow(run, _CELLS)
+
+
+def read_predictors(spark: SparkSession, paths: list[str] | tuple[str, ...], part: tuple[int, int, int, int] | None = None) -> Grid:
+    """Read and align a stack of layers, or of ``part`` of it (first and last row, first and last column); raises UnreadableRasters rather than guess."""
     suffixes = [PurePosixPath(p).suffix.lower() for p in paths]
-    for i, (path, suffix) in enumerate(zip(paths, suffixes, strict=True)):
+    for suffix in suffixes:
         if suffix not in NPY + GEOTIFF:
             raise UnreadableRasters("unsupported_predictor_format", f"no reader for {suffix!r}; there are readers for {', '.join(NPY + GEOTIFF)}", suffix)
-        stems.append(PurePosixPath(path).stem)
-        try:
-            frame = spark.read.format("binaryFile").load(path)
-            if frame.isEmpty():
-                raise UnreadableRasters("unreadable_raster", f"no raster at {path}", suffix)
-        except UnreadableRasters:
-            raise
-        except Exception as e:
-            raise UnreadableRasters("unreadable_raster", f"{path} can't be read: {e}", suffix) from e
-        frames.append(frame.select(F.lit(i).cast("int").alias("layer"), F.lit(path).alias("path"), "content"))
-    layers = frames[0]
-    for frame in frames[1:]:
-        layers = layers.unionByName(frame)
-    headers = _headers(layers)
-    for h in headers:
-        path, suffix = paths[h["layer"]], suffixes[h["layer"]]
-        if h["error"]:
-            raise UnreadableRasters("unreadable_raster", f"{path} can't be decoded: {h['error']}", suffix)
-        if h["dims"] != 2:
+    heads = [_stated(p, s) for p, s in zip(paths, suffixes, strict=True)]
+    for path, h in zip(paths, heads, strict=True):
+        if h.get("dims", 2) != 2:
             raise UnreadableRasters("unsupported_predictor_shape", f"{path} has {h['dims']} dimensions, not 2", str(h["dims"]))
-        if h["bands"] != 1:
+        if h.get("bands", 1) != 1:
             raise UnreadableRasters("unsupported_multiband_raster", f"{path} has {h['bands']} bands, not 1", str(h["bands"]))
     if len({s in GEOTIFF for s in suffixes}) > 1:
         raise UnreadableRasters("mixed_predictor_georeferencing", "layers with and without georeference can't be stacked")
     for what in ("shape", "transform", "crs"):
-        seen = {(h["height"], h["width"]) if what == "shape" else tuple(h[what] or ()) if what == "transform" else h[what] for h in headers}
+        seen = {(h["height"], h["width"]) if what == "shape" else h[what] for h in heads}
         if len(seen) > 1:
             raise UnreadableRasters("misaligned_predictors", f"layers differ in {what}: {sorted(map(str, seen))}")
-    head = headers[0]
-    order = F.sort_array(F.collect_list(F.struct("layer", "value")))  # one value a layer
-    cells = _cells(layers).groupBy("row", "col").agg(F.transform(order, lambda s: s["value"]).alias("predictors"))
-    return Grid(cells, tuple(stems), head["height"], head["width"], tuple(head["transform"]) if head["transform"] else None, head["crs"])
+    head = heads[0]
+    whole = (0, head["height"] - 1, 0, head["width"] - 1)
+    if part:
+        whole = (max(0, part[0]), min(whole[1], part[1]), max(0, part[2]), min(whole[3], part[3]))
+    cells = _cells(spark, tuple(paths), heads, whole)
+    return Grid(cells, tuple(PurePosixPath(p).stem for p in paths), head["height"], head["width"], head["transform"], head["crs"])

@@ -1,8 +1,8 @@
 import pytest
 
 from nichesearch import BackendRegistry, CandidatePlan, Condition, MethodologySpec, MethodSpec, Prior, RealDataSource, Resolution, UnsupportedStep, VirtualDataSource, default_registry, explain, propose
+from nichesearch.plans import priors
 from nichesearch.plans.catalogue import Backend
-from nichesearch.plans.priors import resolve_path
 from nichesearch.profile import DataProfile, EnvironmentalProfile, SamplingProfile, SpatialProfile, VolumeProfile
 from nichesearch.schema import StepRecord, data_source
 
@@ -75,12 +75,12 @@ def test_ids_stay_distinct_with_more_backends(spark):
 
 def test_rules(spark):
     facts = {"profile": profile(cells=30), "objective": "interpolation"}
-    assert resolve_path(facts, "profile.volume.n_records") == 30 and resolve_path(facts, "profile.nothing.at") is None
-    holds = lambda *c: Condition(*c).holds(facts)
-    assert holds("profile.volume.n_records", "<", 31) and not holds("profile.volume.n_records", ">", 31)
-    assert not holds("missing", "!=", 1) and holds("missing", "is_null") and holds("objective", "not_null") and not holds("missing", "<", 5)
-    assert not holds("objective", "<", 5) and holds("objective", "!=", "x") and holds("objective", "==", "interpolation")
-    assert Prior("p", "s", "m", 1.0, "").applies(facts)
+    n = "profile.volume.n_records"
+    cases = [((n, "<", 31), True), ((n, ">", 31), False), ((n, "<=", 30), True), ((n, ">=", 31), False), ((n, "==", 30), True), ((n, "!=", 30), False), (("missing", "!=", 1), False), (("missing", "is_null"), True), (("objective", "not_null"), True), (("missing", "<", 5), False)]
+    cases += [(("objective", "<", 5), False), (("objective", "!=", "x"), True), (("objective", "==", "interpolation"), True), (("profile.nothing.at", "is_null"), True), (("objective", "is_null"), False)]
+    rules = (*[Prior(f"p{i}", "s", "m", 1.0, "", (Condition(*c),)) for i, (c, _) in enumerate(cases)], Prior("always", "s", "m", 1.0, ""), Prior("both", "s", "m", 1.0, "", (Condition(n, "<", 31), Condition(n, ">", 31))))
+    found = {r.prior_id: r.applies for r in priors.applicable(priors.conditions_table(spark, rules), priors.facts_table(spark, facts)).collect()}
+    assert found == {f"p{i}": holds for i, (_, holds) in enumerate(cases)} | {"always": True, "both": False}
     with pytest.raises(ValueError):
         Condition("a", "~", 1)
     rows = {(s, m): (w, ids) for s, m, w, ids in explain(default_registry(), profile(cells=30), "interpolation")}
