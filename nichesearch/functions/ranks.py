@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .caching import hold
+
 #: Ranges that a group's values are dealt to; a power of two.
 RANGES = 256
 
@@ -18,7 +20,7 @@ def running(values: DataFrame, by: Sequence[str], key: str, sums: Sequence[str])
     sums inside a range come from a window over it, those of the ranges before from their
     ``RANGES`` totals. Where the quantiles lie changes no result.
     """
-    by = list(by)
+    by, values = list(by), hold(values)  # read for edges, for totals and for places
     places = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
     edges = values.groupBy(*by).agg(F.percentile_approx(key, places, F.lit(10_000)).alias("_edges"))
     edges = F.broadcast(edges.withColumnsRenamed({c: f"_by_{c}" for c in by}))  # a row a group

@@ -1,42 +1,47 @@
-"""Learners under cross-validation on Spark ML."""
+"""Learners under cross-validation: all folds, and the model of all rows, in the same passes."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.caching import hold
 from ..schema import Assumption
-from . import stages
+from . import learners, maxent, stages
 
+Model = Callable[[np.ndarray], np.ndarray]
 
-def logistic(n_train: int, params: dict[str, Any], seed: int) -> LogisticRegression:
-    """The penalty is divided by the rows, so that C weighs the summed loss; the intercept is free of it."""
-    c = float(params.get("C", 1.0))
-    return LogisticRegression(featuresCol="vector", maxIter=int(params.get("max_iter", 1000)), regParam=1.0 / (c * n_train), elasticNetParam=0.0, standardization=False, tol=1e-10)
 
+def _logistic(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str, Any]) -> list[Model]:
+    return learners.logistic(blocks, k, models, float(params.get("C", 1.0)), int(params.get("max_iter", 1000)))
 
-def boosted(n_train: int, params: dict[str, Any], seed: int) -> GBTClassifier:
-    return GBTClassifier(featuresCol="vector", maxIter=int(params.get("n_estimators", 100)), stepSize=float(params.get("learning_rate", 0.1)), maxDepth=int(params.get("max_depth", 3)), seed=seed)
 
+def _boosted(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str, Any]) -> list[Model]:
+    edges = learners.quantile_edges(rows, k)
+    return learners.boosted(blocks, edges, models, int(params.get("n_estimators", 100)), float(params.get("learning_rate", 0.1)), int(params.get("max_depth", 3)))
 
-LEARNERS = {"logistic": logistic, "gbm": boosted}
-#: Fits that run at the same time: their jobs share the cluster.
-AT_ONCE = 6
 
+def _maxent(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str, Any]) -> list[Model]:
+    return maxent.fit(blocks, maxent.from_params(rows, k, params), models, float(params.get("regularisation", 1.0)))
 
-def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed: int) -> tuple[DataFrame, dict[str, float], Any, list[Assumption]]:
+
+LEARNERS = {"logistic": _logistic, "gbm": _boosted, "maxent": _maxent}
+
+
+def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed: int, weight: str | None = None) -> tuple[DataFrame, dict[str, float], Any, list[Assumption]]:
     """Rows (record_id, label, features, fold) with cv_prediction; auc metrics; the final model.
 
-    Folds with one class on either side are skipped and counted; their predictions are NULL.
+    Folds with one class on either side are skipped and counted; their predictions are NULL. A
+    ``weight`` column enters the fits and the AUCs of the folds. The learners draw nothing: the seed changes no result.
     """
-    make = LEARNERS[learner]
-    data = hold(rows.withColumn("vector", array_to_vector("features")))
+    from . import selection
+
+    data = hold(rows)
     counts = {r["fold"]: (r["n"], r["p"]) for r in data.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("p")).collect()}
     n, p = sum(c[0] for c in counts.values()), sum(c[1] for c in counts.values())
     both = lambda n, p: 0 < p < n
@@ -44,24 +49,14 @@ def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed:
     scorable = [f for f in sorted(counts) if f not in skipped]
     if not scorable:
         raise ValueError("no fold has both classes in and out; nothing can be scored")
-
-    def fit(fold: int | None) -> Any:
-        own = 0 if fold is None else counts[fold][0]
-        return make(n - own, params, seed).fit(data if fold is None else data.filter(F.col("fold") != fold))
-
-    with ThreadPoolExecutor(AT_ONCE) as pool:
-        *models, final = pool.map(fit, [*scorable, None])
-    parts = []
-    for fold, model in zip(scorable, models, strict=True):
-        scored = model.transform(data.filter(F.col("fold") == fold))
-        parts.append(scored.withColumn("cv_prediction", F.get(vector_to_array("probability"), F.lit(1))).select(*rows.columns, "cv_prediction"))
-    scored = parts[0]
-    for part in parts[1:]:
-        scored = scored.unionByName(part)
-    aucs = stages.auc(scored.select("fold", "label", F.col("cv_prediction").alias("score")), ["fold"])
+    blocks = learners.packed(data, [*scorable, None], n, weight)
+    try:
+        *models, final = LEARNERS[learner](data, blocks, len(data.first()["features"]), len(scorable) + 1, params)
+    finally:
+        blocks.unpersist()
+    scored = hold(learners.predicted(data, dict(zip(scorable, models, strict=True))))
+    used = scored.filter(F.col("fold").isin(scorable)).select("fold", "label", F.col("cv_prediction").alias("score"), *([F.col(weight).alias("weight")] if weight else []))
+    aucs = selection.weighted_auc(used, ["fold"]).withColumnRenamed("weighted_auc", "auc") if weight else stages.auc(used, ["fold"])
     m = aucs.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("sd"), F.count("auc").alias("n")).first()
-    said = []
-    if skipped:
-        said.append(Assumption("folds_skipped_single_class", f"{len(skipped)} of {len(counts)} folds have one class only", "split"))
-        scored = scored.unionByName(rows.filter(F.col("fold").isin(skipped)).withColumn("cv_prediction", F.lit(None).cast("double")))
+    said = [Assumption("folds_skipped_single_class", f"{len(skipped)} of {len(counts)} folds have one class only", "split")] if skipped else []
     return scored, {"auc_mean": m["mean"], "auc_sd": m["sd"], "n_scored_folds": float(m["n"])}, final, said

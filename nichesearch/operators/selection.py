@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -111,16 +111,16 @@ def boyce(scored: DataFrame, bins: int = BOYCE_BINS) -> DataFrame:
     return ranked.agg(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("boyce"))
 
 
-def weighted_auc(scored: DataFrame) -> DataFrame:
-    """(weighted_auc) from rows (label, score, weight): the share of weighted pairs in the right order, ties half.
+def weighted_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., weighted_auc) from rows (label, score, weight): the share of weighted pairs in the right order, ties half.
 
     Weights are summed by score first; running sums over ranges of the distinct scores do the rest.
     """
     w = lambda k: F.sum(F.when(F.col("label") == k, F.col("weight")).otherwise(0.0))
-    values = scored.groupBy("score").agg(w(1).alias("p"), w(0).alias("q"))
-    rows = ranks.running(values, [], "score", ["q"])
-    rows = rows.select("p", "q", (F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("right"))
-    return rows.agg(F.try_divide(F.sum("right"), F.sum("p") * F.sum("q")).alias("weighted_auc"))
+    values = scored.groupBy(*by, "score").agg(w(1).alias("p"), w(0).alias("q"))
+    rows = ranks.running(values, by, "score", ["q"])
+    rows = rows.select(*by, "p", "q", (F.col("p") * (F.col("q_before") + F.col("q") / 2)).alias("right"))
+    return rows.groupBy(*by).agg(F.try_divide(F.sum("right"), F.sum("p") * F.sum("q")).alias("weighted_auc"))
 
 
 def composite(metrics: DataFrame, weights: Mapping[str, float]) -> DataFrame:

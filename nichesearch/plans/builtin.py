@@ -105,6 +105,12 @@ class GradientBoosting(_Learner):
     name, methods = "spark-gbm", ("gbm", "brt")
 
 
+class MaximumEntropy(_Learner):
+    """Not among the default methods; see ``extended_registry``."""
+
+    name, methods = "spark-maxent", ("maxent",)
+
+
 BUILTIN_BACKENDS: tuple[Backend, ...] = (StandardProfiler(), DropDuplicateCells(), FullExtent(), StandardisePredictors(), RandomBackground(), RandomKFold(), SpatialBlockSplit(), Logistic(), GradientBoosting())
 
 
@@ -112,6 +118,11 @@ def default_registry() -> BackendRegistry:
     return BackendRegistry(*BUILTIN_BACKENDS)
 
 
+def extended_registry() -> BackendRegistry:
+    """The default methods, and those beyond them."""
+    return BackendRegistry(*BUILTIN_BACKENDS, MaximumEntropy())
+
+
 def profile_context(context: SdmContext, registry: BackendRegistry, spec: MethodSpec | None = None, seed: int = 42) -> tuple[DataProfile | None, list[Assumption]]:
     """The profile by a registered profiler; None if there is none of that name."""
     spec = spec or MethodSpec("standard")

@@ -6,7 +6,6 @@ import pytest
 
 import __spark_entry__
 from nichesearch import queries, run_queries
-from nichesearch.operators import algorithms
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -38,4 +37,4 @@ def test_registered_learners_run_with_the_defaults(spark, monkeypatch, name, lea
     given = []
     monkeypatch.setattr(queries.algorithms, "cross_validate", lambda rows, *args: given.append(args) or (rows.withColumn("cv_prediction", rows.label * 1.0),))
     queries.QUERIES[name](spark, SMALL)
-    assert [a[:2] for a in given] == [(learner, {})] and algorithms.boosted(100, {}, 42).getMaxIter() == 100
+    assert [a[:2] for a in given] == [(learner, {})]
