@@ -42,13 +42,16 @@ LEVEL, BLOCK_BYTES = 9, 4 * 1024
 MARGIN_SHARE, MARGIN_BYTES = 0.01, 2
 UNKNOWN = "und"
 #: What Python counts as a word character and is no letter, beside digits: fractions, superscripts, enclosed numbers and the like.
-_NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+_NUMERALS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(r"[^\W\d_]+")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, margin_bytes long, rejected boolean"
 
 
 def letters(text: str) -> bytes:
-    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "replace")
+    text = text.lower()
+    if not text.isascii() and (numerals := _NUMERALS.intersection(text)):
+        text = text.translate(dict.fromkeys(map(ord, numerals), " "))
+    return " ".join(_LETTERS.findall(text)).encode("utf-8", "replace")
 
 
 def learn(rows: DataFrame) -> dict[str, bytes]:
