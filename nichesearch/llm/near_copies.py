@@ -12,7 +12,10 @@ Any order gives the same result. That of hashes is taken, but with shingles that
 the texts holds more than once at the end, the commonest last: common lines and passages put
 few documents together. Copies of a set are searched once. Large groups are not compared pair
 by pair: first two sets of each shingle, that with the least share of rare shingles and one
-by hash, are compared with the others, and only then the pairs that are not yet connected.
+by hash, are compared with the others, and only then the pairs that are not yet connected. Before
+whole sets are compared, a map of ``MAP`` parities a set tells how much they differ at least: each shingle turns one
+place of it over, so that no more places differ than shingles do, of which similar sets of n and m have at
+most (n + m) / 9. So texts made of the same few sentences are told apart before they are moved.
 No step gathers the sets of a shingle.
 
 Words are as in ``simhash``; fewer than five are one shingle; texts without words are copies
@@ -42,6 +45,8 @@ WORDS, SEED = 5, 42
 PART, WHOLE = 4, 5
 #: One text of so many, by hash, tells which shingles are common, and how many of the commonest are kept; neither changes the result.
 SAMPLE, HOTTEST = 16, 1 << 18
+#: Places of a set's map of parities, a multiple of 64.
+MAP = 256
 #: Sets that a task remembers while it compares pairs.
 REMEMBERED = 64
 #: Odd factors of the words of a shingle.
@@ -99,6 +104,12 @@ def _fingerprint(own: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(own), bitorder="little").view(np.uint64)[0])
 
 
+def _parities(own: np.ndarray) -> list[int]:
+    """Of a set: whether an odd number of its shingles has each place, as longs."""
+    odd = np.bincount((own % np.uint64(MAP)).astype(np.int64), minlength=MAP) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def _longs(x: np.ndarray | list[int]) -> pa.Array:
     return pa.array(np.array(x, np.uint64).view(np.int64))
 
@@ -120,7 +131,7 @@ def _hottest(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prints(docs: DataFrame, hot: np.ndarray, places: np.ndarray) -> DataFrame:
-    """(doc_id, h: hash of the text, key of the set, its fingerprint, n, rare, head) of each row; a head once a task for each set, else null."""
+    """(doc_id, h: hash of the text, key of the set, its fingerprint, n, rare, head, map of parities) of each row; a head and map once a task for each set, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _Hashes(), set()
@@ -131,15 +142,15 @@ def _prints(docs: DataFrame, hot: np.ndarray, places: np.ndarray) -> DataFrame:
                 if len(own) and key not in seen:
                     seen.add(key)
                     head, rare = _head(own, hot, places)
-                rows.append((key, _fingerprint(own) if head is not None else 0, len(own), rare, head))
-            keys, fps, sizes, rares, heads = zip(*rows, strict=True) if rows else ((),) * 5
+                rows.append((key, _fingerprint(own) if head is not None else 0, len(own), rare, head, None if head is None else _parities(own)))
+            keys, fps, sizes, rares, heads, maps = zip(*rows, strict=True) if rows else ((),) * 6
             ends = pa.array([0, *np.cumsum([0 if h is None else len(h) for h in heads]).tolist()], pa.int32())
             values = np.concatenate([np.zeros(0, np.uint64), *(h for h in heads if h is not None)])
             lists = pa.ListArray.from_arrays(ends, _longs(values), mask=pa.array([h is None for h in heads], pa.bool_()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), _longs(keys), _longs(fps), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), lists], names=["doc_id", "h", "key", "fp", "n", "rare", "head"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), _longs(keys), _longs(fps), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()), lists, pa.array(maps, pa.list_(pa.int64()))], names=["doc_id", "h", "key", "fp", "n", "rare", "head", "map"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(run, "doc_id long, h long, key long, fp long, n long, rare long, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, key long, fp long, n long, rare long, head array<long>, map array<long>")
 
 
 _ROW = ("shingle", "key", "n", "rare", "place")
@@ -192,17 +203,30 @@ def _unconnected(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(common.written(several, "near-several"), "shingle", "left_semi")
 
 
-def _every(rows: DataFrame) -> DataFrame:
-    """All pairs (u, v) of sets that share a shingle, are possible and not in one group.
+def _alike(a: str, b: str) -> str:
+    """Whether the maps of parities of both sets differ in as few places as sets that are similar enough can."""
+    apart = " + ".join(f"bit_count({a}.map[{i}] ^ {b}.map[{i}])" for i in range(MAP // 64))
+    return f"{PART + WHOLE} * ({apart}) <= {a}.n + {b}.n"
+
+
+def _apart(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The distinct ``pairs`` (u, v) without those whose maps tell that they differ too much."""
+    for c in "uv":
+        pairs = pairs.join(maps.select(F.col("key").alias(c), F.struct("n", "map").alias(f"_{c}")), c)
+    return pairs.filter(_alike("_u", "_v")).select("u", "v").distinct()
+
+
+def _every(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """All pairs (u, v) of sets that share a shingle, are possible by place and map, and not in one group.
 
     The largest group of a shingle is not compared with itself: the others are joined to all.
     """
     groups = rows.groupBy("shingle", "root").agg(F.count("*").alias("c"))
     largest = common.written(groups.groupBy("shingle").agg(F.max_by("root", F.struct("c", "root")).alias("largest")), "near-largest")
-    marked = rows.join(largest, "shingle").withColumn("large", F.col("root") == F.col("largest")).drop("largest")
+    marked = rows.join(largest, "shingle").withColumn("large", F.col("root") == F.col("largest")).drop("largest").join(maps.select("key", "map"), "key")
     marked = common.written(marked, "near-marked")
     a, b = marked.alias("a"), marked.filter("NOT large").alias("b")
-    joined = a.join(b, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (a.large OR a.key < b.key) AND {_possible('a', 'b')}"))
+    joined = a.join(b, F.expr(f"a.shingle = b.shingle AND a.root <> b.root AND (a.large OR a.key < b.key) AND {_possible('a', 'b')} AND {_alike('a', 'b')}"))
     return joined.select(F.least("a.key", "b.key").alias("u"), F.greatest("a.key", "b.key").alias("v")).distinct()
 
 
@@ -275,18 +299,19 @@ def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = common.written(_prints(docs, *_hottest(docs)), "near-heads")
     heads = whole.filter("head is not null").select("key", "n", "rare", F.posexplode("head").alias("place", "shingle"))
     shared = common.written(_shared(heads.select("shingle", "key", "n", "rare", F.col("place").cast("long").alias("place"))), "near-shared")
-    prints = common.written(whole.select("doc_id", "h", "key", F.when(F.col("head").isNotNull(), F.col("fp")).alias("fp")), "near-prints")
+    prints = common.written(whole.select("doc_id", "h", "key", F.when(F.col("head").isNotNull(), F.col("fp")).alias("fp"), "n", "map"), "near-prints")
     common.discard(spark, whole)
     common.release(spark)
     rows = shared.withColumn("root", F.col("key"))
     pairs = _by_fingerprints(prints)
     for choice in (F.col("rare") / F.col("n"), F.xxhash64("key")):
         pairs = pairs.unionByName(_with_pivots(rows, choice))
-    links = verified(docs, prints, common.written(pairs.distinct(), "near-pairs"))
+    maps = common.written(prints.filter("map is not null").select("key", "n", "map").dropDuplicates(["key"]), "near-maps")
+    links = verified(docs, prints, common.written(_apart(pairs.distinct(), maps), "near-pairs"))
     found = stars(links).withColumnRenamed("node", "key")
     rows = common.written(_unconnected(rows, found), "near-rows")
     if not rows.isEmpty():
-        links = links.unionByName(verified(docs, prints, common.written(_every(rows), "near-pairs")))
+        links = links.unionByName(verified(docs, prints, common.written(_every(rows, maps), "near-pairs")))
         found = stars(links).withColumnRenamed("node", "key")
     return prints.select("doc_id", "h", "key"), found
 

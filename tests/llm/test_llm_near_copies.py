@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -49,3 +50,26 @@ def test_ids_that_are_null_or_repeated_over_texts(make, keep_one):
     rows = [row(1, a), row(2, a), row(2, b), row(2, b), row(3, c), row(3, d), row(None, d), row(None, "only here, " + c[::-1]), row(None, "only here, " + c[::-1]), row(None, None), row(None, "")]
     kept = sorted((str(r.doc_id), r.text or "") for r in keep_one(make(rows)).collect())
     assert kept == sorted([("1", a), ("2", b), ("3", c), ("3", d), ("None", "only here, " + c[::-1]), ("None", "")])
+
+
+def test_maps_of_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 60, 400, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**63, max(1, n // 5)).astype(np.uint64)]))
+        apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(near_copies._parities(a), near_copies._parities(b), strict=True))
+        assert len(near_copies._parities(a)) == near_copies.MAP // 64 and apart <= len(np.setxor1d(a, b))
+
+
+def test_texts_of_the_same_sentences_make_few_pairs(spark, make, monkeypatch):
+    """Pairs that are compared as whole sets grow with the documents, not with their square."""
+    rng = random.Random(7)
+    sentences = [text(rng, "en", 12) + "." for _ in range(60)]
+    compared, seen = {}, []
+    real = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda docs, prints, pairs: seen.append(pairs.count()) or real(docs, prints, pairs))
+    for n in (1000, 2000):
+        seen.clear()
+        near_copies.keep_one(make([row(i, " ".join(rng.sample(sentences, 5))) for i in range(n)])).count()
+        compared[n] = sum(seen)
+    assert compared[2000] <= 3 * max(compared[1000], 100) and compared[2000] < 2000
