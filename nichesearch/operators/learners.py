@@ -72,6 +72,22 @@ def total(blocks: RDD, f: Callable[[Block], np.ndarray]) -> np.ndarray:
     return parts.reduce(np.add) if parts.getNumPartitions() <= 16 else parts.treeReduce(np.add)
 
 
+def total_of(rows: DataFrame, column: str, k: int, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
+    """The sum of what ``f`` makes of arrays of ``k`` numbers, a batch at a time; None without rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for batch in batches:
+            if batch.num_rows:
+                more = f(batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, k))
+                out = more if out is None else out + more
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    parts = rows.select(column).mapInArrow(run, "sums array<double>").rdd.map(lambda r: np.array(r[0]))
+    return parts.treeReduce(np.add) if not parts.isEmpty() else None
+
+
 # --- logistic regression
 
 

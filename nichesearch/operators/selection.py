@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ranks
 from ..schema import RunResult, SelectionScore
@@ -94,6 +96,46 @@ def importance_weights(rows: DataFrame, landscape: DataFrame, k: int, bins: int
     return placed(rows).join(F.broadcast(ratio), "_cell", "left").drop("_cell")
 
 
+def density_ratio(rows: DataFrame, landscape: DataFrame, k: int, centres: int = 100, width: float = 1.0, ridge: float = 0.1, seed: int = 42) -> DataFrame:
+    """Adds weight: the density of a record's environment in the landscape over that among ``rows`` (predictors), by least squares (uLSIF).
+
+    The ratio is a sum of Gaussians, ``width`` deviations wide, at ``centres`` complete cells of the landscape (by
+    hash). Its weights solve (H + ridge I) a = h, where H is the mean of the products of kernels over ``rows`` and h
+    that of the kernels over the landscape: two sums over the data, and a system of ``centres`` equations for the driver. Where the sum
+    is negative the weight is 0; NULL where a predictor is missing.
+    """
+    from .learners import total_of
+
+    whole = F.forall("predictors", lambda x: x.isNotNull())
+    place = landscape.filter(whole).select("predictors").orderBy(F.xxhash64(F.lit(seed), "predictors"), "predictors").limit(centres)
+    at = np.array([r[0] for r in place.collect()], float).reshape(-1, k)
+    spread = landscape.filter(whole).agg(*[F.stddev_pop(F.get("predictors", F.lit(i))) for i in range(k)]).first()
+    scale = np.array([s if s else 1.0 for s in spread], float)
+
+    def kernels(x: np.ndarray) -> np.ndarray:
+        return np.exp(-(((x[:, None, :] - at[None]) / scale) ** 2).sum(axis=2) / (2 * width**2))
+
+    def products(x: np.ndarray) -> np.ndarray:
+        phi = kernels(x)
+        return np.r_[len(x), (phi.T @ phi).ravel()]
+
+    own = total_of(rows.filter(whole), "predictors", k, products)
+    all_ = total_of(landscape.filter(whole), "predictors", k, lambda x: np.r_[len(x), kernels(x).sum(axis=0)])
+    c = len(at)
+    if not c or own is None:
+        return rows.withColumn("weight", F.lit(None).cast("double"))
+    a = np.linalg.solve(own[1:].reshape(c, c) / own[0] + ridge * np.eye(c), all_[1:] / all_[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x in batch.column(batch.schema.get_field_index("predictors")).to_pylist():
+                out.append(None if x is None or None in x else max(0.0, float(kernels(np.array([x]))[0] @ a)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "weight"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("weight", T.DoubleType())]))
+
+
 def boyce_bins(scored: DataFrame, bins: int = BOYCE_BINS) -> DataFrame:
     """(bin, presences, available, ratio) from rows (label, score in [0, 1]): shares of presences over shares of all, by equal bins."""
     which = F.least(F.floor(F.col("score") * bins), F.lit(bins - 1)).cast("int")

@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import draws, geometry, parsing
 from .operators import algorithms, profile_stats, selection, stages
-from .plans import executor, priors, proposer
-from .plans.builtin import default_registry
-from .schema import MethodSpec
+from .plans import executor
 from .sources import occurrences as occurrence_source
 from .sources import virtual
 from .sources.rasters import Grid
@@ -401,7 +399,6 @@ def profile_temporal(spark, sf):
 
 # --- rules and the search space
 
-_FACTS = [("profile.volume.n_unique_cells", 420.0, None), ("profile.environmental.max_vif", 12.5, None), ("profile.spatial.nearest_neighbour_index", 0.62, None), ("objective", None, "spatial_transfer")]
 # What the catalogue and the rules must hold, stated by hand: the oracles below don't read the code under test.
 _METHODS = [("cleaning", "drop_duplicate_cells"), ("accessible_area", "full_extent"), ("predictors", "standardize"), ("split", "random_kfold"), ("split", "spatial_block"), ("algorithm", "gbm"), ("algorithm", "logistic")]
 _CELLS, _VIF, _NNI, _SHIFTED = "profile.volume.n_unique_cells", "profile.environmental.max_vif", "profile.spatial.nearest_neighbour_index", "profile.sampling.covariate_shift"
@@ -417,54 +414,6 @@ _RULES = [
     ("spatial_transfer_requires_spatial_blocks", "split", "spatial_block", 1.5, "objective", "==", "spatial_transfer", None),
     ("interpolation_tolerates_random_folds", "split", "random_kfold", 0.5, "objective", "==", "interpolation", None),
 ]
-_PRIORS = f""", facts AS (SELECT * FROM {_values(_FACTS)} AS f(path, num, str)), methods AS (SELECT * FROM {_values(_METHODS)} AS m(stage, method)),
-rules AS (SELECT * FROM {_values(_RULES)} AS r(prior_id, stage, method, log_weight, path, op, txt, number)),
-ap AS (SELECT prior_id, stage, method, log_weight, coalesce(CASE op WHEN '<' THEN num < number WHEN '<=' THEN num <= number WHEN '>' THEN num > number WHEN '>=' THEN num >= number WHEN '==' THEN coalesce(num = number, str = txt) END, false) AS applies FROM rules LEFT JOIN facts USING (path)),
-we AS (SELECT stage, method, coalesce(sum(log_weight), 0) AS weight, coalesce(string_agg(prior_id, ',' ORDER BY prior_id), '') AS prior_ids FROM methods LEFT JOIN (SELECT * FROM ap WHERE applies) USING (stage, method) GROUP BY 1, 2),
-space AS (SELECT concat_ws('+', e.method, d.method) AS candidate_id, a.weight + b.weight + c.weight + d.weight + e.weight AS weight FROM
-(SELECT * FROM we WHERE stage = 'cleaning') a, (SELECT * FROM we WHERE stage = 'accessible_area') b, (SELECT * FROM we WHERE stage = 'predictors') c, (SELECT * FROM we WHERE stage = 'split') d, (SELECT * FROM we WHERE stage = 'algorithm') e)
-"""
-
-
-def _applied(spark):
-    facts = spark.createDataFrame(_FACTS, "path string, num double, str string")
-    return priors.applicable(priors.conditions_table(spark, priors.DEFAULT_PRIORS), facts)
-
-
-def _weights(spark):
-    return priors.weights(proposer._methods(spark, default_registry(), "presence_absence"), _applied(spark))
-
-
-def _space(spark):
-    return proposer.enumerate_space(_weights(spark), list(proposer.REQUIRED))
-
-
-@query(_PRIORS + "SELECT prior_id, applies FROM ap")
-def prior_conditions(spark, sf):
-    return _applied(spark).select("prior_id", "applies")
-
-
-@query(_PRIORS + "SELECT stage, method, round(weight, 6) AS weight FROM we")
-def prior_weights(spark, sf):
-    return _weights(spark).select("stage", "method", six("weight", "weight"))
-
-
-@query(_PRIORS + "SELECT stage, method, round(weight, 6) AS weight, prior_ids FROM we")
-def explain_priors(spark, sf):
-    return _weights(spark).select("stage", "method", six("weight", "weight"), "prior_ids")
-
-
-@query(_PRIORS + "SELECT candidate_id, round(weight, 6) AS weight, row_number() OVER (ORDER BY weight DESC, candidate_id) AS place FROM space")
-def propose_candidates(spark, sf):
-    place = F.row_number().over(Window.orderBy(F.desc("weight"), "candidate_id")).cast("long")  # a handful of candidates
-    return _space(spark).select("candidate_id", six("weight", "weight"), place.alias("place"))
-
-
-@query(_PRIORS + f"SELECT candidate_id FROM space ORDER BY -ln({_u('candidate', 'candidate_id')}) / exp(weight - (SELECT max(weight) FROM space)), candidate_id LIMIT 2")
-def propose_budgeted(spark, sf):
-    return proposer.draw_candidates(_space(spark), 2, SEED).select("candidate_id")
-
-
 # --- scores
 
 _SCORED = _KFOLD + f", sc AS (SELECT fold, label, floor({_u('score', 'record_id')} * 1000) / 1000 + label * 0.1::DOUBLE AS score FROM kf), rk AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY score) + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0::DOUBLE AS r FROM sc), au AS (SELECT fold, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))::DOUBLE) AS auc FROM rk GROUP BY fold)"
@@ -583,30 +532,52 @@ def importance_weighted_auc(spark, sf):
     return selection.weighted_auc(rows).select(six("weighted_auc", "weighted_auc"))
 
 
-_METRICS = [("a", "auc_mean", 0.8), ("a", "auc_sd", 0.1), ("a", "n_folds", 5.0), ("b", "auc_mean", 0.82), ("b", "auc_sd", 0.2), ("c", "auc_mean", 0.7)]
-_TRUTH = [("s1", "a", 0.75, 0.9), ("s1", "b", 0.72, 0.95), ("s2", "a", 0.6, 0.8), ("s2", "b", 0.5, 0.7)]
+#: Two candidates' scores of each record, and the species that it counts for: a band of the grid.
+_TWO = _KFOLD + f""", two AS (SELECT 'a' AS candidate_id, "row" // 20 AS species, fold, label, {_u("a", "record_id")} + label * 0.2::DOUBLE AS score FROM kf UNION ALL SELECT 'b', "row" // 20, fold, label, {_u("b", "record_id")} + label * fold * 0.1::DOUBLE FROM kf),
+rf AS (SELECT *, rank() OVER (PARTITION BY candidate_id, species, fold ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, species, fold, score) - 1) / 2.0::DOUBLE AS r FROM two),
+af AS (SELECT candidate_id, species, fold, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))::DOUBLE) AS auc FROM rf GROUP BY ALL),
+cv AS (SELECT candidate_id, species, avg(auc) - 0.5 * stddev_pop(auc) AS total FROM af GROUP BY ALL),
+re AS (SELECT *, rank() OVER (PARTITION BY candidate_id, species ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, species, score) - 1) / 2.0::DOUBLE AS r FROM two),
+tr AS (SELECT candidate_id, species, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))::DOUBLE) AS score_true FROM re GROUP BY ALL)"""
+
 
+def _candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(candidate_id, species, metric, value) over folds, and (candidate_id, species, score_true) over all records."""
+    rows = stages.random_kfold(occ(spark, sf), FOLDS, SEED).withColumn("species", F.floor(F.col("row") / 20).cast("int"))
+    lifts = {"a": F.col("label") * F.lit(0.2), "b": F.col("label") * F.col("fold") * F.lit(0.1)}
+    each = [rows.select(F.lit(c).alias("candidate_id"), "species", "fold", "label", (draws.uniform(SEED, c, F.col("record_id")) + lift).alias("score")) for c, lift in lifts.items()]
+    two = each[0].unionByName(each[1])
+    own = ["candidate_id", "species"]
+    folds = stages.auc(two, [*own, "fold"]).groupBy(*own).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_sd"))
+    metrics = folds.select(*own, F.explode(F.map_from_arrays(F.array(F.lit("auc_mean"), F.lit("auc_sd")), F.array("auc_mean", "auc_sd"))).alias("metric", "value"))
+    return metrics, stages.auc(two, own).select(*own, F.col("auc").alias("score_true"))
 
-@query(f"SELECT candidate_id, round(sum(CASE metric WHEN 'auc_mean' THEN value ELSE -0.5 * value END), 6) AS total FROM {_values(_METRICS)} AS m(candidate_id, metric, value) WHERE metric IN ('auc_mean', 'auc_sd') GROUP BY 1")
+
+@query(_TWO + " SELECT candidate_id || ':' || species AS candidate_id, round(total, 6) AS total FROM cv")
 def composite_scores(spark, sf):
-    rows = spark.createDataFrame(_METRICS, "candidate_id string, metric string, value double")
+    rows = _candidates(spark, sf)[0].withColumn("candidate_id", F.concat_ws(":", "candidate_id", "species"))
     return selection.composite(rows, selection.WEIGHTS["spatial_transfer"]).select("candidate_id", six("total", "total"))
 
 
-@query(f"SELECT species, round(arg_max(score_true, total) - max(score_true), 6) AS regret FROM {_values(_TRUTH)} AS t(species, candidate_id, total, score_true) GROUP BY 1")
+@query(_TWO + " SELECT CAST(species AS INT) AS species, round(arg_max(score_true, total) - max(score_true), 6) AS regret FROM cv JOIN tr USING (candidate_id, species) GROUP BY species")
 def selector_regret(spark, sf):
-    rows = spark.createDataFrame(_TRUTH, "species string, candidate_id string, total double, score_true double")
-    return selection.regret(rows).select("species", six("regret", "regret"))
+    metrics, truth = _candidates(spark, sf)
+    named = metrics.withColumn("candidate_id", F.concat_ws(":", "candidate_id", "species"))
+    total = selection.composite(named, selection.WEIGHTS["spatial_transfer"]).select(F.substring_index("candidate_id", ":", 1).alias("candidate_id"), F.substring_index("candidate_id", ":", -1).cast("int").alias("species"), "total")
+    return selection.regret(total.join(truth, ["candidate_id", "species"])).select("species", six("regret", "regret"))
 
 
 # --- registry and records
 
-_GAPS = [("unsupported_algorithm", "m", "algorithm", "maxent"), ("unsupported_algorithm", "m", "algorithm", "maxent"), ("unsupported_sampling_bias", "m", "sampling_bias", "roads"), ("unreadable_raster", "m", "predictor_format", ".tif")]
-
-
-@query(f"SELECT code, feature, requested_value, count(*) AS n FROM {_values(_GAPS)} AS g(code, message, feature, requested_value) GROUP BY 1, 2, 3")
+@query(
+    f""", s AS (SELECT {_PICK.format(_listed(_STATUS))} AS v FROM occ)
+SELECT 'unreadable_presence' AS code, 'occurrences.presence' AS feature, v AS requested_value, count(*) AS n FROM s WHERE lower(trim(v)) NOT IN ({_listed(parsing.PRESENT + parsing.ABSENT)}) GROUP BY v"""
+)
 def gap_backlog(spark, sf):
-    return executor.backlog(spark.createDataFrame(_GAPS, executor.BACKLOG))
+    """What the records ask for and the parser can't give, by how often."""
+    raw = _dirty(_STATUS)
+    gaps = occ(spark, sf).filter(parsing.presence(raw).isNull()).select(F.lit("unreadable_presence").alias("code"), F.lit("not a known spelling").alias("message"), F.lit("occurrences.presence").alias("feature"), raw.alias("requested_value"))
+    return executor.backlog(gaps)
 
 
 @query("SELECT CASE WHEN p1 IS NULL THEN 'dropped_records_with_missing_predictors' ELSE 'kept' END AS code, count(*) AS n FROM occ LEFT JOIN grid USING (\"row\", col) GROUP BY 1")
@@ -614,32 +585,3 @@ def assumption_counts(spark, sf):
     rows = stages.gather(occ(spark, sf), grid(spark, sf))
     code = F.when(F.coalesce(stages.complete("predictors"), F.lit(False)), "kept").otherwise("dropped_records_with_missing_predictors")
     return rows.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
-
-
-_WANTED = [("algorithm", "GLM"), ("algorithm", "maxent"), ("split", "spatial_block"), ("background", "target_group")]
-_TABLE = [
-    ("cleaning", "drop_duplicate_cells", "spark-clean-duplicates", True),
-    ("accessible_area", "full_extent", "spark-area-full-extent", True),
-    ("predictors", "standardize", "spark-predictors-standardise", True),
-    ("predictors", "standardise", "spark-predictors-standardise", False),
-    ("background", "random", "spark-background-random", True),
-    ("split", "random_kfold", "spark-split-random-kfold", True),
-    ("split", "spatial_block", "spark-split-spatial-block", True),
-    ("algorithm", "logistic", "spark-logistic", True),
-    ("algorithm", "glm", "spark-logistic", False),
-    ("algorithm", "gbm", "spark-gbm", True),
-    ("algorithm", "brt", "spark-gbm", False),
-]
-
-
-@query(f"SELECT w.stage, w.method, backend, CASE WHEN backend IS NULL THEN 'unsupported_' || w.stage END AS gap FROM {_values(_WANTED)} AS w(stage, method) LEFT JOIN {_values([(s, m, b) for s, m, b, _ in _TABLE])} AS t(stage, method, backend) ON t.stage = w.stage AND t.method = lower(w.method)")
-def resolve_methods(spark, sf):
-    registry = default_registry()
-    found = [(s, m, registry.resolve(s, MethodSpec(m))) for s, m in _WANTED]
-    return spark.createDataFrame([(s, m, r.backend.name if r.ok else None, None if r.ok else r.gap.code) for s, m, r in found], "stage string, method string, backend string, gap string")
-
-
-@query(f"SELECT DISTINCT stage, backend, method FROM {_values([(s, m, b) for s, m, b, first in _TABLE if first])} AS t(stage, method, backend)")
-def canonical_backends(spark, sf):
-    rows = default_registry().table(spark).filter("canonical and stage <> 'profile'")
-    return rows.select("stage", "backend", "method").distinct()

@@ -7,16 +7,16 @@ read back by the library's own readers.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import queries
 from .functions import files
 from .functions.caching import hold
-from .operators import stages
+from .operators import learners, maxent, stages
 from .plans import cards, digest, executor, priors, proposer
 from .plans.builtin import default_registry, profile_context
 from .plans.store import ArtifactStore
@@ -229,6 +229,85 @@ def explain_from_profile(spark, sf):
     return spark.createDataFrame([(s, m, round(w, 6)) for s, m, w, _ in rows], "stage string, method string, weight double")
 
 
+# --- rules over what was measured
+
+#: Every comparison that a rule can make, over facts of the profile; the last one's fact is missing.
+_ASKED = [
+    ("fewer", queries._CELLS, "<", 3000.0), ("at most", queries._CELLS, "<=", 3503.0), ("more", queries._CELLS, ">", 3000.0), ("at least", queries._CELLS, ">=", 3503.0), ("equal", "profile.environmental.n_predictors", "==", 2.0),
+    ("unequal", "profile.environmental.n_predictors", "!=", 2.0), ("there", queries._NNI, "not_null", None), ("missing", queries._NNI, "is_null", None), ("no fact", "profile.volume.nothing", "!=", 1.0),
+]
+_RULED = (
+    _MEASURED
+    + f""", pf(path, num, str) AS (SELECT '{queries._CELLS}', CAST(n_cells AS DOUBLE), NULL FROM facts UNION ALL SELECT '{queries._VIF}', 1 / (1 - r * r), NULL FROM facts UNION ALL SELECT '{queries._NNI}', nni, NULL FROM facts
+UNION ALL SELECT '{queries._SHIFTED}', moved, NULL FROM facts UNION ALL SELECT 'profile.environmental.n_predictors', 2.0, NULL UNION ALL SELECT 'objective', NULL, 'spatial_transfer'),
+methods AS (SELECT * FROM {queries._values(queries._METHODS)} AS m(stage, method)),
+rules AS (SELECT * FROM {queries._values(queries._RULES)} AS r(prior_id, stage, method, log_weight, path, op, txt, number)),
+ap AS (SELECT prior_id, stage, method, log_weight, coalesce(CASE op WHEN '<' THEN num < number WHEN '<=' THEN num <= number WHEN '>' THEN num > number WHEN '>=' THEN num >= number WHEN '==' THEN coalesce(num = number, str = txt) END, false) AS applies FROM rules LEFT JOIN pf USING (path)),
+we AS (SELECT stage, method, coalesce(sum(log_weight), 0) AS weight, coalesce(string_agg(prior_id, ',' ORDER BY prior_id), '') AS prior_ids FROM methods LEFT JOIN (SELECT * FROM ap WHERE applies) USING (stage, method) GROUP BY 1, 2),
+space AS (SELECT concat_ws('+', e.method, d.method) AS candidate_id, a.weight + b.weight + c.weight + d.weight + e.weight AS weight FROM
+(SELECT * FROM we WHERE stage = 'cleaning') a, (SELECT * FROM we WHERE stage = 'accessible_area') b, (SELECT * FROM we WHERE stage = 'predictors') c, (SELECT * FROM we WHERE stage = 'split') d, (SELECT * FROM we WHERE stage = 'algorithm') e)
+"""
+)
+
+
+def _facts(spark: SparkSession, sf: str) -> DataFrame:
+    return priors.facts_table(spark, {"profile": _profile(spark, sf)[0], "objective": "spatial_transfer"})
+
+
+def _weights(spark: SparkSession, sf: str) -> DataFrame:
+    applied = priors.applicable(priors.conditions_table(spark, priors.DEFAULT_PRIORS), _facts(spark, sf))
+    return priors.weights(proposer._methods(spark, default_registry(), "presence_absence"), applied)
+
+
+def _space(spark: SparkSession, sf: str) -> DataFrame:
+    return proposer.enumerate_space(_weights(spark, sf), list(proposer.REQUIRED))
+
+
+@query(_RULED + "SELECT prior_id, applies FROM ap")
+def prior_conditions(spark, sf):
+    return priors.applicable(priors.conditions_table(spark, priors.DEFAULT_PRIORS), _facts(spark, sf)).select("prior_id", "applies")
+
+
+@query(
+    _RULED
+    + f"""SELECT prior_id, CASE op WHEN 'is_null' THEN num IS NULL WHEN 'not_null' THEN num IS NOT NULL ELSE coalesce(CASE op WHEN '<' THEN num < number WHEN '<=' THEN num <= number WHEN '>' THEN num > number WHEN '>=' THEN num >= number WHEN '==' THEN num = number ELSE num <> number END, false) END AS applies
+FROM {queries._values(_ASKED)} AS a(prior_id, path, op, number) LEFT JOIN pf USING (path)"""
+)
+def rule_operators(spark, sf):
+    """Every operator of a condition, over measured facts and a missing one."""
+    rules = tuple(priors.Prior(i, "algorithm", "gbm", 1.0, "", (priors.Condition(p, op, v),)) for i, p, op, v in _ASKED)
+    return priors.applicable(priors.conditions_table(spark, rules), _facts(spark, sf)).select("prior_id", "applies")
+
+
+@query(_RULED + "SELECT stage, method, round(weight, 6) AS weight FROM we")
+def prior_weights(spark, sf):
+    return _weights(spark, sf).select("stage", "method", six("weight", "weight"))
+
+
+@query(_RULED + "SELECT stage, method, round(weight, 6) AS weight, prior_ids FROM we")
+def explain_priors(spark, sf):
+    return _weights(spark, sf).select("stage", "method", six("weight", "weight"), "prior_ids")
+
+
+@query(_RULED + "SELECT candidate_id, round(weight, 6) AS weight, row_number() OVER (ORDER BY weight DESC, candidate_id) AS place FROM space")
+def propose_candidates(spark, sf):
+    place = F.row_number().over(Window.orderBy(F.desc("weight"), "candidate_id")).cast("long")  # a handful of candidates
+    return _space(spark, sf).select("candidate_id", six("weight", "weight"), place.alias("place"))
+
+
+@query(_RULED + f"SELECT candidate_id FROM space ORDER BY -ln({_u('candidate', 'candidate_id')}) / exp(weight - (SELECT max(weight) FROM space)), candidate_id LIMIT 2")
+def propose_budgeted(spark, sf):
+    return proposer.draw_candidates(_space(spark, sf), 2, SEED).select("candidate_id")
+
+
+@query(_WEIGHED + " SELECT candidate_id, row_number() OVER (ORDER BY weight DESC, candidate_id) AS place, block_size, CAST((SELECT least(10000, greatest(1000, extent)) FROM facts) AS INT) AS n_background FROM plans")
+def propose_presence_only(spark, sf):
+    """Plans for presences alone have a background stage, whose size follows from the extent."""
+    plans = proposer.propose(_real(spark, sf, occurrence_type="presence_only"), default_registry(), profile=_profile(spark, sf)[0], random_seed=SEED, spark=spark)[0]
+    rows = [(p.candidate_id, i + 1, p.methodology.split.params.get("block_size"), p.methodology.background.params["n_background"]) for i, p in enumerate(plans)]
+    return spark.createDataFrame(rows, "candidate_id string, place long, block_size int, n_background int")
+
+
 # --- execution and artifacts
 
 
@@ -249,7 +328,7 @@ def _run(spark: SparkSession, sf: str) -> tuple[str, RunResult]:
     source = _real(spark, sf)
     plans = [_plan("a", source, "logistic"), _plan("b", source, "maxent"), _plan("c", source.replace(occurrences_path="nowhere.csv"), "logistic")]
     root = files.shared_folder(spark, "store")
-    return root, executor.execute_run(spark, plans, default_registry(), ArtifactStore(root, spark), run_id="run", random_seed=SEED)
+    return root, executor.execute_run(spark, plans, default_registry(), ArtifactStore(root, spark), run_id="run", random_seed=SEED, resume=True)
 
 
 _STEPS = [
@@ -319,15 +398,49 @@ def run_folds(spark, sf):
     return sides.join(aucs, "fold").select("fold", "n", F.col("n_presences").cast("long").alias("n_presences"), (F.size("ones") > 0).alias("scored"), (F.abs(share - F.col("auc")) < 1e-9).alias("auc_is_share_of_pairs"))
 
 
-@query("SELECT * FROM (VALUES ('bytes', sha256('data'), true, 'data'), ('json', sha256('{\"a\":1,\"b\":[true,null]}'), true, '{\"a\":1,\"b\":[true,null]}')) AS a(kind, digest, written_once, content)")
+@query("""SELECT 'bytes' AS kind, n_name AS content, sha256(n_name) AS digest, true AS written_once FROM nation
+UNION ALL SELECT 'json', x, sha256(x), true FROM (SELECT '{"key":' || n_nationkey || ',"name":"' || n_name || '"}' AS x FROM nation)""")
 def artifact_files(spark, sf):
-    """Files by the digest of their bytes, put twice and read back."""
+    """A nation's name as a file, and its record as JSON, by the digest of their bytes; each is put twice and read back."""
     store = ArtifactStore(files.shared_folder(spark, "store"), spark)
     rows = []
-    for kind, put in (("bytes", lambda n: store.put_bytes(n, b"data", "text/plain")), ("json", lambda n: store.put_json(n, {"b": [True, None], "a": 1}))):
-        one, two = put("one"), put("two")
-        rows.append((kind, one.digest, one.path == two.path, store.read_bytes(one).decode()))
-    return spark.createDataFrame(rows, "kind string, digest string, written_once boolean, content string")
+    for r in spark.read.parquet(f"{sf}/nation.parquet").collect():  # 25 rows
+        for kind, put in (("bytes", lambda n, r=r: store.put_bytes(n, r["n_name"].encode(), "text/plain")), ("json", lambda n, r=r: store.put_json(n, {"name": r["n_name"], "key": r["n_nationkey"]}))):
+            one, two = put("one"), put("two")
+            rows.append((kind, store.read_bytes(one).decode(), one.digest, one.path == two.path))
+    return spark.createDataFrame(rows, "kind string, content string, digest string, written_once boolean")
+
+
+@query("SELECT sha256(n_name) AS sha256 FROM nation")
+def file_digest(spark, sf):
+    """Files, a nation each, hashed where they are read."""
+    folder = files.shared_folder(spark, "file")
+    for r in spark.read.parquet(f"{sf}/nation.parquet").collect():  # 25 rows
+        files.save(spark, f"{folder}/{r['n_nationkey']}.txt", r["n_name"].encode())
+    return digest.digest_files(spark, folder).select("sha256")
+
+
+@query("""SELECT count(DISTINCT (l_returnflag, l_linestatus)) AS n_values, count(DISTINCT (l_linestatus, l_returnflag)) AS n_digests, count(DISTINCT (l_returnflag, l_linestatus)) AS n_in_any_order, 2 * count(DISTINCT l_quantity) AS n_by_type FROM lineitem""")
+def canonical_digests(spark, sf):
+    """As many digests as values, whatever the order of keys; numbers and their text have different ones."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet")
+    flags = [(r[0], r[1]) for r in line.select("l_returnflag", "l_linestatus").distinct().collect()]  # a few
+    sizes = [r[0] for r in line.select("l_quantity").distinct().collect()]  # 50 at most
+    one, two = ({digest.digest_obj(dict(order)) for order in pairs} for pairs in ([(("flag", f), ("status", s)) for f, s in flags], [(("status", s), ("flag", f)) for f, s in flags]))
+    by_type = {digest.digest_obj(x) for q in sizes for x in (q, str(q))}
+    return spark.createDataFrame([(len(flags), len(one), len(one | two), len(by_type))], "n_values long, n_digests long, n_in_any_order long, n_by_type long")
+
+
+@query("SELECT name, count(o_orderkey) AS n, CAST(sum(o_orderkey) AS BIGINT) AS total FROM (SELECT o.*, name, CASE WHEN (o_orderkey % 2 = 0) = (name = 'even') THEN o_custkey END AS v FROM orders o, (VALUES ('even'), ('odd')) AS n(name)) WHERE v IS NOT NULL GROUP BY name")
+def artifact_nulls(spark, sf):
+    """Two tables that differ in where NULLs are only: both are kept, and each is read back as it was put."""
+    store = ArtifactStore(files.shared_folder(spark, "store"), spark)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    parts = []
+    for name, rest in (("even", 0), ("odd", 1)):
+        kept = store.put_table("orders", orders.select("o_orderkey", F.when(F.col("o_orderkey") % 2 == rest, F.col("o_custkey")).alias("v")))
+        parts.append(store.read_table(spark, kept).filter("v is not null").agg(F.lit(name).alias("name"), F.count("o_orderkey").alias("n"), F.sum("o_orderkey").alias("total")))
+    return parts[0].unionByName(parts[1])
 
 
 @query("SELECT count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity, true AS same_in_any_order, true AS differs_by_a_row FROM lineitem")
@@ -341,30 +454,116 @@ def artifact_table(spark, sf):
     return store.read_table(spark, kept).agg(F.count("*").alias("n"), F.sum("l_quantity").cast("double").alias("quantity"), F.lit(same).alias("same_in_any_order"), F.lit(other).alias("differs_by_a_row"))
 
 
-@query("SELECT * FROM (VALUES ('array is read back', true), ('arrays by shape and type', true), ('keys in any order', true), ('numbers by type', true), ('unknown types are refused', true)) AS d(statement, holds)")
-def canonical_digests(spark, sf):
-    store = ArtifactStore(files.shared_folder(spark, "store"), spark)
-    d = digest.digest_obj
-    back = [r[1] for r in store.read_table(spark, store.put_array("x", np.arange(6.0).reshape(2, 3))).orderBy("_1").collect()]
+_RERUN = """SELECT run_id, stage, reused, CAST(CASE WHEN stage = 'data_source' THEN CASE WHEN run_id = '5 presences' THEN n1 ELSE n END ELSE CASE WHEN run_id = '5 presences' THEN m1 ELSE m END END AS BIGINT) AS n_records
+FROM (SELECT count(*) AS n, sum(label) AS n1 FROM occ), (SELECT count(*) AS m, sum(label) AS m1 FROM clean), (SELECT unnest(['data_source', 'cleaning', 'accessible_area', 'predictors']) AS stage),
+LATERAL (VALUES ('1 first', false), ('2 again', true), ('3 other split', true), ('4 record outside', stage <> 'data_source'), ('5 presences', false)) AS r(run_id, reused)"""
+
+
+@query(_RERUN)
+def rewind(spark, sf):
+    """Which steps were read back: of a first run; of the same again; of one with another split; of one whose file has a record more, outside of the extent, so that what was read from it is the same; of one whose file holds the presences alone."""
+    root = files.shared_folder(spark, "store")
+    store, source = ArtifactStore(root, spark), _real(spark, sf)
+    grown, ones = (f"{files.shared_folder(spark, name)}/occurrences" for name in ("grown", "ones"))
+    world = spark.read.option("header", True).csv(source.occurrences_path)
+    world.unionByName(world.limit(1).withColumn("decimalLongitude", F.lit("-40.0"))).write.option("header", True).csv(grown)
+    world.filter("occurrenceStatus = 'PRESENT'").write.option("header", True).csv(ones)
+    plan = _plan("a", source, "none")
+    other = plan.replace(methodology=MethodologySpec(*[getattr(plan.methodology, s) for s in ("cleaning", "accessible_area", "predictors")], MethodSpec("random_kfold", {"n_folds": FOLDS}), MethodSpec("none")))
+    for run, p in (("1 first", plan), ("2 again", plan), ("3 other split", other), ("4 record outside", plan.replace(data_source=source.replace(occurrences_path=grown))), ("5 presences", plan.replace(data_source=source.replace(occurrences_path=ones)))):
+        executor.execute_run(spark, [p], default_registry(), store, run_id=run, random_seed=SEED, resume=True)
+    steps = executor.lineage(spark, store).filter("place < 4")
+    counts = spark.read.option("multiLine", True).json(f"{root}/runs/*/candidates/a/steps/*.json").select("metrics.n_records", "stage", F.regexp_extract(F.url_decode("_metadata.file_path"), r"/runs/([^/]+)/", 1).alias("run_id"))
+    last = F.coalesce("n_records", F.last("n_records", ignorenulls=True).over(Window.partitionBy("run_id").orderBy("place")))  # a handful of steps
+    return steps.join(counts, ["run_id", "stage"]).select("run_id", "stage", "reused", last.cast("long").alias("n_records"))
+
+
+@query(f"SELECT * FROM ({_EVERY_CELL}) WHERE \"row\" BETWEEN 12 AND 20 AND col BETWEEN 55 AND 59")
+def raster_window(spark, sf):
+    """A part of a stack: the blocks that it meets are read, and no others."""
+    return _stack(rasters.read_predictors(spark, _layers(_fixture(spark, sf), ".tif"), (12, 20, 55, 70)))
+
+
+@query(_USABLE + " SELECT label, count(*) AS n FROM usable WHERE label = 1 GROUP BY label UNION ALL SELECT 0, count(*) FROM (SELECT * FROM grid ORDER BY md5('42:background:' || \"row\" || ':' || col), \"row\", col LIMIT 700) WHERE p1 IS NOT NULL AND p2 IS NOT NULL")
+def run_presence_only(spark, sf):
+    """Presences alone, from file to scored table: records by label, the background among them."""
+    folder = _fixture(spark, sf)
+    ones = f"{files.shared_folder(spark, 'ones')}/occurrences"
+    spark.read.option("header", True).csv(f"{folder}/occurrences").filter("occurrenceStatus = 'PRESENT'").write.option("header", True).csv(ones)
+    plan = _plan("p", _real(spark, sf, occurrences_path=ones, occurrence_type="presence_absence"), "logistic")
+    plan = plan.replace(data_source=plan.data_source.replace(occurrence_type="presence_only"), methodology=MethodologySpec(*[getattr(plan.methodology, s) for s in ("cleaning", "accessible_area", "predictors", "split", "algorithm")], MethodSpec("random", {"n_background": 700})))
+    root = files.shared_folder(spark, "store")
+    result = executor.execute_run(spark, [plan], default_registry(), ArtifactStore(root, spark), run_id="only", random_seed=SEED)
+    scored = spark.read.parquet(f"{root}/{result.candidates[0].step_records[-1].artifacts[0].path}")
+    return scored.filter("cv_prediction between 0 and 1").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'no_usable_occurrences' AS code, count(*) AS n_records FROM occ")
+def unusable_occurrences(spark, sf):
+    """A file none of whose records has coordinates is a gap, not an empty result."""
+    bad = f"{files.shared_folder(spark, 'bad')}/occurrences"
+    raw = spark.read.option("header", True).csv(f"{_fixture(spark, sf)}/occurrences").withColumn("decimalLongitude", F.lit("n/a"))
+    raw.write.option("header", True).csv(bad)
     try:
-        d(object())
-        refused = False
-    except TypeError:
-        refused = True
-    rows = {
-        "keys in any order": d({"a": 1, "b": 2}) == d({"b": 2, "a": 1}),
-        "numbers by type": len({d(1), d(1.0), d("1.0"), d(True)}) == 4,
-        "arrays by shape and type": len({d(np.zeros(4)), d(np.zeros((2, 2))), d(np.zeros((2, 2), "f4"))}) == 3,
-        "array is read back": back == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0],
-        "unknown types are refused": refused,
-    }
-    return spark.createDataFrame(list(rows.items()), "statement string, holds boolean")
+        loader.load_data_source(spark, _real(spark, sf, occurrences_path=bad), SEED)
+        code = "none"
+    except UnsupportedDataSource as e:
+        code = e.gap.code
+    return spark.read.option("header", True).csv(bad).agg(F.lit(code).alias("code"), F.count("*").alias("n_records"))
 
 
-@query("SELECT sha256('abc') AS sha256, true AS same_on_driver")
-def file_digest(spark, sf):
-    path = files.save(spark, f"{files.shared_folder(spark, 'file')}/abc.bin", b"abc")
-    return digest.digest_files(spark, path).select("sha256", (F.col("sha256") == digest.digest_bytes(b"abc")).alias("same_on_driver"))
+@query("SELECT spelling, CAST(NOT same AS INT) AS n_said, CASE WHEN same THEN n ELSE 0 END AS n_records FROM (SELECT count(*) AS n FROM occ), (VALUES ('EPSG:4326', true), (' epsg:4326', true), ('EPSG:3857', false)) AS s(spelling, same)")
+def crs_spellings(spark, sf):
+    """Coordinates are moved where the systems differ, not where their names are spelled differently; degrees taken for metres lie outside."""
+    rows = []
+    for crs in ("EPSG:4326", " epsg:4326", "EPSG:3857"):
+        context, said = loader.load_data_source(spark, _real(spark, sf, crs=crs), SEED)
+        rows.append((crs, sum(a.code == "reprojected_occurrences" for a in said), context.occurrences.count()))
+    return spark.createDataFrame(rows, "spelling string, n_said int, n_records long")
+
+
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
+    g = queries.grid(spark, sf)
+    rows = stages.standardise(queries._clean(spark, sf), g, *stages.layer_stats(g, K)).filter("features is not null")
+    return hold(stages.spatial_block_folds(rows, BLOCK, FOLDS, SEED).select("record_id", "label", "features", "fold"))
+
+
+_FITS = _USABLE + "SELECT fold, CAST((SELECT sum(n) FROM sides) - n AS BIGINT) AS n, CAST((SELECT sum(p) FROM sides) - p AS BIGINT) AS n_presences, true AS is_optimum FROM sides"
+
+
+@query(_FITS)
+def logistic_optimum(spark, sf):
+    """Each fold's coefficients are held against the conditions of the optimum, by an aggregation over the rows that it was fitted to."""
+    rows = _folded(spark, sf)
+    blocks = learners.packed(rows, [*range(FOLDS), None], rows.count())
+    out = []
+    for fold, m in enumerate(learners.logistic(blocks, K, FOLDS + 1)[:-1]):
+        x = [F.get("features", F.lit(i)) for i in range(K)]
+        error = 1 / (1 + F.exp(-(F.lit(m.intercept) + sum(F.lit(c) * v for c, v in zip(m.coefficients, x, strict=True))))) - F.col("label")
+        slopes = [F.sum(error), *[F.sum(error * v) + F.lit(c) for c, v in zip(m.coefficients, x, strict=True)]]
+        flat = F.greatest(*map(F.abs, slopes)) < 1e-5
+        out.append(rows.filter(F.col("fold") != fold).agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.sum("label").alias("n_presences"), flat.alias("is_optimum")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(_FITS)
+def maxent_optimum(spark, sf):
+    """Maximum entropy with linear and quadratic features: at each fold's optimum a feature's mean under the model differs from its presences' by its penalty where it is used, by less elsewhere."""
+    rows = _folded(spark, sf)
+    blocks = learners.packed(rows, [*range(FOLDS), None], rows.count())
+    expansion = maxent.from_params(rows, K, {"classes": ("linear", "quadratic")})
+    u = [(F.get("features", F.lit(i)) - F.lit(float(expansion.low[i]))) / F.lit(float(expansion.high[i] - expansion.low[i])) for i in range(K)]
+    f, out = [*u, *[v * v for v in u]], []
+    for fold, m in enumerate(maxent.fit(blocks, expansion, FOLDS + 1)[:-1]):
+        e = F.exp(sum(F.lit(float(w)) * v for w, v in zip(m.w, f, strict=True)))
+        ok = F.lit(True)
+        for w, v in zip(m.w.tolist(), f, strict=True):
+            one = F.when(F.col("label") == 1, v)
+            penalty = F.greatest(F.stddev_pop(one), F.lit(1e-3)) / F.sqrt(F.sum("label"))
+            slope = F.sum(e * v) / F.sum(e) - F.avg(one)
+            ok = ok & ((F.abs(slope + penalty * float(np.sign(w))) < 1e-6) if w else (F.abs(slope) <= penalty + 1e-6))
+        out.append(rows.filter(F.col("fold") != fold).agg(F.lit(fold).alias("fold"), F.count("*").alias("n"), F.sum("label").alias("n_presences"), ok.alias("is_optimum")))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query(_USABLE + " SELECT fold, label, count(*) AS n FROM ufolded GROUP BY 1, 2")

@@ -147,3 +147,21 @@ def test_weights_enter_fits_and_scores(spark):
     assert model.intercept == pytest.approx(other.intercept, abs=1e-6) and metrics["auc_mean"] == pytest.approx(same["auc_mean"], abs=1e-9)
     aucs = stages.auc(weighted.select("fold", "label", F.col("cv_prediction").alias("score")), ["fold"]).collect()
     assert metrics["auc_mean"] == pytest.approx(np.mean([r.auc for r in aucs]), abs=1e-9)  # all presences weigh alike
+
+
+def test_density_ratios_equal_the_closed_form(spark):
+    from nichesearch.operators import selection
+
+    rng = np.random.default_rng(9)
+    land, own = rng.normal(size=(400, 2)), rng.normal(loc=0.8, scale=0.7, size=(200, 2))
+    landscape = spark.createDataFrame([(v.tolist(),) for v in land] + [([None, 1.0],)], "predictors array<double>").repartition(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)] + [(-1, [None, 2.0])], "record_id long, predictors array<double>").repartition(3)
+    got = {r.record_id: r.weight for r in selection.density_ratio(df, landscape, 2, centres=50, width=0.8, ridge=0.05).collect()}
+    at = np.array([r[0] for r in landscape.filter("predictors[0] is not null").orderBy(F.xxhash64(F.lit(42), "predictors"), "predictors").limit(50).collect()])
+    phi = lambda x: np.array([[np.exp(-sum(((a - b) / s) ** 2 for a, b, s in zip(v, c, land.std(axis=0), strict=True)) / (2 * 0.64)) for c in at] for v in x])
+    a = np.linalg.solve(sum(np.outer(p, p) for p in phi(own)) / 200 + 0.05 * np.eye(50), phi(land).mean(axis=0))
+    want = np.maximum(0, phi(own) @ a)
+    assert got.pop(-1) is None and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in range(200))
+    far, near = own[:, 0] > 1.2, own[:, 0] < 0.2
+    assert want[near].mean() > want[far].mean()  # what the landscape has more of weighs more
+    assert selection.density_ratio(df.limit(0), landscape, 2).count() == 0
