@@ -50,8 +50,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _found(path: str) -> tuple[pa.fs.FileSystem, str]:
+    path = re.sub(r"^file:/+", "/", path)
+    return pa.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
 def opened(path: str) -> pa.NativeFile:
     """A file for reading by ranges, on the driver or in a task: a path, or a URI of what ``pyarrow.fs`` knows (HDFS, S3, GCS)."""
-    path = re.sub(r"^file:/+", "/", path)
-    fs, place = pa.fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    fs, place = _found(path)
     return fs.open_input_file(place)
+
+
+def written_by_task(folder: str, suffix: str, data: bytes) -> str:
+    """The name of a new file in ``folder``: it counts once a table names it, so that what a repeated task leaves is never read."""
+    fs, place = _found(folder)
+    fs.create_dir(place, recursive=True)
+    name = f"{uuid.uuid4().hex}{suffix}"
+    with fs.open_output_stream(f"{place}/{name}", compression=None) as out:
+        out.write(data)
+    return name

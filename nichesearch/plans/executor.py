@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from ..functions import files
 from ..functions.caching import hold, scope
+from ..operators import surfaces
 from ..schema import Artifact, Assumption, CandidatePlan, CandidateResult, DataSource, RealDataSource, RunManifest, RunResult, StepRecord, UnsupportedDataSource, UnsupportedStep
+from ..sources import rasters
 from ..sources.loader import SdmContext, load_data_source
 from .catalogue import BackendRegistry
 from .digest import digest_obj, tree_digests
@@ -81,6 +83,7 @@ class _State:
         self.spark, self.store = spark, store
         self.context: SdmContext | None = None
         self.tables: dict[str, Artifact] = {}
+        self.model: Artifact | None = None
 
     def digest(self) -> str:
         """Of all that the next stage can see."""
@@ -95,13 +98,16 @@ class _State:
         made = {t: self.store.put_table(f"{stage}.{t}", hold(getattr(context, t))) for t in changed}
         self.tables |= made
         self.context = context.with_(**{t: self.store.read_table(self.spark, a) for t, a in made.items()})
+        if (model := context.extra.get("model")) is not None and self.model is None:
+            self.model = self.store.put_json(f"{stage}.model", {"model": surfaces.plain(model), "mean": context.extra.get("mean"), "sd": context.extra.get("sd"), "predictors": list(context.predictor_names)})
+            return (*made.values(), self.model)
         return tuple(made.values())
 
     def state(self, metrics: dict[str, float], said: tuple[Assumption, ...], changed: tuple[str, ...]) -> dict[str, Any]:
-        """What ``restore`` needs; a fitted model stays out."""
+        """What ``restore`` needs; a fitted model is an artifact."""
         return {
             "context": {c: getattr(self.context, c) for c in _STATED}, "extra": self.extra(), "tables": {t: asdict(a) for t, a in self.tables.items()},
-            "changed": list(changed), "metrics": metrics, "assumptions": [asdict(a) for a in said],
+            "model": self.model and asdict(self.model), "changed": list(changed), "metrics": metrics, "assumptions": [asdict(a) for a in said],
         }
 
     def restore(self, step: dict[str, Any]) -> tuple[dict[str, float], tuple[Assumption, ...], tuple[Artifact, ...]]:
@@ -109,11 +115,15 @@ class _State:
         self.tables = {t: Artifact(**a) for t, a in step["tables"].items()}
         stated = step["context"] | {"predictor_names": tuple(step["context"]["predictor_names"]), "transform": tuple(step["context"]["transform"]) if step["context"]["transform"] else None}
         self.context = SdmContext(*(self.store.read_table(self.spark, self.tables[t]) for t in ("grid", "occurrences")), **stated, extra=step["extra"])
-        return step["metrics"], tuple(Assumption(**a) for a in step["assumptions"]), tuple(self.tables[t] for t in step["changed"])
+        artifacts = tuple(self.tables[t] for t in step["changed"])
+        if step["model"] and self.model is None:
+            self.model = Artifact(**step["model"])
+            artifacts = (*artifacts, self.model)
+        return step["metrics"], tuple(Assumption(**a) for a in step["assumptions"]), artifacts
 
 
 def execute_candidate(spark: SparkSession, plan: CandidatePlan, registry: BackendRegistry, store: ArtifactStore, run_id: str, resume: bool = False) -> CandidateResult:
-    """Load, then stage after stage; what was cached on the way is released at the end. A step that was read back has no model in its context."""
+    """Load, then stage after stage; what was cached on the way is released at the end. The fitted model is the last artifact of its step."""
     with scope():
         return _execute(spark, plan, registry, store, run_id, resume)
 
@@ -170,6 +180,18 @@ def execute_run(
     return result
 
 
+def predicted_surface(spark: SparkSession, store: ArtifactStore, candidate: CandidateResult, folder: str) -> DataFrame:
+    """A candidate's model over its whole grid, written as GeoTIFFs into a new ``folder`` and read back: (row, col, value). The grid and the model come from the store."""
+    found = {a.name: a for s in candidate.step_records for a in s.artifacts}
+    kept = json.loads(store.read_bytes(found["algorithm.model"]))
+    source = candidate.plan.data_source
+    head = rasters.read_predictors(spark, source.predictor_paths)
+    cells = surfaces.surface(store.read_table(spark, found["data_source.grid"]), kept["model"], kept["mean"], kept["sd"])
+    epsg = int((head.crs or "EPSG:4326").split(":")[1])
+    rasters.write_surface(cells, folder, head.height, head.width, head.transform or (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), epsg)
+    return rasters.read_surface(spark, folder)
+
+
 def lineage(spark: SparkSession, store: ArtifactStore) -> DataFrame:
     """A row of ``LINEAGE`` for each step of each run in the store: what went in, what it is known by, whether it was read back."""
     return spark.read.schema(LINEAGE).json(f"{store.root}/lineage/*/*.json")

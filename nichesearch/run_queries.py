@@ -6,6 +6,7 @@ read back by the library's own readers.
 
 from __future__ import annotations
 
+import json
 import math
 from functools import lru_cache, reduce
 
@@ -337,7 +338,7 @@ _STEPS = [
     ("a", 2, "accessible_area", "full_extent", "spark-area-full-extent", 1, 0),
     ("a", 3, "predictors", "standardize", "spark-predictors-standardise", 1, 0),
     ("a", 4, "split", "spatial_block", "spark-split-spatial-block", 1, 0),
-    ("a", 5, "algorithm", "logistic", "spark-logistic", 1, 0),
+    ("a", 5, "algorithm", "logistic", "spark-logistic", 2, 0),
     ("b", 0, "data_source", "real", "spark-source-loader", 2, 0),
     ("b", 1, "cleaning", "drop_duplicate_cells", "spark-clean-duplicates", 1, 0),
     ("b", 2, "accessible_area", "full_extent", "spark-area-full-extent", 1, 0),
@@ -528,6 +529,20 @@ def _folded(spark: SparkSession, sf: str) -> DataFrame:
     return hold(stages.spatial_block_folds(rows, BLOCK, FOLDS, SEED).select("record_id", "label", "features", "fold"))
 
 
+@query('SELECT "row", col, p1 IS NOT NULL AND p2 IS NOT NULL AS has_value, true AS is_models FROM grid')
+def prediction_surface(spark, sf):
+    """The run's model over the whole grid, through GeoTIFFs: each cell's value is held against the model's formula over the grid that was given."""
+    root, result = _executed(spark, sf)
+    store, candidate = ArtifactStore(root, spark), result.candidates[0]
+    found = executor.predicted_surface(spark, store, candidate, files.shared_folder(spark, "surface"))
+    kept = json.loads(store.read_bytes(candidate.step_records[-1].artifacts[-1]))
+    g = queries.grid(spark, sf)
+    z = stages.scaled("predictors", *stages.layer_stats(g, K))
+    want = 1 / (1 + F.exp(-(F.lit(kept["model"]["intercept"]) + sum(F.lit(c) * F.get(z, F.lit(i)) for i, c in enumerate(kept["model"]["coefficients"])))))
+    both = found.join(g.select("row", "col", want.alias("want")), ["row", "col"])
+    return both.select("row", "col", F.col("value").isNotNull().alias("has_value"), ((F.abs(F.col("value") - F.col("want")) < 1e-9) | (F.col("value").isNull() & F.col("want").isNull())).alias("is_models"))
+
+
 _FITS = _USABLE + "SELECT fold, CAST((SELECT sum(n) FROM sides) - n AS BIGINT) AS n, CAST((SELECT sum(p) FROM sides) - p AS BIGINT) AS n_presences, true AS is_optimum FROM sides"
 
 

@@ -359,3 +359,65 @@ def read_predictors(spark: SparkSession, paths: list[str] | tuple[str, ...], par
         whole = (max(0, part[0]), min(whole[1], part[1]), max(0, part[2]), min(whole[3], part[3]))
     cells = _cells(spark, tuple(paths), heads, whole)
     return Grid(cells, tuple(PurePosixPath(p).stem for p in paths), head["height"], head["width"], head["transform"], head["crs"])
+
+
+# --- surfaces
+
+_TILES = "tile_row int, tile_col int, file string, height int, width int"
+
+
+def write_surface(cells: DataFrame, folder: str, height: int, width: int, transform: tuple[float, ...], epsg: int = 4326, tile: int = 512) -> None:
+    """Cells (row, col, value) as GeoTIFFs of ``tile`` x ``tile`` cells in a new ``folder``, and the table of them, ``tiles``.
+
+    Cells are dealt to the tasks of their tiles; a task holds one tile. NULL and absent cells are nodata; of a cell that
+    comes twice the greatest value stays; cells outside of the grid are left out; a tile without any cell has no file.
+    """
+    a, b, c, d, e, f = map(float, transform)
+    own = cells.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    place = {"tile_row": F.floor(F.col("row") / tile).cast("int"), "tile_col": F.floor(F.col("col") / tile).cast("int")}
+    rows = own.select("row", "col", F.col("value").cast("double").alias("value")).withColumns(place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = None, np.zeros((0, 0))
+
+        def finished() -> pa.RecordBatch:
+            top, left = held[0] * tile, held[1] * tile
+            moved = (a, b, a * left + b * top + c, d, e, d * left + e * top + f)
+            name = files.written_by_task(f"{folder}/layers", ".tif", tiff_bytes(values, moved, epsg))
+            types = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*held, name, *values.shape), types, strict=True)], names=[x.split()[0] for x in _TILES.split(", ")])
+
+        for batch in batches:
+            row, col, value, down, over = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("row", "col", "value", "tile_row", "tile_col"))
+            cuts = [0, *(np.flatnonzero((np.diff(down) != 0) | (np.diff(over) != 0)) + 1).tolist(), len(row)]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if x == y:
+                    continue
+                if (own := (int(down[x]), int(over[x]))) != held:
+                    if held is not None:
+                        yield finished()
+                    held = own
+                    values = np.full((min(tile, height - own[0] * tile), min(tile, width - own[1] * tile)), np.nan)
+                at = (row[x:y] - held[0] * tile, col[x:y] - held[1] * tile)
+                np.fmax.at(values, at, value[x:y].astype(float))
+        if held is not None:
+            yield finished()
+
+    rows.repartition("tile_row", "tile_col").sortWithinPartitions("tile_row", "tile_col").mapInArrow(run, _TILES).write.parquet(f"{folder}/tiles")
+
+
+def read_surface(spark: SparkSession, folder: str, tile: int = 512) -> DataFrame:
+    """(row, col, value) of all cells of the tiles of a folder, a tile a task's unit of work."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with files.opened(f"{folder}/layers/{r['file']}") as f:
+                    read = _of_file(f)
+                    values = _tiff(read, _tiff_head(read), 0, 0, r["height"], r["width"])
+                for y, line in enumerate(values):
+                    n = len(line)
+                    columns = [np.full(n, r["tile_row"] * tile + y, np.int32), (np.arange(n) + r["tile_col"] * tile).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(line, from_pandas=True)], names=["row", "col", "value"])
+
+    return spark.read.schema(_TILES).parquet(f"{folder}/tiles").mapInArrow(run, "row int, col int, value double")

@@ -29,21 +29,29 @@ def draw_without(cells: DataFrame, weight: Column, n: int, seed: int, purpose: s
     return rows.orderBy(race, "row", "col").limit(n).drop("_w")
 
 
+#: Stretches of (0, 1) by which draws and grid rows meet.
+STRETCHES = 1024
+
+
 def draw_with(cells: DataFrame, weight: Column, n: int, seed: int, purpose: str) -> DataFrame:
     """n draws with replacement: uniform numbers looked up in the running sum of the weights.
 
-    Weights are summed by grid row first; a draw finds its row, then its cell in the row.
+    Weights are summed by grid row first. A draw meets the grid rows whose share of the sum reaches into its stretch of (0, 1), and
+    takes the one that holds it; inside the row, cells and draws are sorted together, and a draw takes the last cell that begins before it.
     """
     rows = cells.withColumn("_w", F.coalesce(weight, F.lit(0.0))).filter("_w > 0").select("row", "col", "_w")
     by_row = rows.groupBy("row").agg(F.sum("_w").alias("_rw"))
-    order = Window.orderBy("row")
+    order = Window.orderBy("row")  # a row a row of the grid
     by_row = by_row.withColumns({"_hi": F.sum("_rw").over(order), "_all": F.sum("_rw").over(Window.partitionBy())}).withColumn("_lo", F.col("_hi") - F.col("_rw"))
-    drawn = cells.sparkSession.range(n).select("id", draws.uniform(seed, purpose, F.col("id")).alias("u"))
-    hit = drawn.join(F.broadcast(by_row), (F.col("u") * F.col("_all") >= F.col("_lo")) & (F.col("u") * F.col("_all") < F.col("_hi")))
-    inside = rows.withColumn("_end", F.sum("_w").over(Window.partitionBy("row").orderBy("col")))
-    hit = hit.select("id", "row", (F.col("u") * F.col("_all") - F.col("_lo")).alias("_at"))
-    found = hit.join(inside, "row").filter("_end > _at").groupBy("id").agg(F.min(F.struct("_end", "row", "col")).alias("c"))
-    return found.select("id", "c.row", "c.col")
+    stretch = lambda x, slack: F.least(F.lit(STRETCHES - 1), F.greatest(F.lit(0), F.floor(x / F.col("_all") * STRETCHES + slack))).cast("int")
+    met = by_row.withColumn("_stretch", F.explode(F.sequence(stretch(F.col("_lo"), -1e-6), stretch(F.col("_hi"), 1e-6))))
+    drawn = cells.sparkSession.range(n).select("id", draws.uniform(seed, purpose, F.col("id")).alias("u")).withColumn("_stretch", F.floor(F.col("u") * STRETCHES).cast("int"))
+    hit = drawn.join(F.broadcast(met), "_stretch").filter((F.col("u") * F.col("_all") >= F.col("_lo")) & (F.col("u") * F.col("_all") < F.col("_hi")))
+    hit = hit.select("row", F.lit(None).cast("int").alias("col"), (F.col("u") * F.col("_all") - F.col("_lo")).alias("_at"), "id")
+    before = Window.partitionBy("row").orderBy("col").rowsBetween(Window.unboundedPreceding, -1)
+    begins = rows.select("row", F.col("col").cast("int").alias("col"), F.coalesce(F.sum("_w").over(before), F.lit(0.0)).cast("double").alias("_at"), F.lit(None).cast("long").alias("id"))
+    last = F.last("col", ignorenulls=True).over(Window.partitionBy("row").orderBy("_at", F.col("id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    return begins.unionByName(hit).withColumn("_cell", last).filter("id is not null").select("id", "row", F.col("_cell").alias("col"))
 
 
 def draw(cells: DataFrame, weight: Column, n: int, total_cells: int, seed: int, purpose: str) -> DataFrame:
