@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import ranks
+from ..functions import draws, ranks
 from ..schema import RunResult, SelectionScore
 
 #: Bins of the Boyce index; weights of a candidate's metrics by intended use.
@@ -165,6 +166,42 @@ def weighted_auc(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.groupBy(*by).agg(F.try_divide(F.sum("right"), F.sum("p") * F.sum("q")).alias("weighted_auc"))
 
 
+#: P(Poisson(1) <= k) for k from 0 on: how often a record is drawn in a bootstrap replicate.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(10))
+
+
+def bootstrap_auc(scored: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """(by..., replicate, auc) of rows (record_id, label, score): each replicate weighs a record by a Poisson number of its hash.
+
+    Candidates that share records share their weights, so that their AUCs in a replicate can be compared. All replicates are one aggregation.
+    """
+    rows = scored.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    u = draws.uniform(seed, "bootstrap", F.col("replicate"), F.col("record_id"))
+    weight = sum(((u > p).cast("int") for p in POISSON[1:]), (u > POISSON[0]).cast("int"))
+    rows = rows.withColumn("weight", weight.cast("double")).filter("weight > 0")
+    return weighted_auc(rows, [*by, "replicate"]).withColumnRenamed("weighted_auc", "auc")
+
+
+def stability(scored: DataFrame, replicates: int = 50, seed: int = 42) -> DataFrame:
+    """(candidate_id, auc, sd, wins) of rows (candidate_id, fold, record_id, label, score): mean and deviation over replicates of the mean over folds, and the share of replicates in which the candidate is best, ties shared."""
+    each = bootstrap_auc(scored, ["candidate_id", "fold"], replicates, seed).groupBy("candidate_id", "replicate").agg(F.avg("auc").alias("auc"))
+    own = Window.partitionBy("replicate")  # a row a candidate
+    best = (F.col("auc") == F.max("auc").over(own)).cast("int")
+    each = each.withColumn("best", best).withColumn("win", F.col("best") / F.sum("best").over(own))
+    return each.groupBy("candidate_id").agg(F.avg("auc").alias("auc"), F.stddev_pop("auc").alias("sd"), (F.sum("win") / replicates).alias("wins"))
+
+
+def concordance(aucs: DataFrame) -> DataFrame:
+    """(n_candidates, n_folds, w): Kendall's W of the candidates' ranks over folds, from rows (candidate_id, fold, auc); 1 where all folds agree. Folds that lack a candidate's AUC are left out."""
+    known = aucs.filter("auc is not null").withColumns({"n": F.count("*").over(Window.partitionBy("fold"))})  # a row a candidate and fold from here on
+    n = known.agg(F.count_distinct("candidate_id").alias("n_candidates"))
+    known = known.join(F.broadcast(n)).filter("n = n_candidates")
+    rank = F.rank().over(Window.partitionBy("fold").orderBy("auc")) + (F.count("*").over(Window.partitionBy("fold", "auc")) - 1) / F.lit(2.0)
+    sums = known.withColumn("rank", rank).groupBy("candidate_id", "n_candidates").agg(F.sum("rank").alias("r"), F.count("*").alias("n_folds"))
+    k, m = F.first("n_candidates"), F.first("n_folds")
+    return sums.agg(k.alias("n_candidates"), m.alias("n_folds"), F.try_divide(12 * F.var_pop("r") * k, m * m * (k * k * k - k)).alias("w"))
+
+
 def composite(metrics: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """(candidate_id, total) from rows (candidate_id, metric, value); metrics without a weight don't count."""
     known = metrics.filter(F.col("metric").isin(list(weights)))

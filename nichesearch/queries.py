@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import draws, geometry, parsing
+from .functions import draws, geometry, parsing, projections
 from .operators import algorithms, profile_stats, selection, stages
 from .plans import executor
 from .sources import occurrences as occurrence_source
@@ -186,6 +186,16 @@ def mercator_reproject(spark, sf):
     return there.select("record_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round(back_lon, 6).alias("lon"), F.round(back_lat, 6).alias("lat"))
 
 
+@query('SELECT record_id, 10 + col + 0.5::DOUBLE AS lon, 50 - "row" - 0.5::DOUBLE AS lat FROM occ')
+def utm_reproject(spark, sf):
+    """Degrees to a zone of UTM, from there to Albers' conic, and back to degrees."""
+    x, y = 10 + F.col("col") + F.lit(0.5), 50 - F.col("row") - F.lit(0.5)
+    rows = occ(spark, sf).select("record_id", x.alias("x"), y.alias("y"))
+    for source, target in (("EPSG:4326", "EPSG:32632"), ("EPSG:32632", "EPSG:3577"), ("EPSG:3577", "EPSG:4326")):
+        rows = rows.withColumns(dict(zip("xy", projections.move(F.col("x"), F.col("y"), source, target), strict=True)))
+    return rows.select("record_id", F.round("x", 6).alias("lon"), F.round("y", 6).alias("lat"))
+
+
 _STATUS = ["PRESENT", "absent", " yes ", "0", "maybe", "", "False", "1"]
 _DATES = ["2019-04-01", "2021-07-15T09:30:00Z", "1998", "sometime in spring", "", "2020-02-30", "2001-01-02/2001-02-03", "2011-05"]
 _NUMBERS = ["1.5", " 7 ", "n/a", "", "1.5d", "-3e2", "12,5", ".25"]
@@ -559,6 +569,46 @@ def composite_scores(spark, sf):
     return selection.composite(rows, selection.WEIGHTS["spatial_transfer"]).select("candidate_id", six("total", "total"))
 
 
+REPLICATES = 6
+_DRAWN = " + ".join(f"CAST(u > {p!r}::DOUBLE AS INT)" for p in selection.POISSON)
+_BOOT = (
+    _KFOLD
+    + f""", sc2 AS (SELECT 'a' AS candidate_id, record_id, fold, label, floor({_u("a", "record_id")} * 200) / 200 + label * 0.2::DOUBLE AS score FROM kf UNION ALL SELECT 'b', record_id, fold, label, floor({_u("b", "record_id")} * 200) / 200 + label * fold * 0.1::DOUBLE FROM kf),
+wt AS (SELECT *, {_DRAWN} AS w FROM (SELECT sc2.*, b.i AS replicate, {_u("bootstrap", "b.i || ':' || record_id")} AS u FROM sc2, range({REPLICATES}) b(i))),
+vs2 AS (SELECT candidate_id, fold, replicate, score, coalesce(sum(w) FILTER (WHERE label = 1), 0) AS p, coalesce(sum(w) FILTER (WHERE label = 0), 0) AS q FROM wt WHERE w > 0 GROUP BY ALL),
+ok2 AS (SELECT *, p * (sum(q) OVER (PARTITION BY candidate_id, fold, replicate ORDER BY score) - q / 2) AS ok FROM vs2),
+ab AS (SELECT candidate_id, fold, replicate, sum(ok) / (sum(p) * sum(q)) AS auc FROM ok2 GROUP BY ALL),
+am AS (SELECT candidate_id, replicate, avg(auc) AS auc FROM ab GROUP BY ALL),
+be AS (SELECT *, auc = max(auc) OVER (PARTITION BY replicate) AS best FROM am)"""
+)
+
+
+def _both_scored(spark, sf) -> DataFrame:
+    rows = stages.random_kfold(occ(spark, sf), FOLDS, SEED)
+    lifts = {"a": F.col("label") * F.lit(0.2), "b": F.col("label") * F.col("fold") * F.lit(0.1)}
+    each = [rows.select(F.lit(c).alias("candidate_id"), "record_id", "fold", "label", (F.floor(draws.uniform(SEED, c, F.col("record_id")) * 200) / 200 + lift).alias("score")) for c, lift in lifts.items()]
+    return each[0].unionByName(each[1])
+
+
+@query(_BOOT + f" SELECT candidate_id, round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) AS sd, round(sum(CAST(best AS INT)) / {REPLICATES}, 6) AS wins FROM be GROUP BY candidate_id")
+def fold_stability(spark, sf):
+    """How far each candidate's AUC and rank depend on the records that happen to be there."""
+    return selection.stability(_both_scored(spark, sf), REPLICATES, SEED).select("candidate_id", six("auc", "auc"), six("sd", "sd"), six("wins", "wins"))
+
+
+@query(
+    _BOOT
+    + """, r1 AS (SELECT *, rank() OVER (PARTITION BY candidate_id, fold ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, fold, score) - 1) / 2.0::DOUBLE AS r FROM sc2),
+a1 AS (SELECT candidate_id, fold, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))::DOUBLE) AS auc FROM r1 GROUP BY ALL),
+k1 AS (SELECT candidate_id, sum(CASE WHEN auc > other THEN 2.0::DOUBLE WHEN auc = other THEN 1.5 ELSE 1 END) AS r, count(*) AS m FROM (SELECT a1.*, o.auc AS other FROM a1 JOIN a1 o ON o.fold = a1.fold AND o.candidate_id <> a1.candidate_id) GROUP BY 1)
+SELECT count(*) AS n_candidates, max(m) AS n_folds, round(12 * var_pop(r) * 2 / (max(m) * max(m) * 6.0::DOUBLE), 6) AS w FROM k1"""
+)
+def fold_concordance(spark, sf):
+    """Whether folds rank the candidates alike."""
+    aucs = stages.auc(_both_scored(spark, sf), ["candidate_id", "fold"]).select("candidate_id", "fold", "auc")
+    return selection.concordance(aucs).select("n_candidates", "n_folds", six("w", "w"))
+
+
 @query(_TWO + " SELECT CAST(species AS INT) AS species, round(arg_max(score_true, total) - max(score_true), 6) AS regret FROM cv JOIN tr USING (candidate_id, species) GROUP BY species")
 def selector_regret(spark, sf):
     metrics, truth = _candidates(spark, sf)

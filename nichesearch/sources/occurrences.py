@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, parsing
+from ..functions import geometry, parsing, projections
 from ..schema import Assumption, UnreadableOccurrences
 from .rasters import Grid
 
@@ -66,11 +66,10 @@ def reproject(x: Column, y: Column, source: str, target: str | None) -> tuple[Co
     """Coordinates in the target's system, always in the order x, y."""
     if target is None or same_crs(source, target):
         return x, y, []
-    pair = (source.strip().upper(), target.strip().upper())
-    moved = {("EPSG:4326", "EPSG:3857"): geometry.to_mercator, ("EPSG:3857", "EPSG:4326"): geometry.from_mercator}.get(pair)
+    moved = projections.move(x, y, source, target)
     if moved is None and Transformer is None:
         raise UnreadableOccurrences("missing_reprojection_runtime", f"moving {source} to {target} needs pyproj", source)
-    nx, ny = moved(x, y) if moved else _by_pyproj(x, y, source, target)
+    nx, ny = moved or _by_pyproj(x, y, source, target)
     return nx, ny, [Assumption("reprojected_occurrences", f"occurrences were moved from {source} to {target}", "occurrences.crs")]
 
 

@@ -140,7 +140,7 @@ def test_typed_failures_of_occurrences(spark, tmp_path, geo, flat):
     assert code(world, flat) == "ungeoreferenced_predictors"
     assert code(table(tmp_path / "b.csv", ("lon", "lat"), [("", "x")]), geo) == "no_usable_occurrences"
     if occurrences.Transformer is None:
-        assert code(world, geo, "EPSG:2154") == "missing_reprojection_runtime"
+        assert code(world, geo, "EPSG:27700") == "missing_reprojection_runtime"
 
 
 def test_mercator_is_moved_to_degrees(spark, tmp_path, geo):
