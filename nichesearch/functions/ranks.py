@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .caching import hold
 
-#: Ranges that a group's values are dealt to; a power of two.
-RANGES = 256
+#: Ranges that all values are dealt to, and those of each group where there are groups; powers of two.
+RANGES, EACH = 256, 32
 
 
 def running(values: DataFrame, by: Sequence[str], key: str, sums: Sequence[str]) -> DataFrame:
@@ -18,16 +18,17 @@ def running(values: DataFrame, by: Sequence[str], key: str, sums: Sequence[str])
 
     Rows are distinct in (by, key); NULL keys have none before them. Approximate quantiles cut a group into ranges;
     sums inside a range come from a window over it, those of the ranges before from their
-    ``RANGES`` totals. Where the quantiles lie changes no result.
+    few totals. Where the quantiles lie changes no result.
     """
     by, values = list(by), hold(values)  # read for edges, for totals and for places
-    places = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    ranges = EACH if by else RANGES
+    places = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
     edges = values.groupBy(*by).agg(F.percentile_approx(key, places, F.lit(10_000)).alias("_edges"))
     edges = F.broadcast(edges.withColumnsRenamed({c: f"_by_{c}" for c in by}))  # a row a group
     same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
     rows = values.join(edges, same, "left") if by else values.crossJoin(edges)
     rows = rows.drop(*[f"_by_{c}" for c in by]).withColumn("_range", F.lit(0))
-    step = RANGES // 2
+    step = ranges // 2
     while step:  # binary search, a column a step
         rows = rows.withColumn("_range", F.when(F.get("_edges", F.col("_range") + (step - 1)) <= F.col(key), F.col("_range") + step).otherwise(F.col("_range")))
         step //= 2
@@ -37,7 +38,7 @@ def running(values: DataFrame, by: Sequence[str], key: str, sums: Sequence[str])
     base = total.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums])
     inside = Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
-    rows = rows.join(F.broadcast(base), [*same, F.col("_range") == F.col("_at")])  # ``RANGES`` rows a group
+    rows = rows.join(F.broadcast(base), [*same, F.col("_range") == F.col("_at")])  # a row a range
 
     def before(c: str) -> Column:
         return F.col(f"_b_{c}") + F.col(f"_i_{c}")

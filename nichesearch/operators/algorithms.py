@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.caching import hold
 from ..schema import Assumption
-from . import learners, maxent, stages
+from . import gam, learners, maxent, stages
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -30,7 +30,11 @@ def _maxent(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str,
     return maxent.fit(blocks, maxent.from_params(rows, k, params), models, float(params.get("regularisation", 1.0)))
 
 
-LEARNERS = {"logistic": _logistic, "gbm": _boosted, "maxent": _maxent}
+def _additive(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str, Any]) -> list[Model]:
+    return gam.fit(blocks, gam.splines(rows, k, int(params.get("basis", gam.BASIS))), models, params.get("smoothing"))
+
+
+LEARNERS = {"logistic": _logistic, "gbm": _boosted, "maxent": _maxent, "gam": _additive}
 
 
 def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed: int, weight: str | None = None) -> tuple[DataFrame, dict[str, float], Any, list[Assumption]]:

@@ -111,6 +111,12 @@ class MaximumEntropy(_Learner):
     name, methods = "spark-maxent", ("maxent",)
 
 
+class GeneralisedAdditive(_Learner):
+    """Not among the default methods; see ``extended_registry``."""
+
+    name, methods = "spark-gam", ("gam",)
+
+
 BUILTIN_BACKENDS: tuple[Backend, ...] = (StandardProfiler(), DropDuplicateCells(), FullExtent(), StandardisePredictors(), RandomBackground(), RandomKFold(), SpatialBlockSplit(), Logistic(), GradientBoosting())
 
 
@@ -120,7 +126,7 @@ def default_registry() -> BackendRegistry:
 
 def extended_registry() -> BackendRegistry:
     """The default methods, and those beyond them."""
-    return BackendRegistry(*BUILTIN_BACKENDS, MaximumEntropy())
+    return BackendRegistry(*BUILTIN_BACKENDS, MaximumEntropy(), GeneralisedAdditive())
 
 
 def profile_context(context: SdmContext, registry: BackendRegistry, spec: MethodSpec | None = None, seed: int = 42) -> tuple[DataProfile | None, list[Assumption]]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import draws, geometry, parsing, projections
+from .functions.caching import hold
 from .operators import algorithms, profile_stats, selection, stages
 from .plans import executor
 from .sources import occurrences as occurrence_source
@@ -543,7 +544,7 @@ def importance_weighted_auc(spark, sf):
 
 
 #: Two candidates' scores of each record, and the species that it counts for: a band of the grid.
-_TWO = _KFOLD + f""", two AS (SELECT 'a' AS candidate_id, "row" // 20 AS species, fold, label, {_u("a", "record_id")} + label * 0.2::DOUBLE AS score FROM kf UNION ALL SELECT 'b', "row" // 20, fold, label, {_u("b", "record_id")} + label * fold * 0.1::DOUBLE FROM kf),
+_TWO = _KFOLD + f""", two AS (SELECT 'a' AS candidate_id, "row" // 20 AS species, fold, label, floor({_u("a", "record_id")} * 1000) / 1000 + label * 0.2::DOUBLE AS score FROM kf UNION ALL SELECT 'b', "row" // 20, fold, label, floor({_u("b", "record_id")} * 1000) / 1000 + label * fold * 0.1::DOUBLE FROM kf),
 rf AS (SELECT *, rank() OVER (PARTITION BY candidate_id, species, fold ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, species, fold, score) - 1) / 2.0::DOUBLE AS r FROM two),
 af AS (SELECT candidate_id, species, fold, (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label) * (count(*) - sum(label))::DOUBLE) AS auc FROM rf GROUP BY ALL),
 cv AS (SELECT candidate_id, species, avg(auc) - 0.5 * stddev_pop(auc) AS total FROM af GROUP BY ALL),
@@ -555,8 +556,8 @@ def _candidates(spark, sf) -> tuple[DataFrame, DataFrame]:
     """(candidate_id, species, metric, value) over folds, and (candidate_id, species, score_true) over all records."""
     rows = stages.random_kfold(occ(spark, sf), FOLDS, SEED).withColumn("species", F.floor(F.col("row") / 20).cast("int"))
     lifts = {"a": F.col("label") * F.lit(0.2), "b": F.col("label") * F.col("fold") * F.lit(0.1)}
-    each = [rows.select(F.lit(c).alias("candidate_id"), "species", "fold", "label", (draws.uniform(SEED, c, F.col("record_id")) + lift).alias("score")) for c, lift in lifts.items()]
-    two = each[0].unionByName(each[1])
+    each = [rows.select(F.lit(c).alias("candidate_id"), "species", "fold", "label", (F.floor(draws.uniform(SEED, c, F.col("record_id")) * 1000) / 1000 + lift).alias("score")) for c, lift in lifts.items()]
+    two = hold(each[0].unionByName(each[1]))
     own = ["candidate_id", "species"]
     folds = stages.auc(two, [*own, "fold"]).groupBy(*own).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_sd"))
     metrics = folds.select(*own, F.explode(F.map_from_arrays(F.array(F.lit("auc_mean"), F.lit("auc_sd")), F.array("auc_mean", "auc_sd"))).alias("metric", "value"))
@@ -587,7 +588,7 @@ def _both_scored(spark, sf) -> DataFrame:
     rows = stages.random_kfold(occ(spark, sf), FOLDS, SEED)
     lifts = {"a": F.col("label") * F.lit(0.2), "b": F.col("label") * F.col("fold") * F.lit(0.1)}
     each = [rows.select(F.lit(c).alias("candidate_id"), "record_id", "fold", "label", (F.floor(draws.uniform(SEED, c, F.col("record_id")) * 200) / 200 + lift).alias("score")) for c, lift in lifts.items()]
-    return each[0].unionByName(each[1])
+    return hold(each[0].unionByName(each[1]))
 
 
 @query(_BOOT + f" SELECT candidate_id, round(avg(auc), 6) AS auc, round(stddev_pop(auc), 6) AS sd, round(sum(CAST(best AS INT)) / {REPLICATES}, 6) AS wins FROM be GROUP BY candidate_id")

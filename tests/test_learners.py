@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from nichesearch.operators import algorithms, learners, maxent, stages
+from nichesearch.operators import algorithms, gam, learners, maxent, stages
 from pyspark.sql import functions as F
 
 FEATURES = "record_id long, label int, features array<double>, fold int, weight double"
@@ -92,7 +92,7 @@ def test_folds_are_scored_by_models_that_left_them_out(spark):
     x, y, fold, w = sample(200, 2, 5)
     other = y.copy()
     other[fold == 2] = 1 - other[fold == 2]  # labels of a fold don't move its own predictions
-    for learner, params in (("gbm", {"n_estimators": 8}), ("logistic", {}), ("maxent", {})):
+    for learner, params in (("gbm", {"n_estimators": 8}), ("logistic", {}), ("maxent", {}), ("gam", {"smoothing": [1.0, 1.0]})):
         a, b = ({r.record_id: r.cv_prediction for r in algorithms.cross_validate(rows(spark, x, v, fold, w), learner, params, 1)[0].collect()} for v in (y, other))
         assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in range(200) if fold[i] == 2) and any(abs(a[i] - b[i]) > 1e-3 for i in range(200) if fold[i] != 2)
 
@@ -165,3 +165,42 @@ def test_density_ratios_equal_the_closed_form(spark):
     far, near = own[:, 0] > 1.2, own[:, 0] < 0.2
     assert want[near].mean() > want[far].mean()  # what the landscape has more of weighs more
     assert selection.density_ratio(df.limit(0), landscape, 2).count() == 0
+
+
+def test_additive_models_equal_a_dense_solution(spark):
+    x, y, fold, w = sample(400, 2, 10)
+    df = rows(spark, x, y, fold, w)
+    blocks = learners.packed(df, [0, None], len(y), "weight")
+    own = gam.splines(df, 2)
+    assert np.allclose(own.raw(x).reshape(-1, 2, gam.BASIS).sum(axis=2), 1)  # the bases add up to one everywhere
+    for m, f in zip(gam.fit(blocks, own, 2, [0.5, 20.0]), (0, None), strict=True):
+        b, used, penalty = m.splines(x), w * (fold != f), m.splines.penalty(np.array([0.5, 20.0]))
+        assert np.allclose(b.T @ (used * (m(x) - y)) + penalty @ m.coefficients, 0, atol=1e-6)
+        beta = np.zeros(b.shape[1])
+        for _ in range(60):  # Newton's steps on the penalised likelihood
+            p = learners.sigmoid(b @ beta)
+            beta -= np.linalg.solve((b * (used * p * (1 - p))[:, None]).T @ b + penalty, b.T @ (used * (p - y)) + penalty @ beta)
+        assert np.allclose(m(x), learners.sigmoid(b @ beta), atol=1e-7)
+
+
+def test_smoothing_follows_the_data(spark):
+    """A wave keeps its wiggles, a straight line becomes one."""
+    rng = np.random.default_rng(11)
+    x = rng.uniform(-2, 2, size=(3000, 2))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(2.5 * np.sin(3 * x[:, 0]) + x[:, 1])))).astype(int)
+    df = rows(spark, x, y, np.arange(3000) % 3, np.ones(3000))
+    m = gam.fit(learners.packed(df, [None], 3000), gam.splines(df, 2), 1)[0]
+    assert m.smoothing[0] < m.smoothing[1] / 10
+    found = np.array([(r.value, r.log_odds) for r in gam.curves(df, m, 2).filter("predictor = 0").collect()])
+    assert np.corrcoef(found[:, 1], np.sin(3 * found[:, 0]))[0, 1] > 0.98
+    b, ones = m.splines(x), np.ones(3000)
+    p = m(x)
+    v = p * (1 - p)
+    z = b @ m.coefficients + (y - p) / v
+    a, c, square = (b * v[:, None]).T @ b, b.T @ (v * z), v @ (z * z)
+    beta = np.linalg.solve(a + m.splines.penalty(m.smoothing), c)
+    root = np.sqrt(v)[:, None] * b
+    hat = root @ np.linalg.solve(a + m.splines.penalty(m.smoothing), root.T)
+    want = 3000 * (v * (z - b @ beta) ** 2).sum() / (3000 - np.trace(hat)) ** 2
+    assert gam.gcv(a, c, square, ones.sum(), m.splines.penalty(m.smoothing)) == pytest.approx(want, rel=1e-8)
+    assert algorithms.cross_validate(df, "gam", {}, 1)[1]["auc_mean"] > algorithms.cross_validate(df, "logistic", {}, 1)[1]["auc_mean"] + 0.1

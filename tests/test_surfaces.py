@@ -16,7 +16,7 @@ from .test_execution import method
 from .test_learners import rows, sample
 
 
-@pytest.mark.parametrize("kind", ["logistic", "gbm", "maxent"])
+@pytest.mark.parametrize("kind", ["logistic", "gbm", "maxent", "gam"])
 def test_models_survive_json(spark, kind):
     from nichesearch.operators import algorithms
 
@@ -54,7 +54,7 @@ def test_a_surface_is_read_back_as_it_was_written(spark, tmp_path):
     assert head["transform"] == (0.5, 0.0, 30.0, 0.0, -0.5, 40.0) and head["crs"] == "EPSG:4326"
 
 
-@pytest.mark.parametrize("algorithm", ["logistic", "maxent"])
+@pytest.mark.parametrize("algorithm", ["logistic", "gam"])
 def test_the_models_of_a_run_score_its_grid(spark, tmp_path, algorithm):
     v = layers(0.05)
     v["temp"][3, 4] = np.nan
