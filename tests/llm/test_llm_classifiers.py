@@ -167,6 +167,16 @@ def test_scores_carried_over_portions_equal_whole_bags(monkeypatch):
         assert quality_mil.scores(p, texts) == pytest.approx(whole, abs=1e-5)
 
 
+def test_equal_passages_share_the_attention():
+    rng = np.random.default_rng(12)
+    p = quality_mil.train([rng.normal(size=(n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4)], np.array([1.0, 0.0]))
+    passage = ("Some words, " * 50)[: quality_mil.PASSAGE]
+    one, three = quality_mil.scores(p, [passage, passage * 3])
+    assert one == pytest.approx(three, abs=1e-6)
+    weights = quality_mil.forward(p, *quality_mil.encode([passage * 3]))["a"]
+    assert weights == pytest.approx([1 / 3] * 3, abs=1e-5)
+
+
 def test_a_long_text_is_scored_in_little_memory():
     rng = np.random.default_rng(10)
     p = quality_mil.train([rng.normal(size=(n, quality_mil.WIDTH)).astype(np.float32) for n in (1, 4)], np.array([1.0, 0.0]))

@@ -100,6 +100,16 @@ def test_items_without_an_id_are_searched_for(spark, make):
     assert [r.doc_id for r in decontamination.keep_clean(docs, bench).collect()] == [3]
 
 
+def test_windows_and_items_of_equal_score(spark, make):
+    """A text that holds an item twice has one row; two items of one text have equal rows."""
+    rng = random.Random(13)
+    item, rest = text(rng, "en", 40), text(rng, "de", 300)
+    bench = spark.createDataFrame([(1, item, 0.0), (2, item, 0.0)], ITEMS)
+    found = decontamination.search(make([row(1, f"{item} {rest} {item}"), row(2, item)]), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 1), (1, 2), (2, 1), (2, 2)]
+    assert len({(r.score, r.question_overlap, r.answer_overlap) for r in found}) == 1
+
+
 def test_a_question_without_its_answer_is_clean(spark, make):
     rng = random.Random(9)
     question, answer = text(rng, "en", 200), text(rng, "en", 6)
