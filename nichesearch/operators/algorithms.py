@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.caching import hold
 from ..schema import Assumption
-from . import gam, learners, maxent, stages
+from . import gam, learners, mars, maxent, stages
 
 Model = Callable[[np.ndarray], np.ndarray]
 
@@ -34,7 +34,12 @@ def _additive(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[st
     return gam.fit(blocks, gam.splines(rows, k, int(params.get("basis", gam.BASIS))), models, params.get("smoothing"))
 
 
-LEARNERS = {"logistic": _logistic, "gbm": _boosted, "maxent": _maxent, "gam": _additive}
+def _splines(rows: DataFrame, blocks: RDD, k: int, models: int, params: dict[str, Any]) -> list[Model]:
+    at = mars.knots(learners.quantile_edges(rows, k), int(params.get("knots", mars.KNOTS)))
+    return mars.fit(blocks, at, models, int(params.get("pairs", mars.PAIRS)), int(params.get("degree", 1)))
+
+
+LEARNERS = {"logistic": _logistic, "gbm": _boosted, "maxent": _maxent, "gam": _additive, "mars": _splines}
 
 
 def cross_validate(rows: DataFrame, learner: str, params: dict[str, Any], seed: int, weight: str | None = None) -> tuple[DataFrame, dict[str, float], Any, list[Assumption]]:

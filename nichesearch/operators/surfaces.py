@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import stages
 from .gam import Additive, Splines
 from .learners import Linear, Trees
+from .mars import Mars
 from .maxent import Expansion, Maxent
 
 
@@ -26,6 +27,8 @@ def plain(model: Any) -> dict[str, Any]:
             return {"kind": "trees", "base": model.base, "edges": [e.tolist() for e in model.edges], **arrays}
         case Maxent(expansion=e):
             return {"kind": "maxent", "w": model.w.tolist(), "log_sum": model.log_sum, "entropy": model.entropy, "low": e.low.tolist(), "high": e.high.tolist(), "classes": list(e.classes), "knots": e.knots}
+        case Mars():
+            return {"kind": "mars", "terms": [[list(h) for h in t] for t in model.terms], "coefficients": model.coefficients.tolist()}
         case Additive(splines=b):
             return {"kind": "additive", "coefficients": model.coefficients.tolist(), "smoothing": model.smoothing.tolist(), "low": b.low.tolist(), "high": b.high.tolist(), "basis": b.basis, "mean": b.mean.tolist()}
     raise TypeError(f"a {type(model).__name__} has no plain form")
@@ -41,6 +44,8 @@ def from_plain(x: dict[str, Any]) -> Callable[[np.ndarray], np.ndarray]:
             return Trees(x["base"], [np.array(e, float) for e in x["edges"]], **{n: np.array(x[n], t) for n, t in kinds.items()})
         case "maxent":
             return Maxent(Expansion(np.array(x["low"], float), np.array(x["high"], float), tuple(x["classes"]), x["knots"]), np.array(x["w"], float), x["log_sum"], x["entropy"])
+        case "mars":
+            return Mars([tuple((int(j), float(c), int(side)) for j, c, side in t) for t in x["terms"]], np.array(x["coefficients"], float))
         case "additive":
             b = Splines(np.array(x["low"], float), np.array(x["high"], float), x["basis"], np.array(x["mean"], float))
             return Additive(b, np.array(x["coefficients"], float), np.array(x["smoothing"], float))

@@ -117,6 +117,12 @@ class GeneralisedAdditive(_Learner):
     name, methods = "spark-gam", ("gam",)
 
 
+class AdaptiveSplines(_Learner):
+    """Not among the default methods; see ``extended_registry``."""
+
+    name, methods = "spark-mars", ("mars",)
+
+
 BUILTIN_BACKENDS: tuple[Backend, ...] = (StandardProfiler(), DropDuplicateCells(), FullExtent(), StandardisePredictors(), RandomBackground(), RandomKFold(), SpatialBlockSplit(), Logistic(), GradientBoosting())
 
 
@@ -126,7 +132,7 @@ def default_registry() -> BackendRegistry:
 
 def extended_registry() -> BackendRegistry:
     """The default methods, and those beyond them."""
-    return BackendRegistry(*BUILTIN_BACKENDS, MaximumEntropy(), GeneralisedAdditive())
+    return BackendRegistry(*BUILTIN_BACKENDS, MaximumEntropy(), GeneralisedAdditive(), AdaptiveSplines())
 
 
 def profile_context(context: SdmContext, registry: BackendRegistry, spec: MethodSpec | None = None, seed: int = 42) -> tuple[DataProfile | None, list[Assumption]]:

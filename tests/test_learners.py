@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from nichesearch.operators import algorithms, gam, learners, maxent, stages
+from nichesearch.operators import algorithms, gam, learners, mars, maxent, stages
 from pyspark.sql import functions as F
 
 FEATURES = "record_id long, label int, features array<double>, fold int, weight double"
@@ -92,7 +92,7 @@ def test_folds_are_scored_by_models_that_left_them_out(spark):
     x, y, fold, w = sample(200, 2, 5)
     other = y.copy()
     other[fold == 2] = 1 - other[fold == 2]  # labels of a fold don't move its own predictions
-    for learner, params in (("gbm", {"n_estimators": 8}), ("logistic", {}), ("maxent", {}), ("gam", {"smoothing": [1.0, 1.0]})):
+    for learner, params in (("gbm", {"n_estimators": 8}), ("logistic", {}), ("maxent", {}), ("gam", {"smoothing": [1.0, 1.0]}), ("mars", {"pairs": 3})):
         a, b = ({r.record_id: r.cv_prediction for r in algorithms.cross_validate(rows(spark, x, v, fold, w), learner, params, 1)[0].collect()} for v in (y, other))
         assert all(a[i] == pytest.approx(b[i], abs=1e-6) for i in range(200) if fold[i] == 2) and any(abs(a[i] - b[i]) > 1e-3 for i in range(200) if fold[i] != 2)
 
@@ -204,3 +204,55 @@ def test_smoothing_follows_the_data(spark):
     want = 3000 * (v * (z - b @ beta) ** 2).sum() / (3000 - np.trace(hat)) ** 2
     assert gam.gcv(a, c, square, ones.sum(), m.splines.penalty(m.smoothing)) == pytest.approx(want, rel=1e-8)
     assert algorithms.cross_validate(df, "gam", {}, 1)[1]["auc_mean"] > algorithms.cross_validate(df, "logistic", {}, 1)[1]["auc_mean"] + 0.1
+
+
+def slow_growth(x, y, w, at, steps, degree):
+    """Every pair tried by a dense least-squares fit."""
+    terms, root = [()], np.sqrt(w)
+
+    def error(own):
+        base = mars.columns(x, own)
+        beta = np.linalg.lstsq(base * root[:, None], y * root, rcond=1e-10)[0]
+        return (base @ beta - y) ** 2 @ w
+
+    for _ in range(steps):
+        tried = []
+        for t in terms:
+            if len(t) >= degree:
+                continue
+            for j, cs in enumerate(at):
+                if all(h[0] != j for h in t):
+                    tried += [(error([*terms, (*t, (j, float(c), 1)), (*t, (j, float(c), -1))]), t, j, float(c)) for c in cs]
+        _, t, j, c = min(tried, key=lambda v: v[0])
+        terms = [*terms, (*t, (j, c, 1)), (*t, (j, c, -1))]
+    return terms, error(terms)
+
+
+@pytest.mark.parametrize("degree", [1, 2])
+def test_growth_equals_exhaustive_search(spark, degree):
+    x, y, fold, w = sample(250, 2, 12)
+    df = rows(spark, x, y, fold, w)
+    at = mars.knots(learners.quantile_edges(df, 2), 6)
+    blocks = learners.packed(df, [1, None], len(y), "weight")
+    found = mars.fit(blocks, at, 2, pairs=3, degree=degree)
+    for m, f in zip(found, (1, None), strict=True):
+        own = w * (fold != f)
+        terms, error = slow_growth(x, y, own, at, 3, degree)
+        assert set(m.terms) <= set(terms) and () in m.terms
+        base = mars.columns(x, terms)
+        kept, beta = mars.prune((base * own[:, None]).T @ base, base.T @ (own * y), own @ (y * y), own.sum(), mars.COSTS[degree])
+        assert [terms[i] for i in kept] == m.terms and np.allclose(beta, m.coefficients, atol=1e-6)
+        values = [mars.criterion(((mars.columns(x, sub) @ np.linalg.lstsq(mars.columns(x, sub) * np.sqrt(own)[:, None], y * np.sqrt(own), rcond=None)[0] - y) ** 2 @ own), own.sum(), len(sub), mars.COSTS[degree]) for sub in ([()], terms, m.terms)]
+        assert values[2] <= min(values[:2]) + 1e-9
+
+
+def test_planted_knots_are_recovered(spark):
+    rng = np.random.default_rng(13)
+    x = rng.uniform(0, 1, size=(4000, 3))
+    share = 0.1 + 1.4 * np.maximum(x[:, 0] - 0.5, 0) + 0.6 * np.maximum(0.3 - x[:, 1], 0)
+    y = (rng.random(4000) < share).astype(int)
+    df = rows(spark, x, y, np.arange(4000) % 4, np.ones(4000))
+    m = mars.fit(learners.packed(df, [None], 4000), mars.knots(learners.quantile_edges(df, 3), 15), 1)[0]
+    near = lambda predictor, knot: any(j == predictor and abs(c - knot) < 0.15 for t in m.terms for j, c, _ in t)
+    assert near(0, 0.5) and near(1, 0.3)
+    assert {h[0] for t in m.terms for h in t} >= {0, 1} and np.corrcoef(m(x), share)[0, 1] > 0.97

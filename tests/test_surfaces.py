@@ -16,7 +16,7 @@ from .test_execution import method
 from .test_learners import rows, sample
 
 
-@pytest.mark.parametrize("kind", ["logistic", "gbm", "maxent", "gam"])
+@pytest.mark.parametrize("kind", ["logistic", "gbm", "maxent", "gam", "mars"])
 def test_models_survive_json(spark, kind):
     from nichesearch.operators import algorithms
 
