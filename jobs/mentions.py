@@ -4,9 +4,9 @@
 
 Species data are mined from field notes and literature. A text that mentions any name of the
 group is a visit of its site: the names it mentions are present, the others absent, so that
-absences share the effort of the presences. Sites are placed on the grid by the config's
-expressions, and the rows have the columns that the library's stages take as occurrences
-(record_id, row, col, label, obs_date).
+absences share the effort of the presences. The config's expressions give a site's coordinates, and
+their system; they are moved to the grid's and placed in its cells as the library's reader places
+records, and the rows have the columns that the library's stages take as occurrences (record_id, row, col, label, obs_date).
 
 The job is a file stream: each run takes the files that came since the last one and ends. Which were
 taken stands in ``OUT/checkpoint``; rows are appended to ``OUT/occurrences``, a folder a name,
@@ -15,7 +15,7 @@ one without new files changes nothing. Nothing is shuffled, and no state is kept
 
 Defined cases: a null or wordless text, or one without any name, is no visit; repeated rows
 are visits of their own; names match whole words (runs of letters) in any case; a text of any
-length is read whole; null sites and dates stay null; columns that the config does not name
+length is read whole; null sites and dates stay null, and sites without coordinates have no cell; columns that the config does not name
 are ignored.
 """
 
@@ -26,6 +26,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nichesearch.functions import geometry
+from nichesearch.sources import occurrences
+
 from .common import log, main
 
 SCHEMA = "record_id long, row int, col int, label int, obs_date date, doc_id long, site string, n_mentions int, n_words int, name string"
@@ -42,8 +45,9 @@ def mined(documents: DataFrame, settings: dict[str, Any]) -> DataFrame:
     rows = rows.filter(F.size("hits") > 0).withColumn("name", F.explode(F.array(*map(F.lit, names))))
     n = F.size(F.filter("hits", lambda w: w == F.col("name")))
     record_id = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), "name")), 1, 15), 16, 10).cast("long")
-    placed = {c: F.expr(settings[c]).cast("int") for c in ("row", "col")}
-    rows = rows.withColumns({"n_mentions": n, "label": (n > 0).cast("int"), "record_id": record_id, **placed})
+    x, y, _ = occurrences.reproject(F.expr(settings["x"]).cast("double"), F.expr(settings["y"]).cast("double"), settings["crs"], settings["grid_crs"])
+    row, col = geometry.world_to_cell(tuple(settings["transform"]), x, y)
+    rows = rows.withColumns({"n_mentions": n, "label": (n > 0).cast("int"), "record_id": record_id, "row": row, "col": col})
     return rows.select("name", "record_id", "row", "col", "label", F.col("obs_date").cast("date").alias("obs_date"), F.col("doc_id").cast("long").alias("doc_id"), F.col("site").cast("string").alias("site"), "n_mentions", "n_words")
 
 

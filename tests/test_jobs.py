@@ -17,8 +17,11 @@ SETTINGS = {
     "text": "text",
     "site": "source",
     "obs_date": "cast('2020-01-02' as date)",
-    "row": "ascii(site) % 10",
-    "col": "length(site)",
+    "x": "length(site) + 0.5",
+    "y": "-(ascii(site) % 10) - 0.5",
+    "crs": "EPSG:4326",
+    "grid_crs": "EPSG:4326",
+    "transform": [1, 0, 0, 0, -1, 0],
     "names": ["Quercus", "fagus", "FAGUS"],
     "files_per_batch": 1,
 }
@@ -55,7 +58,7 @@ def test_a_lost_run_is_taken_up(spark, tmp_path):
     mentions.run(spark, str(source), str(out), SETTINGS)
     texts(spark, source, [(2, "fagus", "a")], 1)
     with pytest.raises(Exception, match="division|DIVIDE"):
-        mentions.run(spark, str(source), str(out), SETTINGS | {"row": "1 div (doc_id - 2)"})
+        mentions.run(spark, str(source), str(out), SETTINGS | {"y": "1 div (doc_id - 2)"})
     assert [r[0] for r in found(spark, out)] == [1, 1]
     mentions.run(spark, str(source), str(out), SETTINGS)
     assert [r[0] for r in found(spark, out)] == [1, 1, 2, 2]
@@ -67,6 +70,13 @@ def test_mentions_shuffle_nothing(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_sites_are_moved_to_the_grids_system(spark):
+    """A site of UTM coordinates falls in the cell that its degrees fall in."""
+    rows = spark.createDataFrame([(1, "fagus", "a")], SETTINGS["schema"])
+    moved = SETTINGS | {"x": "448251.8", "y": "5411932.7", "crs": "EPSG:32631", "transform": [0.01, 0, 2, 0, -0.01, 49]}
+    assert tuple(mentions.mined(rows, moved).select("row", "col").first()) == (14, 29)  # 48.858 N, 2.294 E
+
+
 SPECIES = {
     "records": {"table": "seen", "species": "s", "row": "r", "col": "c", "date": "d"},
     "layers": {"table": "land", "row": "r", "col": "c", "predictors": {"a": "max(a)", "b": "max(b)"}},
