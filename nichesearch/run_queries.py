@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import queries
 from .functions import files
 from .functions.caching import hold
-from .operators import learners, maxent, stages
+from .operators import algorithms, learners, maxent, selection, stages
 from .plans import cards, digest, executor, priors, proposer
 from .plans.builtin import default_registry, profile_context
 from .plans.store import ArtifactStore
@@ -610,3 +610,24 @@ def run_provenance(spark, sf):
     told = cards.provenance(spark, _executed(spark, sf)[1])
     rows = [(p.rsplit("/", 1)[-1], len(x), max(map(len, x), default=0)) for p, x in told["files"].items() if not p.endswith("/occurrences")]
     return spark.createDataFrame(rows, "file string, n_files int, digest_length int")
+
+
+_EXTENDED = ("gam", "mars", "maxent")
+
+
+@query(_USABLE + f"SELECT learner, fold, label, count(*) AS n, ok AS scored FROM ufolded JOIN scorable USING (fold), (SELECT unnest([{', '.join(f"'{x}'" for x in _EXTENDED)}]) AS learner) GROUP BY ALL")
+def extended_cv(spark, sf):
+    """Cross-validation by the learners beyond the default ones: records by fold and label, and whether each has a probability."""
+    rows = _folded(spark, sf)
+    parts = [algorithms.cross_validate(rows, x, {}, SEED)[0].select(F.lit(x).alias("learner"), "fold", "label", F.coalesce(F.col("cv_prediction").between(0, 1), F.lit(False)).alias("scored")) for x in _EXTENDED]
+    return reduce(DataFrame.unionByName, parts).groupBy("learner", "fold", "label", "scored").agg(F.count("*").alias("n"))
+
+
+@query(_USABLE + "SELECT fold, count(*) AS n, true AS has_weights, ok AS scored FROM ufolded JOIN scorable USING (fold) GROUP BY fold, ok")
+def weighted_cv(spark, sf):
+    """Logistic regression with the landscape's density ratio as weights, in fits and scores."""
+    g = queries.grid(spark, sf)
+    placed = stages.gather(queries._clean(spark, sf), g).filter(stages.complete("predictors"))
+    weighed = selection.density_ratio(placed, g, K, seed=SEED).select("record_id", (F.col("weight") + 0.01).alias("weight"))
+    scored = algorithms.cross_validate(_folded(spark, sf).join(weighed, "record_id"), "logistic", {}, SEED, weight="weight")[0]
+    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.bool_and(F.col("weight") > 0).alias("has_weights"), F.bool_and(F.col("cv_prediction").between(0, 1)).alias("scored"))
