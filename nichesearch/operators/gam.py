@@ -47,7 +47,7 @@ class Splines:
         rows, columns = np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :]
         for i, v in enumerate(cubic):
             out[rows, columns, cell + i] = v
-        return out.reshape(len(x), -1)
+        return out.reshape(len(x), self.width)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.ones(len(x)), self.raw(x) - self.mean])

@@ -297,7 +297,8 @@ def predicted(rows: DataFrame, models: dict[int, Callable[[np.ndarray], np.ndarr
                 x = batch.column(names.index("features")).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
                 fold = batch.column(names.index("fold")).to_numpy(zero_copy_only=False)
                 for f, model in models.items():
-                    out[fold == f] = model(x[fold == f])
+                    if (own := fold == f).any():
+                        out[own] = model(x[own])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, from_pandas=True)], names=[*names, column])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(column, T.DoubleType())]))

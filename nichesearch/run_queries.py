@@ -485,7 +485,7 @@ def raster_window(spark, sf):
     return _stack(rasters.read_predictors(spark, _layers(_fixture(spark, sf), ".tif"), (12, 20, 55, 70)))
 
 
-@query(_USABLE + " SELECT label, count(*) AS n FROM usable WHERE label = 1 GROUP BY label UNION ALL SELECT 0, count(*) FROM (SELECT * FROM grid ORDER BY md5('42:background:' || \"row\" || ':' || col), \"row\", col LIMIT 700) WHERE p1 IS NOT NULL AND p2 IS NOT NULL")
+@query(_USABLE + " SELECT label, count(*) AS n FROM usable WHERE label = 1 GROUP BY label UNION ALL SELECT 0, count(*) FROM (SELECT * FROM (" + _EVERY_CELL + ") ORDER BY md5('42:background:' || \"row\" || ':' || col), \"row\", col LIMIT 700) WHERE p1 IS NOT NULL AND p2 IS NOT NULL")
 def run_presence_only(spark, sf):
     """Presences alone, from file to scored table: records by label, the background among them."""
     folder = _fixture(spark, sf)

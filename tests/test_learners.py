@@ -256,3 +256,11 @@ def test_planted_knots_are_recovered(spark):
     near = lambda predictor, knot: any(j == predictor and abs(c - knot) < 0.15 for t in m.terms for j, c, _ in t)
     assert near(0, 0.5) and near(1, 0.3)
     assert {h[0] for t in m.terms for h in t} >= {0, 1} and np.corrcoef(m(x), share)[0, 1] > 0.97
+
+
+def test_models_take_no_rows(spark):
+    x, y, fold, w = sample(60, 2, 14)
+    df = rows(spark, x, y, fold, w)
+    blocks = learners.packed(df, [None], len(y))
+    for fit in algorithms.LEARNERS.values():
+        assert len(fit(df, blocks, 2, 1, {"n_estimators": 2, "pairs": 1})[0](x[:0])) == 0

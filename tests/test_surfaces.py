@@ -62,6 +62,7 @@ def test_the_models_of_a_run_score_its_grid(spark, tmp_path, algorithm):
     plan = CandidatePlan("c", VirtualDataSource(paths, (1.6, -0.9), n_presences=150, n_absences=150), method(algorithm))
     store = ArtifactStore(tmp_path / "store", spark)
     done = [execute_candidate(spark, plan, extended_registry(), store, run, resume=True) for run in ("one", "two")]
+    assert not done[0].failed, done[0].failure_reason
     assert done[0].step_records[-1].artifacts == done[1].step_records[-1].artifacts  # read back with its model
     found = executor.predicted_surface(spark, store, done[1], str(tmp_path / "surface"))
     kept = json.loads(store.read_bytes(done[0].step_records[-1].artifacts[-1]))
