@@ -39,7 +39,7 @@ class Splines:
     def raw(self, x: np.ndarray) -> np.ndarray:
         span = np.where(self.high > self.low, self.high - self.low, 1.0)
         pieces = self.basis - DEGREE
-        u = np.clip((x - self.low) / span, 0, 1) * pieces
+        u = np.clip((np.where(np.isnan(x), self.low, x) - self.low) / span, 0, 1) * pieces
         out = np.zeros((len(x), x.shape[1], self.basis))
         cell = np.minimum(u.astype(np.int64), pieces - 1)
         t = u - cell
@@ -47,6 +47,7 @@ class Splines:
         rows, columns = np.arange(len(x))[:, None], np.arange(x.shape[1])[None, :]
         for i, v in enumerate(cubic):
             out[rows, columns, cell + i] = v
+        out[np.isnan(x)] = np.nan
         return out.reshape(len(x), self.width)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
