@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nichesearch import RealDataSource, UnsupportedDataSource, VirtualDataSource, load_data_source
-from nichesearch.functions import geometry, parsing
+from nichesearch.functions import caching, geometry, parsing
 from nichesearch.operators import stages
 from nichesearch.schema import UnreadableOccurrences, UnreadableRasters
 from nichesearch.sources import occurrences, rasters
@@ -234,3 +234,18 @@ def test_records_over_several_lines_are_read_whole(spark, tmp_path, geo):
     path = table(tmp_path / "notes.csv", ("lon", "lat", "notes"), [(*WORLD[0], 'one\ntwo "quoted"'), (*WORLD[1], "plain")])
     rows, _, _ = read(spark, path, geo)
     assert sorted((r.row, r.col) for r in rows) == sorted(CELLS[:2])
+
+
+def test_a_record_is_parsed_once(spark, tmp_path):
+    """What is filtered and counted refers to the parsed columns: their patterns stand in the plan once each, and a file is read by one pass."""
+    (tmp_path / "o.csv").write_text("decimalLongitude,decimalLatitude,occurrenceStatus,eventDate\n10.5,49.5,present,2001-02-03\n12.5,47.5,absent,2001\n-40.0,49.5,present,2001\nx,1,present,2001\n")
+    raw = spark.read.option("header", True).csv(str(tmp_path / "o.csv"))
+    grid = rasters.Grid(spark.createDataFrame([], "row int, col int, predictors array<double>"), ("p",), 60, 60, (1.0, 0.0, 10.0, 0.0, -1.0, 50.0), "EPSG:4326")
+    for crs in ("EPSG:4326", "EPSG:3857"):
+        parsed = occurrences.parse(raw, occurrences.find_columns(raw.columns, True), grid, crs)[0].filter("inside").select("row", "col", "label")
+        assert parsed._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 4  # two coordinates, two spellings of a date
+    with caching.scope():
+        occ, _, _ = occurrences.read_occurrences(spark, str(tmp_path / "o.csv"), grid, "EPSG:4326")
+        assert sorted(map(tuple, occ.select("row", "col", "label").collect())) == [(0, 0, 1), (2, 2, 0)]
+        assert "InMemoryRelation" in occ._jdf.queryExecution().withCachedData().toString()
+    assert "InMemoryRelation" not in occurrences.read_occurrences(spark, str(tmp_path / "o.csv"), grid, "EPSG:4326")[0]._jdf.queryExecution().withCachedData().toString()
