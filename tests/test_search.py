@@ -107,3 +107,18 @@ def test_plans_are_validated_and_immutable():
     assert plan.is_executable and not plan.replace(unsupported_steps=(UnsupportedStep("a", "b", "c"),)).is_executable
     for s in (SOURCE, VirtualDataSource(("a",), (1.0,))):
         assert data_source(s.to_dict()) == s
+
+
+def test_a_draw_is_hashed_once_and_compared_as_its_number(spark, monkeypatch):
+    """One hash a replicate and record in the plan, and the comparison of digits is that of the numbers."""
+    from nichesearch.functions import draws
+    from nichesearch.operators import selection
+
+    rows = spark.range(2000).selectExpr("id AS record_id", "CAST(id % 2 AS INT) AS label", "id * 0.5D AS score", "'a' AS candidate_id", "0 AS fold")
+    given = []
+    monkeypatch.setattr(selection, "weighted_auc", lambda drawn, by: given.append(drawn) or drawn.withColumn("weighted_auc", drawn.weight))
+    selection.bootstrap_auc(rows, ["candidate_id", "fold"], 3, 1)
+    assert given[0]._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    key, u = draws.order_key(1, "bootstrap", rows.record_id), draws.uniform(1, "bootstrap", rows.record_id)
+    for p in selection.POISSON:
+        assert rows.filter(draws.above(key, p) != (u > p)).isEmpty()
