@@ -8,11 +8,13 @@ uniform randomness: chi-squared over the alphabet (Wilson-Hilferty), Wald-Wolfow
 values above the middle, and lag-one serial correlation. Fisher's sum, -2 ln of the three
 p-values, says how far a run is from random.
 
-What that sum is in ordinary runs is measured over the corpus: every document gives windows
-of its text written as a run, with the runs left out: squeezed to the characters of each
-encoding, words capitalised (base62) or joined by a separator (base64), and with two digits at the end, since runs hold one. They come from a hashed place and have the least length of one band, by hash. A run's p-value against being ordinary is the share of windows
+What that sum is in ordinary runs is measured over the corpus: every text, the runs left out, is written
+as runs once an encoding: squeezed to the characters of the encoding, words capitalised (base62) or joined by a separator (base64),
+and cut into windows from its first character to its last, each with two digits at the end, since runs hold one. A text's windows have the least length of one band, by hash,
+or of the longest band that fits into it. A run's p-value against being ordinary is the share of windows
 of its encoding and band that come as close to randomness, (1 + closer ones) / (1 + all), so that no distribution
-is assumed; shorter windows look more random, so that a band's runs are judged strictly.
+is assumed; shorter windows look more random, so that a band's runs are judged strictly. Windows are rows, and their tests
+are worked out from the six bits of their values, each of them a number of one bit a character, which gives the same sums as ``battery``.
 Benjamini-Hochberg at ``FDR``, in each stratum of encoding and band, decides which are
 reported. Sums enter rounded up to bins, so all this reads a bounded histogram.
 
@@ -29,6 +31,7 @@ corpus with fewer windows of a stratum than 1 / ``FDR``, times its runs over tho
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +55,8 @@ ENCODINGS = {
 }
 #: Least lengths of the bands.
 LENGTHS = (20, 32, 48, 96)
-#: Characters of a text, at a hashed place, that are written as windows of ordinary runs.
-PIECE = 600
+#: Bits of a value, and characters of a window that are held in one number.
+BITS, HALF = 6, 48
 
 
 def _value(name: str, pattern: str, m: Column) -> Column:
@@ -191,20 +194,29 @@ def battery(df: DataFrame, name: str) -> DataFrame:
             chi=lambda c: c["size"] / c["n"] * c["counts"] - c["n"],
         ),
     )
-    far = 99.0  # where a run has one value only, or one side of the middle
-    df = df.withColumn(
-        name,
-        _add(
-            name,
-            z_chi=lambda c: (F.pow(F.greatest(zero, c["chi"] / (c["size"] - 1)), F.lit(1 / 3)) - (1 - 2 / (9 * (c["size"] - 1)))) / F.sqrt(2 / (9 * (c["size"] - 1))),
-            z_runs=lambda c: F.abs(F.coalesce(F.try_divide(c["w"]["changes"] - 1 - c["both"] / c["n"], F.sqrt(F.greatest(zero, c["both"] * (c["both"] - c["n"]) / (c["n"] * c["n"] * (c["n"] - 1))))), F.lit(far))),
-            z_serial=lambda c: F.abs(F.when(c["spread"] > 1e-9, c["serial"] / c["spread"]).otherwise(F.lit(far)) * F.sqrt(c["n"])),
-        ),
-    )
+    df = df.withColumn(name, _add(name, z=lambda c: _deviates(c["n"], c["size"], c["chi"], c["w"]["changes"], c["both"], c["serial"], c["spread"])))
+    df = df.withColumn(name, _add(name, far=lambda c: sum(_shares(c["z"]).values())))
+    return df.withColumn(name, _add(name, bin=lambda c: _bin(c["far"])))
+
+
+def _deviates(n: Column, size: Column, chi: Column, changes: Column, both: Column, serial: Column, spread: Column) -> Column:
+    """A normal deviate of each test, as a struct."""
+    zero, far = F.lit(0.0), 99.0  # where a run has one value only, or one side of the middle
+    z_chi = (F.pow(F.greatest(zero, chi / (size - 1)), F.lit(1 / 3)) - (1 - 2 / (9 * (size - 1)))) / F.sqrt(2 / (9 * (size - 1)))
+    z_runs = F.abs(F.coalesce(F.try_divide(changes - 1 - both / n, F.sqrt(F.greatest(zero, both * (both - n) / (n * n * (n - 1))))), F.lit(far)))
+    z_serial = F.abs(F.when(spread > 1e-9, serial / spread).otherwise(F.lit(far)) * F.sqrt(n))
+    return F.struct(z_chi.alias("chi"), z_runs.alias("runs"), z_serial.alias("serial"))
+
+
+def _shares(z: Column) -> dict[str, Column]:
+    """Each test's part of Fisher's sum."""
     # two-sided chances are twice those upwards, of at most 1
-    two = lambda z: F.greatest(zero, _far(z) - 2 * math.log(2))
-    df = df.withColumn(name, _add(name, far=lambda c: _far(c["z_chi"]) + two(c["z_runs"]) + two(c["z_serial"])))
-    return df.withColumn(name, _add(name, bin=lambda c: F.least(F.lit(BINS), F.ceil(c["far"] / STEP)).cast("int")))
+    two = lambda z: F.greatest(F.lit(0.0), _far(z) - 2 * math.log(2))
+    return {"of_chi": _far(z["chi"]), "of_runs": two(z["runs"]), "of_serial": two(z["serial"])}
+
+
+def _bin(far: Column) -> Column:
+    return F.least(F.lit(BINS), F.ceil(far / STEP)).cast("int")
 
 
 def _band(n: Column) -> Column:
@@ -212,7 +224,7 @@ def _band(n: Column) -> Column:
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """``runs`` (start, end, m) to structs (start, end, stratum, bin), and ``usual``: (stratum, bin) of the document's windows of ordinary text, from ``left``."""
+    """``runs`` (start, end, m) to structs (start, end, stratum, bin)."""
     df = df.withColumn("runs", F.filter("runs", lambda c: c["m"].rlike("[0-9]") & c["m"].rlike("[A-Za-z]")))
 
     def encoding(m: Column) -> Column:
@@ -225,34 +237,111 @@ def candidates(df: DataFrame) -> DataFrame:
     df = df.withColumn("runs", _add("runs", m=lambda c: F.translate(F.rtrim(c["m"], F.lit("=")), "-_", "+/")))
     df = df.withColumn("runs", _add("runs", code=lambda c: encoding(c["m"])))
     df = df.withColumn("runs", F.transform("runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.when(c["code"] == "hex", F.upper(c["m"])).otherwise(c["m"]).alias("m"), c["code"].alias("code"))))
-    part = lambda k: F.expr(f"at div {k}")
-    df = df.withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit("at"), "left"), 1))
-    df = df.withColumn("left", F.substr("left", F.pmod(part(3), F.greatest(F.length("left") - PIECE, F.lit(0)) + 1).cast("int") + 1, F.lit(PIECE)))
-    df = df.withColumn("left", F.regexp_replace("left", RUN, ""))
-    written = {"base62": F.initcap("left")}
-    df = df.withColumns({f"_{name}": F.regexp_replace(written.get(name, F.col("left")), squeezed, "/" if name == "base64" else "") for name, (_, _, squeezed) in ENCODINGS.items()}).drop("left")
-    digit = lambda k: F.substr(F.lit("234567"), F.pmod(part(k), F.lit(6)).cast("int") + 1, F.lit(1))
-    length = F.element_at(F.array(*map(F.lit, LENGTHS)), F.pmod(part(11), F.lit(len(LENGTHS))).cast("int") + 1)
-    df = df.withColumn("length", length)
-    windows = []
-    for name in ENCODINGS:
-        room = F.length(f"_{name}") - F.col("length") + 2
-        m = F.substr(f"_{name}", F.pmod(part(1), F.greatest(room, F.lit(0)) + 1).cast("int") + 1, F.col("length") - 2)
-        m = F.concat(F.upper(m) if name in ("hex", "base32") else m, digit(7), digit(101))
-        windows.append(F.when(room >= 0, F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), m.alias("m"), F.lit(name).alias("code"))))
-    df = df.withColumn("usual", F.array_compact(F.array(*windows))).drop(*[f"_{name}" for name in ENCODINGS], "at", "length")
-    df = battery(df.withColumn("runs", F.concat("runs", "usual")).drop("usual"), "runs")
-    df = df.withColumn("runs", F.transform("runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat_ws("-", c["code"], _band(c["n"]).cast("string")).alias("stratum"), c["bin"].alias("bin"))))
-    return df.withColumns({"usual": F.transform(F.filter("runs", lambda c: c["start"] < 0), lambda c: F.struct(c["stratum"], c["bin"])), "runs": F.filter("runs", lambda c: c["start"] >= 0)})
-
-
-def thresholds(scanned: DataFrame) -> DataFrame:
+    df = battery(df, "runs")
+    return df.withColumn("runs", F.transform("runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat_ws("-", c["code"], _band(c["n"]).cast("string")).alias("stratum"), c["bin"].alias("bin"))))
+
+
+def windows(df: DataFrame) -> DataFrame:
+    """(code, m): every text's ``left`` written as runs, from its first to its last character; the last window may overlap the one before."""
+    df = df.select(F.regexp_replace("left", RUN, "").alias("left")).withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit("at"), "left"), 1))
+    squeezed = lambda name, text, by: F.array_join(F.split(text, ENCODINGS[name][2]), by)
+    df = df.select("at", F.inline(F.array(F.struct(squeezed("base62", F.initcap("left"), "").alias("base62"), squeezed("base64", F.col("left"), "/").alias("base64")))))
+    fewer = lambda name: F.translate(F.upper("base62"), "".join(c for c in ENCODINGS["base62"][1][:26] + "0123456789" if c not in ENCODINGS[name][1]), "")
+    rows = F.array(*[F.struct(F.lit(name).alias("code"), (fewer(name) if name in ("hex", "base32") else F.col(name)).alias("s")) for name in ENCODINGS])
+    df = df.select("at", F.inline(rows))  # generators work out a row's values once, projections wherever they are used
+    n, wanted = F.length("s"), F.element_at(F.array(*[F.lit(x - 2) for x in LENGTHS]), F.pmod(F.expr("at div 11"), F.lit(len(LENGTHS))).cast("int") + 1)
+    fits = F.coalesce(*[F.when(n >= x - 2, F.lit(x - 2)) for x in reversed(LENGTHS)])
+    df = df.select("code", F.inline(F.array(F.struct("s", n.alias("n"), F.when(fits.isNotNull(), F.least(wanted, fits)).alias("w")))))
+    cut = F.regexp_extract_all("s", F.concat(F.lit(".{"), F.col("w"), F.lit("}")), F.lit(0))
+    last = F.when(F.col("n") % F.col("w") != 0, F.array(F.substr("s", F.col("n") - F.col("w") + 1, F.col("w")))).otherwise(F.array().cast("array<string>"))
+    df = df.select("code", F.explode(F.concat(cut, last)).alias("m"))
+    digit = lambda k: F.substr(F.lit("234567"), F.pmod(F.expr(f"at div {k}"), F.lit(6)).cast("int") + 1, F.lit(1))
+    df = df.withColumn("at", F.shiftrightunsigned(F.xxhash64("m"), 1))
+    return df.select("code", F.concat("m", digit(7), digit(101)).alias("m"))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """As ``withColumns``, but in code of their own: Spark joins plain projections into methods too long to be compiled."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def tested(df: DataFrame) -> DataFrame:
+    """Adds n, far and bin to rows (code, m), m of at most 2 ``HALF`` characters: as ``battery``, by columns instead of array elements.
+
+    A bit of all values is a string of 0 and 1, read as a number: characters 1 to ``HALF`` in a0 to a5, from character
+    ``HALF`` on in b0 to b5, so that each pair of neighbours lies in one of them. Sums are counts of bits.
+    """
+    bits, both, k = F.bit_count, ("a", "b"), F.col("k")
+
+    def plane(bit: int) -> Column:
+        some = {c: v[1] for c, v in ENCODINGS.items() if (len(v[1]) - 1) >> bit}
+        return F.coalesce(*[F.when(F.col("code") == c, F.translate("m", v, "".join(str(i >> bit & 1) for i in range(len(v))))) for c, v in some.items()], F.lit(""))
+
+    number = lambda x: F.coalesce(F.conv(x, 2, 10).cast("long"), F.lit(0).cast("long"))
+    size = F.coalesce(*[F.when(F.col("code") == c, F.lit(float(len(v[1])))) for c, v in ENCODINGS.items()], F.lit(0.0))
+    df = _once(df, k=F.coalesce(F.length("m"), F.lit(0)), size=size, **{f"s{i}": plane(i) for i in range(BITS)})
+    ones = lambda n: F.expr(f"shiftleft(1L, greatest(0, {n})) - 1L")
+    # masks of own characters and of pairs: the second number's first character is the first one's last
+    df = _once(df, **{f"a{i}": number(F.substr(f"s{i}", F.lit(1), F.lit(HALF))) for i in range(BITS)}, **{f"b{i}": number(F.substr(f"s{i}", F.lit(HALF))) for i in range(BITS)}, a=ones(f"least({HALF}, k)"), b=ones(f"k - {HALF}"))
+    df = df.drop(*[f"s{i}" for i in range(BITS)], "m")
+    # counts of each value: the characters with its higher bits and with its lower ones
+    three = lambda h, low, v: reduce(lambda x, i: x.bitwiseAND(F.col(f"{h}{low + i}") if v >> i & 1 else F.bitwise_not(f"{h}{low + i}")), range(3), F.col(h))
+    df = _once(df, **{f"{h}_{low}_{v}": three(h, low, v) for h in both for low in (0, 3) for v in range(8)})
+    square = lambda x: x * x
+    values = lambda some: sum(square(sum(bits(F.col(f"{h}_3_{v}").bitwiseAND(F.col(f"{h}_0_{u}"))) for h in both)) for v in some for u in range(8))
+    for v in range(0, 8, 2):
+        df = _once(df, **{f"counts_{v}": values((v, v + 1))})
+    df = df.drop(*[f"{h}_{low}_{v}" for h in both for low in (0, 3) for v in range(8)])
+    # sums of values, squares and products of neighbours, bit by bit
+    own = lambda h, i: F.col(f"{h}{i}").bitwiseAND(F.col(h))
+    for h in both:
+        df = _once(
+            df,
+            **{f"sum_{h}": sum((1 << i) * bits(own(h, i)) for i in range(BITS))},
+            **{f"squares_{h}": sum((1 << (i + j + (i != j))) * bits(own(h, i).bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(i, BITS))},
+        )
+        df = _once(
+            df,
+            **{f"products_{h}": sum((1 << (i + j)) * bits(F.shiftright(f"{h}{i}", 1).bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(BITS))},
+        )
+    # above the middle: the highest bit, and of 62 values the 32nd too
+    top = lambda h: F.when(F.col("size") == 16, F.col(f"{h}3")).when(F.col("size") == 32, F.col(f"{h}4")).when(F.col("size") == 64, F.col(f"{h}5")).otherwise(F.col(f"{h}5").bitwiseOR(reduce(Column.bitwiseAND, [F.col(f"{h}{i}") for i in range(5)])))
+    last = sum((1 << i) * bits(F.when(k > HALF, F.col(f"b{i}")).otherwise(F.col(f"a{i}")).bitwiseAND(F.lit(1).cast("long"))) for i in range(BITS))
+    first = sum((1 << i) * bits(F.col(f"a{i}").bitwiseAND(F.col("a") - F.shiftright("a", 1))) for i in range(BITS))
+    df = _once(df, a_top=top("a"), b_top=top("b"), ends=first + last)
+    changed = lambda h, pairs: bits(F.col(f"{h}_top").bitwiseXOR(F.shiftright(f"{h}_top", 1)).bitwiseAND(pairs))
+    found = {
+        "high": sum(bits(F.col(f"{h}_top").bitwiseAND(F.col(h))) for h in both), "changes": 1 + changed("a", F.shiftright("a", 1)) + changed("b", F.col("b")), "counts": sum(F.col(f"counts_{v}") for v in range(0, 8, 2)),
+        "sum": F.col("sum_a") + F.col("sum_b"), "squares": F.col("squares_a") + F.col("squares_b"), "products": F.col("products_a") + F.col("products_b"), "n": k, "ends": F.col("ends"),
+    }
+    df = _once(df.select("code", "size", *[x.cast("double").alias(f"w_{c}") for c, x in found.items()]), **{c: F.col(f"w_{c}") for c in found}).select("code", "size", *found)
+    mean = F.col("sum") / F.col("n")
+    serial = F.col("products") - mean * (2 * F.col("sum") - F.col("ends")) + (F.col("n") - 1) * F.pow(mean, F.lit(2.0))
+    df = _once(df, spread=F.col("squares") - F.col("sum") * mean, serial=serial, both=2 * F.col("high") * (F.col("n") - F.col("high")), chi=F.col("size") / F.col("n") * F.col("counts") - F.col("n"))
+    df = _once(df, z=_deviates(*map(F.col, ("n", "size", "chi", "changes", "both", "serial", "spread")))).select("code", "n", "z")
+    for name, share in _shares(F.col("z")).items():
+        df = _once(df, **{name: share})
+    df = _once(df, far=F.col("of_chi") + F.col("of_runs") + F.col("of_serial"))
+    return df.select("code", "n", "far", _bin(F.col("far")).alias("bin"))
+
+
+def usual(df: DataFrame) -> DataFrame:
+    """(stratum, bin, usual): the windows of ordinary text of each stratum and bin."""
+    rows = tested(windows(df))
+    return rows.groupBy(F.concat_ws("-", "code", _band(F.col("n")).cast("string")).alias("stratum"), "bin").agg(F.count("*").alias("usual"))
+
+
+def _counted(scanned: DataFrame, column: str, name: str) -> DataFrame:
+    return scanned.select(F.explode(column).alias("r")).groupBy(F.col("r.stratum").alias("stratum"), F.col("r.bin").alias("bin")).agg(F.count("*").alias(name))
+
+
+def thresholds(scanned: DataFrame, ordinary: DataFrame | None = None) -> DataFrame:
     """(stratum, bin): the greatest bin that Benjamini-Hochberg rejects in each stratum with any.
 
-    m counts all runs of the stratum, p the windows of ordinary text of a bin and below.
+    m counts all runs of the stratum, p the windows of ordinary text of a bin and below: ``ordinary`` (stratum, bin, usual), or those of the column ``usual``.
     """
-    count = lambda c, n: scanned.select(F.explode(c).alias("r")).groupBy(F.col("r.stratum").alias("stratum"), F.col("r.bin").alias("bin")).agg(F.count("*").alias(n))
-    both = count("runs", "found").join(count("usual", "usual"), ["stratum", "bin"], "full").fillna(0, ["found", "usual"])  # a row a stratum and bin at most
+    ordinary = _counted(scanned, "usual", "usual") if ordinary is None else ordinary
+    both = _counted(scanned, "runs", "found").join(ordinary, ["stratum", "bin"], "full").fillna(0, ["found", "usual"])  # a row a stratum and bin at most
     own = Window.partitionBy("stratum")
     upto = own.orderBy("bin")
     rows = both.withColumns({"k": F.sum("found").over(upto), "m": F.sum("found").over(own), "closer": F.sum("usual").over(upto), "all": F.sum("usual").over(own)})
@@ -266,23 +355,29 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _left(df: DataFrame) -> DataFrame:
+    """``text`` to ``left``: what base spans leave of it, kind after kind."""
+    df = df.withColumn("left", F.col("text")).drop("text")
+    for kind in KINDS:
+        df = _blanked(df, *kind)
+    return df
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each row of ``docs`` (doc_id, text)."""
-    df = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE + BLANK, OTHER * 3).alias("text"))
+    df = plain = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE + BLANK, OTHER * 3).alias("text"))
     for kind in KINDS:
         df = _spans(df, *kind)
-    df = df.withColumn("left", F.col("text")).drop("text")
-    for kind in KINDS:
-        df = _blanked(df, *kind)
+    df = _left(df)
     df = _spans(df, "runs", RUN, 20, "left")
 
     def named(name: str, place: int) -> Column:
         return F.transform(name, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(name if name != "runs" else "random").alias("kind"), s["end"].alias("end")))
 
     df = df.withColumn("base", F.concat(*[named(k, i) for i, (k, _, _) in enumerate(KINDS)]))
-    df = df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, _, _ in KINDS], "base", "runs", "left")
+    df = df.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k, _, _ in KINDS], "base", "runs")
     scanned = common.written(candidates(df), "secret-spans")
-    limits = {r["stratum"]: r["bin"] for r in thresholds(scanned).collect()}  # at most an entry a stratum
+    limits = {r["stratum"]: r["bin"] for r in thresholds(scanned, usual(_left(plain))).collect()}  # at most an entry a stratum
     passes = lambda r: sum([((r["stratum"] == s) & (r["bin"] <= b)).cast("int") for s, b in sorted(limits.items())], F.lit(0)) > 0
     return scanned.withColumn("runs", F.filter("runs", passes)).select(
         "doc_id", *[f"n_{k}" for k, _, _ in KINDS], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", named("runs", len(KINDS)))).alias("spans"), F.size("runs").cast("long").alias("n_random")

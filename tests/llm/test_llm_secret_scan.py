@@ -128,6 +128,31 @@ def test_discoveries_equal_brute_force(spark, scanned):
     assert "a" in got or "b" in got
 
 
+def test_windows_cut_whole_texts(make, spark):
+    """Every character of a text, wherever it stands, is in a window of each encoding; windows are tested as the battery tests runs."""
+    rng = random.Random(21)
+    texts = [text(rng, "en", n) for n in (8, 30, 60, 200, 900, 3000)] + ["Ab Cd3f-Gh/xyz " * 40, "short", "", "0" * 15 + " " + "fade " * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, left string")
+    capital = lambda t: " ".join(w[:1].upper() + w[1:].lower() for w in t.split(" "))
+    written = {c: [re.sub(p, "/" if c == "base64" else "", capital(t) if c == "base62" else t.upper() if c in ("hex", "base32") else t) for t in texts] for c, (_, p) in CODES.items()}
+    written["base32"] = [re.sub("[^A-Z2-7]", "", t.upper()) for t in texts]
+    for i in range(len(texts)):
+        got = secret_scan.windows(df.filter(f"i = {i}")).collect()
+        for code, all_written in written.items():
+            whole, cut = all_written[i], [r.m[:-2] for r in got if r.code == code]
+            if len(whole) < 18:
+                assert not cut
+                continue
+            w = len(cut[0])
+            want = [whole[a : a + w] for a in range(0, len(whole) - w + 1, w)] + ([whole[-w:]] if len(whole) % w else [])
+            assert w in (18, 30, 46, 94) and Counter(cut) == Counter(want)
+    rows = [(c, "".join(rng.choices(a if rng.random() < 0.5 else a[-rng.randint(1, 12) :], k=rng.choice((20, 32, 48, 49, 95, 96))))) for c, (a, _) in CODES.items() for _ in range(100)]
+    own = secret_scan.battery(spark.createDataFrame([(i, [(m, c)]) for i, (c, m) in enumerate(rows)], "i int, runs array<struct<m:string,code:string>>"), "runs").selectExpr("i", "runs[0].far AS far").collect()
+    found = sorted((r.code, r.n, r.far) for r in secret_scan.tested(spark.createDataFrame(rows, "code string, m string")).collect())
+    want = sorted((rows[r.i][0], float(len(rows[r.i][1])), r.far) for r in own)
+    assert len(found) == len(want) and all(f[:2] == w[:2] and f[2] == pytest.approx(w[2], rel=1e-9, abs=1e-9) for f, w in zip(found, want, strict=True))
+
+
 def test_work_grows_with_the_length_of_a_text(make):
     def seconds(n):
         body = " ".join(f"token=secretsecret{i:05d} {i:032x} Zk3Q9vLr8TtY2mWqXb7N{i:05d}" for i in range(n))
