@@ -187,3 +187,22 @@ def test_infinity_survives_json():
     from nichesearch.profile import EnvironmentalProfile
 
     assert json.loads(EnvironmentalProfile(2, 1.0, math.inf, 1.0, None).to_json())["max_vif"] == "Infinity"
+
+
+def test_first_records_of_cells_are_found_without_a_sort(spark):
+    """By aggregation, with the row that a window gives; columns of other types take the window still."""
+    rows = [(i * 7919 % 1000, i % 5, i % 3, i % 2, None if i % 4 else 19000 + i) for i in range(400)]
+    occ = spark.createDataFrame(rows, "record_id long, row int, col int, label int, day int").withColumn("obs_date", F.date_from_unix_date("day")).drop("day")
+    kept = stages.drop_duplicate_cells(occ)
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    want = stages.drop_duplicate_cells(occ.withColumn("more", F.array("row"))).drop("more")
+    assert kept.columns == occ.columns and sorted(map(str, kept.collect())) == sorted(map(str, want.collect()))
+
+
+def test_row_digests_are_sums_of_marks(spark):
+    """Negative marks and empty tables too: the digest is that of exact decimal sums."""
+    for df in (spark.range(-500, 500).withColumn("x", F.col("id") * 3), spark.range(0), spark.range(1)):
+        columns = sorted(df.schema.fields, key=lambda f: f.name)
+        marks = [F.xxhash64(F.lit(seed), *[digest._mark(F.col(f.name), f.dataType, seed) for f in columns]) for seed in ("first", "second")]
+        sums = df.agg(F.count("*"), *[F.sum(m.cast("decimal(38,0)")) for m in marks]).first()
+        assert digest.digest_table(df) == digest.digest_obj([sorted(df.dtypes), [str(v) for v in sums]])
