@@ -55,8 +55,8 @@ ENCODINGS = {
 }
 #: Least lengths of the bands.
 LENGTHS = (20, 32, 48, 96)
-#: Bits of a value, and characters of a window that are held in one number.
-BITS, HALF = 6, 48
+#: Bits of a value, characters of a window whose equal bits are held in one number, and characters that are decoded to one.
+BITS, HALF, GROUP = 6, 48, 8
 
 
 def _value(name: str, pattern: str, m: Column) -> Column:
@@ -220,7 +220,7 @@ def _bin(far: Column) -> Column:
 
 
 def _band(n: Column) -> Column:
-    return sum([(n >= b).cast("int") for b in LENGTHS[1:]], F.lit(0))
+    return F.coalesce(*[F.when(n >= LENGTHS[i], F.lit(i)) for i in range(len(LENGTHS) - 1, 0, -1)], F.lit(0))
 
 
 def candidates(df: DataFrame) -> DataFrame:
@@ -241,20 +241,27 @@ def candidates(df: DataFrame) -> DataFrame:
     return df.withColumn("runs", F.transform("runs", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.concat_ws("-", c["code"], _band(c["n"]).cast("string")).alias("stratum"), c["bin"].alias("bin"))))
 
 
+def _other(alphabet: str) -> str:
+    """Pattern of runs of characters outside ``alphabet``, which is spelt out: Java looks such a class up in a table, but tries ranges one by one."""
+    return f"[^{alphabet}]++"
+
+
 def windows(df: DataFrame) -> DataFrame:
     """(code, m): every text's ``left`` written as runs, from its first to its last character; the last window may overlap the one before."""
     df = df.select(F.regexp_replace("left", RUN, "").alias("left")).withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit("at"), "left"), 1))
-    squeezed = lambda name, text, by: F.array_join(F.split(text, ENCODINGS[name][2]), by)
-    df = df.select("at", F.inline(F.array(F.struct(squeezed("base62", F.initcap("left"), "").alias("base62"), squeezed("base64", F.col("left"), "/").alias("base64")))))
-    fewer = lambda name: F.translate(F.upper("base62"), "".join(c for c in ENCODINGS["base62"][1][:26] + "0123456789" if c not in ENCODINGS[name][1]), "")
-    rows = F.array(*[F.struct(F.lit(name).alias("code"), (fewer(name) if name in ("hex", "base32") else F.col(name)).alias("s")) for name in ENCODINGS])
+    alphabet = {name: values for name, (_, values, _) in ENCODINGS.items()}
+    squeezed = lambda name, text, by: F.regexp_replace(text, _other(alphabet[name]), by)
+    df = _once(df, base62=squeezed("base62", F.initcap("left"), ""), base64=squeezed("base64", F.col("left"), "/")).drop("left")
+    df = _once(df, upper=F.upper("base62"))
+    rows = F.array(*[F.struct(F.lit(name).alias("code"), (squeezed(name, F.col("upper"), "") if name in ("hex", "base32") else F.col(name)).alias("s")) for name in ENCODINGS])
     df = df.select("at", F.inline(rows))  # generators work out a row's values once, projections wherever they are used
     n, wanted = F.length("s"), F.element_at(F.array(*[F.lit(x - 2) for x in LENGTHS]), F.pmod(F.expr("at div 11"), F.lit(len(LENGTHS))).cast("int") + 1)
     fits = F.coalesce(*[F.when(n >= x - 2, F.lit(x - 2)) for x in reversed(LENGTHS)])
-    df = df.select("code", F.inline(F.array(F.struct("s", n.alias("n"), F.when(fits.isNotNull(), F.least(wanted, fits)).alias("w")))))
-    cut = F.regexp_extract_all("s", F.concat(F.lit(".{"), F.col("w"), F.lit("}")), F.lit(0))
-    last = F.when(F.col("n") % F.col("w") != 0, F.array(F.substr("s", F.col("n") - F.col("w") + 1, F.col("w")))).otherwise(F.array().cast("array<string>"))
-    df = df.select("code", F.explode(F.concat(cut, last)).alias("m"))
+    df = df.select("code", F.inline(F.array(F.struct(F.col("s").cast("binary").alias("s"), n.alias("n"), F.least(wanted, fits).alias("w"), fits.alias("fits"))))).filter("fits IS NOT NULL")
+    # all characters are ASCII: bytes are cut without counting from the start of the text
+    last = F.when(F.col("n") % F.col("w") != 0, F.array(F.col("n") - F.col("w") + 1)).otherwise(F.array().cast("array<int>"))
+    df = df.select("code", "s", "w", F.explode(F.concat(F.sequence(F.lit(1), F.col("n") - F.col("w") + 1, F.col("w")), last)).alias("i"))
+    df = df.select("code", F.inline(F.array(F.struct(F.substr("s", F.col("i"), F.col("w")).cast("string").alias("m")))))
     digit = lambda k: F.substr(F.lit("234567"), F.pmod(F.expr(f"at div {k}"), F.lit(6)).cast("int") + 1, F.lit(1))
     df = df.withColumn("at", F.shiftrightunsigned(F.xxhash64("m"), 1))
     return df.select("code", F.concat("m", digit(7), digit(101)).alias("m"))
@@ -268,50 +275,61 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 def tested(df: DataFrame) -> DataFrame:
     """Adds n, far and bin to rows (code, m), m of at most 2 ``HALF`` characters: as ``battery``, by columns instead of array elements.
 
-    A bit of all values is a string of 0 and 1, read as a number: characters 1 to ``HALF`` in a0 to a5, from character
-    ``HALF`` on in b0 to b5, so that each pair of neighbours lies in one of them. Sums are counts of bits.
+    A window is written in the alphabet of base64, filled up with its first character (value 0) and decoded, so that each
+    ``GROUP`` characters are a number of ``BITS`` bits a character, x0 to x11. From those, bit i of all values is gathered in two numbers,
+    a{i} of the first ``HALF`` characters and b{i} of the others: character k of group g is bit 6 (7 - k) + g. Sums are counts of bits;
+    values of 0 that fill a window up add nothing to most of them. Counts are doubles, which hold them exactly: Spark checks each sum of integers for overflow, in a closure of its own.
     """
-    bits, both, k = F.bit_count, ("a", "b"), F.col("k")
-
-    def plane(bit: int) -> Column:
-        some = {c: v[1] for c, v in ENCODINGS.items() if (len(v[1]) - 1) >> bit}
-        return F.coalesce(*[F.when(F.col("code") == c, F.translate("m", v, "".join(str(i >> bit & 1) for i in range(len(v))))) for c, v in some.items()], F.lit(""))
-
-    number = lambda x: F.coalesce(F.conv(x, 2, 10).cast("long"), F.lit(0).cast("long"))
+    both, k, groups = ("a", "b"), F.col("k"), HALF // GROUP
+    bits = lambda x: F.bit_count(x).cast("double")
+    two_to = lambda n: F.lit(float(1 << n))
+    total = lambda some: reduce(lambda x, y: x + y, some)
+    long = lambda v: F.lit(v).cast("long")
+    full, standard = (1 << HALF) - 1, ENCODINGS["base64"][1]
     size = F.coalesce(*[F.when(F.col("code") == c, F.lit(float(len(v[1])))) for c, v in ENCODINGS.items()], F.lit(0.0))
-    df = _once(df, k=F.coalesce(F.length("m"), F.lit(0)), size=size, **{f"s{i}": plane(i) for i in range(BITS)})
-    ones = lambda n: F.expr(f"shiftleft(1L, greatest(0, {n})) - 1L")
-    # masks of own characters and of pairs: the second number's first character is the first one's last
-    df = _once(df, **{f"a{i}": number(F.substr(f"s{i}", F.lit(1), F.lit(HALF))) for i in range(BITS)}, **{f"b{i}": number(F.substr(f"s{i}", F.lit(HALF))) for i in range(BITS)}, a=ones(f"least({HALF}, k)"), b=ones(f"k - {HALF}"))
-    df = df.drop(*[f"s{i}" for i in range(BITS)], "m")
+    spelt = F.col("m")
+    for c in ("hex", "base32"):
+        moved = [(x, standard[i]) for i, x in enumerate(ENCODINGS[c][1]) if x != standard[i]]
+        spelt = F.when(F.col("code") == c, F.translate("m", "".join(x for x, _ in moved), "".join(y for _, y in moved))).otherwise(spelt)
+    df = _once(df, k=F.coalesce(F.length("m"), F.lit(0)), size=size, bytes=F.unbase64(F.rpad(F.coalesce(spelt, F.lit("")), 2 * HALF, standard[0]))).drop("m")
+    per = GROUP * BITS // 8
+    number = lambda g: F.conv(F.hex(F.substr("bytes", F.lit(per * g + 1), F.lit(per))), 16, 10).cast("long")
+    df = _once(df, **{f"x{g}": F.coalesce(F.when(k > GROUP * g, number(g)), long(0)) for g in range(2 * groups)}, at=F.expr(f"{BITS} * ({GROUP - 1} - pmod(k - 1, {GROUP})) + pmod(k - 1, {HALF}) div {GROUP}").cast("int")).drop("bytes")
+    every = sum(1 << BITS * j for j in range(GROUP))
+    moved_by = lambda x, n: F.shiftleft(x, n) if n > 0 else F.shiftright(x, -n) if n else x
+    for h, from_ in zip(both, (0, groups), strict=True):
+        df = _once(df, **{f"{h}{i}": reduce(Column.bitwiseOR, [moved_by(F.col(f"x{from_ + g}").bitwiseAND(long(every << i)), g - i) for g in range(groups)]) for i in range(BITS)})
+        df = df.drop(*[f"x{from_ + g}" for g in range(groups)])
     # counts of each value: the characters with its higher bits and with its lower ones
-    three = lambda h, low, v: reduce(lambda x, i: x.bitwiseAND(F.col(f"{h}{low + i}") if v >> i & 1 else F.bitwise_not(f"{h}{low + i}")), range(3), F.col(h))
-    df = _once(df, **{f"{h}_{low}_{v}": three(h, low, v) for h in both for low in (0, 3) for v in range(8)})
+    three = lambda h, low, v: reduce(Column.bitwiseAND, [F.col(f"{h}{low + i}") if v >> i & 1 else F.bitwise_not(f"{h}{low + i}") for i in range(3)], long(full))
+    for h in both:
+        df = _once(df, **{f"{h}_{low}_{v}": three(h, low, v) for low in (0, 3) for v in range(8)})
     square = lambda x: x * x
-    values = lambda some: sum(square(sum(bits(F.col(f"{h}_3_{v}").bitwiseAND(F.col(f"{h}_0_{u}"))) for h in both)) for v in some for u in range(8))
+    filled = lambda v: [k.cast("double") - float(2 * HALF)] if v == 0 else []
+    count = lambda u, v: total([bits(F.col(f"{h}_3_{v}").bitwiseAND(F.col(f"{h}_0_{u}"))) for h in both] + filled(u + v))
     for v in range(0, 8, 2):
-        df = _once(df, **{f"counts_{v}": values((v, v + 1))})
+        df = _once(df, **{f"n{u}_{x}": count(u, x) for x in (v, v + 1) for u in range(8)})
+        df = _once(df, **{f"counts_{v}": total(square(F.col(f"n{u}_{x}")) for x in (v, v + 1) for u in range(8))}).drop(*[f"n{u}_{x}" for x in (v, v + 1) for u in range(8)])
     df = df.drop(*[f"{h}_{low}_{v}" for h in both for low in (0, 3) for v in range(8)])
-    # sums of values, squares and products of neighbours, bit by bit
-    own = lambda h, i: F.col(f"{h}{i}").bitwiseAND(F.col(h))
+    # sums of values, squares and products of neighbours, bit by bit; next to a group's last character is the next group's first
+    beyond = lambda i: F.shiftleft(F.shiftright(f"b{i}", HALF - BITS).bitwiseAND(long(1)), BITS - 1)
+    after = lambda h, i: [F.shiftleft(f"{h}{i}", BITS).bitwiseAND(long(full)), F.shiftright(f"{h}{i}", HALF - BITS + 1)] + ([beyond(i)] if h == "a" else [])
     for h in both:
         df = _once(
             df,
-            **{f"sum_{h}": sum((1 << i) * bits(own(h, i)) for i in range(BITS))},
-            **{f"squares_{h}": sum((1 << (i + j + (i != j))) * bits(own(h, i).bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(i, BITS))},
-        )
-        df = _once(
-            df,
-            **{f"products_{h}": sum((1 << (i + j)) * bits(F.shiftright(f"{h}{i}", 1).bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(BITS))},
+            **{f"sum_{h}": total(two_to(i) * bits(F.col(f"{h}{i}")) for i in range(BITS))},
+            **{f"squares_{h}": total(two_to(i + j + (i != j)) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(i, BITS))},
+            **{f"after_{h}{i}": reduce(Column.bitwiseOR, after(h, i)) for i in range(BITS)},
         )
+        df = _once(df, **{f"products_{h}": total(two_to(i + j) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"after_{h}{j}"))) for i in range(BITS) for j in range(BITS))})
     # above the middle: the highest bit, and of 62 values the 32nd too
     top = lambda h: F.when(F.col("size") == 16, F.col(f"{h}3")).when(F.col("size") == 32, F.col(f"{h}4")).when(F.col("size") == 64, F.col(f"{h}5")).otherwise(F.col(f"{h}5").bitwiseOR(reduce(Column.bitwiseAND, [F.col(f"{h}{i}") for i in range(5)])))
-    last = sum((1 << i) * bits(F.when(k > HALF, F.col(f"b{i}")).otherwise(F.col(f"a{i}")).bitwiseAND(F.lit(1).cast("long"))) for i in range(BITS))
-    first = sum((1 << i) * bits(F.col(f"a{i}").bitwiseAND(F.col("a") - F.shiftright("a", 1))) for i in range(BITS))
-    df = _once(df, a_top=top("a"), b_top=top("b"), ends=first + last)
-    changed = lambda h, pairs: bits(F.col(f"{h}_top").bitwiseXOR(F.shiftright(f"{h}_top", 1)).bitwiseAND(pairs))
+    df = _once(df, a_top=top("a"), b_top=top("b"), after_a_top=top("after_a"), after_b_top=top("after_b"))
+    one = lambda x: F.call_function("shiftright", x, F.col("at")).bitwiseAND(long(1))
+    end = lambda i: F.when(k == 0, long(0)).otherwise(one(F.when(k > HALF, F.col(f"b{i}")).otherwise(F.col(f"a{i}"))))
+    df = _once(df, ends=total(two_to(i) * (bits(end(i)) + bits(F.shiftright(f"a{i}", HALF - BITS).bitwiseAND(long(1)))) for i in range(BITS)), last_high=bits(end("_top")))
     found = {
-        "high": sum(bits(F.col(f"{h}_top").bitwiseAND(F.col(h))) for h in both), "changes": 1 + changed("a", F.shiftright("a", 1)) + changed("b", F.col("b")), "counts": sum(F.col(f"counts_{v}") for v in range(0, 8, 2)),
+        "high": total(bits(F.col(f"{h}_top")) for h in both), "changes": total(bits(F.col(f"{h}_top").bitwiseXOR(F.col(f"after_{h}_top"))) for h in both) + 1.0 - F.col("last_high"), "counts": total(F.col(f"counts_{v}") for v in range(0, 8, 2)),
         "sum": F.col("sum_a") + F.col("sum_b"), "squares": F.col("squares_a") + F.col("squares_b"), "products": F.col("products_a") + F.col("products_b"), "n": k, "ends": F.col("ends"),
     }
     df = _once(df.select("code", "size", *[x.cast("double").alias(f"w_{c}") for c, x in found.items()]), **{c: F.col(f"w_{c}") for c in found}).select("code", "size", *found)

@@ -153,6 +153,15 @@ def test_windows_cut_whole_texts(make, spark):
     assert len(found) == len(want) and all(f[:2] == w[:2] and f[2] == pytest.approx(w[2], rel=1e-9, abs=1e-9) for f, w in zip(found, want, strict=True))
 
 
+def test_windows_are_tested_without_checks_of_overflow(spark):
+    """Spark makes a closure for each sum, difference or product of integers, and tries ranges of a class of characters one by one: either cost more than all the rest."""
+    code = lambda df: df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    rows = spark.range(1).selectExpr("'hex' AS code", "concat('0123456789ABCDEF0', id) AS m")
+    assert len(re.findall("MathUtils[.](?:add|subtract|multiply)Exact", code(secret_scan.tested(rows)))) < 20
+    patterns = re.findall(r"regexp_replace\([^\n]*?, (\[\^[^\]]*\]\S*), ", code(secret_scan.windows(spark.range(1).selectExpr("concat('a ', id) AS left"))))
+    assert patterns and not [p for p in patterns if "A-Z" in p or "0-9" in p]
+
+
 def test_work_grows_with_the_length_of_a_text(make):
     def seconds(n):
         body = " ".join(f"token=secretsecret{i:05d} {i:032x} Zk3Q9vLr8TtY2mWqXb7N{i:05d}" for i in range(n))
