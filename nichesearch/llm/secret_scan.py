@@ -39,19 +39,21 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Kinds in order, and their patterns; the third value is the least length of a match, or of group 2 for assign.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-KINDS = [("assign", ASSIGN, 12), ("access", r"AKIA[A-Z0-9]{14,}", 18), ("hex", r"[0-9a-f]{16,}", 16)]
-RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Classes that every character of a text is held against are spelt out: Java looks those up in a table, but tries ranges one by one.
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ASSIGN = r"""(?=[AaPpSsTt])((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+KINDS = [("assign", ASSIGN, 12), ("access", r"AKIA[A-Z0-9]{14,}", 18), ("hex", f"[{DIGITS}abcdef]{{16,}}", 16)]
+RUN = f"[{UPPER}{LOWER}{DIGITS}+/_-]{{20,}}={{0,2}}"
 OPEN, CLOSE, OTHER, BLANK = "\ue000", "\ue001", "\ufffd", "\ue002"
 SLICE = 256
 #: Share of false discoveries; bins of Fisher's sum.
 FDR, BINS, STEP = 0.05, 400, 0.5
-#: By encoding: whole pattern of a run, alphabet, and what is squeezed out of ordinary text.
+#: By encoding: whole pattern of a run, and alphabet.
 ENCODINGS = {
-    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789ABCDEF", r"[^0-9A-Fa-f]+"),
-    "base32": (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"[^A-Za-z2-7]+"),
-    "base62": (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"[^A-Za-z0-9]+"),
-    "base64": (r"", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"[^A-Za-z0-9+/]+"),
+    "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", DIGITS + "ABCDEF"),
+    "base32": (r"^[A-Z2-7]+$", UPPER + "234567"),
+    "base62": (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
+    "base64": (r"", UPPER + LOWER + DIGITS + "+/"),
 }
 #: Least lengths of the bands.
 LENGTHS = (20, 32, 48, 96)
@@ -63,6 +65,11 @@ def _value(name: str, pattern: str, m: Column) -> Column:
     return F.regexp_extract(m, pattern, 2) if name == "assign" else m
 
 
+def _unmarked(text: Column) -> Column:
+    """``text`` without the characters that mark matches."""
+    return F.when(reduce(Column.__or__, [F.contains(text, F.lit(c)) for c in (OPEN, CLOSE, BLANK)]), F.translate(text, OPEN + CLOSE + BLANK, OTHER * 3)).otherwise(text)
+
+
 def _blanked(df: DataFrame, name: str, pattern: str, least: int) -> DataFrame:
     """``left`` with the matches that are long enough replaced by as many blanks."""
     wrapped = F.regexp_replace("left", pattern, f"{OPEN}$0{CLOSE}")
@@ -242,15 +249,14 @@ def candidates(df: DataFrame) -> DataFrame:
 
 
 def _other(alphabet: str) -> str:
-    """Pattern of runs of characters outside ``alphabet``, which is spelt out: Java looks such a class up in a table, but tries ranges one by one."""
+    """Pattern of runs of characters outside ``alphabet``."""
     return f"[^{alphabet}]++"
 
 
 def windows(df: DataFrame) -> DataFrame:
     """(code, m): every text's ``left`` written as runs, from its first to its last character; the last window may overlap the one before."""
     df = df.select(F.regexp_replace("left", RUN, "").alias("left")).withColumn("at", F.shiftrightunsigned(F.xxhash64(F.lit("at"), "left"), 1))
-    alphabet = {name: values for name, (_, values, _) in ENCODINGS.items()}
-    squeezed = lambda name, text, by: F.regexp_replace(text, _other(alphabet[name]), by)
+    squeezed = lambda name, text, by: F.regexp_replace(text, _other(ENCODINGS[name][1]), by)
     df = _once(df, base62=squeezed("base62", F.initcap("left"), ""), base64=squeezed("base64", F.col("left"), "/")).drop("left")
     df = _once(df, upper=F.upper("base62"))
     rows = F.array(*[F.struct(F.lit(name).alias("code"), (squeezed(name, F.col("upper"), "") if name in ("hex", "base32") else F.col(name)).alias("s")) for name in ENCODINGS])
@@ -305,8 +311,9 @@ def tested(df: DataFrame) -> DataFrame:
     for h in both:
         df = _once(df, **{f"{h}_{low}_{v}": three(h, low, v) for low in (0, 3) for v in range(8)})
     square = lambda x: x * x
-    filled = lambda v: [k.cast("double") - float(2 * HALF)] if v == 0 else []
-    count = lambda u, v: total([bits(F.col(f"{h}_3_{v}").bitwiseAND(F.col(f"{h}_0_{u}"))) for h in both] + filled(u + v))
+    held = lambda h, x: x if h == "a" else F.when(k > HALF, x).otherwise(F.lit(0.0))
+    filled = lambda v: [k.cast("double") - F.when(k > HALF, F.lit(2.0 * HALF)).otherwise(F.lit(float(HALF)))] if v == 0 else []
+    count = lambda u, v: total([held(h, bits(F.col(f"{h}_3_{v}").bitwiseAND(F.col(f"{h}_0_{u}")))) for h in both] + filled(u + v))
     for v in range(0, 8, 2):
         df = _once(df, **{f"n{u}_{x}": count(u, x) for x in (v, v + 1) for u in range(8)})
         df = _once(df, **{f"counts_{v}": total(square(F.col(f"n{u}_{x}")) for x in (v, v + 1) for u in range(8))}).drop(*[f"n{u}_{x}" for x in (v, v + 1) for u in range(8)])
@@ -318,10 +325,10 @@ def tested(df: DataFrame) -> DataFrame:
         df = _once(
             df,
             **{f"sum_{h}": total(two_to(i) * bits(F.col(f"{h}{i}")) for i in range(BITS))},
-            **{f"squares_{h}": total(two_to(i + j + (i != j)) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(i, BITS))},
+            **{f"squares_{h}": held(h, total(two_to(i + j + (i != j)) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"{h}{j}"))) for i in range(BITS) for j in range(i, BITS)))},
             **{f"after_{h}{i}": reduce(Column.bitwiseOR, after(h, i)) for i in range(BITS)},
         )
-        df = _once(df, **{f"products_{h}": total(two_to(i + j) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"after_{h}{j}"))) for i in range(BITS) for j in range(BITS))})
+        df = _once(df, **{f"products_{h}": held(h, total(two_to(i + j) * bits(F.col(f"{h}{i}").bitwiseAND(F.col(f"after_{h}{j}"))) for i in range(BITS) for j in range(BITS)))})
     # above the middle: the highest bit, and of 62 values the 32nd too
     top = lambda h: F.when(F.col("size") == 16, F.col(f"{h}3")).when(F.col("size") == 32, F.col(f"{h}4")).when(F.col("size") == 64, F.col(f"{h}5")).otherwise(F.col(f"{h}5").bitwiseOR(reduce(Column.bitwiseAND, [F.col(f"{h}{i}") for i in range(5)])))
     df = _once(df, a_top=top("a"), b_top=top("b"), after_a_top=top("after_a"), after_b_top=top("after_b"))
@@ -383,7 +390,7 @@ def _left(df: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of each row of ``docs`` (doc_id, text)."""
-    df = plain = docs.select("doc_id", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE + BLANK, OTHER * 3).alias("text"))
+    df = plain = docs.select("doc_id", _unmarked(F.coalesce("text", F.lit(""))).alias("text"))
     for kind in KINDS:
         df = _spans(df, *kind)
     df = _left(df)
